@@ -1,21 +1,36 @@
-"""The queries op1 to op10 and the pipeline: thin digests over the operators of this folder."""
+"""The queries op1 to op10: thin digests over the operators of this folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup
 from .common import documents
+from .line_dedup import dedup_lines
+from .mixing import mix
 from .quality_rules import quality
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return df.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules,)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op4_line_dedup, op5_quality_rules, op7_mixing)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
