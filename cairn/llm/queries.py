@@ -11,6 +11,7 @@ from . import line_dedup
 from .common import documents
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .pieces import encode
 from .quality_rules import quality
 
 
@@ -29,8 +30,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = encode(documents(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.array_join("pieces", ",").cast("binary"), 256)
+    return df.select("doc_id", "n_bytes", "n_pieces", "lossless", digest.alias("pieces_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_dedup, op5_quality_rules, op7_mixing)
+    f.__name__: f for f in (op4_line_dedup, op5_quality_rules, op7_mixing, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
