@@ -13,6 +13,12 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .pieces import encode
 from .quality_rules import quality
+from .secrets import scan
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scan(documents(spark, sf_dir))
+    return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_grammar")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_dedup, op5_quality_rules, op7_mixing, op10_sentencepiece)
+    f.__name__: f for f in (op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
