@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup
 from .common import documents
+from .language_id import held_out, identify, train
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .pieces import encode
@@ -16,6 +17,12 @@ from .quality_rules import quality
 from .secrets import scan
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scan(documents(spark, sf_dir))
     return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_grammar")
@@ -43,7 +50,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op10_sentencepiece)
+    f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
