@@ -42,3 +42,68 @@ def words_of(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bit_table(hashes: DataFrame, bits: int):
+    """A table of 2 ** bits bits, set where the column h (64-bit hashes) points by its high bits; its size is fixed, and a
+    bit set by chance only lets something through. Returns it as 64-bit words."""
+    import numpy as np
+
+    word = F.shiftrightunsigned("h", 64 - (bits - 6))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(F.lit(63)).cast("int"))
+    rows = hashes.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def has_bit(table, h):
+    """Which of the unsigned hashes h have their bit set."""
+    import numpy as np
+
+    bits = np.uint64(len(table).bit_length() - 1 + 6)
+    at = h >> (np.uint64(64) - bits)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def whole_groups(batches, keys: list[str]):
+    """Tables of whole groups from batches that are sorted by integer keys; only the last group waits for its next rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if carry is not None:
+            table = pa.concat_tables([carry, table]).combine_chunks()
+        same = np.ones(table.num_rows, bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            same &= v == v[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        carry = table.slice(cut)
+    if carry is not None:
+        yield carry.combine_chunks()
+
+
+def local_roots(n, left, right):
+    """Component label (smallest member) of each of n nodes that the pairs left-right link."""
+    import numpy as np
+
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, label[left], low)
+        np.minimum.at(new, label[right], low)
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label

@@ -13,6 +13,7 @@ from .embedding_dedup import near_duplicates
 from .language_id import held_out, identify, train
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_join import jaccard_classes
 from .pieces import encode
 from .quality_rules import quality
 from .secrets import scan
@@ -48,6 +49,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = encode(documents(spark, sf_dir).select("doc_id", "text"))
     digest = F.sha2(F.array_join("pieces", ",").cast("binary"), 256)
@@ -55,7 +60,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op8_embedding_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
