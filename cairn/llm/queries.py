@@ -17,6 +17,7 @@ from .ngram_join import jaccard_classes
 from .pieces import encode
 from .quality_rules import quality
 from .secrets import scan
+from .suffix_dedup import remove_repeats
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = remove_repeats(documents(spark, sf_dir))
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scan(documents(spark, sf_dir))
     return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_grammar")
@@ -60,7 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
