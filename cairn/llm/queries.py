@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import chat_format, line_dedup
+from .chat_format import adjacent_pairs, format_preferences
 from .common import documents
 from .embedding_dedup import near_duplicates
 from .language_id import held_out, identify, train
@@ -47,6 +48,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = format_preferences(adjacent_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(spans)
+
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    return df.select("pair_id", "chosen_id", "rejected_id", "n_prefix", *digests, listed("chosen_spans"), listed("rejected_spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,7 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat_format.ORACLE}
