@@ -41,8 +41,8 @@ SLICE_WORDS = 300_000
 class JoinParams:
     width: int = 5
     percent: int = 80
-    #: Counters that order the shingles, and bits of the tables that let rows through (fixed sizes: 8 and 8 MB).
-    counter_bits: int = 22
+    #: Counters that order the shingles, and bits of the tables that let rows through (fixed sizes: 16 and 8 MB).
+    counter_bits: int = 23
     table_bits: int = 26
     #: Groups of a block of a hot shingle; documents of a block of a large bundle.
     token_block: int = 1024
@@ -97,9 +97,9 @@ def _digest(data: bytes) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of hashes by their low bits, over 512 * 2 ** k bits, at least one for each hash."""
-    m = 512
-    while m < len(s):
+    """Parity of the number of hashes by their low bits, over 256 * 2 ** k bits, at least one for two hashes."""
+    m = 256
+    while 2 * m < len(s):
         m *= 2
     return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
 
@@ -109,16 +109,16 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _counters(docs: DataFrame, params: JoinParams) -> np.ndarray:
-    """How many documents hold shingles of each counter; saturates at 65,535."""
+    """How many documents hold shingles of each counter; saturates at 255 in a task and at 65,535 in all."""
     shift, size, block = np.uint64(64 - params.counter_bits), 1 << params.counter_bits, 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(params.width), np.zeros(size, np.int64)
+        shingler, total = Shingler(params.width), np.zeros(size, np.int32)
         for batch in batches:
             for _, _, sets in shingler.sets(batch.column("text").to_pylist()):
                 at = (np.concatenate(sets) >> shift).astype(np.int64)
                 np.add.at(total, at, 1)
-        small = np.minimum(total, 65535).astype(np.uint16)
+        small = np.minimum(total, 255).astype(np.uint8)
         for i in range(0, size, block):
             if small[i : i + block].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int64()), pa.array([small[i : i + block].tobytes()], pa.binary())], names=["block", "counts"])
@@ -127,7 +127,7 @@ def _counters(docs: DataFrame, params: JoinParams) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[b] = np.minimum(sums.get(b, 0) + np.frombuffer(c, np.uint16).astype(np.int64), 65535)
+                sums[b] = np.minimum(sums.get(b, 0) + np.frombuffer(c, np.uint8).astype(np.int64), 65535)
         for b, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([s.astype(np.uint16).tobytes()], pa.binary())], names=["block", "counts"])
 
