@@ -86,7 +86,11 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         have += step
     at = (low[:n] & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[first]], first, np.diff(np.r_[first, n]), h
+    key = h[at[first]]
+    # Smallest hashes have empty high bits; keys are mixed again, as bit tables and shards look at all of them.
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(32)
+    return key * np.uint64(0x94D049BB133111EB), first, np.diff(np.r_[first, n]), h
 
 
 def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
