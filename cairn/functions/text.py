@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that make no search term (fixed values).
 STOP_WORDS = (
@@ -109,7 +110,7 @@ def is_usable_reply(text: Column) -> Column:
     return F.coalesce((F.trim(text) != "") & ~text.rlike(r"(?i)^\s*\[(system )?error\]"), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; the JVM has no built-in expression for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

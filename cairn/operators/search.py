@@ -17,8 +17,8 @@ K1, B = 1.2, 0.75
 EXACT_LIMIT = 5
 
 
-def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """id, term, tf (weighted over columns) and size (words of the document)."""
+def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stem: Callable[[Column], Column] | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """id, term, tf (weighted over columns) and size (words of the document); of the wanted terms only, if given."""
     words = {c: index_words(F.col(c)) for c in weights}
     size = sum((F.size(w) for w in words.values()), F.lit(0))
 
@@ -26,9 +26,13 @@ def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", ste
         return F.transform(words[column], lambda t: F.struct(t.alias("term"), F.lit(weights[column]).alias("w")))
 
     parts = F.concat(*map(weighed, words))
-    df = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.explode(parts).alias("p")).select("id", "size", F.col("p.term").alias("term"), F.col("p.w").alias("w"))
+    # The size is worked out before the words are exploded; in one select it would be again for every word.
+    df = docs.select(F.col(id_col).alias("id"), size.alias("size"), parts.alias("parts"))
+    df = df.select("id", "size", F.explode("parts").alias("p")).select("id", "size", F.col("p.term").alias("term"), F.col("p.w").alias("w"))
     if stem is not None:
         df = df.withColumn("term", stem(F.col("term")))
+    if wanted is not None:
+        df = df.join(wanted, "term", "left_semi")
     return df.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("size").alias("size"))
 
 
@@ -40,7 +44,7 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_W
     about = docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("mean_size"))
     # The terms of a query set are few; the size check is Spark's own threshold.
     wanted = terms.select("term").distinct()
-    found = postings(docs, weights, id_col).join(wanted, "term")
+    found = postings(docs, weights, id_col, wanted=wanted)
     df_of = found.groupBy("term").agg(F.count("*").alias("df"))
     rows = found.join(df_of, "term").join(terms, "term").crossJoin(F.broadcast(about))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

@@ -358,8 +358,8 @@ def candidate_pairs(spark, d):
 CONFLICTS = f"""{PAIRS},
 texts AS (SELECT low, high, x.title || chr(10) || x.content AS ta, y.title || chr(10) || y.content AS tb FROM pairs JOIN memories x ON x.id = low JOIN memories y ON y.id = high WHERE {NOT_DISMISSED}),
 vals AS (SELECT *, {VALUES.format("ta")} AS va, {VALUES.format("tb")} AS vb, {NEGATED.format("ta")} AS na, {NEGATED.format("tb")} AS nb FROM texts),
-only AS (SELECT *, list_filter(va, lambda x: NOT list_contains(vb, x)) AS oa, list_filter(vb, lambda x: NOT list_contains(va, x)) AS ob FROM vals),
-conf AS (SELECT low, high, CASE WHEN len(oa) > 0 AND len(ob) > 0 THEN 'values' WHEN na <> nb THEN 'negation' END AS reason, len(oa) AS la, len(ob) AS lb FROM only)"""
+lone AS (SELECT *, list_filter(va, lambda x: NOT list_contains(vb, x)) AS oa, list_filter(vb, lambda x: NOT list_contains(va, x)) AS ob FROM vals),
+conf AS (SELECT low, high, CASE WHEN len(oa) > 0 AND len(ob) > 0 THEN 'values' WHEN na <> nb THEN 'negation' END AS reason, len(oa) AS la, len(ob) AS lb FROM lone)"""
 
 
 @query(sql("memories vecs", f"+ {CONFLICTS} SELECT low, high, reason, CASE WHEN reason = 'values' THEN la ELSE 0 END AS only_a, CASE WHEN reason = 'values' THEN lb ELSE 0 END AS only_b FROM conf"))
