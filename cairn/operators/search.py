@@ -29,14 +29,15 @@ def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", ste
     # The size is worked out before the words are exploded; in one select it would be again for every word.
     df = docs.select(F.col(id_col).alias("id"), size.alias("size"), parts.alias("parts"))
     df = df.select("id", "size", F.explode("parts").alias("p")).select("id", "size", F.col("p.term").alias("term"), F.col("p.w").alias("w"))
-    if stem is not None:
+    if stem is not None:  # words of a document once each, before Python sees them
+        df = df.groupBy("id", "term").agg(F.sum("w").alias("w"), F.first("size").alias("size"))
         df = df.withColumn("term", stem(F.col("term")))
     if wanted is not None:
         df = df.join(wanted, "term", "left_semi")
     return df.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("size").alias("size"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_WEIGHTS, id_col: str = "id") -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_WEIGHTS, id_col: str = "id", stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """query_id, id and score of every document with a term of terms(query_id, term). Statistics cover all of docs; filter
     the result by authorisation before taking the best."""
     words = {c: index_words(F.col(c)) for c in weights}
@@ -44,7 +45,7 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_W
     about = docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("mean_size"))
     # The terms of a query set are few; the size check is Spark's own threshold.
     wanted = terms.select("term").distinct()
-    found = postings(docs, weights, id_col, wanted=wanted)
+    found = postings(docs, weights, id_col, stem, wanted)
     df_of = found.groupBy("term").agg(F.count("*").alias("df"))
     rows = found.join(df_of, "term").join(terms, "term").crossJoin(F.broadcast(about))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

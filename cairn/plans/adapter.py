@@ -80,7 +80,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def relations(spark: SparkSession, folder: str) -> DataFrame:
     i = (F.col("doc_id") + 1).alias("from_id")
-    d = table(spark, folder, "documents").select(i).filter("from_id between 2 and 500")
+    d = table(spark, folder, "documents").select(i).filter("from_id >= 2")
     cycle = F.when(F.col("from_id").between(181, 183), F.when(F.col("from_id") == 183, 181).otherwise(F.col("from_id") + 1))
     tree = d.filter("from_id % 5 <> 0").select("from_id", F.coalesce(cycle, F.floor(F.col("from_id") / 2)).cast("long").alias("to_id"))
     return tree.withColumn("kind", F.lit("derived_from"))
@@ -216,7 +216,7 @@ SQL = {
   FROM embeddings JOIN memories ON memories.id = vec_id + 1""",
     "relations": """
   SELECT from_id, CASE WHEN from_id BETWEEN 181 AND 183 THEN CASE WHEN from_id = 183 THEN 181 ELSE from_id + 1 END ELSE from_id // 2 END AS to_id
-  FROM (SELECT doc_id + 1 AS from_id FROM documents) WHERE from_id BETWEEN 2 AND 500 AND from_id % 5 <> 0""",
+  FROM (SELECT doc_id + 1 AS from_id FROM documents) WHERE from_id >= 2 AND from_id % 5 <> 0""",
     "evidence": """
   SELECT m.id AS memory_id, CASE WHEN (m.id - 1) % 30 = 0 THEN 'artifact:' || ((m.id - 1) % 90) ELSE 'memory:' || (m.id - 1) || '@1' END AS source_ref,
     CASE WHEN m.id % 2 = 0 THEN c.content_hash ELSE 'outdated' END AS source_hash, m.id - 1 AS src

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.stemming import stem_column
 from ..functions.scoring import context_relevance, is_task_match, usage_factor
 from ..operators import context, indexes, lineage, mutations, review, search, sessions, upkeep, usage
 from ..operators.access import Access, current, denied_ids, quarantined, stale
@@ -171,9 +172,9 @@ def exact_title_lookup(spark, d):
     return search.exact_candidates(visible(spark, d), " Topic-2 ").select("id", "rank")
 
 
-@query(sql("memories", f"SELECT id, 1 AS rank FROM memories WHERE {VISIBLE} AND id = 5"))
+@query(sql("memories", f"SELECT id, 1 AS rank FROM memories WHERE {VISIBLE} AND id = 4"))
 def exact_id_lookup(spark, d):
-    return search.exact_candidates(visible(spark, d), "#5").select("id", "rank")
+    return search.exact_candidates(visible(spark, d), "#4").select("id", "rank")
 
 
 @query(sql("memories", f"SELECT id, row_number() OVER (ORDER BY updated_at DESC, id) AS rank FROM memories WHERE {VISIBLE} AND (contains(lower(title), 'shor') OR contains(lower(content), 'shor') OR contains(lower(coalesce(topic_key, '')), 'shor')) ORDER BY updated_at DESC, id LIMIT 20"))
@@ -199,6 +200,14 @@ def bm25_search(spark, d):
     return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
 
 
+@query()
+def stemmed_search(spark, d):
+    m = ad.memories(spark, d).filter("deleted_at is null")
+    terms = query_terms(spark, d).select("query_id", stem_column(F.col("term")).alias("term")).distinct()
+    found = search.bm25(m, terms, stem=stem_column)
+    return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
+
+
 QUERY_VECTORS = "qv AS (SELECT id AS query_id, embedding AS q FROM vecs WHERE (id - 1) % 100 = 0)"
 
 
@@ -607,12 +616,12 @@ def invalidation_propagation(spark, d):
     return lineage.propagate(ad.pending(spark, d), ad.relations(spark, d)).select("id")
 
 
-SHOWS = "shows AS (SELECT DISTINCT 'memory:' || k AS src, 'nonce:' || nonce AS dst FROM audit WHERE kind = 'get' AND k % 40 = 0 UNION SELECT 'nonce:' || nonce, 'agent:' || agent_id FROM links)"
+SHOWS = "shows AS (SELECT DISTINCT 'memory:' || k AS src, 'nonce:' || nonce AS dst FROM audit WHERE kind = 'get' UNION SELECT 'nonce:' || nonce, 'agent:' || agent_id FROM links)"
 
 
 @query(sql("audit links", f"+ {SHOWS}, ed AS (SELECT src, dst FROM shows UNION SELECT dst, src FROM shows), c AS (SELECT 'memory:40' AS id UNION SELECT ed.dst FROM c JOIN ed ON ed.src = c.id) SELECT id FROM c", True))
 def disclosure_closure(spark, d):
-    a = ad.audit(spark, d).filter("kind = 'get' and k % 40 = 0")
+    a = ad.audit(spark, d).filter("kind = 'get'")
     shows = a.select(F.concat(F.lit("memory:"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("nonce:"), "nonce").alias("dst"))
     shows = shows.union(ad.links(spark, d).select(F.concat(F.lit("nonce:"), "nonce"), F.concat(F.lit("agent:"), "agent_id"))).distinct()
     return lineage.disclosed(spark.createDataFrame([("memory:40",)], "id string"), shows).select("id")

@@ -64,3 +64,12 @@ def test_task_match_table(spark):
     assert m(None, None, "low", None) and not m(None, None, "medium", None)
     assert m(0.5, None, "medium", None) and not m(0.3, None, "medium", None)
     assert m(0.5, 0.6, "medium", 0.5) and not m(0.5, 0.4, "medium", 0.5) and not m(0.5, None, "low", 0.5)
+
+
+def test_stems():
+    from cairn.functions.stemming import stem
+
+    pairs = "caresses:caress ponies:poni cats:cat agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall filing:file happy:happi relational:relat conditional:condit digitizer:digit operator:oper formalize:formal goodness:good revival:reviv adjustment:adjust adoption:adopt controll:control rate:rate cease:ceas sky:sky"
+    for p in pairs.split():
+        word, want = p.split(":")
+        assert stem(word) == want, (word, stem(word))
