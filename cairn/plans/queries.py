@@ -382,6 +382,40 @@ def upkeep_counts(spark, d):
     return upkeep.upkeep_counts(pairs(spark, d), ad.memories(spark, d), stale(NOW(), 340))
 
 
+# The four queries above ask for the stated rows of their SQL. Those below let every live row ask.
+
+
+def near_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return upkeep.near_everywhere(ad.vectors(spark, d), 6, 0.3), ad.memories(spark, d).filter(OWNER.memory_filter(NOW()))
+
+
+def pairs_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    near_, live = near_all(spark, d)
+    none = spark.createDataFrame([(1, 2)], "a long, b long")
+    return upkeep.candidate_pairs(near_, upkeep.same_topic_pairs(live), live, none), live
+
+
+@query()
+def near_duplicates_all(spark, d):
+    return upkeep.save_gate(*near_all(spark, d)).select("a", "b", "similarity", "outcome")
+
+
+@query()
+def candidate_pairs_all(spark, d):
+    return pairs_all(spark, d)[0]
+
+
+@query()
+def conflicts_all(spark, d):
+    c = upkeep.pair_conflicts(*pairs_all(spark, d))
+    return c.select("low", "high", "conflict.reason", F.size("conflict.only_a").cast("long").alias("only_a"), F.size("conflict.only_b").cast("long").alias("only_b"))
+
+
+@query()
+def upkeep_counts_all(spark, d):
+    return upkeep.upkeep_counts(*pairs_all(spark, d), stale(NOW(), 340))
+
+
 def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each copy of a content hash with the first of its namespace."""
     m = ad.memories(spark, d).filter("deleted_at is null")
