@@ -138,22 +138,50 @@ def merge_target(a: Column, b: Column) -> Column:
     )
 
 
-def auto_merge(pairs: DataFrame) -> DataFrame:
-    """Merges pairs(topic group, low, high, target, source) in order, skipping ids that an earlier merge took away. Groups
-    are duplicate families, so each is folded by itself."""
+def auto_merge(memories: DataFrame) -> DataFrame:
+    """family, low, high, target, source of the merges among memories, pairs of mergeable rows taken in order of low and
+    high but for rows that an earlier merge took away. A family holds the rows that agree in all that mergeable() compares
+    and is named by its smallest id; only conflicts between forms of one text are left to the fold."""
+    text = F.concat_ws("\n", "title", "content")
+    same = [F.trim(nfc(F.col(c))).alias(f"_{c}") for c in ("title", "content")]
+    fields = [F.unix_micros(c).alias(c) if c.startswith("valid_") else F.col(c) for c in ("scope", "project_key", *SAME_FIELDS)]
+    rows = memories.filter("archived_at is null and title is not null and content is not null").select(
+        F.sha2(F.to_json(F.struct(*fields, *same)), 256).alias("_family"),
+        F.sha2(text, 256).alias("_form"),
+        "id",
+        (F.col("application_count") + F.col("helpful_count")).alias("_active"),
+        F.col("opened_count").alias("_opened"),
+        F.unix_micros("updated_at").alias("_updated"),
+    )
+    w = Window.partitionBy("_family")
+    rows = rows.withColumns({"_n": F.count("*").over(w), "_mixed": F.min("_form").over(w) != F.max("_form").over(w)}).filter("_n > 1").drop("_n", "_form")
+    # Only where a family holds several forms of its text can two of its rows conflict.
+    mixed = memories.join(rows.filter("_mixed").select("id"), "id", "left_semi").select("id", value_tokens(text).alias("_values"), is_negated(text).alias("_negated"))
+    rows = rows.drop("_mixed").join(mixed, "id", "left").withColumns({"_values": F.coalesce("_values", F.array().cast("array<string>")), "_negated": F.coalesce("_negated", F.lit(False))})
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        keep = []
-        for row in group.sort_values(["low", "high"]).itertuples():
-            free = row.low not in gone and row.high not in gone
-            keep.append(free)
-            if free:
-                gone.add(row.source)
-        out = group.sort_values(["low", "high"])
-        return out[keep][["family", "low", "high", "target", "source"]]
-
-    return pairs.groupBy("family").applyInPandas(fold, "family string, low long, high long, target long, source long")
+        group = group.sort_values("id")
+        ids, rank = group["id"].tolist(), list(zip(group["_active"], group["_opened"], group["_updated"]))
+        forms = [(frozenset(v), bool(n)) for v, n in zip(group["_values"], group["_negated"])]
+        left, out = list(range(len(ids))), []
+        while left:
+            low, waiting = left[0], []
+            for i, high in enumerate(left[1:], 1):
+                (va, na), (vb, nb) = forms[low], forms[high]
+                if na != nb or (va - vb and vb - va):
+                    waiting.append(high)
+                    continue
+                first = rank[low] > rank[high]
+                out.append((str(ids[0]), ids[low], ids[high], *((ids[low], ids[high]) if first else (ids[high], ids[low]))))
+                if not first and waiting:
+                    left = waiting + left[i:]
+                    break
+                low = low if first else high
+            else:
+                left = waiting
+        return pd.DataFrame(out, columns=["family", "low", "high", "target", "source"])
+
+    return rows.groupBy("_family").applyInPandas(fold, "family string, low long, high long, target long, source long")
 
 
 def upkeep_counts(pairs: DataFrame, memories: DataFrame, stale: Column) -> DataFrame:

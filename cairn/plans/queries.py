@@ -438,8 +438,7 @@ def merge_targets(spark, d):
 
 @query()
 def auto_merge(spark, d):
-    p = upkeep.mergeable(duplicate_pairs(spark, d), ad.memories(spark, d))
-    return upkeep.auto_merge(p.withColumn("family", F.col("low").cast("string")))
+    return upkeep.auto_merge(ad.memories(spark, d).filter(OWNER.memory_filter(NOW())))
 
 
 # ---- sessions

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -20,3 +21,26 @@ def test_every_row_asks_for_near_duplicates(spark):
     stated = upkeep.near_in_partition(v.filter((F.col("id") - 1) % 100 == 0), v, 6, 0.3).collect()
     assert {(r.a, r.b, r.similarity) for r in stated} < want
     assert any((a - 1) % 100 and (b - 1) % 100 for a, b, _ in want)
+
+
+def test_auto_merge_folds_whole_families(spark):
+    rng, t = random.Random(5), dt.datetime(2024, 1, 1)
+    texts = ['port "\u00e9" is open', 'port "e\u0301" is open', "plain", " plain "]
+    rows = []
+    for i in range(1, 61):
+        text = texts[rng.randrange(4)]
+        archived = t if i in (3, 20) else None
+        rows.append((i, "project" if i % 2 else "global", "p1" if i % 2 else None, "note", "s", "a", "m", i % 17 == 1 or i == 2, "fact", "unverified", None, None, "title", text, archived, i % 9, i % 4, i % 5, t + dt.timedelta(hours=i)))
+    m = spark.createDataFrame(
+        rows,
+        "id long, scope string, project_key string, type string, source string, agent_id string, provider string, pinned boolean, record_kind string, verification_status string, "
+        "valid_from timestamp, valid_until timestamp, title string, content string, archived_at timestamp, application_count long, helpful_count long, opened_count long, updated_at timestamp",
+    )
+    every = m.select(F.col("id").alias("low")).crossJoin(m.select(F.col("id").alias("high"))).filter("low < high")
+    gone, want = set(), set()
+    for r in upkeep.mergeable(every, m).orderBy("low", "high").collect():
+        if not {r.low, r.high} & gone:
+            gone.add(r.source)
+            want.add((r.low, r.high, r.target, r.source))
+    got = [(r.low, r.high, r.target, r.source) for r in upkeep.auto_merge(m).collect()]
+    assert set(got) == want and len(got) == len(want) > 40
