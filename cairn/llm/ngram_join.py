@@ -140,7 +140,7 @@ def _counters(docs: DataFrame, params: JoinParams) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counters: np.ndarray, params: JoinParams) -> DataFrame:
-    """doc_id, n, set_id, group_id, prefix (ordered shingles, as the counter's value before the hash) and bitmap."""
+    """doc_id, digest (of the text), n, set_id, group_id, prefix (ordered shingles, as the counter's value before the hash) and bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shift = np.uint64(64 - params.counter_bits)
@@ -162,16 +162,17 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, params: JoinParams) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
+                        batch.column("digest").slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(ids, pa.int64()),
                         pa.array(groups, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))),
                         pa.array(maps, pa.binary()),
                     ],
-                    names=["doc_id", "n", "set_id", "group_id", "prefix", "bitmap"],
+                    names=["doc_id", "digest", "n", "set_id", "group_id", "prefix", "bitmap"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, set_id long, group_id long, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id {id_type}, digest long, n long, set_id long, group_id long, prefix array<long>, bitmap binary")
 
 
 def _pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -292,8 +293,9 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return linked
 
 
-def jaccard_classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, n_links (documents linked directly) and component_id."""
+def _components(docs: DataFrame, params: JoinParams) -> DataFrame:
+    """One row per row of docs: doc_id, digest (of the text), n, n_links, root (a set of the component; null without
+    shingles) and component (its smallest doc_id)."""
     sc = docs.sparkSession.sparkContext
     found = staged(_prefixes(docs, _counters(docs, params), params), "join-prefixes")
     held = found.filter("n > 0")
@@ -342,13 +344,25 @@ def jaccard_classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     about = classes.join(links, F.col("set_id") == F.col("_l"), "left").join(roots, F.col("set_id") == F.col("id"), "left")
     about = staged(about.select("set_id", "cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "set_id").alias("root")), "join-about")
     first = about.groupBy("root").agg(F.min("cid").alias("component")).withColumnRenamed("root", "_r")
-    about = staged(about.join(first, F.col("root") == F.col("_r")).select(F.col("set_id").alias("_s"), "n_links", "component"), "join-about")
-    df = found.select("doc_id", "n", "set_id").join(about, (F.col("n") > 0) & (F.col("set_id") == F.col("_s")), "left")
+    about = staged(about.join(first, F.col("root") == F.col("_r")).select(F.col("set_id").alias("_s"), "n_links", "root", "component"), "join-about")
+    df = found.select("doc_id", "digest", "n", "set_id").join(about, (F.col("n") > 0) & (F.col("set_id") == F.col("_s")), "left")
+    return df.select("doc_id", "digest", "n", "n_links", "root", "component")
+
+
+def jaccard_classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, n_links (documents linked directly) and component_id."""
+    df = _components(docs, params)
     return df.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """The rows of docs that stand first in their component: their doc_id is the component's. Of rows that repeat a
-    doc_id one stays."""
-    keep = jaccard_classes(docs, params).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_k"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each component: of its smallest doc_id (nulls last), then of the smallest digest of a text.
+    Rows without a word link with nothing, so all of them stay."""
+    rows = _components(docs, params)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    keep = rows.filter("n > 0").groupBy("root").agg(first).select("first.doc_id", "first.digest")
+    keep = keep.unionByName(rows.filter("n = 0").select("doc_id", "digest").distinct()).toDF("_k", "_h")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    df = docs.withColumns({"_digest": F.xxhash64("text"), "_own": F.when(worded, -1).otherwise(F.monotonically_increasing_id())})
+    df = df.join(keep, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_h")), "left_semi")
+    return df.dropDuplicates(["doc_id", "_digest", "_own"]).drop("_digest", "_own")

@@ -43,3 +43,13 @@ def test_stages(spark, tmp_path):
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert collections.Counter(r.doc_id for r in done) == collections.Counter(r.doc_id for r in given.collect())
     assert all(r.lossless and r.n_pieces == len(r.pieces) for r in done)
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(40))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (3, d + " tail"), (None, c + " tail"), (None, e), (None, e), (8, None), (8, None), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect())
+    assert got == collections.Counter([(None, a), (None, b), (7, c), (3, d + " tail"), (None, e), (8, None), (8, None), (9, " ")])
