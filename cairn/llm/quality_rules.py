@@ -26,6 +26,10 @@ STOP_WORDS = (
 ).split()
 
 
+#: Words above which a text's windows keep whole hashes: below, chance makes two of them equal once in 10 ** 8 texts.
+LONG_WORDS = 4096
+
+
 @dataclass(frozen=True)
 class QualityParams:
     min_words: int = 50
@@ -44,9 +48,16 @@ def repeated_window_words(words: Column, n: Column) -> dict[str, Column]:
     """Steps that count the words standing in a 3-word window found twice or more in the same text.
 
     A window's 64-bit hash gives its low bits to the window's place (10 bits for 1,000 words), so that one sort of a
-    primitive array brings equal windows together.
+    primitive array brings equal windows together. Texts of more than LONG_WORDS sort pairs of hash and place instead.
     """
-    bits = F.col("_bits")
+    bits, long = F.col("_bits"), n > LONG_WORDS
+    windows, most = lambda f, m: F.transform(F.slice(words, 1, m), f), F.greatest(n - 2, F.lit(0))
+
+    def hashed(w: Column, i: Column) -> Column:
+        return F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+
+    def equal(p: Column, k: Column) -> Column:
+        return F.coalesce(p["h"] == F.get("_pairs", k)["h"], F.lit(False))
 
     def same(p: Column, k: Column) -> Column:
         return F.coalesce(F.call_function("shiftrightunsigned", p.bitwiseXOR(F.get("_packed", k)), bits) == 0, F.lit(False))
@@ -57,15 +68,18 @@ def repeated_window_words(words: Column, n: Column) -> dict[str, Column]:
     return {
         "_bits": F.ceil(F.log2(n + F.lit(2))).cast("int"),
         "_packed": F.sort_array(
-            F.transform(
-                F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
-                lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long")),
-            )
+            windows(lambda w, i: F.call_function("shiftleft", hashed(w, i), bits).bitwiseOR(i.cast("long")), F.when(long, 0).otherwise(most)),
+        ),
+        "_pairs": F.sort_array(
+            windows(lambda w, i: F.struct(hashed(w, i).alias("h"), i.cast("long").alias("place")), F.when(long, most).otherwise(0)),
         ),
         "_starts": F.sort_array(
-            F.transform(
-                F.filter("_packed", lambda p, k: same(p, k - 1) | same(p, k + 1)),
-                lambda p: p.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1),
+            F.concat(
+                F.transform(
+                    F.filter("_packed", lambda p, k: same(p, k - 1) | same(p, k + 1)),
+                    lambda p: p.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1),
+                ),
+                F.transform(F.filter("_pairs", lambda p, k: equal(p, k - 1) | equal(p, k + 1)), lambda p: p["place"]),
             )
         ),
         "n_repeat_words": F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), covered)["n"],
