@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_table, has_bit, local_roots, staged, whole_groups
@@ -361,8 +361,14 @@ def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
     rows = _components(docs, params)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     keep = rows.filter("n > 0").groupBy("root").agg(first).select("first.doc_id", "first.digest")
-    keep = keep.unionByName(rows.filter("n = 0").select("doc_id", "digest").distinct()).toDF("_k", "_h")
+    keep = keep.unionByName(rows.filter("n = 0").select("doc_id", "digest").distinct())
+
+    def key(digest: Column) -> Column:
+        none = F.col("doc_id").isNull().cast("string")
+        return F.concat_ws(":", none, digest.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+    # One key for the join and for the repeats, so that texts are shuffled once.
+    keep = keep.select(key(F.col("digest")).alias("_k"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    df = docs.withColumns({"_digest": F.xxhash64("text"), "_own": F.when(worded, -1).otherwise(F.monotonically_increasing_id())})
-    df = df.join(keep, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_h")), "left_semi")
-    return df.dropDuplicates(["doc_id", "_digest", "_own"]).drop("_digest", "_own")
+    df = docs.withColumns({"_key": key(F.xxhash64("text")), "_own": F.when(worded, -1).otherwise(F.monotonically_increasing_id())})
+    return df.join(keep, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key", "_own"]).drop("_key", "_own")
