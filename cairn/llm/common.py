@@ -13,10 +13,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (a test) gets a
+    folder of its own; on a cluster that is an error, as executors would write where nobody else can read."""
     jsc = spark.sparkContext._jsc.sc()
     given = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
+        if not given and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return given or jsc.getCheckpointDir().get()
 
@@ -28,11 +31,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a wide intermediate table as Parquet in the shared folder and reads it back (columns are then pruned)."""
+    """Writes an intermediate table as Parquet in the shared folder and reads it back (columns are then pruned). The
+    folder goes when the application ends, or before that with release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what staged() wrote for these tables; nothing that is still to run may read them."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def sealed(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """df with numbered column names, which none of an operator's own names can clash with, and the numbers of the wanted
+    columns. `toDF(*names)` gives the columns their names back."""
+    return df.toDF(*[f"in{i}" for i in range(len(df.columns))]), [f"in{df.columns.index(c)}" for c in wanted]
 
 
 def words_of(text: Column) -> Column:

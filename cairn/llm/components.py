@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,21 +18,26 @@ def components(edges: DataFrame) -> DataFrame:
     edges, labels = staged(both, "cc-edges"), None
     while not edges.isEmpty():
         up = edges.select(F.col("b").alias("id"), F.col("a").alias("to")).union(edges.select(F.col("a").alias("id"), F.col("a").alias("to")))
-        ends = staged(up.groupBy("id").agg(F.min("to").alias("to")), "cc-ends")
-        while True:
+        table = staged(up.groupBy("id").agg(F.min("to").alias("to")), "cc-ends")
+        moved = True
+        while moved:
+            ends = table.select("id", "to")
             onward = ends.join(ends.select(F.col("id").alias("_to"), F.col("to").alias("_end")), F.col("to") == F.col("_to"), "left")
-            onward = staged(onward.select("id", F.coalesce("_end", "to").alias("end"), (F.col("_end") < F.col("to")).alias("moved")), "cc-ends")
-            ends = onward.select("id", F.col("end").alias("to"))
-            if onward.filter("moved").isEmpty():
-                break
+            onward = staged(onward.select("id", F.coalesce("_end", "to").alias("to"), (F.col("_end") < F.col("to")).alias("moved")), "cc-ends")
+            release(table)
+            table, moved = onward, not onward.filter("moved").isEmpty()
+        ends = table.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
         if labels is None:
-            labels = ends.select("id", F.col("to").alias("component"))
+            step = staged(table.select("id", F.col("to").alias("component")), "cc-labels")
         else:
-            step = ends.select(F.col("id").alias("_id"), "to")
-            labels = labels.join(step, F.col("component") == F.col("_id"), "left").select("id", F.coalesce("to", "component").alias("component"))
-            labels = staged(labels, "cc-labels")
+            step = labels.join(ends, F.col("component") == F.col("_id"), "left").select("id", F.coalesce("_to", "component").alias("component"))
+            step = staged(step, "cc-labels")
+            release(labels)
+        labels = step
+        left = edges
         for side in ("a", "b"):
-            step = ends.select(F.col("id").alias("_id"), "to")
-            edges = edges.join(step, F.col(side) == F.col("_id")).withColumn(side, F.col("to")).select("a", "b")
-        edges = staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+            left = left.join(ends, F.col(side) == F.col("_id")).withColumn(side, F.col("_to")).select("a", "b")
+        left = staged(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+        release(edges, table)
+        edges = left
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

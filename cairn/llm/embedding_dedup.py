@@ -2,14 +2,18 @@
 
 Each half of a unit vector has its own codebook, fitted on a bounded sample; the product of the two makes a grid of
 cells. The multi-sequence walk visits a vector's cells from the nearest on, as many as reach the target recall on
-perturbed sample vectors, and a vector is compared with all vectors that live in the cells it visits. Links are verified by cosine in
-double precision. Equal vectors are one class first, so any number of copies costs one comparison. A cell is cut into
-blocks of bounded size, and every pair of blocks is one task; a task reports sums of links and a spanning forest, never
-its pairs.
-
-Only vectors of the same non-null label and length are compared. Cases: a vector that is null, empty or zero, or holds a
-null or non-finite component links with nothing and is its own component; equal vec_ids count as several vectors; an
-empty table gives an empty one; other columns of the input are ignored.
+perturbed sample vectors, and a vector is compared with all vectors that live in the cells it visits. Links are verified
+by cosine in double precision. Equal vectors are one class first, so any number of copies costs one comparison; a class
+has a number of its own, so nothing rests on vec_id. A cell is cut into blocks of bounded size, and every pair of blocks
+is one task; a task reports sums of links and a spanning forest, never its pairs.
+
+Only vectors of the same non-null label and length are compared. Every length with more than home_rows classes has an
+index; classes of the rarer lengths share one cell for each label and length, where all are compared.
+
+Cases: a vector that is null, empty or zero, or holds a null or non-finite component links with nothing and is its own
+component; rows that repeat a vec_id are vectors of their own; a null vec_id takes part, counts as larger than any other
+and is kept where its component has no other id; an empty table gives an empty one; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 from .components import components
 
 
@@ -31,17 +35,28 @@ from .components import components
 class IndexParams:
     threshold: float = 0.93
     target_recall: float = 0.98
-    #: Vectors that the codebooks and the number of visited cells are fitted on.
+    #: Vectors of a length that the codebooks are fitted on: at least `sample`, and per_codeword for each codeword, of which
+    #: a half has max_codewords at most; vectors that the number of visited cells is measured on.
     sample: int = 4096
-    #: Vectors wanted in a cell, codewords of each half at most, and rows of a block.
+    per_codeword: int = 8
+    max_codewords: int = 4096
+    probes: int = 2048
+    #: Vectors wanted in a cell, and rows of a block.
     cell_rows: int = 64
-    max_codewords: int = 256
     home_rows: int = 1024
     query_rows: int = 4096
     seed: int = 3
 
+    def codewords(self, per_label: float) -> int:
+        return int(np.clip(np.sqrt(per_label / self.cell_rows), 1, self.max_codewords))
+
+    def sample_rows(self, per_label: float) -> int:
+        return max(self.sample, self.per_codeword * self.codewords(per_label))
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -51,9 +66,10 @@ class MultiIndex:
     def __init__(self, x: np.ndarray, per_label: float, params: IndexParams):
         rng = np.random.default_rng(params.seed)
         self.half = x.shape[1] // 2
-        k = int(np.clip(np.sqrt(per_label / params.cell_rows), 1, min(params.max_codewords, len(x))))
+        k = min(params.codewords(per_label), len(x))
         self.books = [self._fit(x[:, : self.half], k, rng), self._fit(x[:, self.half :], k, rng)]
         # Partners of the sample at every similarity that counts, in random directions.
+        x = x[: params.probes]
         cos = rng.uniform(params.threshold, 1.0, (len(x), 1))
         away = rng.standard_normal(x.shape)
         away = _unit(away - (away * x).sum(1, keepdims=True) * x + 1e-12)
@@ -65,7 +81,7 @@ class MultiIndex:
     def _fit(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         book = x[rng.choice(len(x), k, replace=False)]
         for _ in range(12):
-            own = MultiIndex._distances(x, book).argmin(1)
+            own = np.concatenate([MultiIndex._distances(x[i : i + 4096], book).argmin(1) for i in range(0, len(x), 4096)])
             n = np.bincount(own, minlength=k)
             sums = np.zeros_like(book)
             np.add.at(sums, own, x)
@@ -82,11 +98,12 @@ class MultiIndex:
 
     def _rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """How many cells the walk from x visits before the given one."""
-        a, b = self._halves(x)
-        total = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1) if a.shape[1] * b.shape[1] * len(x) <= 5e7 else None
-        if total is not None:
-            return (total < total[np.arange(len(x)), cell][:, None]).sum(1)
-        return np.concatenate([self._rank(x[i : i + 64], cell[i : i + 64]) for i in range(0, len(x), 64)])
+        out = np.empty(len(x), np.int64)
+        for i in range(len(x)):
+            a, b = (d[0] for d in self._halves(x[i : i + 1]))
+            own = a[cell[i] // len(b)] + b[cell[i] % len(b)]
+            out[i] = np.searchsorted(np.sort(b), own - a - 1e-12).sum()
+        return out
 
     def visits(self, x: np.ndarray, n: int | None = None) -> np.ndarray:
         """The n nearest cells of each row, nearest first. The j-th cell of the walk pairs codewords of ranks r and s with
@@ -101,10 +118,6 @@ class MultiIndex:
         return np.take_along_axis(ca * b.shape[1] + cb, order, 1)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.float64) for v in column.to_pylist()]) if len(column) else np.zeros((0, 0))
-
-
 def _block(threshold: float):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         home, query = rows[rows["role"] == 0], rows[rows["role"] == 1]
@@ -115,14 +128,14 @@ def _block(threshold: float):
         hid, qid = home["cid"].to_numpy(), query["cid"].to_numpy()
         linked = q @ x.T >= threshold
         cell = int(rows["cell"].iloc[0])
-        inside = (query["home"] == cell).to_numpy()
-        # A pair is counted once: inside a cell by the order of ids, and of two cells that both find it, in the lower one.
-        linked[inside] &= qid[inside][:, None] < hid[None]
-        for i in np.flatnonzero(~inside & linked.any(1)):
-            other = int(query["home"].iat[i])
-            if other < cell:
-                for j in np.flatnonzero(linked[i]):
-                    linked[i, j] = other not in home["visits"].iat[j]
+        of = query["home"].to_numpy()
+        # A pair is counted once: inside a cell by the order of classes, and of two cells that both find it, in the lower one.
+        linked[of == cell] &= qid[of == cell][:, None] < hid[None]
+        found = np.flatnonzero((of < cell) & linked.any(1))
+        if len(found):
+            seen = np.stack(home["visits"].to_list())
+            for other in np.unique(of[found]):
+                linked[np.ix_(found[of[found] == other], (seen == other).any(1))] = False
         n_q, n_x = (linked * home["copies"].to_numpy()[None]).sum(1), (linked * query["copies"].to_numpy()[:, None]).sum(0)
         lq, lx = qid.copy(), hid.copy()
         far = np.iinfo(np.int64).max
@@ -138,48 +151,52 @@ def _block(threshold: float):
     return link
 
 
-def near_duplicates(vectors: DataFrame, params: IndexParams = IndexParams()) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding, label)."""
-    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    fine = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0)
-    v = v.withColumn("ok", F.coalesce(F.col("label").isNotNull() & (F.size("e") > 0) & fine, F.lit(False)))
-    v = v.withColumns({"dim": F.size("e"), "h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(1), "e")})
-    members = staged(v.select("vec_id", "label", "ok", "dim", "h1", "h2"), "vec-members")
-    same = ["label", "dim", "h1", "h2"]
-    # The smallest vec_id stands for a class of equal vectors.
-    classes = v.filter("ok").groupBy(*same).agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.first("e").alias("e"))
-    top = F.aggregate("e", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c)))
-    scaled = F.transform("e", lambda c: c / F.col("_top"))
-    classes = classes.withColumn("_top", top).withColumn("e", scaled).drop("_top")
-    classes = staged(classes, "vec-classes")
-    sizes = classes.groupBy("dim").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).orderBy(F.desc("n")).limit(1).collect()
-    main, indexes = (sizes[0]["dim"], None) if sizes else (0, None)
-    if sizes and main >= 2:
-        # Codebooks serve the most frequent length; vectors of other lengths share one cell for each label and length.
-        picked = classes.filter(F.col("dim") == main).orderBy("h1", "h2").limit(params.sample).select("e").collect()
-        indexes = MultiIndex(_unit(np.array([r.e for r in picked], np.float64)), sizes[0]["n"] / sizes[0]["labels"], params)
-    shared = vectors.sparkSession.sparkContext.broadcast(indexes)  # two codebooks of max_codewords rows
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(shared):
+    """Unit vectors, the cell that each lives in and the cells that it visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                units, cells = [], []
-                e, dim = part.column("e").to_pylist(), part.column("dim").to_numpy(zero_copy_only=False)
-                x = [_unit(np.array([r], np.float64))[0] for r in e]
-                units = [u.tobytes() for u in x]
-                cells = [[0]] * len(x)
-                own = np.flatnonzero(dim == main) if shared.value is not None else np.zeros(0, int)
-                if len(own):
-                    for k, c in zip(own, shared.value.visits(np.stack([x[k] for k in own])).tolist()):
-                        cells[k] = c
+                dim = part.column("dim").to_numpy()
+                flat = part.column("e").flatten().to_numpy()
+                start = np.cumsum(dim) - dim
+                units, cells = [b""] * len(dim), [[0]] * len(dim)
+                for d in np.unique(dim):
+                    own = np.flatnonzero(dim == d)
+                    x = _unit(flat[start[own][:, None] + np.arange(d)[None]])
+                    visits = shared.value[d].visits(x).tolist() if d in shared.value else [[0]] * len(own)
+                    for k, u, v in zip(own.tolist(), x, visits):
+                        units[k], cells[k] = u.tobytes(), v
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("label", "dim", "cid", "copies")), pa.array(units, pa.binary()), pa.array([c[0] for c in cells], pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
                     names=["label", "dim", "cid", "copies", "unit", "home", "visits"],
                 )
 
-    label_type, id_type = vectors.schema["label"].dataType.simpleString(), "bigint"
-    placed = classes.select("label", "dim", F.col("cid").cast(id_type).alias("cid"), "copies", "e").mapInArrow(visit, f"label {label_type}, dim int, cid {id_type}, copies bigint, unit binary, home bigint, visits array<bigint>")
+    return run
+
+
+def near_duplicates(vectors: DataFrame, params: IndexParams = IndexParams()) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding, label)."""
+    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    fine = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0)
+    v = v.withColumn("ok", F.coalesce(F.col("label").isNotNull() & (F.size("e") > 0) & fine, F.lit(False)))
+    v = v.withColumns({"dim": F.size("e"), "h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(1), "e")})
+    members = staged(v.select("vec_id", "label", "ok", "dim", "h1", "h2"), "vec-members")
+    same = ["label", "dim", "h1", "h2"]
+    classes = v.filter("ok").groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    # Numbered where they are written, so that every later reader sees the same numbers.
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vec-classes")
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+    indexes = {}
+    for r in lengths.filter((F.col("n") > params.home_rows) & (F.col("dim") >= 2)).collect():
+        picked = classes.filter(F.col("dim") == r.dim).orderBy("h1", "h2").limit(params.sample_rows(r.n / r.labels)).select("e").toArrow()
+        x = picked.column("e").combine_chunks().flatten().to_numpy().reshape(-1, r.dim)
+        indexes[r.dim] = MultiIndex(_unit(x), r.n / r.labels, params)
+    shared = vectors.sparkSession.sparkContext.broadcast(indexes)  # two codebooks of max_codewords rows for each length
+
+    label_type = vectors.schema["label"].dataType.simpleString()
+    placed = classes.select("label", "dim", "cid", "copies", "e").mapInArrow(_place(shared), f"label {label_type}, dim int, cid bigint, copies bigint, unit binary, home bigint, visits array<bigint>")
     placed = staged(placed, "vec-placed")
     cell = ["label", "dim", "cell"]
     counts = placed.select("label", "dim", "home", F.explode("visits").alias("cell")).groupBy(*cell).agg(
@@ -193,19 +210,24 @@ def near_duplicates(vectors: DataFrame, params: IndexParams = IndexParams()) ->
         df = visited.filter(F.col("home") == F.col("cell")) if role == 0 else visited
         df = df.withColumn("_p", F.pmod(F.xxhash64("cid"), F.col(own)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         names = ("hp", "qp") if role == 0 else ("qp", "hp")
-        return df.select(*cell, F.col("_p").alias(names[0]), F.col("_o").alias(names[1]), F.lit(role).alias("role"), "cid", "copies", "unit", "home", "visits")
+        seen = F.col("visits") if role == 0 else F.array().cast("array<bigint>")
+        return df.select(*cell, F.col("_p").alias(names[0]), F.col("_o").alias(names[1]), F.lit(role).alias("role"), "cid", "copies", "unit", "home", seen.alias("visits"))
 
     rows = blocks(0, "home_parts", "query_parts").unionByName(blocks(1, "query_parts", "home_parts"))
     found = staged(rows.groupBy(*cell, "hp", "qp").applyInPandas(_block(params.threshold), "cid bigint, links bigint, root bigint"), "vec-links")
-    linked = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    release(placed, counts)
+    linked = found.groupBy("cid").agg(F.sum("links").alias("links")).withColumnRenamed("cid", "_c")
     roots = components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    about = classes.select(*[F.col(c).alias(f"_{c}") for c in same], "cid", "copies")
-    about = about.join(linked.withColumnRenamed("cid", "_c1"), F.col("cid") == F.col("_c1"), "left").join(roots, F.col("cid") == F.col("id"), "left")
-    about = about.select(*[f"_{c}" for c in same], (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "cid").alias("component"))
-    about = staged(about, "vec-classes")
+    about = classes.select(*same, "cid", "least", "copies").join(linked, F.col("cid") == F.col("_c"), "left").join(roots, F.col("cid") == F.col("id"), "left")
+    about = staged(about.select(*same, "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "cid").alias("root")), "vec-about")
+    release(found, classes)
+    first = about.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "_root")
+    about = about.join(first, F.col("root") == F.col("_root")).select(*[F.col(c).alias(f"_{c}") for c in same], "links", "component")
     on = F.col("ok")
     for c in same:
         on &= F.col(c) == F.col(f"_{c}")
-    df = members.join(about, on, "left")
-    df = df.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return df.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    df = members.join(staged(about, "vec-about"), on, "left")
+    # A component without any id has none; a vector without a class is its own.
+    own = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    df = df.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
+    return df.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

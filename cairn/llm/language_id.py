@@ -3,12 +3,14 @@
 A text is the mean of its hashed letter n-grams (1 to 3 letters, lower case, runs of other characters as one space), so a
 text of any length is scored whole with one weight per n-gram and classifier. One-versus-rest linear SVMs pick the
 family; in a family of several languages one-versus-one SVMs vote, with the summed margins and then the code deciding
-ties. The SVMs are fitted on a bounded sample of labelled documents: of each language the per_lang documents with the
-lowest hashes of their ids. Languages beyond the family table make families of their own.
+ties. The SVMs are fitted on a bounded sample of labelled documents of every language there is: of each the documents with
+the lowest hashes of id and text, per_lang of them, or fewer (never under least_per_lang) where max_rows over all languages
+would be passed. Languages beyond the family table make families of their own.
 
 Cases: a text that is null or has no letter is "und" with score 0; without labelled documents everything is "und"; with
-one language only, that one is predicted; repeated rows get one answer; an empty table gives an empty one; only doc_id,
-text and lang are read, lang of training rows alone.
+one language only, that one is predicted; repeated rows get one answer and count once as examples; null ids are ids like
+others; texts of any length are read whole; an empty table gives an empty one; only doc_id, text and lang are read, lang
+of training rows alone.
 """
 
 from __future__ import annotations
@@ -43,10 +45,14 @@ SLICE_CHARS = 1_000_000
 @dataclass(frozen=True)
 class LangParams:
     per_lang: int = 300
-    max_langs: int = 100
+    max_rows: int = 6000
+    least_per_lang: int = 8
     C: float = 10.0
     rounds: int = 60
 
+    def rows_of(self, n_langs: int) -> int:
+        return max(min(self.per_lang, self.max_rows // max(n_langs, 1)), self.least_per_lang)
+
 
 def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
@@ -165,15 +171,17 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def train(docs: DataFrame, params: LangParams = LangParams()) -> Model:
-    """Fits on rows of docs with a lang; at most per_lang documents of each of the max_langs most frequent languages."""
-    known = docs.filter(F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect()
+    """Fits on rows of docs with a lang, params.rows_of(languages) documents of each language at most."""
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
+    known = docs.filter(F.col("lang").isNotNull()).select("text", "lang", draw.alias("_draw"))
+    # Repeated rows have one draw, so distinct draws are what a share is taken of (within 2%, which the margin covers).
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("_draw", 0.02).alias("n")).collect()
     if not counts:
         return Model(np.zeros((0, WIDTH)), [], params)
-    # Hash order within a language: the share below this threshold holds per_lang documents, with a margin for chance.
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (params.per_lang + 6 * params.per_lang**0.5) / r["count"])))])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    chosen = known.select("doc_id", "text", "lang", draw.alias("_draw")).filter(F.col("_draw") < share[F.col("lang")])
+    wanted = params.rows_of(len(counts))
+    # Hash order within a language: the share below this threshold holds the wanted documents, with a margin for chance.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (wanted + 6 * wanted**0.5) / max(r["n"] * 0.94, 1))))])
+    chosen = known.filter(F.col("_draw") < share[F.col("lang")]).dropDuplicates(["lang", "_draw"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,12 +195,13 @@ def train(docs: DataFrame, params: LangParams = LangParams()) -> Model:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_draw"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "draw", "ids", "n"])
 
+    # At most the wanted rows and the margin come to the driver, as counts of features.
     rows = chosen.mapInArrow(features, "lang string, draw double, ids binary, n binary").filter("ids is not null").collect()
     rows.sort(key=lambda r: (r.lang, r.draw, r.ids))
     x, langs, taken = [], [], {}
     for r in rows:
         taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= params.per_lang:
+        if taken[r.lang] <= wanted:
             v = np.zeros(WIDTH, np.float32)
             n = np.frombuffer(r.n, np.int32)
             v[np.frombuffer(r.ids, np.int16)] = n / n.sum()

@@ -1,14 +1,18 @@
 """Secret scan: fixed patterns, and a grammar inferred from what they find.
 
 The patterns of PATTERNS give the base spans. Their values are labelled credentials: of each kind a bounded sample of
-distinct values (lowest hashes first) is laid out as a prefix tree over character classes, whose states are merged where
-the Hoeffding test finds their futures compatible (state merging after Carrasco and Oncina). Each resulting probabilistic
-automaton gives a token's format likelihood; a token of the corpus that no base span touches becomes a span of kind
-"grammar" where some automaton finds it as likely per character as all but the least likely labelled credentials.
+distinct values (lowest hashes first) is halved: one half is laid out as a prefix tree over character classes, whose
+states are merged where the Hoeffding test finds their futures compatible (state merging after Carrasco and Oncina); the
+other half sets the likelihood that is asked for. Every token of the corpus that no base span touches, from the shortest
+labelled length on, is a candidate: it becomes a span of kind "grammar" where some automaton finds it about as likely per
+character as all but the least likely labelled credentials.
+
+The table is read twice, for the sample and for the spans; between the two only the sample travels, and no
+credential is written to the shared folder.
 
 Cases: a null or empty text has no spans and the digest of the empty string; without labelled credentials of a kind that
-kind has no automaton; rows are judged one by one, so repeated ones agree; an empty table gives an empty one; only doc_id
-and text are read of the input.
+kind has no automaton; rows are judged one by one, so repeated ones agree; texts of any length are read whole; an empty
+table gives an empty one; only doc_id and text are read of the input.
 """
 
 from __future__ import annotations
@@ -19,11 +23,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
 KINDS = ("assign", "access", "hex")
 #: kind, pattern, group whose length counts, its least length (fixed values).
 PATTERNS = (
@@ -31,13 +34,14 @@ PATTERNS = (
     ("access", re.compile(r"AKIA[A-Z0-9]{16,}"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-SCAN = "doc_id {id}, n_assign long, n_access long, n_hex long, base array<struct<kind:int,start:int,end:int,value:string>>, tokens array<struct<start:int,end:int,value:string>>"
+TOKEN = "[A-Za-z0-9+/_.=-]{%d,}"
+#: Tokens whose verdict a worker keeps, and tasks that thin out the samples of all others.
+KEPT_TOKENS, THINNERS = 500_000, 64
 
 
 @dataclass(frozen=True)
 class SecretParams:
-    #: Labelled credentials of each kind that the automata are inferred from.
+    #: Labelled credentials of each kind: every second one, by hash, makes the automaton, the others its limit.
     sample: int = 400
     #: Significance of the Hoeffding test, and the share of labelled credentials below the likelihood that is asked for.
     alpha: float = 0.05
@@ -133,78 +137,116 @@ class Automaton:
         return total / (len(value) + 1)
 
 
-def infer(labelled: dict[str, list[str]], params: SecretParams = SecretParams()) -> list[tuple[Automaton, float]]:
-    """An automaton and the likelihood asked for, of each kind with two values or more. Half of the values set the limit."""
-    models = []
-    for kind in KINDS:
-        values = labelled.get(kind, [])
-        if len(values) < 2:
-            continue
-        model = Automaton(values[::2], params.alpha)
-        scores = sorted(model.likelihood(v) for v in values[1::2])
-        models.append((model, scores[int(params.tail * len(scores))]))
-    return models
+class Grammar:
+    """The automata of all kinds, and how likely a token must be."""
+
+    def __init__(self, labelled: dict[str, list[str]], params: SecretParams = SecretParams()):
+        self.models: list[tuple[Automaton, float]] = []
+        self.shortest = min((len(v) for values in labelled.values() for v in values), default=0)
+        self.known: dict[str, bool] = {}
+        for kind in KINDS:
+            values = labelled.get(kind, [])
+            if len(values) < 2:
+                continue
+            model = Automaton(values[::2], params.alpha)
+            scores = sorted(model.likelihood(v) for v in values[1::2])
+            # At least one is left out, as a single odd value must not set the limit; and tokens of other lengths than the
+            # labelled ones may stand as far below the tail as the tail does below the median.
+            tail, median = scores[min(math.ceil(params.tail * len(scores)), len(scores) - 1)], scores[len(scores) // 2]
+            self.models.append((model, tail - (median - tail)))
+        self.token = re.compile(TOKEN % max(self.shortest, 1))
+
+    def accepts(self, token: str) -> bool:
+        if token not in self.known:
+            if len(self.known) >= KEPT_TOKENS:
+                self.known.clear()
+            self.known[token] = any(m.likelihood(token) >= least for m, least in self.models)
+        return self.known[token]
+
+    def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+        """Accepted tokens that touch no base span."""
+        if not self.models:
+            return []
+        likely = {t for t in set(self.token.findall(text)) if self.accepts(t)}
+        if not likely:
+            return []
+        found = (m.span() for m in self.token.finditer(text) if m[0] in likely)
+        return [(a, b) for a, b in found if not any(x[1] < b and a < x[2] for x in base)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(kind number, start, end, value) by start, then kind."""
     found = []
-    for i, (_, pattern, group, least) in enumerate(PATTERNS):
+    for i, (kind, pattern, group, least) in enumerate(PATTERNS):
+        if kind == "assign" and ":" not in text and "=" not in text:
+            continue
         found += [(i, m.start(), m.end(), m[group]) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
-def free_tokens(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens with letters and digits that touch no base span."""
-    found = []
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        v = m[0]
-        if not any(c.isdigit() for c in v) or not any(c.isalpha() for c in v):
-            continue
-        if not any(x[1] < b and a < x[2] for x in base):
-            found.append((a, b, v))
-    return found
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    token_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    for batch in batches:
-        counts, spans, tokens = ([], [], []), [], []
-        for text in batch.column("text").to_pylist():
-            base = base_spans(text) if text else []
-            for i, c in enumerate(counts):
-                c.append(sum(x[0] == i for x in base))
-            spans.append([dict(zip(("kind", "start", "end", "value"), x)) for x in base])
-            tokens.append([dict(zip(("start", "end", "value"), x)) for x in free_tokens(text, base)] if text else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(spans, base_type), pa.array(tokens, token_type)],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base", "tokens"],
-        )
+SAMPLE = "part int, kind int, rank long, value string"
+
+
+def _rank(value: str) -> int:
+    """Order of values: a hash as a signed number, as Spark's xxhash64 gives it."""
+    h = xxhash.xxh64_intdigest(value.encode(), seed=42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _lowest(sample: int):
+    """Of each kind the distinct values with the lowest hashes, from texts or from rows of SAMPLE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[set[tuple[int, str]]] = [set() for _ in KINDS]
+
+        def take(kind: int, rank: int, value: str) -> None:
+            kept[kind].add((rank, value))
+            if len(kept[kind]) >= 4 * sample:
+                kept[kind] = set(sorted(kept[kind])[:sample])
+
+        for batch in batches:
+            if "text" in batch.schema.names:
+                for text in batch.column("text").to_pylist():
+                    for kind, _, _, value in base_spans(text) if text else ():
+                        take(kind, _rank(value), value)
+            else:
+                for x in batch.to_pylist():
+                    take(x["kind"], x["rank"], x["value"])
+        rows = [(rank % THINNERS, kind, rank, value) for kind, own in enumerate(kept) for rank, value in sorted(own)[:sample]]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["part", "kind", "rank", "value"])
+
+    return run
+
+
+def labelled_values(docs: DataFrame, params: SecretParams = SecretParams()) -> dict[str, list[str]]:
+    """Of each kind the `sample` distinct values with the lowest hashes: a task's, then those of all tasks."""
+    rows = docs.select("text").mapInArrow(_lowest(params.sample), SAMPLE)
+    rows = rows.repartition(THINNERS, "part").mapInArrow(_lowest(params.sample), SAMPLE).collect()  # THINNERS samples at most
+    return {kind: [r.value for r in sorted((r for r in rows if r.kind == i), key=lambda r: (r.rank, r.value))[: params.sample]] for i, kind in enumerate(KINDS)}
 
 
 def scan(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
     """doc_id, the counts, base (string of base spans), spans (string of all spans) and n_grammar."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = staged(docs.select("doc_id", "text").mapInArrow(_scan, SCAN.format(id=id_type)), "secret-scan")
-    values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    labelled = {}
-    for i, kind in enumerate(KINDS):
-        rows = values.filter(F.col("kind") == i).orderBy(F.xxhash64("value"), "value").limit(params.sample).collect()
-        labelled[kind] = [r.value for r in rows]
-    models = docs.sparkSession.sparkContext.broadcast(infer(labelled, params))  # its size is bounded by the sample
+    grammar = docs.sparkSession.sparkContext.broadcast(Grammar(labelled_values(docs, params), params))  # its size is bounded by the sample
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base_out, all_out, n = [], [], []
-            for base, tokens in zip(batch.column("base").to_pylist(), batch.column("tokens").to_pylist()):
-                fixed = [(b["start"], b["kind"], b["end"], KINDS[b["kind"]]) for b in base]
-                more = [(t["start"], len(KINDS), t["end"], "grammar") for t in tokens if any(m.likelihood(t["value"]) >= least for m, least in models.value)]
-                base_out.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in fixed))
-                all_out.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(fixed + more)))
+            counts, base_out, all_out, n = ([], [], []), [], [], []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text) if text else []
+                more = grammar.value.spans(text, base) if text else []
+                for i, c in enumerate(counts):
+                    c.append(sum(x[0] == i for x in base))
+                fixed = [(a, k, b) for k, a, b, _ in base]
+                names = (*KINDS, "grammar")
+                for out, found in ((base_out, fixed), (all_out, sorted([*fixed, *((a, len(KINDS), b) for a, b in more)]))):
+                    out.append(",".join(f"{names[k]}:{a}:{b}" for a, k, b in found))
                 n.append(len(more))
-            keep = [batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(base_out), pa.array(all_out), pa.array(n, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "n_grammar"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_out, pa.string()), pa.array(all_out, pa.string()), pa.array(n, pa.int64())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "n_grammar"],
+            )
 
-    return found.mapInArrow(judge, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base string, spans string, n_grammar long")
+    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base string, spans string, n_grammar long")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,22 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[999].lang_pred == got[998].lang_pred == "und"
 
 
+def test_language_with_null_ids_many_languages_and_long_texts(spark):
+    """All rows without an id are no reason to collect them all, every language is learned, a long text is read whole."""
+    rng = random.Random(2)
+    langs = [f"x{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(15)]
+    alphabet = {c: [chr(0x3400 + 40 * k + i) for i in range(30)] for k, c in enumerate(langs)}
+    rows = [(None, "".join(rng.choices(alphabet[c], k=12)), c) for c in langs for _ in range(9)]
+    rows += [(None, rows[0][1], rows[0][2])] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    params = language_id.LangParams(max_rows=100, least_per_lang=3, rounds=5)
+    model = language_id.train(df, params)
+    assert model.langs == sorted(langs)
+    long = "".join(rng.choices(alphabet[langs[0]], k=100)) + " " + "".join(rng.choices(alphabet[langs[7]], k=3_000_000))
+    ask = spark.createDataFrame([(1, long, None), (2, None, None)], "doc_id long, text string, score string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(ask, model).collect()} == {1: langs[7], 2: "und"}
+
+
 @pytest.mark.parametrize("hot", [100_000, 2])
 def test_suffix(docs, rows, hot):
     length, starts = 200, collections.Counter()
@@ -132,6 +149,81 @@ def test_secrets(spark):
     assert sum(got[i].n_grammar for i in range(40, 45)) >= 4 and got[47].n_grammar == 0
 
 
+def plain_base(text):
+    """Base spans by walking over the text character by character."""
+    found, key = [], ("password", "passwd", "secret", "token", "api_key", "apikey")
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        word = next((k for k in key if text[at : at + len(k)].isascii() and text[at : at + len(k)].lower() == k), None)
+        end = None
+        if word:
+            i = at + len(word)
+            i += text[i : i + 1] in ('"', "'") and text[i : i + 1] != ""
+            i = run(i, " ")
+            if text[i : i + 1] in (":", "=") and i < len(text):
+                i = run(i + 1, " ")
+                i += text[i : i + 1] in ('"', "'") and text[i : i + 1] != ""
+                end = run(i, body)
+                if end - i >= 6:
+                    found.append((at, 0, end))
+                end = end if end > i else None
+        at = end or at + 1
+    for kind, head, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), chars) if text.startswith(head, at) else at
+            if end - at >= least:
+                found.append((at, kind, end))
+            at = max(end, at + 1) if end > at + len(head) else at + 1
+    return sorted(found)
+
+
+def test_secrets_against_a_plain_version(spark):
+    """Base spans by hand, and the grammar's spans by scoring every token of every text."""
+    rng = random.Random(8)
+    value = lambda n, s="0123456789abcdef": "".join(rng.choices(s, k=n))
+    label = ["token", "PASSWORD", "api_key", "ApiKey", "secret", "passwd"]
+    texts = [None, "", "token=", "x" * 50_000, "deadbeef" * 4000, "token: tokens=abcdefg secret:'" + value(9)]
+    for i in range(120):
+        parts = [prose(rng, 6), f"{rng.choice(label)}{rng.choice(['', chr(34), ' '])}{rng.choice('=:')} {rng.choice(['', chr(39)])}{value(18)}", prose(rng, 4)]
+        parts += [rng.choice([value(18), value(40), "AKIA" + value(16, "ABCDEFGHIJ0123456789"), "internationalisation", "see/path/to/some.file", value(18, "ghijklmnop")])]
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame([*enumerate(texts), (5, texts[6])], "doc_id long, text string").repartition(3)
+    params = secrets.SecretParams(sample=60)
+    grammar = secrets.Grammar(secrets.labelled_values(df, params), params)
+    assert grammar.shortest == 9 and len(grammar.models) == 3
+    body = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    want = collections.Counter()
+    for i, t in [*enumerate(texts), (5, texts[6])]:
+        t = t or ""
+        base, at, more = plain_base(t), 0, []
+        while at < len(t):
+            end = at
+            while end < len(t) and t[end] in body:
+                end += 1
+            if end - at >= 9 and not any(a < end and at < b for a, _, b in base) and any(m.likelihood(t[at:end]) >= x for m, x in grammar.models):
+                more.append((at, 3, end))
+            at = max(end, at + 1)
+        name = ("assign", "access", "hex", "grammar")
+        join = lambda x: ",".join(f"{name[k]}:{a}:{b}" for a, k, b in x)
+        want[i, join(base), join(sorted(base + more)), len(more)] += 1
+    got = secrets.scan(df, params).collect()
+    assert collections.Counter((r.doc_id, r.base, r.spans, r.n_grammar) for r in got) == want
+    assert sum(r.n_grammar for r in got) > 10
+    # Formats of letters only and of few characters are candidates, too.
+    short = [f"secret = {value(8, 'BCDFGH')} ." for _ in range(60)] + [f"seen {value(8, 'BCDFGH')} here", "seen together here"]
+    df = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    assert [r.n_grammar for r in secrets.scan(df).orderBy("doc_id").collect()][-2:] == [1, 0]
+
+
 def test_line_dedup(docs, rows):
     want, first = collections.Counter(), {}
     for i, t in sorted({(-1 if i is None else i, t) for i, t, *_ in rows if t is not None}):
@@ -181,7 +273,7 @@ def test_chat(spark):
 
 
 def test_mixing(docs, rows):
-    params = mixing.MixParams(chunk_rows=4, fan_in=3)
+    params = mixing.MixParams(chunk_rows=4, fan_in=3, twin_rows=2)
     got = mixing.mix(docs, params).collect()
     size = collections.Counter()
     for i, t, _, s, _ in rows:
@@ -209,29 +301,99 @@ def test_mixing(docs, rows):
     assert copies == collections.Counter({k: n for k, n in collections.Counter(x for r in got for x in [r.doc_id] * r.copies).items()})
 
 
+def test_duels_keep_expectations():
+    """Over many draws a document is taken as often as its fraction says, the last one left included."""
+    rng = np.random.default_rng(6)
+    p = np.array([0.3, 0.5, 0.7, 0.05, 0.45])
+    total = np.zeros(len(p))
+    n = 4000
+    fight = mixing._duels(True)
+    for _ in range(n):
+        group = pd.DataFrame({"bucket": 0, "size": 1, "digest": range(len(p)), "p": p, "u": rng.random(len(p)), "z": rng.random(len(p))})
+        out = fight(group).set_index("digest")["p"]
+        assert set(out) <= {0.0, 1.0} and out.sum() in (2.0, 3.0) or out.sum() in (1.0, 2.0)
+        total += out.loc[range(len(p))].to_numpy()
+    assert (np.abs(total / n - p) < 4 * np.sqrt(p * (1 - p) / n)).all()
+
+
+def test_mix_keeps_expectations(spark):
+    """One document for each of many sources: whatever the fraction, the mean of the copies is the mean of the fractions."""
+    rows = [(i, "w " * (3 + i % 5), f"s{i:04d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    for part in range(3):
+        mean = np.array([r.target / r["size"] for r in got if int(r.source[1:]) % 3 == part])
+        share = mean - np.floor(mean + 1e-9)
+        seen = sum(r.copies for r in got if int(r.source[1:]) % 3 == part)
+        assert abs(seen - mean.sum()) < 4 * np.sqrt((share * (1 - share)).sum()) + 1e-6
+
+
+def test_mixed_with_repeated_rows(spark):
+    rows = [(1, "a b c", "x", 5)] * 7 + [(None, "d e", "x", 5), (None, "f g", "x", 5), (2, "h", "y", 5), (2, "h i j k", None, 5), (3, None, "y", 5), (4, "", "y", 5)]
+    names = "doc_id long, text string, source string, rows int"
+    clash = [F.lit(i).alias(c) for i, c in enumerate(("total", "size", "copies", "key", "unit", "digest", "portion", "n", "_i", "in0"))]
+    docs = spark.createDataFrame(rows, names).select("*", *clash).repartition(3)
+    params = mixing.MixParams(twin_rows=2)
+    out = mixing.mixed(docs, params)
+    assert out.columns == docs.columns
+    want = collections.Counter()
+    for r in mixing.mix(docs, params).collect():
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    got = out.collect()
+    assert collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in got) == +want and all(r.rows == 5 and r.digest == 5 for r in got)
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def plain_links(fine):
+    """Links and components (by place) of (id, vector, label) rows."""
+    links, comp = [0] * len(fine), list(range(len(fine)))
+    for k, (_, a, c) in enumerate(fine):
+        for j, (_, b, e) in enumerate(fine[:k]):
+            if c == e and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                links[k] += 1
+                links[j] += 1
+                comp = [comp[j] if x == comp[k] else x for x in comp]
+    return links, comp
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16))
     x[100:160] = x[:60] + 0.2 * rng.standard_normal((60, 16))
     x[200:220] = x[5]
     rows = [(i, [float(c) for c in v.astype(np.float32)], i % 2 if i < 200 else 0) for i, v in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, rows[5][1], None), (904, [1.0, None], 0), (905, [1.0, 0.0, 0.0], 0), (906, [2.0, 0.0, 0.0], 0), (907, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, rows[5][1], None), (904, [1.0, None], 0), (907, [], 0), (None, None, 0)]
+    rows += [(905, [1.0, 0.0, 0.0], 0), (906, [2.0, 0.0, 0.0], 0), (908, [1e38, 1e30, 0.0], 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("cid", "links", "dim", "home", "component")}).repartition(3)
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, embedding_dedup.IndexParams(cell_rows=8, home_rows=16, query_rows=16)).collect()}
-    fine = [(i, np.array(v, np.float32).astype(float), c) for i, v, c in rows if i < 900 or i in (905, 906)]
-    links, comp = collections.Counter(), {i: i for i, *_ in rows}
-    found = 0
-    for k, (i, a, c) in enumerate(fine):
-        for j, b, e in fine[:k]:
-            if c == e and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
-                links[i] += 1
-                links[j] += 1
-                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
-                comp = {n: new if m == old else m for n, m in comp.items()}
-    assert all(got[i].n_links <= links[i] for i in got)
-    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(links.values())
-    same = sum(got[i].component_id == comp[i] for i in got)
-    assert same >= 0.97 * len(got) and all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, 907))
+    fine = [(i, np.array(v, np.float32).astype(float), c) for i, v, c in rows]
+    links, comp = plain_links(fine)
+    least = {}
+    for (i, *_), c in zip(fine, comp):
+        least[c] = min(least.get(c, i), i)
+    assert all(got[i].n_links <= n for (i, *_), n in zip(fine, links)) and got[905].n_links == 2
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(links)
+    assert sum(got[i].component_id == least[c] for (i, *_), c in zip(fine, comp)) >= 0.97 * len(fine)
+    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, *_ in odd)
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_with_null_and_repeated_ids(spark):
+    """Links belong to vectors and not to ids: two near vectors of one id are linked, and null ids count as the largest."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 8))
+    near = base + 0.05 * rng.standard_normal(base.shape)
+    ids = [None if i % 4 == 0 else 7 if i % 4 == 1 else i for i in range(40)]
+    rows = [(i, [float(c) for c in v], 1) for i, v in [*zip(ids, base), *zip(ids, near), (None, base[3]), (7, base[3]), (None, base[0])]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    fine = [(i, np.array(v), c) for i, v, c in rows]
+    links, comp = plain_links(fine)
+    least = {}
+    for (i, *_), c in zip(fine, comp):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = collections.Counter((i, n, least[c], i == least[c]) for (i, *_), n, c in zip(fine, links, comp))
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
 
 
 @pytest.mark.parametrize("block", [512, 3])
