@@ -9,9 +9,13 @@ numbers are a hash of the row key, the chunk's place in the text and the step, s
 batch, order or rerun. A character that is no piece falls back to its bytes, and so does a literal U+2581, which stands
 for a space in pieces; joined pieces therefore give back every text byte for byte.
 
-Cases: a null text gives null pieces, an empty one none; rows with equal key and text get equal pieces, a null key counts
-as 0; a chunk of more than MAX_CHUNK characters without space or newline is cut there and stays lossless; an empty table
-gives an empty one; input columns that share a name with an output are replaced.
+Chunks of more than LONG characters are walked through in blocks: forward sums are carried from block to block and
+kept for every character, arcs are worked out again block by block on the way back, so memory stays bounded by the text
+and no chunk is cut.
+
+Cases: a null text gives null pieces, an empty one none; rows with equal key and text get equal pieces; a null key counts
+as 0, a key that is no integer by its hash; an empty table gives an empty one; input columns that share a name with an
+output are replaced, the others stay as they are.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(r" *[^\W\d_]+| *[^\w\s]+| +|_+|\d|\s")
-MAX_CHUNK = 4096
+#: Characters of a chunk from which on its lattice is not kept, and those of a block of it.
+LONG, BLOCK = 4096, 1 << 16
 #: Lattice arcs that a Python worker keeps, and characters that it works on at once.
 KEPT_ARCS = 8_000_000
 SLICE_CHARS = 2_000_000
@@ -78,6 +84,7 @@ class Vocabulary:
         self.edge = np.array(sorted(edges), np.int64)
         self.to = np.array([edges[k] for k in sorted(edges)], np.int64)
         self.ends = np.array(ends, np.int64)
+        self.longest = max(len(b.decode(errors="ignore")) for b in self.raw)
 
     def bytes_of(self, code: int) -> np.ndarray:
         return self.byte[list(chr(code).encode())]
@@ -122,10 +129,7 @@ class Sampler:
     def _learn(self, chunks: list[str]) -> None:
         """Adds the lattices of new chunks: a node for each character, whose incoming arcs stand together and hold the
         running sum of their probabilities; -1 stands before the first node."""
-        plain = "".join(chunks)
-        real = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.int64)
-        codes = np.where(real == ord(SPACE), ord(STAND_IN), real)
-        codes[real == ord(" ")] = ord(SPACE)
+        codes, real = _codes("".join(chunks))
         size = np.array([len(c) for c in chunks], np.int64)
         stop = np.cumsum(size)
         first = np.repeat(stop - size, size)
@@ -163,15 +167,70 @@ class Sampler:
         self.before = np.concatenate([self.before, np.where(opens[order], -1, self.nodes + start[order] - 1)])
         self.nodes += len(codes)
 
+    def _block_arcs(self, codes: np.ndarray, real: np.ndarray, lo: int, hi: int) -> tuple[list, list, list, np.ndarray]:
+        """Start, piece and weight of the arcs that end in (lo, hi], by end, and the first arc of each end."""
+        v = self.v
+        a, b = max(lo - v.longest, 0), min(hi + v.longest, len(codes))
+        start, end, piece, weight = self._arcs(codes[a:b], real[a:b], np.full(b - a, b - a))
+        keep = (end + a > lo) & (end + a <= hi)
+        start, end, piece, weight = start[keep] + a, end[keep] + a, piece[keep], weight[keep]
+        order = np.argsort(end, kind="stable")
+        start, end = start[order], end[order]
+        return start.tolist(), piece[order].tolist(), weight[order].tolist(), np.searchsorted(end, np.arange(lo + 1, hi + 2)).tolist()
+
+    def _walk(self, chunk: str, base: np.uint64) -> np.ndarray:
+        """Pieces of one long chunk: forward sums of every place, then draws from the end on."""
+        codes, real = _codes(chunk)
+        alpha = np.zeros(len(codes) + 1)
+        blocks = range(0, len(codes), BLOCK)
+        for lo in blocks:
+            hi = min(lo + BLOCK, len(codes))
+            start, _, weight, first = self._block_arcs(codes, real, lo, hi)
+            from_ = max(lo - self.v.longest, 0)
+            sums = alpha[from_ : hi + 1].tolist()
+            for e in range(lo + 1, hi + 1):
+                x = [weight[i] + sums[start[i] - from_] for i in range(first[e - lo - 1], first[e - lo])]
+                top = max(x)
+                sums[e - from_] = top + math.log(sum(math.exp(y - top) for y in x))
+            alpha[lo : hi + 1] = sums[lo - from_ :]
+        out, place, step = [], len(codes), 0
+        with np.errstate(over="ignore"):
+            for lo in reversed(blocks):
+                hi = min(lo + BLOCK, len(codes))
+                start, piece, weight, first = self._block_arcs(codes, real, lo, hi)
+                u = np.empty(0)
+                at = 0
+                while place > lo:
+                    if at == len(u):
+                        steps = np.arange(step, step + 4096, dtype=np.uint64)
+                        u, at = (_mix(base + steps * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53, 0
+                    arcs = range(first[place - lo - 1], first[place - lo])
+                    x = [weight[i] + alpha[start[i]] for i in arcs]
+                    top = max(x)
+                    e = [math.exp(y - top) for y in x]
+                    left, pick = u[at] * sum(e), arcs[-1]
+                    for i, y in zip(arcs, e):
+                        if left < y:
+                            pick = i
+                            break
+                        left -= y
+                    out.append(piece[pick])
+                    place, step, at = start[pick], step + 1, at + 1
+        return np.array(out[::-1], np.int32)
+
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts in a row, and how many each text has."""
         if len(self.share) > KEPT_ARCS:
             self.forget()
         parts = [CHUNK.findall(t) for t in texts]
         new = set().union(*parts) - self.known.keys() if parts else set()
-        if any(len(c) > MAX_CHUNK for c in new):
-            parts = [[c[i : i + MAX_CHUNK] for c in p for i in range(0, len(c), MAX_CHUNK)] for p in parts]
-            new = set().union(*parts) - self.known.keys()
+        long = [(t, k) for t, p in enumerate(parts) for k, c in enumerate(p) if len(c) > LONG] if any(len(c) > LONG for c in new) else []
+        new = {c for c in new if len(c) <= LONG}
+        # An empty chunk holds a long one's place; its pieces are put in afterwards.
+        own = {(t, k): self._walk(parts[t][k], _mix(keys)[t] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for t, k in long}
+        for t, k in long:
+            parts[t][k] = " "
+            new |= {" "} - self.known.keys()
         if new:
             self._learn(sorted(new))
         known = self.known
@@ -194,10 +253,17 @@ class Sampler:
             node = self.before[arc]
             on = node >= 0
             live, node = live[on], node[on]
+        if long:
+            first = np.cumsum(sizes) - sizes
+            for t, k in long:
+                counts[first[t] + k] = len(own[t, k])
         ends = np.cumsum(counts)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for t, (who, pieces) in enumerate(steps):
             out[ends[who] - 1 - t] = pieces
+        for t, k in long:
+            at_ = first[t] + k
+            out[ends[at_] - counts[at_] : ends[at_]] = own[t, k]
         totals = np.bincount(text_of, counts, len(texts)).astype(np.int64)
         beyond = np.flatnonzero(out >= self.v.size)
         if not len(beyond):
@@ -214,6 +280,14 @@ class Sampler:
         return spread, totals + np.bincount(text, extra, len(texts)).astype(np.int64)
 
 
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as the pieces have them (U+2581 for a space, a stand-in for a literal U+2581), and as they are."""
+    real = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes = np.where(real == ord(SPACE), ord(STAND_IN), real)
+    codes[real == ord(" ")] = ord(SPACE)
+    return codes, real
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (fixed constants of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -233,7 +307,10 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _row_keys(column: pa.Array, seed: int) -> np.ndarray:
-    keys = np.array([0 if k is None else k for k in column.to_pylist()], np.int64).view(np.uint64)
+    if pa.types.is_integer(column.type):
+        keys = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    else:
+        keys = np.array([0 if k is None else xxhash.xxh64_intdigest(str(k).encode()) for k in column.to_pylist()], np.uint64)
     return _mix(keys + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
 
 

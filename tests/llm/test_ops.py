@@ -440,3 +440,27 @@ def test_pieces_are_drawn_by_weight():
     seen = collections.Counter(tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1]))
     for w, q in zip(every, p / p.sum()):
         assert abs(seen[tuple(w)] / n - q) < 4 * np.sqrt(q * (1 - q) / n) + 1e-4
+
+
+def test_long_chunks_are_not_cut(monkeypatch):
+    """A long chunk gets the pieces that it would get from a kept lattice, whatever the block."""
+    rng = random.Random(12)
+    v = pieces.Vocabulary(pieces.MODEL, 1.5)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (3000, 900, 5)] + ["日本語é" * 300, "#" * 2000 + " end", "", "two words", " " * 1500]
+    texts += [f"a {texts[0]} b {texts[1]} 7"]
+    keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(77)
+    want = pieces.Sampler(v).sample(texts, keys)
+    for block in (50, 1 << 16):
+        monkeypatch.setattr(pieces, "LONG", 300)
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        got = pieces.Sampler(v).sample(texts, keys)
+        assert (got[1] == want[1]).all() and (got[0] == want[0]).all()
+    monkeypatch.undo()
+    ids, counts = pieces.Sampler(v).sample(["abcdefghij" * 30_000], np.zeros(1, np.uint64))
+    assert b"".join(v.raw[i] for i in ids) == b"abcdefghij" * 30_000 and counts.tolist() == [len(ids)]
+
+
+def test_pieces_with_other_keys(spark):
+    df = spark.createDataFrame([("a", "some words here"), (None, "some words here"), ("b", None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in pieces.decode(pieces.encode(df)).collect()}
+    assert all(r.lossless and r.decoded == r.text for r in got.values()) and got["b"].pieces is None
