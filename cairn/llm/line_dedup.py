@@ -6,7 +6,8 @@ occurrences; the lines they cover, merged, are removed. A line outside later occ
 than three lines is never changed.
 
 Cases: a null text stays null, an empty one empty; rows equal in doc_id and text are one document read twice and get one
-result; a null doc_id sorts first; an empty table gives an empty one; input columns with clashing names are replaced.
+result; a null doc_id sorts first; an empty table gives an empty one; the other columns of the input stay as they are,
+whatever their names, but n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sealed, staged
 
 WINDOW = 3
 
@@ -53,11 +54,13 @@ def removed_places(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with later occurrences taken out of text, and n_lines and n_removed; n_chars, if there, follows the text."""
-    removed = removed_places(docs).withColumnsRenamed({"doc_id": "_doc_id", "_digest": "_of"})
-    joined = docs.join(removed, docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_of")), "left")
-    lines = F.split("text", "\n")
+    df, (doc_id, text) = sealed(docs, "doc_id", "text")
+    removed = removed_places(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    removed = removed.withColumnsRenamed({"doc_id": "_doc_id", "_digest": "_of"})
+    df = df.join(removed, F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_of")), "left")
+    lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
-    df = joined.withColumns(
+    df = df.withColumns(
         {
             "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
             "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"),
@@ -65,10 +68,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             "_left": F.when(F.col("_covered").isNotNull(), left),
         }
     )
-    df = df.withColumn("text", F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")))
+    out = F.when(F.col("_left").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+    df = df.withColumn(text, out)
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+        df = df.withColumn(f"in{docs.columns.index('n_chars')}", F.length(text).cast(docs.schema["n_chars"].dataType))
+    kept = [F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
+    return df.select(*kept, "n_lines", "n_removed")
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, has_bit, local_roots, staged, whole_groups
+from .common import bit_table, has_bit, local_roots, sealed, staged, whole_groups
 from .components import components
 
 #: Words whose hashes a Python worker keeps.
@@ -356,19 +356,21 @@ def jaccard_classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """One row of docs for each component: of its smallest doc_id (nulls last), then of the smallest digest of a text.
-    Rows without a word link with nothing, so all of them stay."""
-    rows = _components(docs, params)
+    """One row of docs for each component: of its smallest doc_id (nulls last), then of the smallest digest of a text; of
+    wholly equal ids and texts any one. Rows without a word link with nothing, so all of them stay. All columns stay as
+    they are, whatever their names."""
+    df, (doc_id, text) = sealed(docs, "doc_id", "text")
+    rows = _components(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), params)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     keep = rows.filter("n > 0").groupBy("root").agg(first).select("first.doc_id", "first.digest")
     keep = keep.unionByName(rows.filter("n = 0").select("doc_id", "digest").distinct())
 
-    def key(digest: Column) -> Column:
-        none = F.col("doc_id").isNull().cast("string")
-        return F.concat_ws(":", none, digest.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    def key(id_: Column, digest: Column) -> Column:
+        return F.concat_ws(":", id_.isNull().cast("string"), digest.cast("string"), F.coalesce(id_.cast("string"), F.lit("")))
 
     # One key for the join and for the repeats, so that texts are shuffled once.
-    keep = keep.select(key(F.col("digest")).alias("_k"))
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    df = docs.withColumns({"_key": key(F.xxhash64("text")), "_own": F.when(worded, -1).otherwise(F.monotonically_increasing_id())})
-    return df.join(keep, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key", "_own"]).drop("_key", "_own")
+    keep = keep.select(key(F.col("doc_id"), F.col("digest")).alias("_k"))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    df = df.withColumns({"_key": key(F.col(doc_id), F.xxhash64(text)), "_own": F.when(worded, -1).otherwise(F.monotonically_increasing_id())})
+    df = df.join(keep, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key", "_own"])
+    return df.drop("_key", "_own").toDF(*docs.columns)

@@ -2,10 +2,12 @@
 
 Each rule votes +1 (keep), -1 (reject) or 0 (abstain). Documents are counted by vote pattern (3 ** rules patterns at
 most, whatever the corpus), expectation-maximisation over that one table estimates how accurate each rule's votes are on
-good and on bad documents, and a document's posterior probability of being good replaces an all-must-pass filter.
+good and on bad documents, and a document's posterior probability of being good replaces an all-must-pass filter. Rates
+stay within stated limits (see step and QualityParams), which for rules that hardly ever err decide the rate.
 
-Cases: a null or empty text has no words and fails the base rule; identical rows get identical verdicts; an empty table
-gives an empty result; columns of the input that share a name with an output are replaced.
+Cases: a null or empty text has no words and fails the base rule; a null doc_id is an id like others; identical rows get
+identical verdicts; an empty table gives an empty result; quality() reads doc_id and text only, and rejected_go() keeps
+all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words_of
+from .common import sealed, staged, words_of
 
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Function words of common European languages (fixed values).
@@ -192,9 +194,10 @@ def judge(figures: DataFrame, params: QualityParams = QualityParams()) -> DataFr
 
 
 def rejected_go(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Verdicts depend on the text alone and are looked up by its
-    digest, so repeated doc_ids do no harm; the texts are judged in place of being shuffled."""
-    wide = [c for c in docs.columns if c != "doc_id"]
-    figures = signals(docs, params, *wide).withColumn("v", F.array(*[v.cast("int") for v in votes().values()]))
+    """The rows of docs that are kept, with all their columns. Each row is judged with its figures beside it, so repeated
+    and null doc_ids do no harm and no text is shuffled."""
+    df, (doc_id, text) = sealed(docs, "doc_id", "text")
+    df = df.withColumnsRenamed({doc_id: "doc_id", text: "text"})
+    figures = signals(df, params, *[c for c in df.columns if c != "doc_id"]).withColumn("v", F.array(*[v.cast("int") for v in votes().values()]))
     figures = staged(figures, "quality-docs")
-    return judge(figures, params).filter("kept").select(*docs.columns)
+    return judge(figures, params).filter("kept").select(*df.columns).toDF(*docs.columns)

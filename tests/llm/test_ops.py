@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import chat_format, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pieces, quality_rules, secrets, suffix_dedup
+from cairn.llm import chat_format, common, components, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pieces, quality_rules, secrets, suffix_dedup
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = " \t\n\x0b\x0c\r"
@@ -63,19 +64,48 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DOC).repartition(3)
 
 
-def test_empty_and_clashing(spark):
+def inner_names():
+    """Every column name that the sources of the operators mention."""
+    found = set()
+    for m in (chat_format, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pieces, quality_rules, secrets, suffix_dedup, common, components):
+        found |= set(re.findall(r"""["']([A-Za-z_]\w*)["']""", inspect.getsource(m)))
+    return sorted(x for x in found if x.lower() not in {c.split()[0] for c in DOC.split(", ")} | {"vec_id", "embedding", "label"})
+
+
+def test_clashing_names(spark):
+    """A table with a column of every name that the operators use inside gives the rows of one without, and keeps them."""
+    few = [(1, "one two three", "en", "s", 3), (2, None, None, None, None), (None, prose(random.Random(1), 60), "en", "s", 9), (3, "a b\nc d\ne f\na b\nc d\ne f", "en", "t", 23)]
+    plain = spark.createDataFrame(few, DOC)
+    names = list({c.lower(): c for c in inner_names()}.values())
+    assert {"_covered", "_lines", "n_words", "v", "rows", "total", "_k", "pieces"} <= set(names)
+    clash = plain.select("*", *[F.lit(-7).alias(c) for c in [*names, "in0", "in3"]])
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def rows(df, columns):
+        return collections.Counter(tuple(str(r[c]) for c in columns) for r in df.select(*columns).collect())
+
+    stages = [(quality_rules.rejected_go, ()), (line_dedup.dedup_lines, ("n_lines", "n_removed")), (ngram_join.one_of_each, ()), (mixing.mixed, ()), (pieces.encode, ("pieces", "n_pieces", "n_bytes", "lossless"))]
+    for f, new in stages:
+        got = f(clash)
+        assert rows(got, [*own, *new]) == rows(f(plain), [*own, *new])
+        kept = [c for c in clash.columns if c not in new]
+        assert got.columns == [*kept, *new] and all(r[c] == -7 for r in got.collect() for c in kept if c not in own)
+    for f in (quality_rules.quality, ngram_join.jaccard_classes, mixing.mix, secrets.scan, suffix_dedup.remove_repeats, lambda d: language_id.identify(d, language_id.train(d))):
+        want = f(plain)
+        assert rows(f(clash), want.columns) == rows(want, want.columns)
+    turns = spark.createDataFrame([(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    more = turns.select("*", *[F.lit(1).alias(c) for c in names if c not in ("turn", "role", "conv_id", "pair_id", "side")])
+    assert rows(chat_format.format_preferences(chat_format.adjacent_pairs(more)), ["pair_id", "chosen", "rejected"]) == rows(chat_format.format_preferences(chat_format.adjacent_pairs(turns)), ["pair_id", "chosen", "rejected"])
+
+
+def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOC)
-    clash = [F.lit(1).alias(c) for c in ("n_words", "kept", "pieces", "n_removed", "_text", "_lines", "component_id", "score", "size", "taken")]
-    some = spark.createDataFrame([(1, "one two three", "en", "s", 3), (2, None, None, None, None)], DOC).select("*", *clash)
-    for df, n in ((empty, 0), (some, 2)):
-        assert quality_rules.quality(df).count() == n
-        assert line_dedup.dedup_lines(df).count() == n
-        assert ngram_join.jaccard_classes(df).count() == n
-        assert mixing.mix(df).count() == n
-        assert pieces.encode(df).count() == n
-        assert secrets.scan(df).count() == n
-        assert suffix_dedup.remove_repeats(df).count() == n
-        assert language_id.identify(df, language_id.train(df)).count() == n
+    whole = (quality_rules.quality, quality_rules.rejected_go, line_dedup.dedup_lines, ngram_join.jaccard_classes, ngram_join.one_of_each, mixing.mix, mixing.mixed, pieces.encode, secrets.scan, suffix_dedup.remove_repeats)
+    for f in whole:
+        assert f(empty).count() == 0
+    assert language_id.identify(empty, language_id.train(empty)).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_preferences(chat_format.adjacent_pairs(turns)).count() == 0
 
 
 def test_language(spark):
