@@ -1,15 +1,19 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
-A document's set holds its distinct word shingles as 64-bit hashes. Shingles are ordered by how often they occur in the
-corpus, rare ones first, then by hash; two sets that link share one of the first shingles of each (the prefix). Documents
-with the same prefix and size make one group, and the prefix join runs between groups: pairs that share a prefix shingle
-are filtered by size, by the places of the shingle and by parity bitmaps of the sets, which bound their difference from
-below. What passes joins groups to bundles; the documents of a bundle are then expanded and every pair of different sets
-in it is verified exactly. Equal sets are one class throughout, so copies are never paired.
-
-Frequencies come from counters indexed by hash, of fixed number, summed over all documents. They only order the
-shingles: the join is exact under any order. Hot shingles and large bundles are cut into blocks, each pair of blocks one
-task, and tasks report spanning forests and sums, never pairs.
+A document's set holds its distinct word shingles as 64-bit hashes. Shingles are ordered by how many documents hold them,
+rare ones first, then by hash; two sets that link share one of the first shingles of each (the prefix). Documents with
+the same prefix and size make one group, and the prefix join runs between groups: pairs that share a prefix shingle are
+filtered by size, by the places of the shingle and by parity bitmaps of the sets, which bound their difference from
+below. What passes joins groups to bundles; the documents of a bundle are then expanded and verified exactly. A large
+bundle is cut into blocks of documents that share their rarest shingle, and only pairs of blocks that hold a filtered pair
+are verified. Equal sets are one class throughout, so copies are never paired.
+
+Document frequencies are counted exactly: a task sends the distinct hashes (48 bits) of a few million shingles with their
+counts, as differences of sorted numbers, to the bucket of each. The `ranked` most frequent shingles go to every worker
+(16 MB at most) and are ordered by their counts; all the others are rarer and are ordered by hash. The order affects the
+work only: the join is exact under any. Shingles of one document are recognised by a table of fixed size, which lets
+some through as the data grow; exact joins stand behind it. Hot shingles and large bundles are cut into blocks, each pair
+of blocks one task, and tasks report spanning forests and sums, never pairs.
 
 Cases: a text that is null or has no word has an empty set and links with nothing; with fewer words than a shingle the
 whole sequence is its one shingle; rows that repeat a doc_id are documents of their own; a null doc_id takes part and
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, has_bit, local_roots, sealed, staged, whole_groups
+from .common import bit_table, has_bit, local_roots, release, sealed, staged, whole_groups
 from .components import components
 
 #: Words whose hashes a Python worker keeps.
@@ -41,9 +45,12 @@ SLICE_WORDS = 300_000
 class JoinParams:
     width: int = 5
     percent: int = 80
-    #: Counters that order the shingles, and bits of the tables that let rows through (fixed sizes: 16 and 8 MB).
-    counter_bits: int = 23
+    #: Shingles that are ordered by their counts, and bits of the tables that let rows through (8 MB).
+    ranked: int = 1 << 20
     table_bits: int = 26
+    #: Shingles that a task sorts at once, and distinct ones wanted in a bucket of the count.
+    sorted_shingles: int = 1 << 21
+    bucket_shingles: int = 1 << 21
     #: Groups of a block of a hot shingle; documents of a block of a large bundle.
     token_block: int = 1024
     bundle_block: int = 512
@@ -108,57 +115,126 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _counters(docs: DataFrame, params: JoinParams) -> np.ndarray:
-    """How many documents hold shingles of each counter; saturates at 255 in a task and at 65,535 in all."""
-    shift, size, block = np.uint64(64 - params.counter_bits), 1 << params.counter_bits, 1 << 16
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted distinct numbers of 48 bits as differences, byte by byte, so that the empty high bytes are left out."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    width = max((int(gaps.max()).bit_length() + 7) // 8, 1)
+    return bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(params.width), np.zeros(size, np.int32)
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :width] = planes.T
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _frequencies(docs: DataFrame, params: JoinParams) -> DataFrame:
+    """h (the high 48 bits of a shingle's hash) and n (documents that hold it) of shingles that two or more hold."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(size / 6 / params.bucket_shingles, 1))), 4, 24))
+    shift = np.uint64(48 - bits)
+
+    def portion(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.flatnonzero(np.r_[True, (h[1:] >> shift) != (h[:-1] >> shift), True])
+        rows = [[], [], [], []]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            more = np.flatnonzero(n[a:b] > 1).astype(np.uint32)
+            for c, x in zip(rows, (int(h[a] >> shift), _packed(h[a:b]), more.tobytes(), n[a:b][more].astype(np.uint32).tobytes())):
+                c.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "h", "at", "n"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, total = Shingler(params.width), [], 0
         for batch in batches:
             for _, _, sets in shingler.sets(batch.column("text").to_pylist()):
-                at = (np.concatenate(sets) >> shift).astype(np.int64)
-                np.add.at(total, at, 1)
-        small = np.minimum(total, 255).astype(np.uint8)
-        for i in range(0, size, block):
-            if small[i : i + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int64()), pa.array([small[i : i + block].tobytes()], pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[b] = np.minimum(sums.get(b, 0) + np.frombuffer(c, np.uint8).astype(np.int64), 65535)
-        for b, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([s.astype(np.uint16).tobytes()], pa.binary())], names=["block", "counts"])
-
-    blocks = docs.select("text").mapInArrow(count, "block long, counts binary")
-    rows = blocks.repartition(size // block, "block").mapInArrow(add, "block long, counts binary").collect()
-    table = np.zeros(size, np.uint16)
-    for r in rows:
-        table[r.block * block : (r.block + 1) * block] = np.frombuffer(r.counts, np.uint16)
-    return table
-
-
-def _prefixes(docs: DataFrame, counters: np.ndarray, params: JoinParams) -> DataFrame:
-    """doc_id, digest (of the text), n, set_id, group_id, prefix (ordered shingles, as the counter's value before the hash) and bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)
+                for x in sets:
+                    held.append(x >> np.uint64(16))
+                    total += len(x)
+                if total >= params.sorted_shingles:
+                    yield portion(held)
+                    held, total = [], 0
+        if total:
+            yield portion(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket"]):
+            bucket = table.column("bucket").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+            packed, at, more = (table.column(c).to_pylist() for c in ("h", "at", "n"))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                values, counts = [], []
+                for x, i, m in zip(packed[a:b], at[a:b], more[a:b]):
+                    values.append(_unpacked(x))
+                    own = np.ones(len(values[-1]), np.int64)
+                    own[np.frombuffer(i, np.uint32)] = np.frombuffer(m, np.uint32)
+                    counts.append(own)
+                h, n = np.concatenate(values), np.concatenate(counts)
+                order = np.argsort(h, kind="stable")  # runs are sorted already
+                h, n = h[order], n[order]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                total = np.add.reduceat(n, first)
+                keep = total > 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[first][keep].view(np.int64)), pa.array(total[keep])], names=["h", "n"])
+
+    rows = docs.select("text").mapInArrow(send, "bucket long, h binary, at binary, n binary")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, n long")
+    return staged(rows, "join-frequencies")
+
+
+class Order:
+    """Keys that sort shingles: the rank of the most frequent ones, or 0, before the hash; and which may be shared."""
+
+    def __init__(self, counts: DataFrame, params: JoinParams):
+        # The bit of a shingle that two documents hold is set; by chance others', too.
+        self.shared = bit_table(counts.select(F.call_function("shiftleft", "h", F.lit(16)).alias("h")), params.table_bits)
+        level = F.floor(F.log2("n") * 8).cast("int")
+        steps = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # fewer than 500 levels
+        total, least = np.cumsum([r["count"] for r in steps]), None
+        for r, n in zip(steps, total):
+            if n <= params.ranked:
+                least = r.level
+        top = counts.filter(level >= (least if least is not None else 1 << 20)).toArrow()
+        h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+        order = np.argsort(h)
+        self.top, self.rank = h[order], np.minimum(np.log2(n[order]) * 1024, 65535).astype(np.uint64) << np.uint64(48)
+        self.near = np.zeros(1 << 20, np.uint8)
+        np.bitwise_or.at(self.near, (self.top >> np.uint64(28)).astype(np.int64), np.uint8(1) << (self.top >> np.uint64(25) & np.uint64(7)).astype(np.uint8))
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        h = s >> np.uint64(16)
+        out = h.copy()
+        some = np.flatnonzero(self.near[(h >> np.uint64(28)).astype(np.int64)] >> (h >> np.uint64(25) & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        if len(some):
+            at = np.minimum(np.searchsorted(self.top, h[some]), len(self.top) - 1)
+            hit = self.top[at] == h[some]
+            out[some[hit]] |= self.rank[at[hit]]
+        out.sort()
+        return out
+
+
+def _prefixes(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
+    """doc_id, digest (of the text), n, set_id, group_id, and of the prefix the places and keys of shingles that other
+    documents may hold, its first one, and the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    shift = np.uint64(64 - params.counter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank = Shingler(params.width), shared.value.astype(np.uint64) << np.uint64(48)
+        shingler, order = Shingler(params.width), shared.value
         for batch in batches:
             for a, b, sets in shingler.sets(batch.column("text").to_pylist()):
-                ids, groups, prefixes, maps = [], [], [], []
+                ids, groups, places, tokens, maps = [], [], [], [], []
                 for s in sets:
-                    key = rank[(s >> shift).astype(np.int64)] | (s >> np.uint64(16))
-                    key.sort()
-                    p = key[: prefix_length(len(s), params.percent)] if len(s) else key
+                    p = order.keys(s)[: prefix_length(len(s), params.percent)] if len(s) else s
+                    at = np.flatnonzero(has_bit(order.shared, p << np.uint64(16)))
                     ids.append(_digest(s.tobytes()))
                     groups.append(_digest(len(s).to_bytes(8, "little") + p.tobytes()))
-                    prefixes.append(p.view(np.int64))
-                    maps.append(_bitmap(s))
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                    places.append(at.astype(np.int32))
+                    tokens.append(p[at].view(np.int64))
+                    maps.append(_bitmap(s) if len(at) else None)
+                ends = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
@@ -166,13 +242,14 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, params: JoinParams) -> Data
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(ids, pa.int64()),
                         pa.array(groups, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places))),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens))),
                         pa.array(maps, pa.binary()),
                     ],
-                    names=["doc_id", "digest", "n", "set_id", "group_id", "prefix", "bitmap"],
+                    names=["doc_id", "digest", "n", "set_id", "group_id", "places", "tokens", "bitmap"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id {id_type}, digest long, n long, set_id long, group_id long, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id {id_type}, digest long, n long, set_id long, group_id long, places array<int>, tokens array<long>, bitmap binary")
 
 
 def _pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,8 +266,9 @@ def _pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = stop
 
 
-def _filter(params: JoinParams):
-    """Links groups that share a prefix shingle and that no bound keeps apart."""
+def _filter(params: JoinParams, blocks: bool = False):
+    """Links groups that share a prefix shingle and that no bound keeps apart: a spanning forest of them, or the pairs of
+    blocks that hold such a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["token", "lo", "hi"]):
@@ -207,7 +285,9 @@ def _filter(params: JoinParams):
                     folded[w][i] = m
             change = (np.diff(col["token"]) != 0) | (np.diff(col["lo"]) != 0) | (np.diff(col["hi"]) != 0)
             size = np.diff(np.r_[0, np.flatnonzero(change) + 1, table.num_rows])
-            lefts, rights = [], []
+            if blocks:
+                bundle, block = table.column("bundle").to_numpy(), table.column("block").to_numpy()
+            lefts, rights, seen = [], [], set()
             for a, b in _pairs(size):
                 na, nb = col["n"][a], col["n"][b]
                 ok = (100 * np.minimum(na, nb) >= params.percent * np.maximum(na, nb)) & ((col["lo"][a] == col["hi"][a]) | (col["part"][a] != col["part"][b]))
@@ -222,8 +302,15 @@ def _filter(params: JoinParams):
                     at = np.flatnonzero(w == v)
                     for k in np.array_split(at, len(at) // 100_000 + 1):
                         near[k] = np.bitwise_count(m[a[k]] ^ m[b[k]]).sum(1, dtype=np.int64) <= spare[k]
-                lefts.append(a[near])
-                rights.append(b[near])
+                if blocks:
+                    x, y = block[a[near]], block[b[near]]
+                    seen.update(zip(bundle[a[near]].tolist(), np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+                else:
+                    lefts.append(a[near])
+                    rights.append(b[near])
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in seen], pa.int64()) for i in range(3)], names=["bundle", "lo", "hi"])
+                continue
             ids, node = np.unique(col["group_id"], return_inverse=True)
             root = local_roots(len(ids), node[np.concatenate(lefts)], node[np.concatenate(rights)]) if lefts else np.arange(len(ids))
             moved = np.flatnonzero(root != np.arange(len(ids)))
@@ -232,12 +319,15 @@ def _filter(params: JoinParams):
     return run
 
 
-def _blocks(df: DataFrame, parts: str, salt: str, *key: str) -> DataFrame:
+def _blocks(df: DataFrame, parts: str, salt: str, key: str) -> DataFrame:
     """Deals the rows of a key to all pairs lo <= hi of its parts that hold them."""
     part = F.pmod(F.xxhash64(salt), F.col(parts)).cast("int")
     df = df.withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
-    df = df.withColumns({"lo": F.least("part", "_other"), "hi": F.greatest("part", "_other")}).drop("_other", parts)
-    return df.repartition(*key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")
+    return _dealt(df.withColumns({"lo": F.least("part", "_other"), "hi": F.greatest("part", "_other")}).drop("_other", parts), key)
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
 def _verify(params: JoinParams):
@@ -297,55 +387,88 @@ def _components(docs: DataFrame, params: JoinParams) -> DataFrame:
     """One row per row of docs: doc_id, digest (of the text), n, n_links, root (a set of the component; null without
     shingles) and component (its smallest doc_id)."""
     sc = docs.sparkSession.sparkContext
-    found = staged(_prefixes(docs, _counters(docs, params), params), "join-prefixes")
+    counts = _frequencies(docs, params)
+    order = Order(counts, params)
+    release(counts)
+    found = staged(_prefixes(docs, order, params), "join-prefixes")
     held = found.filter("n > 0")
     one_set = F.min("set_id") == F.max("set_id")
-    groups = held.groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(one_set, F.first("bitmap")).alias("bitmap"))
+    groups = held.filter(F.size("tokens") > 0).groupBy("group_id").agg(
+        F.first("n").alias("n"), F.first("places").alias("places"), F.first("tokens").alias("tokens"), F.when(one_set, F.first("bitmap")).alias("bitmap")
+    )
     groups = staged(groups, "join-groups")
-    tokens = groups.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1")
-    tokens = staged(tokens, "join-tokens")
-    shared = sc.broadcast(bit_table(tokens.select(F.xxhash64("token").alias("h")), params.table_bits))
-    # Shingles that are in no other prefix stop here.
-
-    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = has_bit(shared.value, batch.column("h").to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(keep))
-
-    narrow = groups.select("group_id", F.posexplode("prefix").alias("place", "token")).withColumn("h", F.xxhash64("token"))
-    narrow = narrow.mapInArrow(shared_only, narrow.schema).drop("h")
-    hot = tokens.filter(F.col("count") > params.token_block).select(F.col("token").alias("_t"), F.ceil(F.col("count") / params.token_block).cast("int").alias("_parts"))
-    rows = narrow.join(groups.select("group_id", "n", "bitmap"), "group_id").join(hot, F.col("token") == F.col("_t"), "left")
-    rows = rows.select("token", "place", "group_id", "n", "bitmap", F.coalesce("_parts", F.lit(1)).alias("parts"))
-    near = _blocks(rows, "parts", "group_id", "token").mapInArrow(_filter(params), "a long, b long")
-    bundles = components(near)
-
-    classes = held.groupBy("set_id").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("group_id").alias("group_id"))
-    classes = classes.join(bundles, F.col("group_id") == F.col("id"), "left").select("set_id", "cid", "copies", F.coalesce("component", "group_id").alias("bundle"))
+    narrow = groups.select("group_id", F.explode(F.arrays_zip("places", "tokens")).alias("p")).select("group_id", F.col("p.places").alias("place"), F.col("p.tokens").alias("token"))
+    tokens = staged(narrow.groupBy("token").count().filter("count > 1").select(F.col("token").alias("_t"), F.ceil(F.col("count") / params.token_block).cast("int").alias("parts")), "join-tokens")
+    # Only shingles that two groups have in their prefixes go on, and only then with their bitmaps.
+    rows = narrow.join(tokens, F.col("token") == F.col("_t")).join(groups.select("group_id", "n", "bitmap"), "group_id")
+    rows = rows.select("token", "place", "group_id", "n", "bitmap", "parts")
+    bundles = components(_blocks(rows, "parts", "group_id", "token").mapInArrow(_filter(params), "a long, b long"))
+
+    classes = held.groupBy("set_id").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("group_id").alias("group_id"), F.min("digest").alias("digest"))
+    classes = classes.join(bundles, F.col("group_id") == F.col("id"), "left").select("set_id", "cid", "copies", "group_id", "digest", F.coalesce("component", "group_id").alias("bundle"))
     classes = staged(classes, "join-classes")
-    sizes = classes.groupBy("bundle").count().filter("count > 1")
-    sizes = staged(sizes.select(F.col("bundle").alias("_b"), F.ceil(F.col("count") / params.bundle_block).cast("int").alias("parts")), "join-bundles")
-    wanted = staged(classes.join(sizes, F.col("bundle") == F.col("_b")).select("set_id", "copies", "cid", "bundle", "parts"), "join-wanted")
-    picked = sc.broadcast(bit_table(wanted.select(F.xxhash64("cid").alias("h")), params.table_bits))
+    sizes = staged(classes.groupBy("bundle").count().filter("count > 1").withColumnRenamed("bundle", "_b"), "join-bundles")
+    wanted = classes.join(sizes, F.col("bundle") == F.col("_b"))
+    # Blocks of a large bundle hold sets with the same rarest shingle among those of several documents.
+    large = wanted.filter(F.col("count") > params.bundle_block).select("set_id", "bundle", F.col("group_id").alias("_g"))
+    if large.isEmpty():
+        pairs = None
+        wanted = wanted.select("set_id", "copies", "digest", "bundle", F.lit(0).cast("long").alias("block"), F.lit(False).alias("cut"))
+    else:
+        first = groups.select("group_id", F.get("tokens", F.lit(0)).alias("_t1"))
+        placed = large.join(first, F.col("_g") == F.col("group_id"), "left").withColumn("_first", F.coalesce("_t1", F.lit(0)))
+        crowd = placed.groupBy("bundle", "_first").agg(F.ceil(F.count("*") / params.bundle_block).alias("_n"))
+        crowd = crowd.select(F.col("bundle").alias("_b2"), F.col("_first").alias("_f2"), "_n")
+        placed = placed.join(crowd, (F.col("bundle") == F.col("_b2")) & (F.col("_first") == F.col("_f2")))
+        placed = staged(placed.select(F.col("set_id").alias("_s2"), "_g", F.col("bundle").alias("_bundle"), F.xxhash64("_first", F.pmod(F.xxhash64("set_id"), F.col("_n"))).alias("_block")), "join-placed")
+        wanted = wanted.join(placed.select("_s2", "_block"), F.col("set_id") == F.col("_s2"), "left")
+        wanted = wanted.select("set_id", "copies", "digest", "bundle", F.coalesce("_block", F.lit(0)).alias("block"), F.col("_block").isNotNull().alias("cut"))
+        # The filter once more over the groups of large bundles: which blocks of theirs hold a pair that passes.
+        again = rows.join(placed.select("_g", F.col("_bundle").alias("bundle"), F.col("_block").alias("block")).distinct(), F.col("group_id") == F.col("_g")).drop("_g")
+        pairs = _blocks(again, "parts", "group_id", "token").mapInArrow(_filter(params, True), "bundle long, lo long, hi long")
+        own = placed.select(F.col("_bundle").alias("bundle"), F.col("_block").alias("lo"), F.col("_block").alias("hi"))
+        # Sets of one group may stand in several blocks, and pass without being filtered.
+        same = placed.select("_g", F.col("_bundle").alias("bundle"), F.col("_block").alias("lo")).distinct()
+        twins = same.join(same.select(F.col("_g").alias("_g3"), F.col("lo").alias("hi")).distinct(), F.col("_g") == F.col("_g3")).select("bundle", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
+        pairs = staged(pairs.unionByName(own).unionByName(twins).distinct(), "join-pairs")
+    wanted = staged(wanted, "join-wanted")
+    release(tokens, groups)
+    picked = sc.broadcast(bit_table(wanted.select(F.col("digest").alias("h")), params.table_bits))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(picked.value, batch.column("h").to_numpy().view(np.uint64))))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(params.width)
         for batch in batches:
-            batch = batch.filter(pa.array(has_bit(picked.value, batch.column("h").to_numpy().view(np.uint64))))
-            for _, _, sets in shingler.sets(batch.column("text").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s.tobytes()) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_s", "shingles"])
-
-    sets = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(shingles, "_s long, shingles binary")
-    sets = sets.groupBy("_s").agg(F.first("shingles").alias("shingles"))
-    rows = wanted.join(sets, F.col("set_id") == F.col("_s")).select("bundle", "set_id", "copies", "shingles", "parts")
-    checked = staged(_blocks(rows, "parts", "set_id", "bundle").mapInArrow(_verify(params), "set_id long, links long, root long"), "join-links")
+            for a, b, sets in shingler.sets(batch.column("text").to_pylist()):
+                own = [batch.column(c).slice(a, b - a) for c in ("bundle", "block", "cut", "set_id", "copies")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in sets], pa.binary())], names=["bundle", "block", "cut", "set_id", "copies", "shingles"])
+
+    # One text of each wanted set: the table lets some more through, the join does not.
+    texts = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(candidates, "text string, h long")
+    texts = texts.dropDuplicates(["h"]).join(wanted, F.col("h") == F.col("digest")).select("text", "bundle", "block", "cut", "set_id", "copies")
+    dealt = texts.mapInArrow(shingles, "bundle long, block long, cut boolean, set_id long, copies long, shingles binary")
+    if pairs is None:
+        checks = dealt.withColumns({"lo": F.col("block"), "hi": F.col("block")})
+    else:
+        dealt = staged(dealt, "join-sets")
+        one = dealt.filter("not cut").withColumns({"lo": F.col("block"), "hi": F.col("block")})
+        p = pairs.select(F.col("bundle").alias("_b"), "lo", "hi")
+        ends = p.withColumn("_e", F.col("lo")).unionByName(p.filter("lo <> hi").withColumn("_e", F.col("hi")))
+        many = dealt.filter("cut").join(ends, (F.col("bundle") == F.col("_b")) & (F.col("block") == F.col("_e")))
+        checks = one.unionByName(many.select(*one.columns))
+    checks = _dealt(checks.withColumnRenamed("block", "part"), "bundle")
+    checked = staged(checks.mapInArrow(_verify(params), "set_id long, links long, root long"), "join-links")
     roots = components(checked.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links")).withColumnRenamed("set_id", "_l")
     about = classes.join(links, F.col("set_id") == F.col("_l"), "left").join(roots, F.col("set_id") == F.col("id"), "left")
     about = staged(about.select("set_id", "cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "set_id").alias("root")), "join-about")
     first = about.groupBy("root").agg(F.min("cid").alias("component")).withColumnRenamed("root", "_r")
-    about = staged(about.join(first, F.col("root") == F.col("_r")).select(F.col("set_id").alias("_s"), "n_links", "root", "component"), "join-about")
-    df = found.select("doc_id", "digest", "n", "set_id").join(about, (F.col("n") > 0) & (F.col("set_id") == F.col("_s")), "left")
+    last = staged(about.join(first, F.col("root") == F.col("_r")).select(F.col("set_id").alias("_s"), "n_links", "root", "component"), "join-about")
+    release(about, classes, wanted, sizes, checked)
+    df = found.select("doc_id", "digest", "n", "set_id").join(last, (F.col("n") > 0) & (F.col("set_id") == F.col("_s")), "left")
     return df.select("doc_id", "digest", "n", "n_links", "root", "component")
 
 
