@@ -2,19 +2,24 @@
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same text or another. Equal
 strings must meet in one place without every suffix being sent around, so each window of `length` bytes is placed by its
-anchor: the smallest hash among its grams. Anchors whose gram occurs once in the corpus are dropped (exact counts; a bit
-table of fixed size only lets too many through), the others send the windows they own, as one stretch of text, to the
-shard of their gram.
+anchor: the smallest hash among its grams. Anchors whose gram occurs once in the corpus are dropped (exact counts behind
+a bit table of fixed size, which lets more through as the data grow), the others send the windows they own, as one
+stretch of text, to the shard of their gram; a task sends equal stretches once.
 
-A shard is an index family: a batch of stretches gets a suffix array (the order of its suffixes by their first eight
-bytes, then by a fingerprint of their first `length` bytes, which is as far as matches are looked for), is merge-scanned
-against the arrays of the existing levels, and becomes a level itself; a level no more than twice as large as the next
-merges with it, so levels grow geometrically and a suffix is merged a logarithmic number of times. Both partners of a
-match are marked. A gram that occurs more than hot_limit times is split: its windows go to the shards of their own
-fingerprints.
+Shards come in order, and a run of them makes an index family, which is dropped after its last shard. A batch of stretches
+gets a suffix array: its windows in the order of their bytes, sorted eight bytes at a time as far as `length`, where
+matches end. Neighbours that agree so far are matches. The batch is then merge-scanned against the arrays of the existing
+levels, the common prefix growing by eight bytes in each round, and what it has that is new becomes a level itself; a
+level no more than twice as large as the next merges with it, so levels grow geometrically and a suffix is merged a
+logarithmic number of times. Both partners of a match are marked. A gram that occurs more than hot_limit times is split:
+its windows are counted one by one, by their first bytes and a fingerprint.
+
+Marks belong to stretches. Where a stretch was found in the texts is joined to its marks afterwards, so that a passage
+that very many texts share costs one row of marks, and its places are split among tasks like those of any large key.
 
 Cases: a null text counts as empty; texts shorter than `length` bytes lose nothing; rows equal in doc_id and text are two
-texts that repeat each other; a null doc_id is allowed; an empty table gives an empty one; only doc_id and text are read.
+texts that repeat each other; a null doc_id is an id like others; texts of any length are worked on whole; an empty table
+gives an empty one; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, has_bit, staged
+from .common import bit_table, has_bit, staged, whole_groups
 
 GRAM = 64
 #: Bytes that are hashed at once, and bits of a place within them.
@@ -41,8 +46,10 @@ class SuffixParams:
     length: int = 200
     table_bits: int = 26
     hot_limit: int = 100_000
-    #: Windows of a batch that gets a suffix array, and stretches that a mapper holds to join equal ones.
-    batch_windows: int = 1 << 19
+    #: Windows of a batch that gets a suffix array, and after which a family ends with its shard; stretches that a mapper
+    #: holds to join equal ones.
+    batch_windows: int = 1 << 18
+    family_windows: int = 1 << 20
     held: int = 200_000
 
 
@@ -146,105 +153,161 @@ def _anchored(todo: list[tuple[int, int, bytes]], length: int):
     return key[owner[ok]], number[t], b - start[t] + offset[t], (stop - bounds)[ok], b, buf, h
 
 
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    out = np.zeros(len(buf), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | padded[k : k + len(buf)]
+    return out
+
+
+def _steps(length: int) -> list[int]:
+    """Offsets of the words that make `length` bytes; the last may overlap the one before it."""
+    steps = list(range(0, length - 7, 8))
+    return steps if steps[-1] + 8 == length else [*steps, length - 8]
+
+
+def suffix_order(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the windows at the given places by their first `length` bytes, and which of them equal the one
+    before. Only runs that agree so far and hold different windows are sorted by their next word."""
+    steps = _steps(length)
+    order = np.argsort(words[at], kind="stable")
+
+    def agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.ones(len(left), bool)
+        for step in steps:
+            on = np.flatnonzero(out)
+            out[on] = words[left[on] + step] == words[right[on] + step]
+        return out
+
+    placed = at[order]
+    run = np.r_[False, words[placed[1:]] == words[placed[:-1]]][: len(at)]
+    same = run.copy()
+    on = np.flatnonzero(run)
+    same[on] = agree(placed[on - 1], placed[on])
+    for step in steps[1:]:
+        open_ = run & ~same
+        if not open_.any():
+            break
+        group = np.cumsum(~run) - 1
+        some = np.flatnonzero((np.bincount(group, open_) > 0)[group])
+        by = np.lexsort((words[placed[some] + step], group[some]))
+        order[some], placed[some] = order[some][by], placed[some][by]
+        inner = some[run[some]]
+        run[inner] = words[placed[inner] + step] == words[placed[inner - 1] + step]
+        same[inner] = False
+        on = inner[run[inner]]
+        same[on] = agree(placed[on - 1], placed[on])
+    return order, same
+
+
+class Level:
+    """A suffix array: the words of its text, the places of its windows in order, and the windows' numbers."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, number: np.ndarray):
+        self.words, self.at, self.number = words, at, number
+        self.first = words[at]
+
+    def scan(self, words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows (in order) of another text stand in this array, and whether the window there is equal: the part of
+        the array that shares a common prefix with each is narrowed word by word."""
+        lo, hi = np.searchsorted(self.first, words[at], "left"), np.searchsorted(self.first, words[at], "right")
+        live = np.flatnonzero(lo < hi)
+        for step in _steps(length)[1:]:
+            if not len(live):
+                break
+            want = words[at[live] + step]
+            ends = []
+            for side in (np.less, np.less_equal):
+                a, b = (ends[0] if ends else lo[live]).copy(), hi[live].copy()
+                while (open_ := a < b).any():
+                    mid = (a + b) >> 1
+                    below = side(self.words[self.at[np.minimum(mid, len(self.at) - 1)] + step], want)
+                    a, b = np.where(open_ & below, mid + 1, a), np.where(open_ & ~below, mid, b)
+                ends.append(a)
+            lo[live], hi[live] = ends
+            live = live[ends[0] < ends[1]]
+        return lo, lo < hi
+
+    def merged(self, other: Level, length: int) -> Level:
+        place, _ = self.scan(other.words, other.at, length)
+        at, number = np.insert(self.at, place, other.at + len(self.words)), np.insert(self.number, place, other.number)
+        return Level(np.concatenate([self.words, other.words]), at, number)
+
+
 class IndexFamily:
-    """Suffix arrays of growing size over the windows of a shard. A window is known by its number; marked tells which
-    windows have been met more than once."""
+    """Suffix arrays of growing size over the windows of a run of shards. A window is known by its number; marked tells
+    which windows have been met more than once."""
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self.levels: list[Level] = []
         self.marked = np.zeros(0, bool)
 
-    def add(self, keys: np.ndarray) -> int:
-        """Takes a batch of window keys; the number of its first window."""
+    def add(self, words: np.ndarray, at: np.ndarray) -> int:
+        """Takes a batch of windows; the number of its first one."""
         base = len(self.marked)
-        self.marked = np.concatenate([self.marked, np.zeros(len(keys), bool)])
-        order = np.argsort(keys, kind="stable")
-        keys, number = keys[order], base + order
-        equal = keys[1:] == keys[:-1]
-        self.marked[number[1:][equal]] = True
-        self.marked[number[:-1][equal]] = True
-        single = np.r_[True, ~equal]
-        group = np.cumsum(single) - 1
-        firsts, of = keys[single], number
+        self.marked = np.concatenate([self.marked, np.zeros(len(at), bool)])
+        order, same = suffix_order(words, at, self.length)
+        number = base + order
+        self.marked[number[same]] = True
+        self.marked[number[:-1][same[1:]]] = True
+        group = np.cumsum(~same) - 1
+        firsts, own = at[order][~same], number[~same]
         fresh = np.ones(len(firsts), bool)
-        for level, owner in self.levels:
-            at = np.minimum(np.searchsorted(level, firsts), len(level) - 1)
-            hit = level[at] == firsts
-            self.marked[owner[at[hit]]] = True
-            self.marked[of[hit[group]]] = True
+        for level in self.levels:
+            place, hit = level.scan(words, firsts, self.length)
+            self.marked[level.number[place[hit]]] = True
+            self.marked[number[hit[group]]] = True
             fresh &= ~hit
         if fresh.any():
-            self.levels.append((firsts[fresh], number[single][fresh]))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels[-2:]
-            keys, number = np.concatenate([a, b]), np.concatenate([x, y])
-            order = np.argsort(keys, kind="stable")  # two sorted runs, merged in one go
-            self.levels[-2:] = [(keys[order], number[order])]
+            self.levels.append(Level(words, firsts[fresh], own[fresh]))
+        while len(self.levels) > 1 and len(self.levels[-2].at) <= 2 * len(self.levels[-1].at):
+            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1], self.length)]
         return base
 
 
-def _keys(head: np.ndarray, finger: np.ndarray) -> np.ndarray:
-    both = np.empty((len(head), 2), ">u8")
-    both[:, 0], both[:, 1] = head, finger
-    return both.view("S16").ravel()
-
-
-def _window_keys(stretches: list[bytes], runs: np.ndarray, length: int) -> np.ndarray:
-    """Keys of the windows of stretches, in order. A stretch of 16 bytes is a key already."""
-    ready = np.array([len(s) == 16 for s in stretches])
-    out = np.empty(int(runs.sum()), "S16")
-    first = np.cumsum(runs) - runs
-    if ready.any():
-        out[first[ready]] = np.frombuffer(b"".join(s for s in stretches if len(s) == 16), "S16")
-    if not ready.all():
-        some = [s for s in stretches if len(s) != 16]
-        buf = np.frombuffer(b"".join(some) + bytes(8), np.uint8)
-        n = runs[~ready]
-        start = np.cumsum([0] + [len(s) for s in some])[:-1]
-        at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(first[~ready], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = _keys_at(buf, gram_hashes(buf), at, length)
-    return out
+SENT = "shard long, hot boolean, d1 long, d2 long, n long, windows int, stretch binary"
+FOUND = "d1 long, d2 long, id long, digest long, start long"
+MARKS = "d1 long, d2 long, lo array<int>, hi array<int>"
+KEYS = "k1 long, k2 long, d1 long, d2 long, place int, n long"
 
 
-def _keys_at(buf: np.ndarray, h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    head = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        head = head << np.uint64(8) | buf[at + k].astype(np.uint64)
-    return _keys(head, fingerprints(h, at, length))
+def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*(c.split(" ") for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
 
+def _stretches(batch: pa.RecordBatch, rare, hot, length: int) -> Iterator[tuple[int, int, bool, int, int, bytes]]:
+    """Text number, gram, whether it is hot, first window, windows and bytes of all stretches whose gram may repeat."""
+    for key, number, start, windows, at, buf, _ in _joined(_texts(batch), length):
+        found = has_bit(rare.value, key)
+        many = has_bit(hot.value, key[found])
+        raw = buf.tobytes()
+        columns = (number[found], key[found].view(np.int64), many, start[found], windows[found], at[found])
+        for i, k, m, s, w, a in zip(*(c.tolist() for c in columns)):
+            yield i, k, m, s, w, raw[a : a + w - 1 + length]
 
-SENT = "shard long, ids array<long>, digests array<long>, starts array<long>, windows int, stretch binary"
+
+def _name(shard: int, stretch: bytes) -> tuple[int, int]:
+    h = hashlib.blake2b(shard.to_bytes(8, "little", signed=True) + stretch, digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
 def _send(rare, hot, params: SuffixParams):
-    length = params.length
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    """Rows of SENT: the stretches of a task, equal ones once with their number."""
 
     def out(held: dict) -> pa.RecordBatch:
-        cols = [[], [], [], [], [], []]
-        for (shard, windows, stretch), who in held.items():
-            for c, x in zip(cols, (shard, who[0], who[1], who[2], windows, stretch)):
-                c.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "ids", "digests", "starts", "windows", "stretch"])
+        rows = [(k, m, *_name(k, x), n, w, x) for (k, m, w, x), n in held.items()]
+        return _batch(SENT, list(zip(*rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            texts, ids = _texts(batch), [-1 if i is None else i for i in batch.column("doc_id").to_pylist()]
-            digests = [_digest(t) for t in texts]
-            for key, number, start, windows, at, buf, h in _joined(texts, length):
-                found = has_bit(rare.value, key)
-                many = found & has_bit(hot.value, key)
-                found &= ~many
-                raw = buf.tobytes()
-                for k, i, s, w, a in zip(key[found].view(np.int64).tolist(), number[found].tolist(), start[found].tolist(), windows[found].tolist(), at[found].tolist()):
-                    who = held.setdefault((k, w, raw[a : a + w - 1 + length]), ([], [], []))
-                    who[0].append(ids[i]), who[1].append(digests[i]), who[2].append(s)
-                for i, s, w, a in zip(number[many].tolist(), start[many].tolist(), windows[many].tolist(), at[many].tolist()):
-                    keys = _keys_at(buf, h, np.arange(a, a + w), length)
-                    for o, k in enumerate(keys.view("V16").tolist()):
-                        who = held.setdefault((int.from_bytes(k[8:], "big", signed=True), 1, bytes(k)), ([], [], []))
-                        who[0].append(ids[i]), who[1].append(digests[i]), who[2].append(s + o)
+            for _, k, m, _, w, x in _stretches(batch, rare, hot, params.length):
+                held[k, m, w, x] = held.get((k, m, w, x), 0) + 1
                 if len(held) >= params.held:
                     yield out(held)
                     held = {}
@@ -254,47 +317,107 @@ def _send(rare, hot, params: SuffixParams):
     return run
 
 
-def _match(params: SuffixParams):
-    length = params.length
+def _find(rare, hot, params: SuffixParams):
+    """Rows of FOUND: where the stretches stand in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = IndexFamily()
-        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            runs = batch.column("windows").to_numpy().astype(np.int64)
-            cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(runs) // params.batch_windows)) + 1, batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                part = batch.slice(a, b - a)
-                base = family.add(_window_keys(part.column("stretch").to_pylist(), runs[a:b], length))
-                # A stretch that several texts sent repeats as a whole.
-                shared = np.repeat(pa.compute.list_value_length(part.column("ids")).to_numpy() > 1, runs[a:b])
-                family.marked[base : base + len(shared)] |= shared
-                kept.append(part.select(["ids", "digests", "starts", "windows"]))
+            ids = [-1 if i is None else i for i in batch.column("doc_id").to_pylist()]
+            digests = [_digest(t) for t in _texts(batch)]
+            rows = [(*_name(k, x), ids[i], digests[i], s) for i, k, _, s, _, x in _stretches(batch, rare, hot, params.length)]
+            if rows:
+                yield _batch(FOUND, list(zip(*rows)))
+
+    return run
+
+
+def _buffer(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of a table in a row, the places of their windows, and how many windows each has."""
+    windows = table.column("windows").to_numpy().astype(np.int64)
+    size = windows + length - 1
+    buf = np.frombuffer(b"".join(table.column("stretch").to_pylist()), np.uint8)
+    first = np.cumsum(windows) - windows
+    return buf, np.repeat(np.cumsum(size) - size - first, windows) + np.arange(windows.sum()), windows
+
+
+def _runs(marked: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, first and last but one window of the marked runs of stretches."""
+    row = np.repeat(np.arange(len(windows)), windows)
+    edge = np.r_[True, (marked[1:] != marked[:-1]) | (row[1:] != row[:-1])][: len(row)]
+    opens = np.flatnonzero(marked & edge)
+    closes = np.flatnonzero(marked & np.r_[edge[1:], True][: len(row)]) + 1
+    first = np.cumsum(windows) - windows
+    return row[opens], opens - first[row[opens]], closes - first[row[opens]]
+
+
+def _match(params: SuffixParams):
+    """Rows of MARKS from rows of SENT that are sorted by shard."""
+    length = params.length
+
+    def told(family: IndexFamily, kept: list[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for part in kept:
-            runs = part.column("windows").to_numpy().astype(np.int64)
-            n = int(runs.sum())
-            marked = np.r_[False, family.marked[at : at + n]]
-            row = np.r_[-1, np.repeat(np.arange(len(runs)), runs)]
+        for part, windows in kept:
+            n = int(windows.sum())
+            row, lo, hi = _runs(family.marked[at : at + n], windows)
             at += n
-            edge = (marked[1:] != marked[:-1]) | (row[1:] != row[:-1])
-            opens = np.flatnonzero(marked[1:] & edge)
-            closes = np.flatnonzero(marked[1:] & np.r_[edge[1:], True]) + 1
-            of = row[1:][opens]
-            first = np.cumsum(runs) - runs
-            lists = [part.column(c) for c in ("ids", "digests", "starts")]
-            sizes = pa.compute.list_value_length(lists[0]).to_numpy().astype(np.int64)
-            flat = [x.flatten().to_numpy() for x in lists]
-            begin = np.cumsum(sizes) - sizes
-            n_of = sizes[of]
-            who = np.repeat(begin[of], n_of) + np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-            lo = flat[2][who] + np.repeat(opens - first[of], n_of)
-            hi = flat[2][who] + np.repeat(closes - first[of], n_of) - 1 + length
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0][who]), pa.array(flat[1][who]), pa.array(lo), pa.array(hi)], names=["id", "digest", "lo", "hi"])
+            some, count = np.unique(row, return_counts=True)
+            if len(some):
+                ends = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+                own = [part.column(c).take(pa.array(some)).combine_chunks() for c in ("d1", "d2")]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (lo, hi)]
+                yield pa.RecordBatch.from_arrays([*own, *lists], names=["d1", "d2", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, kept = IndexFamily(length), []
+        for table in whole_groups(batches, ["shard"]):
+            shard, total = table.column("shard").to_numpy(), np.cumsum(table.column("windows").to_numpy().astype(np.int64))
+            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(total // params.batch_windows)) + 1, len(shard)])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if len(family.marked) >= params.family_windows and (a == 0 or shard[a] != shard[a - 1]):
+                    yield from told(family, kept)
+                    family, kept = IndexFamily(length), []
+                part = table.slice(a, b - a)
+                buf, at, windows = _buffer(part, length)
+                base = family.add(_words(buf), at)
+                # A stretch that stands in several places repeats as a whole.
+                family.marked[base:] |= np.repeat(part.column("n").to_numpy() > 1, windows)
+                kept.append((part.select(["d1", "d2"]), windows))
+        yield from told(family, kept)
 
     return run
 
 
+def _window_keys(params: SuffixParams):
+    """Rows of KEYS: first bytes and fingerprint of each window of rows of SENT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                part = pa.Table.from_batches([batch.slice(i, 5000)])
+                buf, at, windows = _buffer(part, params.length)
+                row = np.repeat(np.arange(part.num_rows), windows)
+                keys = [_words(buf)[at], fingerprints(gram_hashes(buf), at, params.length)]
+                own = [part.column(c).take(pa.array(row)).combine_chunks() for c in ("d1", "d2")]
+                place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                n = part.column("n").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(k.view(np.int64)) for k in keys), *own, pa.array(place.astype(np.int32)), pa.array(n)], names=["k1", "k2", "d1", "d2", "place", "n"]
+                )
+
+    return run
+
+
+def _hot_marks(sent: DataFrame, params: SuffixParams) -> DataFrame:
+    """Rows of MARKS of stretches of hot grams: their windows counted one by one."""
+    keys = staged(sent.select("windows", "stretch", "d1", "d2", "n").mapInArrow(_window_keys(params), KEYS), "suffix-keys")
+    many = staged(keys.groupBy("k1", "k2").agg(F.sum("n").alias("c")).filter("c > 1").select(F.col("k1").alias("_1"), F.col("k2").alias("_2")), "suffix-hot")
+    hit = keys.join(many, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2"))).groupBy("d1", "d2")
+    hit = hit.agg(F.array_sort(F.collect_set("place")).alias("x"))  # a stretch's own windows bound what it collects
+    lo = F.filter("x", lambda p, i: (i == 0) | (F.get("x", i - 1) != p - 1))
+    hi = F.filter("x", lambda p, i: (i == F.size("x") - 1) | (F.get("x", i + 1) != p + 1))
+    return hit.select("d1", "d2", lo.alias("lo"), F.transform(hi, lambda p: p + 1).alias("hi"))
+
+
 def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
     """id (doc_id, -1 for null), digest (of the text) and spans (byte intervals that go; they may touch or overlap)."""
     if not 2 * GRAM <= params.length <= 4 * GRAM:
@@ -310,12 +433,20 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
     counts = docs.select("text").mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = staged(counts, "suffix-grams")
-    rare = sc.broadcast(bit_table(counts, params.table_bits))
-    hot = sc.broadcast(bit_table(counts.filter(F.col("n") > params.hot_limit), params.table_bits))
-    sent = docs.select("doc_id", "text").mapInArrow(_send(rare, hot, params), SENT)
-    spans = sent.repartition("shard").mapInArrow(_match(params), "id long, digest long, lo long, hi long")
-    # A text's own length bounds what it collects.
-    return spans.groupBy("id", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    many = counts.filter(F.col("n") > params.hot_limit)
+    rare, hot = (sc.broadcast(bit_table(x, params.table_bits)) for x in (counts, many))
+    sent = docs.select("text").mapInArrow(_send(rare, hot, params), SENT)
+    marks = sent.filter("not hot").repartition("shard").sortWithinPartitions("shard").mapInArrow(_match(params), MARKS)
+    if not many.isEmpty():
+        marks = marks.unionByName(_hot_marks(sent.filter("hot"), params))
+    # A stretch that many tasks sent has as many rows of equal marks.
+    marks = staged(marks.groupBy("d1", "d2").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "suffix-marks")
+    found = docs.select("doc_id", "text").mapInArrow(_find(rare, hot, params), FOUND)
+    where = found.join(marks.withColumnsRenamed({"d1": "_1", "d2": "_2"}), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")))
+    end = F.transform("hi", lambda x: F.col("start") + x - 1 + params.length)
+    spans = where.select("id", "digest", F.explode(F.arrays_zip(F.transform("lo", lambda x: F.col("start") + x).alias("lo"), end.alias("hi"))).alias("s"))
+    # A text's own length bounds what it collects; rows that repeat an id and a text collect the same.
+    return spans.groupBy("id", "digest").agg(F.collect_set(F.struct(F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -137,8 +137,8 @@ def test_language_with_null_ids_many_languages_and_long_texts(spark):
     assert {r.doc_id: r.lang_pred for r in language_id.identify(ask, model).collect()} == {1: langs[7], 2: "und"}
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_suffix(docs, rows, hot):
+@pytest.mark.parametrize("hot, batch", [(100_000, 1 << 18), (2, 1 << 18), (100_000, 300)])
+def test_suffix(docs, rows, hot, batch):
     length, starts = 200, collections.Counter()
     texts = [(i, (t or "").encode()) for i, t, *_ in rows]
     for _, t in texts:
@@ -152,19 +152,38 @@ def test_suffix(docs, rows, hot):
                 gone[k + length] -= 1
         cover = np.cumsum(gone)[: len(t)] > 0
         want[i, len(t), int(cover.sum()), int((np.diff(np.r_[0, cover.astype(int)]) == 1).sum()), np.frombuffer(t, np.uint8)[~cover].tobytes()] += 1
-    got = suffix_dedup.remove_repeats(docs, suffix_dedup.SuffixParams(hot_limit=hot)).collect()
+    got = suffix_dedup.remove_repeats(docs, suffix_dedup.SuffixParams(hot_limit=hot, batch_windows=batch, family_windows=4 * batch)).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+def test_suffix_order_is_that_of_the_bytes():
+    rng = np.random.default_rng(1)
+    for letters, length in ((2, 128), (200, 128), (1, 131), (3, 200)):
+        buf = rng.integers(0, letters, 900).astype(np.uint8)
+        buf[500:800] = buf[100:400]
+        at = rng.permutation(len(buf) - length + 1)[:400]
+        order, same = suffix_dedup.suffix_order(suffix_dedup._words(buf), at, length)
+        keys = [buf[p : p + length].tobytes() for p in at[order]]
+        assert keys == sorted(keys) and same.tolist() == [k > 0 and keys[k] == keys[k - 1] for k in range(len(keys))]
+
+
 def test_index_family_grows_geometrically():
-    family, rng = suffix_dedup.IndexFamily(), np.random.default_rng(0)
-    values = [rng.integers(0, 300, 64) for _ in range(20)]
-    for v in values:
-        family.add(suffix_dedup._keys(v.astype(np.uint64), v.astype(np.uint64)))
-    every = np.concatenate(values)
-    assert (family.marked == (np.bincount(every)[every] > 1)).all()
-    sizes = [len(k) for k, _ in family.levels]
-    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(set(every.tolist()))
+    rng, length = np.random.default_rng(0), 128
+    family, every = suffix_dedup.IndexFamily(length), []
+    pool = [rng.integers(0, 3, length + 20).astype(np.uint8) for _ in range(30)]
+    for _ in range(20):
+        buf = np.concatenate([pool[k] for k in rng.integers(0, 30, 3)])
+        at = np.sort(np.concatenate([np.arange(21) + k * (length + 20) for k in range(3)]))
+        family.add(suffix_dedup._words(buf), at)
+        every += [buf[p : p + length].tobytes() for p in at]
+    seen = collections.Counter(every)
+    assert family.marked.tolist() == [seen[w] > 1 for w in every]
+    sizes = [len(x.at) for x in family.levels]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+    for x in family.levels:
+        whole = x.words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 0]
+        keys = [whole[p : p + length].tobytes() for p in x.at]
+        assert keys == sorted(keys)
 
 
 def test_secrets(spark):
