@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import inspect
+import os
 import random
 import re
 import zlib
@@ -513,3 +514,63 @@ def test_pieces_with_other_keys(spark):
     df = spark.createDataFrame([("a", "some words here"), (None, "some words here"), ("b", None)], "doc_id string, text string")
     got = {r.doc_id: r for r in pieces.decode(pieces.encode(df)).collect()}
     assert all(r.lossless and r.decoded == r.text for r in got.values()) and got["b"].pieces is None
+
+
+def test_pieces_of_a_sentence_are_drawn_by_weight():
+    """Of a text of several chunks, every segmentation comes as often as the product of its pieces' weights says."""
+    v = pieces.Vocabulary(pieces.MODEL, 1.0)
+    known = {b.decode(): i for i, b in enumerate(v.raw) if len(b) and v.weight[i] and i >= 259}
+
+    def ways(s):
+        return [[]] if not s else [[known[s[:k]], *rest] for k in range(1, len(s) + 1) if s[:k] in known for rest in ways(s[k:])]
+
+    parts = [ways(c) for c in pieces.CHUNK.findall("to be, 7")]
+    every = [[]]
+    for own in parts:
+        every = [a + b for a in every for b in own]
+    p = np.exp([sum(v.weight[i] for i in w) for w in every])
+    n = 40_000
+    ids, counts = pieces.Sampler(v).sample(["to be, 7"] * n, np.arange(n, dtype=np.uint64))
+    seen = collections.Counter(tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1]))
+    assert len(every) > 6 and set(seen) <= {tuple(w) for w in every}
+    for w, q in zip(every, p / p.sum()):
+        assert abs(seen[tuple(w)] / n - q) < 4 * np.sqrt(q * (1 - q) / n) + 1e-4
+
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.filter(~out))
+    got = language_id.identify(docs.filter(out), model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_chat_against_a_plain_version(spark):
+    """Turn by turn, with repeated turns, equal numbers, nulls and a long text."""
+    rng = random.Random(7)
+    say = ["hi", "ok", None, "", "more " * 3000]
+    turns = []
+    for conv in range(40):
+        n = rng.randint(0, 5)
+        turns += [(conv, rng.choice([k, k, 1]), rng.choice(["user", "assistant", "assistant", None]), rng.choice(say)) for k in range(n)]
+    turns += turns[3:6]
+    df = spark.createDataFrame([*turns, (None, 1, "user", "x")], "conv_id long, turn long, role string, text string").repartition(3)
+    side = collections.defaultdict(list)
+    for conv, k, role, text in turns:
+        side[conv].append((k, role or "unknown", text or ""))
+    want = {}
+    for pair in {c // 2 for c in side}:
+        a, b = sorted(side.get(2 * pair, [])), sorted(side.get(2 * pair + 1, []))
+        n = 0
+        while n < min(len(a), len(b)) and a[n][1:] == b[n][1:]:
+            n += 1
+        show = lambda x: "".join(f"<|{r}|>\n{t}<|end|>\n" for _, r, t in x)
+        want[pair] = (n, show(a[:n]), show(a[n:]) if a else None, show(b[n:]) if b else None, [f"{t}<|end|>" for _, r, t in a[n:] if r == "assistant"])
+    got = {}
+    for r in chat_format.format_preferences(chat_format.adjacent_pairs(df)).collect():
+        got[r.pair_id] = (r.n_prefix, r.prompt, r.chosen, r.rejected, [r.chosen[s.start : s.end] for s in r.chosen_spans or ()])
+    assert got == want
