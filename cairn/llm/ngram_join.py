@@ -10,9 +10,10 @@ are verified. Equal sets are one class throughout, so copies are never paired.
 
 Document frequencies are counted exactly: a task sends the distinct hashes (48 bits) of a few million shingles with their
 counts, as differences of sorted numbers, to the bucket of each. The `ranked` most frequent shingles go to every worker
-(16 MB at most) and are ordered by their counts; all the others are rarer and are ordered by hash. The order affects the
-work only: the join is exact under any. Shingles of one document are recognised by a table of fixed size, which lets
-some through as the data grow; exact joins stand behind it. Hot shingles and large bundles are cut into blocks, each pair
+(16 MB at most) and are ordered by their counts, the others, which are rarer, by hash. Shingles that a bit table of fixed
+size shows to be in one document only come before all: a document with a fifth of such shingles has no other in its
+prefix, and goes no further. The table lets some through as the data grow, and exact joins stand behind it. The order
+affects the work only: the join is exact under any. Hot shingles and large bundles are cut into blocks, each pair
 of blocks one task, and tasks report spanning forests and sums, never pairs.
 
 Cases: a text that is null or has no word has an empty set and links with nothing; with fewer words than a shingle the
@@ -185,7 +186,8 @@ def _frequencies(docs: DataFrame, params: JoinParams) -> DataFrame:
 
 
 class Order:
-    """Keys that sort shingles: the rank of the most frequent ones, or 0, before the hash; and which may be shared."""
+    """Keys that sort shingles by a rank before the hash: 0 for those of one document, 1 for the others, more for the most
+    frequent ones."""
 
     def __init__(self, counts: DataFrame, params: JoinParams):
         # The bit of a shingle that two documents hold is set; by chance others', too.
@@ -204,20 +206,23 @@ class Order:
         np.bitwise_or.at(self.near, (self.top >> np.uint64(28)).astype(np.int64), np.uint8(1) << (self.top >> np.uint64(25) & np.uint64(7)).astype(np.uint8))
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        h = s >> np.uint64(16)
-        out = h.copy()
-        some = np.flatnonzero(self.near[(h >> np.uint64(28)).astype(np.int64)] >> (h >> np.uint64(25) & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        out = s >> np.uint64(16)
+        some = np.flatnonzero(has_bit(self.shared, s))
         if len(some):
-            at = np.minimum(np.searchsorted(self.top, h[some]), len(self.top) - 1)
-            hit = self.top[at] == h[some]
-            out[some[hit]] |= self.rank[at[hit]]
+            h = out[some]
+            out[some] |= np.uint64(1 << 48)
+            near = np.flatnonzero(self.near[(h >> np.uint64(28)).astype(np.int64)] >> (h >> np.uint64(25) & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            if len(near):
+                at = np.minimum(np.searchsorted(self.top, h[near]), len(self.top) - 1)
+                hit = self.top[at] == h[near]
+                out[some[near[hit]]] = h[near[hit]] | self.rank[at[hit]]
         out.sort()
         return out
 
 
 def _prefixes(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
     """doc_id, digest (of the text), n, set_id, group_id, and of the prefix the places and keys of shingles that other
-    documents may hold, its first one, and the bitmap."""
+    documents may hold, and the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -228,7 +233,7 @@ def _prefixes(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
                 ids, groups, places, tokens, maps = [], [], [], [], []
                 for s in sets:
                     p = order.keys(s)[: prefix_length(len(s), params.percent)] if len(s) else s
-                    at = np.flatnonzero(has_bit(order.shared, p << np.uint64(16)))
+                    at = np.arange(np.searchsorted(p, np.uint64(1 << 48)), len(p))
                     ids.append(_digest(s.tobytes()))
                     groups.append(_digest(len(s).to_bytes(8, "little") + p.tobytes()))
                     places.append(at.astype(np.int32))
