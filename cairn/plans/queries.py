@@ -41,8 +41,8 @@ def seconds(c: str | Column) -> Column:
     return F.unix_timestamp(c)
 
 
-def visible(spark: SparkSession, d: str) -> DataFrame:
-    return ad.memories(spark, d).filter(AGENT.memory_filter(NOW()))
+def visible(spark: SparkSession, d: str, counts: bool = False) -> DataFrame:
+    return ad.memories(spark, d, counts).filter(AGENT.memory_filter(NOW()))
 
 
 # ---- text in SQL
@@ -110,30 +110,30 @@ def list_visible(spark, d):
 @query(sql("memories", f"""SELECT id, project_key FROM memories WHERE {LIVE} AND NOT pinned
   AND greatest(updated_at, coalesce(verified_at, updated_at), coalesce(kept_at, updated_at)) < {NOW_S - 340 * DAY}"""))
 def list_stale(spark, d):
-    return ad.memories(spark, d).filter(OWNER.memory_filter(NOW()) & stale(NOW(), 340)).select("id", "project_key")
+    return ad.memories(spark, d, False).filter(OWNER.memory_filter(NOW()) & stale(NOW(), 340)).select("id", "project_key")
 
 
 @query(sql("memories", f"SELECT record_kind, count(*) AS pinned FROM memories WHERE {VISIBLE} AND pinned AND record_kind IN ('fact', 'preference', 'procedure') GROUP BY record_kind"))
 def count_pinned(spark, d):
-    m = ad.memories(spark, d).filter(AGENT.memory_filter(NOW(), kinds=["fact", "preference", "procedure"]) & F.col("pinned"))
+    m = ad.memories(spark, d, False).filter(AGENT.memory_filter(NOW(), kinds=["fact", "preference", "procedure"]) & F.col("pinned"))
     return m.groupBy("record_kind").agg(F.count("*").alias("pinned"))
 
 
 @query(sql("memories turns", "SELECT (SELECT count(*) FROM memories WHERE deleted_at IS NULL) AS memories, (SELECT count(DISTINCT project_key) FROM memories) AS projects, (SELECT count(DISTINCT agent_id) FROM turns) AS sessions"))
 def store_stats(spark, d):
-    m = ad.memories(spark, d).agg(F.count_if(F.col("deleted_at").isNull()).alias("memories"), F.countDistinct("project_key").alias("projects"))
+    m = ad.memories(spark, d, False).agg(F.count_if(F.col("deleted_at").isNull()).alias("memories"), F.countDistinct("project_key").alias("projects"))
     return m.crossJoin(ad.turns(spark, d).agg(F.countDistinct("agent_id").alias("sessions")))
 
 
 @query(sql("memories", f"SELECT scope, project_key, type, count(*) AS n FROM memories WHERE {VISIBLE} AND type IN ('decision', 'note', 'config') GROUP BY ALL"))
 def access_matrix_agent(spark, d):
-    m = ad.memories(spark, d).filter(AGENT.memory_filter(NOW(), types=["decision", "note", "config"]))
+    m = ad.memories(spark, d, False).filter(AGENT.memory_filter(NOW(), types=["decision", "note", "config"]))
     return m.groupBy("scope", "project_key", "type").agg(F.count("*").alias("n"))
 
 
 @query(sql("memories", f"SELECT 'all' AS reach, count(*) AS n FROM memories WHERE {LIVE} AND (scope = 'global' OR project_key = 'p3') UNION ALL SELECT 'project', count(*) FROM memories WHERE {LIVE} AND project_key = 'p3' UNION ALL SELECT 'global', count(*) FROM memories WHERE {LIVE} AND scope = 'global' UNION ALL SELECT 'owner', count(*) FROM memories WHERE {LIVE}"))
 def access_owner_focus(spark, d):
-    m = ad.memories(spark, d)
+    m = ad.memories(spark, d, False)
     counts = [F.count_if(FOCUS.memory_filter(NOW(), r)).alias(r) for r in ("all", "project", "global")]
     one = m.agg(*counts, F.count_if(OWNER.memory_filter(NOW())).alias("owner"))
     return one.select(F.expr("stack(4, 'all', `all`, 'project', project, 'global', global, 'owner', owner) as (reach, n)"))
@@ -141,14 +141,14 @@ def access_owner_focus(spark, d):
 
 @query(sql("memories", "SELECT id FROM memories WHERE scope = 'project' AND project_key <> 'p3'"))
 def access_denied(spark, d):
-    m = ad.memories(spark, d)
+    m = ad.memories(spark, d, False)
     return denied_ids(m.select("id"), m, AGENT)
 
 
 @query(sql("memories relations pending", f"""SELECT record_kind, count(*) AS n FROM memories WHERE {LIVE} AND NOT ((SELECT count(*) FROM pending) > 0
   AND (record_kind = 'derived_summary' OR id IN (SELECT from_id FROM relations))) GROUP BY record_kind"""))
 def quarantine_global(spark, d):
-    m = ad.memories(spark, d).filter(OWNER.memory_filter(NOW()))
+    m = ad.memories(spark, d, False).filter(OWNER.memory_filter(NOW()))
     return quarantined(m, ad.relations(spark, d), ad.pending(spark, d)).groupBy("record_kind").agg(F.count("*").alias("n"))
 
 
@@ -160,7 +160,7 @@ ANCESTORS = "anc AS (SELECT DISTINCT from_id AS id, from_id AS ancestor FROM rel
 def quarantine_ancestry(spark, d):
     r = ad.relations(spark, d)
     up = lineage.sources_of(r.select(F.col("from_id").alias("id")).distinct(), r).select(F.col("root").alias("id"), F.col("id").alias("ancestor"))
-    m = ad.memories(spark, d).filter(OWNER.memory_filter(NOW()))
+    m = ad.memories(spark, d, False).filter(OWNER.memory_filter(NOW()))
     return quarantined(m, r, ad.pending(spark, d), "ancestry", up).groupBy("record_kind").agg(F.count("*").alias("n"))
 
 
@@ -195,14 +195,14 @@ BM25 = sql_bm25("(SELECT * FROM memories WHERE deleted_at IS NULL)", search.MEMO
 
 @query(sql("memories", f"+ {BM25} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE id IN (SELECT id FROM memories WHERE {VISIBLE}) QUALIFY rank <= 60"))
 def bm25_search(spark, d):
-    m = ad.memories(spark, d).filter("deleted_at is null")
+    m = ad.memories(spark, d, False).filter("deleted_at is null")
     found = search.bm25(m, query_terms(spark, d))
     return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
 
 
 @query()
 def stemmed_search(spark, d):
-    m = ad.memories(spark, d).filter("deleted_at is null")
+    m = ad.memories(spark, d, False).filter("deleted_at is null")
     terms = query_terms(spark, d).select("query_id", stem_column(F.col("term")).alias("term")).distinct()
     found = search.bm25(m, terms, stem=stem_column)
     return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
@@ -248,7 +248,7 @@ def near(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("memories vecs", f"+ {NEAR} SELECT a, b, similarity, CASE WHEN ma.type = mb.type THEN 'near_duplicate' ELSE 'possible_duplicate' END AS outcome FROM near JOIN memories ma ON ma.id = a JOIN memories mb ON mb.id = b"))
 def near_duplicates(spark, d):
-    return upkeep.save_gate(near(spark, d), ad.memories(spark, d)).select("a", "b", "similarity", "outcome")
+    return upkeep.save_gate(near(spark, d), ad.memories(spark, d, False)).select("a", "b", "similarity", "outcome")
 
 
 def _queries_by_item(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +287,7 @@ def sql_boost(m: str = "") -> str:
 
 @query(sql("memories", f"SELECT id, round({sql_boost()}, 9) AS boost FROM memories WHERE {VISIBLE}"))
 def boosted_rank(spark, d):
-    return visible(spark, d).select("id", F.round(search.memory_boost(NOW(), PROJECT), 9).alias("boost"))
+    return visible(spark, d, True).select("id", F.round(search.memory_boost(NOW(), PROJECT), 9).alias("boost"))
 
 
 @query(sql("memories vecs", f"""+ {BM25}, {ITEM_KNN} SELECT query_id, id, title, round(score, 9) AS fused, round(score * {sql_boost()}, 9) AS final,
@@ -332,7 +332,7 @@ def task_matches(spark, d):
 
 @query(sql("memories", "SELECT content_hash, scope, project_key, min(id) AS keeper, count(*) AS copies, max(updated_at) AS last_seen_s, count(*) - 1 AS duplicate_count FROM memories WHERE deleted_at IS NULL GROUP BY content_hash, scope, project_key HAVING count(*) > 1"))
 def exact_duplicates(spark, d):
-    return upkeep.exact_duplicates(ad.memories(spark, d)).withColumn("last_seen_s", seconds("last_seen_at")).drop("last_seen_at")
+    return upkeep.exact_duplicates(ad.memories(spark, d, False)).withColumn("last_seen_s", seconds("last_seen_at")).drop("last_seen_at")
 
 
 TOPICS = """topics AS (SELECT a.id AS a, b.id AS b, a.topic_key FROM memories a JOIN memories b ON a.topic_key = b.topic_key AND a.id < b.id
@@ -341,7 +341,7 @@ TOPICS = """topics AS (SELECT a.id AS a, b.id AS b, a.topic_key FROM memories a
 
 @query(sql("memories", f"+ {TOPICS} SELECT * FROM topics"))
 def same_topic_pairs(spark, d):
-    return upkeep.same_topic_pairs(ad.memories(spark, d))
+    return upkeep.same_topic_pairs(ad.memories(spark, d, False))
 
 
 PAIRS = f"""{NEAR}, {TOPICS},
@@ -534,7 +534,7 @@ def usage_conflicts(spark, d):
   FROM feedback f JOIN memories m ON m.id = f.memory_id AND m.revision = f.revision WHERE (support_valid_until IS NULL OR {NOW_S} < support_valid_until) AND NOT list_has_any(evidence_refs, ['e7', 'e11']) GROUP BY memory_id"""))
 def feedback_hints(spark, d):
     gone = spark.createDataFrame([("e7",), ("e11",)], "ref string")
-    return usage.hints(ad.feedback(spark, d), ad.memories(spark, d), gone, NOW())
+    return usage.hints(ad.feedback(spark, d), ad.memories(spark, d, False), gone, NOW())
 
 
 @query(sql("feedback", "SELECT basis, count(*) AS n, count(*) FILTER (signal = 'applied') AS applied, count(*) FILTER (signal = 'helpful') AS helpful, count(*) FILTER (signal = 'harmful') AS harmful, count(*) FILTER (signal = 'irrelevant') AS irrelevant FROM feedback GROUP BY basis"))
@@ -569,9 +569,9 @@ def issued_context(spark, d):
     return usage.issued(ad.audit(spark, d)).select("nonce", "id", seconds("created_at").alias("created_s"))
 
 
-@query(sql("audit", f"SELECT nonce, array_to_string(list_sort(list_distinct(list(k) FILTER (kind = 'save' AND k IS NOT NULL))), ',') AS saved FROM audit WHERE created_at >= {START} AND created_at < {START + 5000 * 60} GROUP BY nonce"))
+@query(sql("audit", f"SELECT nonce, array_to_string(list_sort(list_distinct(list(k) FILTER (kind = 'save' AND k IS NOT NULL))), ',') AS saved FROM audit WHERE created_at >= {START} AND created_at < {START + 10 ** 9} GROUP BY nonce"))
 def touched_ids(spark, d):
-    t = usage.touched_ids(ad.audit(spark, d), ad.at(START), ad.at(START + 5000 * 60))
+    t = usage.touched_ids(ad.audit(spark, d), ad.at(START), ad.at(START + 10**9))
     return t.select("nonce", F.when(F.size("saved") > 0, F.array_join("saved", ",")).alias("saved"))
 
 
@@ -611,13 +611,13 @@ def revision_latest(spark, d):
 
 @query(sql("memories", f"SELECT min(t) AS boundary_s FROM (SELECT valid_from AS t FROM memories UNION ALL SELECT valid_until FROM memories) WHERE t > {NOW_S - 100 * DAY}"))
 def validity_boundary(spark, d):
-    return lineage.next_boundary(ad.memories(spark, d), ad.at(NOW_S - 100 * DAY)).select(seconds("boundary").alias("boundary_s"))
+    return lineage.next_boundary(ad.memories(spark, d, False), ad.at(NOW_S - 100 * DAY)).select(seconds("boundary").alias("boundary_s"))
 
 
 @query(sql("memories", "SELECT greatest(max(id), 1000000) + 1 AS next_id FROM memories"))
 def next_memory_id(spark, d):
     gone = spark.createDataFrame([("memory", "1000000"), ("session", "9")], "kind string, identifier string")
-    return lineage.next_id(ad.memories(spark, d), gone)
+    return lineage.next_id(ad.memories(spark, d, False), gone)
 
 
 @query(sql("relations", "+ c AS (SELECT DISTINCT from_id AS root, from_id AS id FROM relations UNION SELECT c.root, r.to_id FROM c JOIN relations r ON r.from_id = c.id) SELECT root, count(*) AS n, min(id) AS least FROM c GROUP BY root", True))
@@ -641,7 +641,7 @@ def forget_closure(spark, d):
 @query(sql("memories relations evidence pending", f"+ {DEPENDS} SELECT count(*) AS left_over FROM memories WHERE id NOT IN (SELECT id FROM c)", True))
 def erased_table(spark, d):
     gone = lineage.forget(ad.pending(spark, d), ad.relations(spark, d), ad.evidence(spark, d))
-    return lineage.erase(ad.memories(spark, d), gone).agg(F.count("*").alias("left_over"))
+    return lineage.erase(ad.memories(spark, d, False), gone).agg(F.count("*").alias("left_over"))
 
 
 @query(sql("relations pending", "+ c AS (SELECT id AS root, id FROM pending UNION SELECT c.root, r.from_id FROM c JOIN relations r ON r.to_id = c.id) SELECT DISTINCT id FROM c WHERE id NOT IN (SELECT id FROM pending)", True))
@@ -665,13 +665,13 @@ def disclosure_closure(spark, d):
 def visible_evidence(spark, d):
     readable = AGENT.allows("read", F.col("scope"), F.col("project_key"))
     gone = spark.createDataFrame([("artifact:30",)], "source_ref string")
-    return lineage.visible_evidence(ad.evidence(spark, d), ad.memories(spark, d), readable, gone)
+    return lineage.visible_evidence(ad.evidence(spark, d), ad.memories(spark, d, False), readable, gone)
 
 
 @query(sql("memories relations", "+ c AS (SELECT DISTINCT from_id AS root, from_id AS id FROM relations UNION SELECT c.root, r.to_id FROM c JOIN relations r ON r.from_id = c.id) SELECT root, min(valid_until) AS until_s FROM c JOIN memories m ON m.id = c.id GROUP BY root", True))
 def support_until(spark, d):
     r = ad.relations(spark, d)
-    s = lineage.support_until(r.select(F.col("from_id").alias("id")).distinct(), r, ad.memories(spark, d))
+    s = lineage.support_until(r.select(F.col("from_id").alias("id")).distinct(), r, ad.memories(spark, d, False))
     return s.select("root", seconds("valid_until").alias("until_s"))
 
 
@@ -682,7 +682,7 @@ MARKS = "marks AS (SELECT m.id, m.content_hash, CASE WHEN m.id % 4 = 0 THEN 9 EL
 
 @query(sql("memories vecs", f"+ {MARKS} SELECT m.id, CASE WHEN k.id IS NULL THEN 'missing' ELSE 'outdated' END AS reason FROM memories m LEFT JOIN marks k ON k.id = m.id WHERE k.id IS NULL OR k.generation <> m.index_generation"))
 def stale_vectors(spark, d):
-    m = ad.memories(spark, d)
+    m = ad.memories(spark, d, False)
     marks = ad.vectors(spark, d).select("id").join(m.select("id", "content_hash", F.when(F.col("id") % 4 == 0, 9).otherwise(F.col("index_generation")).alias("generation")), "id")
     return indexes.stale_vectors(m, marks)
 
@@ -778,7 +778,7 @@ def mutation_state(spark, d):
 
 @query(sql("memories", """SELECT scope, project_key, 'topic-' || (id % 7) AS topic_key, arg_max(title, id) AS title, bool_or(pinned) AS pinned, count(*) AS saves FROM memories GROUP BY ALL"""))
 def topic_upsert(spark, d):
-    m = ad.memories(spark, d).select(F.col("id").alias("seq"), "scope", "project_key", F.concat(F.lit("topic-"), (F.col("id") % 7).cast("string")).alias("topic_key"), "title", "content", "pinned")
+    m = ad.memories(spark, d, False).select(F.col("id").alias("seq"), "scope", "project_key", F.concat(F.lit("topic-"), (F.col("id") % 7).cast("string")).alias("topic_key"), "title", "content", "pinned")
     return mutations.upsert_topics(m).select("scope", "project_key", "topic_key", "title", "pinned", "saves")
 
 
@@ -826,4 +826,4 @@ def context_pack(spark, d):
 @query(sql("memories audit", "SELECT a.id AS retrieval_id, bool_and(coalesce(m.revision = 1 + a.k % 2 AND m.state = 'active', false)) AS admitted FROM audit a LEFT JOIN memories m ON m.id = a.k WHERE a.kind = 'inject' GROUP BY a.id"))
 def context_admission(spark, d):
     i = ad.audit(spark, d).filter("kind = 'inject'").select(F.col("id").alias("retrieval_id"), F.col("k").alias("memory_id"), (1 + F.col("k") % 2).alias("revision"))
-    return context.admitted(i, ad.memories(spark, d)).select("retrieval_id", "admitted")
+    return context.admitted(i, ad.memories(spark, d, False)).select("retrieval_id", "admitted")
