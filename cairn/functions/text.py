@@ -39,6 +39,7 @@ NEGATION = (
     r"disable[ds]?|deprecated)\b"
 )
 REVIEW_MARKER = "[memory:review-reply v1"
+REVIEW_PROMPT = "[memory:review-prompt v1"
 
 
 def search_terms(text: Column) -> Column:
@@ -58,10 +59,27 @@ def strip_private(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)<private>[\s\S]*?</private>", "[private]")
 
 
+#: A piece of text without which the shape at the same place in SECRET_SHAPES can't be there.
+TELLTALE = (("-----BEGIN",), ("AKIA", "ASIA"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("glpat-",), ("xox",), ("sk-",), ("eyJ",), ("Bearer", "Basic"), ("=", ":"))
+
+
+def _replaced(text: Column, telltale: tuple[str, ...], pattern: str, put: str) -> Column:
+    """The pattern replaced where one of the pieces is there, which is quicker to see than to search with the pattern."""
+
+    def one(t: Column) -> Column:
+        some = F.contains(t, F.lit(telltale[0]))
+        for x in telltale[1:]:
+            some |= F.contains(t, F.lit(x))
+        return F.when(some, F.regexp_replace(t, pattern, put)).otherwise(t)
+
+    # A one-element array binds the text, which would be worked out anew at each mention.
+    return F.get(F.transform(F.array(text), one), F.lit(0))
+
+
 def redact(text: Column) -> Column:
-    out = strip_private(text)
-    for pattern, put in SECRET_SHAPES:
-        out = F.regexp_replace(out, pattern, put)
+    out = _replaced(text, ("<",), r"(?i)<private>[\s\S]*?</private>", "[private]")
+    for (pattern, put), telltale in zip(SECRET_SHAPES, TELLTALE):
+        out = _replaced(out, telltale, pattern, put)
     return out
 
 
@@ -152,3 +170,20 @@ def review_headline(saved: Column, updated: Column) -> Column:
 
     both = F.concat_ws(", ", part("saved", saved), part("updated", updated))
     return F.concat(F.lit("Memory review: "), F.when(both != "", both).otherwise("nothing new"))
+
+
+def user_view(text: Column) -> Column:
+    """How a user's message is shown: a review's prompt is hidden unless it asks to be shown in full."""
+    start = r"^\s*" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in REVIEW_PROMPT) + r"(?: (collapsed|full|hidden))?\]"
+    how = F.regexp_extract(text, start, 1)
+    return F.when(text.rlike(start) & (how != "full"), "hidden").otherwise("shown")
+
+
+def assistant_view(text: Column, phase: Column) -> Column:
+    """How an assistant's message is shown: a review's reply as a review, in full or not at all, as it says; the beginning
+    of one is hidden while it is still arriving."""
+    head = F.ltrim(text)
+    partial = (phase == "streaming") & (head != "") & F.startswith(F.lit(REVIEW_MARKER), F.substring(head, 1, len(REVIEW_MARKER)))
+    is_reply = F.startswith(head, F.lit(REVIEW_MARKER)) & F.contains(head, F.lit("]"))
+    how = review_reply(text)["display"]
+    return F.when(is_reply, F.when(how == "full", "shown").when(how == "hidden", "hidden").otherwise("review")).when(partial, "hidden").otherwise("shown")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut, reach
+
 AGENT_OPERATIONS = ("read", "write", "delete")
 
 
@@ -60,9 +62,59 @@ def current(now: Column) -> Column:
     )
 
 
+#: Sources beyond which a memory counts as out of date, as nobody could check them all.
+MOST_SOURCES = 1024
+
+
+def node(id_: str, revision: str) -> Column:
+    """A memory at one of its revisions, as a node of the graph of sources."""
+    return F.concat(F.col(id_).cast("string"), F.lit("@"), F.col(revision).cast("string"))
+
+
+def source_edges(relations: DataFrame) -> DataFrame:
+    """src (the source) and dst (what derives from it), both at the revisions that the relation names."""
+    r = relations.filter("kind = 'derived_from'")
+    return r.select(node("to_id", "to_revision").alias("src"), node("from_id", "from_revision").alias("dst"))
+
+
+def out_of_date(memories: DataFrame, relations: DataFrame, now: Column) -> DataFrame:
+    """id and revision of what derives, at any distance, from a source that is gone, has moved on to another revision or
+    isn't current, or from more than MOST_SOURCES sources. Starts from the sources that fail and follows the edges, so the
+    work follows what is out of date and not all chains; only widths are counted for every memory."""
+    edges = source_edges(relations)
+    held = memories.filter(F.col("deleted_at").isNull() & current(now)).select(node("id", "revision").alias("src"))
+    broken = edges.join(held, "src", "left_anti").select(F.col("dst").alias("id")).distinct()
+    bad = reach(broken, edges).select("id")
+    wide = too_wide(edges, MOST_SOURCES)
+    gone = bad.union(wide).distinct()
+    return gone.select(F.split_part("id", F.lit("@"), F.lit(1)).cast("long").alias("id"), F.split_part("id", F.lit("@"), F.lit(2)).cast("long").alias("revision"))
+
+
+def too_wide(edges: DataFrame, most: int) -> DataFrame:
+    """id of the nodes with more than `most` ancestors. Ancestors are gathered level by level; a node that has passed the
+    limit is decided and not followed further."""
+    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    start = edges.select(F.col("dst").alias("id")).distinct()
+    if edges.count() <= most:  # so few edges can't make it
+        return start.filter(F.lit(False))
+    seen = cut(start.select(F.col("id").alias("root"), "id"))
+    fresh, wide = seen, start.filter(F.lit(False))
+    while not fresh.isEmpty():
+        step = fresh.join(up, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
+        fresh = cut(step.join(seen, ["root", "id"], "left_anti"))
+        seen = seen.unionByName(fresh)
+        over = cut(seen.groupBy("root").count().filter(F.col("count") > most + 1).select(F.col("root").alias("id")))
+        wide = wide.union(over)
+        fresh = fresh.join(over, F.col("root") == over["id"], "left_anti")
+    return wide.distinct()
+
+
 def without_invalid_sources(memories: DataFrame, invalid: DataFrame) -> DataFrame:
-    """Rows none of whose sources (transitively) is out of date; invalid holds the ids found by the closure."""
-    return memories.join(invalid.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti")
+    """Rows none of whose sources (transitively) is out of date; invalid holds the ids, or ids and revisions, of out_of_date()."""
+    on = F.col("id") == F.col("_i")
+    if "revision" in invalid.columns and "revision" in memories.columns:
+        return memories.join(invalid.select(F.col("id").alias("_i"), F.col("revision").alias("_r")), on & (F.col("revision") == F.col("_r")), "left_anti")
+    return memories.join(invalid.select(F.col("id").alias("_i")), on, "left_anti")
 
 
 def quarantined(memories: DataFrame, relations: DataFrame, pending: DataFrame, mode: str = "global", ancestry: DataFrame | None = None) -> DataFrame:
@@ -80,14 +132,57 @@ def quarantined(memories: DataFrame, relations: DataFrame, pending: DataFrame, m
     return df.filter(~waits).drop("_any", "_d")
 
 
-def session_filter(sessions: DataFrame, access: Access, tombstones: DataFrame, scope: str = "all") -> DataFrame:
-    """Sessions belong to projects only, and a forgotten session or caller hides them."""
+def session_filter(sessions: DataFrame, access: Access, tombstones: DataFrame, scope: str = "all", links: DataFrame | None = None) -> DataFrame:
+    """Sessions belong to projects only; a forgotten session hides itself, and a forgotten caller the sessions of every
+    agent that it was linked to (links: nonce, agent_id)."""
     _, projects = access.reach(scope)
     if projects == "none":
         return sessions.filter(F.lit(False))
     df = sessions if projects == "every" else sessions.filter(F.col("project_key") == access.project)
-    gone = tombstones.filter(F.col("kind").isin("session", "caller")).select(F.col("identifier").alias("_t")).distinct()
-    return df.join(gone, F.col("id").cast("string") == F.col("_t"), "left_anti")
+    gone = tombstones.filter("kind = 'session'").select(F.col("identifier").alias("_t"))
+    callers = tombstones.filter("kind = 'caller'").select(F.col("identifier").alias("nonce"))
+    if links is None:
+        gone = gone.union(callers)
+    else:
+        gone = gone.union(links.join(callers, "nonce", "left_semi").select(F.col("agent_id").cast("string")))
+    return df.join(gone.distinct(), F.col("id").cast("string") == F.col("_t"), "left_anti")
+
+
+def invalidated(callers: DataFrame, tombstones: DataFrame, links: DataFrame) -> DataFrame:
+    """callers(nonce, agent_id, principal_id) that hold something forgotten: by themselves, by an agent that their nonce is
+    linked to, or by another nonce of their agent."""
+    t = {k: tombstones.filter(F.col("kind") == k).select(F.col("identifier").alias("_t")).distinct() for k in ("caller", "session", "principal")}
+    agents = links.join(t["caller"], F.col("nonce") == F.col("_t"), "left_semi").select(F.col("agent_id").alias("_t")).distinct()
+    nonces = links.join(t["session"], F.col("agent_id") == F.col("_t"), "left_semi").select(F.col("nonce").alias("_t")).distinct()
+    out = None
+    for column, gone in (("nonce", t["caller"].union(nonces)), ("agent_id", t["session"].union(agents)), ("principal_id", t["principal"])):
+        hit = callers.join(gone.distinct(), F.col(column) == F.col("_t"), "left_semi")
+        out = hit if out is None else out.union(hit)
+    return out.distinct()
+
+
+def historical_allowed(access: Access, scope: Column, project_key: Column) -> Column:
+    """Whether a snapshot may be read: by its own namespace; one without a known namespace is the owner's alone."""
+    known = ((scope == "global") & project_key.isNull()) | ((scope == "project") & (project_key != ""))
+    return F.when(F.coalesce(known, F.lit(False)), access.allows("read", scope, project_key)).otherwise(F.lit(access.owner))
+
+
+def visible_ids(memories: DataFrame, ids: DataFrame, access: Access, now: Column, scope: str = "all", types: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """The rows of a list of ids that may be read now."""
+    return memories.filter(access.memory_filter(now, scope, types, kinds)).join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def rows_by_id(memories: DataFrame, ids: DataFrame, live: bool = True) -> DataFrame:
+    """The rows of a list of ids, whoever asks: the live ones, or the removed ones."""
+    gone = F.col("deleted_at").isNull() if live else F.col("deleted_at").isNotNull()
+    return memories.filter(gone).join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def own_proposals(memories: DataFrame, revisions: DataFrame, access: Access, actor: str) -> DataFrame:
+    """Candidates whose first revision the actor wrote and whose namespace the actor may read."""
+    first = revisions.filter((F.col("revision") == 1) & (F.col("actor_id") == actor)).select(F.col("memory_id").alias("id"))
+    m = memories.filter((F.col("state") == "candidate") & F.col("deleted_at").isNull() & access.allows("read", F.col("scope"), F.col("project_key")))
+    return m.join(first, "id", "left_semi")
 
 
 def denied_ids(ids: DataFrame, memories: DataFrame, access: Access) -> DataFrame:

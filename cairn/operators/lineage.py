@@ -2,38 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in a folder of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
-def closure(start: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """root, id and depth of everything reachable from start(id) over edges(src, dst), start included. Breadth first: a
-    round joins only the newest rows and drops what is known, so cycles end. More than limit rows of one root is an
-    error, as a closure that is cut short would leak."""
-    seen = _cut(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
-    fresh, depth = seen, 0
-    while not fresh.isEmpty():
-        depth += 1
-        step = fresh.join(edges, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
-        fresh = _cut(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(fresh)
-        if depth % 10 == 0:
-            seen = _cut(seen)
-    if limit is not None:
-        over = seen.groupBy("root").count().filter(F.col("count") > limit)
-        if not over.isEmpty():
-            raise ValueError(f"a closure has more than {limit} rows")
-    return seen
+from .access import node, source_edges
+from .graph import closure, reach
 
 
 def sources_of(ids: DataFrame, relations: DataFrame, limit: int = 1024) -> DataFrame:
@@ -72,8 +45,7 @@ def tombstones(gone: DataFrame, at: Column) -> DataFrame:
 def propagate(pending: DataFrame, relations: DataFrame) -> DataFrame:
     """Everything that must be checked again once pending(id) are invalid, by distance."""
     edges = relations.filter("kind = 'derived_from'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    seen = closure(pending, edges)
-    return seen.groupBy("id").agg(F.min("depth").alias("distance")).filter("distance > 0")
+    return reach(pending, edges).filter("depth > 0").select("id", F.col("depth").alias("distance"))
 
 
 def disclosed(start: DataFrame, shows: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -93,6 +65,16 @@ def as_of(revisions: DataFrame, at: Column) -> DataFrame:
     return snap.filter(held).select("memory_id", "s.revision", "s.content")
 
 
+def as_of_with_sources(revisions: DataFrame, relations: DataFrame, at: Column) -> DataFrame:
+    """as_of() without what derived, at that time, from a source that had no such revision then, had moved on from it, or
+    whose snapshot didn't hold."""
+    held = as_of(revisions, at)
+    edges = source_edges(relations)
+    broken = edges.join(held.select(node("memory_id", "revision").alias("src")), "src", "left_anti").select(F.col("dst").alias("id"))
+    gone = reach(broken, edges).select(F.col("id").alias("_n"))
+    return held.join(gone, node("memory_id", "revision") == F.col("_n"), "left_anti")
+
+
 def next_boundary(memories: DataFrame, now: Column) -> DataFrame:
     """When the visible set next changes by itself."""
     ends = memories.select(F.col("valid_from").alias("t")).unionByName(memories.select(F.col("valid_until").alias("t")))

@@ -1,145 +1,425 @@
 """Folding an ordered log of change requests into revisions and receipts.
 
-Requests of one family of memories (those that a merge or supersession ties together) are folded in log order by one
-grouped fold; families run side by side. A request is replayed if its principal has sent it before, refused if its body
-differs, checked against the revision it expects, and applied.
+Requests of one family of memories (those that merges, supersessions and citations tie together) are folded in log order
+by one grouped fold; families run side by side. A request is replayed if its principal has sent it before, refused if its
+body differs, then authorised, checked against the revision that it expects, checked for its fields and its evidence, and
+applied. What it changes makes the memories that derive from the old revision wait for a check.
+
+Order is what the log means, so a family can't be split: it is as large as its memories' history.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SECRET_SHAPES
+
 #: Fields that each operation may change (fixed values).
+COMMON = {"title", "content", "type", "scope", "project", "topicKey", "pinned", "recordKind", "validFrom", "validUntil"}
 ALLOWED = {
-    "create": {"title", "content", "type"},
-    "propose": {"title", "content", "type"},
-    "update": {"title", "content", "type", "pinned"},
+    "create": COMMON | {"state"},
+    "propose": COMMON | {"state"},
+    "update": COMMON,
     "archive": set(),
     "reject": set(),
-    "restore": set(),
     "promote": set(),
+    "forget": set(),
+    "restore": {"sourceRevision"},
     "merge": {"target"},
     "supersede": {"target"},
-    "undo_merge": set(),
-    "forget": set(),
+    "undo_merge": {"mergeId", "target"},
 }
+#: What an agent needs leave for by operation, what only the owner may do, and fields whose change is another claim.
+NEEDS = {"archive": "delete", "forget": "delete", "merge": "merge", "undo_merge": "merge", "restore": "restore"}
+AGENT_MAY = ("write", "delete")
+OWNER_ONLY = ("promote", "reject", "forget")
 PROMOTABLE = ("candidate", "needs_recheck", "archived")
+CLAIM = {"title": "title", "content": "content", "type": "type", "scope": "scope", "recordKind": "record_kind", "validFrom": "valid_from", "validUntil": "valid_until"}
+MOST_DIFFERENCES = 12
+REQUEST = "family, seq, principal_id, request_id, operation, memory_id, expected_revision, change, agent, project, evidence"
 RECEIPT = (
     "family long, seq long, principal_id string, request_id string, memory_id long, operation string, status string, "
-    "error string, revision long, state string, title string, content string, merged_into long"
+    "error string, revision long, state string, title string, content string, merged_into long, verification string, "
+    "evidence array<string>, validation string, diff array<string>, rechecked array<long>"
 )
 
+_SHAPES = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", put)) for p, put in SECRET_SHAPES]
+_PRIVATE = re.compile(r"<private>[\s\S]*?</private>", re.I)
+
+
+def redacted(text: str) -> str:
+    """text.redact() for one string, trimmed."""
+    out = _PRIVATE.sub("[private]", text)
+    for pattern, put in _SHAPES:
+        out = pattern.sub(put, out)
+    return out.strip()
+
+
+def canonical(value: object) -> str:
+    """JSON with sorted keys and without those that have no value."""
+
+    def bare(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: bare(v) for k, v in x.items() if v is not None}
+        return [bare(v) for v in x] if isinstance(x, list) else x
+
+    return json.dumps(bare(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def body_hash(operation: str, memory_id: int, expected: int | None, change: dict | None, evidence: list | None = None) -> str:
+    """Digest of a request in canonical form."""
+    body = {"operation": operation, "id": memory_id, "expected": expected, "change": change, "evidence": evidence or None}
+    return hashlib.sha256(canonical(body).encode()).hexdigest()
 
-def body_hash(operation: str, memory_id: int, expected: int | None, change: str | None) -> str:
-    """Digest of a request in canonical form: keys sorted, nulls left out."""
-    body = {"operation": operation, "id": memory_id, "expected": expected, "change": json.loads(change) if change else None}
-    return hashlib.sha256(json.dumps({k: v for k, v in body.items() if v is not None}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+class Refused(ValueError):
+    """A request that is not applied; its text is the code."""
+
+    def __init__(self, code: str, diff: list[str] | None = None):
+        super().__init__(code)
+        self.diff = diff or []
 
 
 class Memory(dict):
-    """A memory being folded."""
-
-    def claim(self) -> tuple:
-        return self["title"], self["content"], self["type"]
-
-
-def apply(memories: dict[int, Memory], operation: str, memory_id: int, expected: int | None, change: dict, agent: bool) -> Memory:
-    """The changed memory; ValueError names the refusal."""
-    m = memories.get(memory_id)
-    if set(change) - ALLOWED[operation]:
-        raise ValueError("invalid_input")
-    if operation in ("create", "propose"):
-        if m is not None:
-            raise ValueError("invalid_state")
-        state = "candidate" if operation == "propose" or agent else "active"
-        new = Memory(title=change.get("title"), content=change.get("content"), type=change.get("type", "note"), state=state, revision=1, merged_into=None, pinned=False, before=None)
-        if any(o.claim() == new.claim() and o["state"] == "active" for o in memories.values()):
-            raise ValueError("duplicate")
-        memories[memory_id] = new
-        return new
-    if m is None or m["state"] == "forgotten":
-        raise ValueError("not_found")
-    if expected is not None and expected != m["revision"]:
-        raise ValueError("revision_conflict")
-    if operation == "update":
-        after = Memory(m | {k: v for k, v in change.items() if v is not None})
-        if after == m:
-            raise ValueError("unchanged")
-        if agent and after.claim() != m.claim():
-            after["state"] = "candidate"
-        m.update(after)
-    elif operation == "archive":
-        if m["state"] == "archived":
-            raise ValueError("invalid_state")
-        m["state"] = "archived"
-    elif operation == "reject":
-        if m["state"] != "candidate":
-            raise ValueError("invalid_state")
-        m["state"] = "rejected"
-    elif operation == "restore":
-        if m["state"] not in ("archived", "rejected"):
-            raise ValueError("invalid_state")
-        m["state"] = "candidate"
-    elif operation == "promote":
-        if m["state"] not in PROMOTABLE or agent:
-            raise ValueError("invalid_state" if not agent else "scope_denied")
-        m["state"] = "active"
-    elif operation in ("merge", "supersede"):
-        target = memories.get(change.get("target"))
-        if target is None or target is m or target["state"] != "active" or m["state"] != "active":
-            raise ValueError("invalid_state")
-        m.update(state="superseded", merged_into=change["target"], before=m["revision"])
-    elif operation == "undo_merge":
-        if m["merged_into"] is None or m["before"] is None or m["revision"] != m["before"] + 1:
-            raise ValueError("invalid_state")
-        m.update(state="active", merged_into=None, before=None)
-    elif operation == "forget":
-        m.update(state="forgotten", title=None, content=None)
-    m["revision"] += 1
-    return m
+    """A memory being folded: its fields, with `evidence` (name to whether it resolves) of its present revision."""
 
+    @property
+    def namespace(self) -> tuple[str, str | None]:
+        return self["scope"], self["project_key"]
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    memories: dict[int, Memory] = {}
-    seen: dict[tuple, tuple[str, dict]] = {}
-    out = []
-    for r in group.sort_values("seq").itertuples():
-        expected = None if pd.isna(r.expected_revision) else int(r.expected_revision)
-        change = None if r.change is None or pd.isna(r.change) else r.change
-        key, digest = (r.principal_id, r.request_id), body_hash(r.operation, r.memory_id, expected, change)
-        row = {"family": r.family, "seq": r.seq, "principal_id": r.principal_id, "request_id": r.request_id, "memory_id": r.memory_id, "operation": r.operation}
-        if key in seen:
-            same = seen[key][0] == digest
-            out.append(row | (seen[key][1] | {"status": "replayed"} if same else {"status": "refused", "error": "request_conflict"}))
-            continue
+    def fields(self) -> dict:
+        return {k: v for k, v in self.items() if k not in ("revision", "evidence", "snapshots")}
+
+
+class Store:
+    """The memories of a family, and what is needed to judge the next request."""
+
+    def __init__(self) -> None:
+        self.memories: dict[int, Memory] = {}
+        self.forgotten: set[int] = set()
+        self.sources_gone: set[str] = set()
+        self.merges: dict[int, dict] = {}
+        self.seen: dict[tuple, tuple[str, dict, str, int]] = {}
+        self.rechecked: list[int] = []
+
+    # ---- checks
+
+    @staticmethod
+    def may(agent: bool, project: str | None, operation: str, namespace: tuple[str, str | None]) -> bool:
+        if not agent:
+            return True
+        return operation in AGENT_MAY and (namespace[0] == "global" or (project is not None and namespace[1] == project))
+
+    def authorize(self, r: dict, current: Memory | None) -> None:
+        change, agent = r["change"], r["agent"]
+        if r["operation"] not in ("create", "propose"):
+            if current is None or not self.may(agent, r["project"], NEEDS.get(r["operation"], "write"), current.namespace):
+                raise Refused("scope_denied")
+            if agent and current["record_kind"] == "preference":
+                raise Refused("scope_denied")
+        if agent and (r["operation"] in OWNER_ONLY or change.get("state") == "active" or change.get("recordKind") == "preference"):
+            raise Refused("scope_denied")
+        if "scope" in change or "project" in change:
+            scope = change.get("scope") or (current["scope"] if current else "global")
+            key = None if scope == "global" else change.get("project") or (current["project_key"] if current else None)
+            if (scope == "project" and not key) or not self.may(agent, r["project"], "write", (scope, key)):
+                raise Refused("scope_denied")
+            if change.get("project") and not self.may(agent, r["project"], "write", ("project", change["project"])):
+                raise Refused("scope_denied")
+
+    @staticmethod
+    def assert_revision(r: dict, current: Memory | None) -> None:
+        if r["operation"] in ("create", "propose"):
+            return
+        expected = r["expected"]
+        if expected is None or expected != current["revision"]:
+            old = current["snapshots"].get(expected, {}) if expected is not None else {}
+            differs = [k for k, v in current.fields().items() if old.get(k) != v]
+            raise Refused("revision_conflict", differs[:MOST_DIFFERENCES])
+
+    def evidence(self, r: dict) -> tuple[dict[str, bool], str]:
+        """What is supplied, and whether all of it resolves. Names are `memory:id@revision` or others; one that ends with
+        `!` is out of the caller's reach, one with `?` doesn't resolve."""
+        given = {}
+        for ref in r["evidence"] or []:
+            bare = ref.rstrip("!?")
+            if bare in self.sources_gone:
+                raise Refused("context_invalidated")
+            if ref.endswith("!"):
+                raise Refused("scope_denied")
+            given[bare] = not ref.endswith("?") and self.resolves(bare)
+        return given, "none" if not given else "resolved" if all(given.values()) else "unresolved"
+
+    def resolves(self, ref: str) -> bool:
+        m = re.fullmatch(r"memory:(\d+)@(\d+)", ref)
+        if not m:
+            return True
+        source = self.memories.get(int(m[1]))
+        return source is not None and source["revision"] == int(m[2]) and source["state"] == "active" and not source["deleted"]
+
+    # ---- changes
+
+    def apply(self, r: dict) -> tuple[str, Memory, str]:
+        """status, the memory and how its evidence was judged."""
+        current = self.memories.get(r["memory_id"])
+        self.authorize(r, current)
+        self.assert_revision(r, current)
+        if set(k for k, v in r["change"].items() if v is not None) - ALLOWED[r["operation"]]:
+            raise Refused("invalid_input")
+        given, outcome = self.evidence(r)
+        self.rechecked = []
+        if r["operation"] in ("create", "propose"):
+            return self.create(r, given, outcome)
+        if r["operation"] == "forget":
+            return self.forget(current)
+        if r["operation"] in ("merge", "supersede"):
+            return self.replace(r, current, given, outcome)
+        if r["operation"] == "undo_merge":
+            return self.undo(r, current, given, outcome)
+        return self.update(r, current, given, outcome)
+
+    def create(self, r: dict, given: dict[str, bool], outcome: str) -> tuple[str, Memory, str]:
+        change, agent = r["change"], r["agent"]
+        if r["memory_id"] in self.memories or r["memory_id"] in self.forgotten:
+            raise Refused("invalid_state")
+        if not change.get("title") or not change.get("content"):
+            raise Refused("invalid_input")
+        scope = change.get("scope") or "global"
+        key = change.get("project") if scope == "project" else None
+        if (scope == "project" and not key) or not self.may(agent, r["project"], "write", (scope, key)):
+            raise Refused("scope_denied")
+        type_ = change.get("type") or "note"
+        kind = change.get("recordKind") or ("preference" if type_ == "preference" and not agent else "fact")
+        if kind == "procedure_ref" and not change["content"].startswith("playbook:"):
+            raise Refused("invalid_input")
+        self.interval(change.get("validFrom"), change.get("validUntil"))
+        waits = r["operation"] == "propose" or agent or outcome == "unresolved" or kind == "lesson" or (kind == "derived_summary" and outcome != "resolved")
+        new = Memory(
+            title=redacted(change["title"]), content=redacted(change["content"]), type=type_, scope=scope, project_key=key,
+            topic_key=change.get("topicKey"), pinned=bool(change.get("pinned")), record_kind=kind, state="candidate" if waits else change.get("state") or "active",
+            verification="verified" if outcome == "resolved" else "unverified", valid_from=change.get("validFrom"), valid_until=change.get("validUntil"),
+            merged_into=None, deleted=False, revision=1, evidence=given, snapshots={},
+        )
+        same = ("title", "content", "type", "scope", "project_key", "record_kind", "valid_from", "valid_until")
+        twin = next((m for m in self.memories.values() if not m["deleted"] and all(m[k] == new[k] for k in same)), None)
+        if twin is not None:
+            return "duplicate", twin, outcome
+        self.memories[r["memory_id"]] = new
+        self.snapshot(new)
+        return "created", new, outcome
+
+    def update(self, r: dict, m: Memory, given: dict[str, bool], outcome: str) -> tuple[str, Memory, str]:
+        op, change = r["operation"], dict(r["change"])
+        source = None
+        if op == "restore":
+            source = change.get("sourceRevision")
+            if source is None or source not in m["snapshots"]:
+                raise Refused("invalid_input")
+            old = m["snapshots"][source]
+            if r["agent"] and old.get("scope") is None:
+                raise Refused("scope_denied")
+            change = {"title": old["title"], "content": old["content"], "type": old["type"], "pinned": old["pinned"], "recordKind": old["record_kind"], "validFrom": old["valid_from"], "validUntil": old["valid_until"]}
+        claimed = self.claim_changed(m, change)
+        after = Memory(m)
+        for key, column in (*CLAIM.items(), ("topicKey", "topic_key"), ("pinned", "pinned")):
+            if key in change:
+                after[column] = redacted(str(change[key])) if key in ("title", "content") else change[key]
+        after["project_key"] = None if after["scope"] == "global" else change.get("project") or m["project_key"]
+        self.interval(after["valid_from"], after["valid_until"])
+        after["state"] = self.next_state(op, r["agent"], m, claimed, outcome)
+        if outcome == "resolved" or op == "promote":
+            after["verification"] = "verified"
+        elif outcome == "unresolved" or claimed:
+            after["verification"] = "unverified"
+        # Verification is dated, so a promotion is a change even where no other field is.
+        if after == m and not given and op != "promote":
+            return "unchanged", m, outcome
+        after.update(deleted=after["state"] == "archived", merged_into=None)
+        if given:
+            after["evidence"] = given
+        elif op == "promote" or (op != "restore" and claimed) or (op == "restore" and source is None):
+            after["evidence"] = {}
+        elif op == "restore":
+            after["evidence"] = dict(m["snapshots"][source]["evidence"])
+        self.advance(r["memory_id"], m, after)
+        return "updated", m, outcome
+
+    @staticmethod
+    def next_state(op: str, agent: bool, m: Memory, claimed: bool, outcome: str) -> str:
+        if op == "promote":
+            if m["state"] not in PROMOTABLE:
+                raise Refused("invalid_state")
+            if m["record_kind"] == "derived_summary" and outcome != "resolved":
+                raise Refused("invalid_input")
+            return "active"
+        fixed = {"archive": "archived", "reject": "rejected", "restore": "candidate"}
+        if op in fixed:
+            return fixed[op]
+        if outcome == "unresolved" or (claimed and (agent or m["record_kind"] == "derived_summary")):
+            return "candidate"
+        return m["state"]
+
+    @staticmethod
+    def claim_changed(m: Memory, change: dict) -> bool:
+        if change.get("project") and (change.get("scope") or m["scope"]) == "project" and change["project"] != m["project_key"]:
+            return True
+        return any((redacted(str(change[k])) if k in ("title", "content") else change[k]) != m[c] for k, c in CLAIM.items() if k in change)
+
+    @staticmethod
+    def interval(start: str | None, end: str | None) -> None:
+        if start and end and start >= end:
+            raise Refused("invalid_input")
+
+    def replace(self, r: dict, m: Memory, given: dict[str, bool], outcome: str) -> tuple[str, Memory, str]:
+        if m["deleted"] or m["state"] in ("archived", "superseded"):
+            raise Refused("invalid_input")
+        target = r["change"].get("target") or {}
+        if not target.get("id") or target["id"] == r["memory_id"]:
+            raise Refused("invalid_input")
+        other = self.memories.get(target["id"])
+        if other is None or other["state"] != "active" or not self.may(r["agent"], r["project"], "write", other.namespace):
+            raise Refused("scope_denied")
+        if other["revision"] != target.get("revision"):
+            raise Refused("revision_conflict")
+        if other.namespace != m.namespace:
+            raise Refused("scope_denied")
+        if r["operation"] == "merge":
+            self.merges[r["seq"]] = {"source": r["memory_id"], "target": target["id"], "state": m["state"], "undone": False}
+        self.advance(r["memory_id"], m, Memory(m | {"state": "superseded", "deleted": True, "merged_into": target["id"], "evidence": given or m["evidence"]}))
+        return "updated", m, outcome
+
+    def undo(self, r: dict, m: Memory, given: dict[str, bool], outcome: str) -> tuple[str, Memory, str]:
+        target, merge_id = r["change"].get("target") or {}, r["change"].get("mergeId")
+        if not target.get("id") or not merge_id:
+            raise Refused("invalid_input")
+        other = self.memories.get(target["id"])
+        if other is None or not self.may(r["agent"], r["project"], "merge", other.namespace):
+            raise Refused("scope_denied")
+        if other["revision"] != target.get("revision"):
+            raise Refused("revision_conflict")
+        merge = self.merges.get(merge_id)
+        if not merge or merge["source"] != r["memory_id"] or merge["target"] != target["id"] or merge["undone"] or m["merged_into"] != target["id"]:
+            raise Refused("revision_conflict")
+        if m["topic_key"] and any(o is not m and not o["deleted"] and o.namespace == m.namespace and o["topic_key"] == m["topic_key"] for o in self.memories.values()):
+            raise Refused("request_conflict")
+        sound = outcome != "unresolved" and all(ok and self.resolves(ref) for ref, ok in m["evidence"].items())
+        state = "needs_recheck" if merge["state"] == "active" and not sound else merge["state"]
+        merge["undone"] = True
+        if m["evidence"] and outcome != "unresolved":
+            outcome = "resolved" if sound else "unresolved"
+        self.advance(r["memory_id"], m, Memory(m | {"state": state, "deleted": False, "merged_into": None, "evidence": given or m["evidence"]}))
+        return "updated", m, outcome
+
+    def forget(self, m: Memory) -> tuple[str, Memory, str]:
+        """Takes out the memory, what derives from it or cites it, and what shares a source with one of those."""
+        number = {id(x): i for i, x in self.memories.items()}
+        gone, todo = set(), [number[id(m)]]
+        while todo:
+            i = todo.pop()
+            if i in gone:
+                continue
+            gone.add(i)
+            own = set(self.memories[i]["evidence"])
+            todo += [j for j, o in self.memories.items() if j not in gone and (own & set(o["evidence"]) or any(ref.startswith(f"memory:{i}@") for ref in o["evidence"]))]
+        out = Memory(m | {"state": "archived", "title": None, "content": None, "evidence": {}})
+        for i in gone:
+            self.sources_gone |= set(self.memories[i]["evidence"]) | {f"memory:{i}@{k}" for k in self.memories[i]["snapshots"]}
+            del self.memories[i]
+        self.merges = {k: x for k, x in self.merges.items() if not {x["source"], x["target"]} & gone}
+        self.forgotten |= gone
+        self.rechecked = sorted(gone - {number[id(m)]})
+        return "forgotten", out, "none"
+
+    def snapshot(self, m: Memory) -> None:
+        m["snapshots"][m["revision"]] = m.fields() | {"evidence": dict(m["evidence"])}
+
+    def advance(self, memory_id: int, m: Memory, after: Memory) -> None:
+        """A new revision; whoever derives from the old one waits for a check, and so on."""
+        old = m["revision"]
+        m.update(after, revision=old + 1)
+        self.snapshot(m)
+        todo = [(memory_id, old)]
+        while todo:
+            ref = "memory:{}@{}".format(*todo.pop())
+            for i, o in self.memories.items():
+                if ref in o["evidence"] and o["state"] in ("active", "candidate") and o is not m:
+                    o.update(state="needs_recheck", verification="unresolved", revision=o["revision"] + 1)
+                    o["evidence"][ref] = False
+                    self.snapshot(o)
+                    self.rechecked.append(i)
+                    todo.append((i, o["revision"] - 1))
+
+    # ---- the log
+
+    def take(self, r: dict) -> dict:
+        """The receipt of a request."""
+        key, digest = (r["principal_id"], r["request_id"]), body_hash(r["operation"], r["memory_id"], r["expected"], r["change"], r["evidence"])
+        if key in self.seen:
+            before, receipt, operation, memory_id = self.seen[key]
+            if memory_id in self.forgotten and operation != "forget":
+                return {"status": "refused", "error": "context_invalidated"}
+            now = self.memories.get(memory_id)
+            if now is not None and not self.may(r["agent"], r["project"], "write", now.namespace):
+                return {"status": "refused", "error": "scope_denied"}
+            return receipt | {"status": "replayed"} if before == digest else {"status": "refused", "error": "request_conflict"}
         try:
-            m = apply(memories, r.operation, r.memory_id, expected, json.loads(change) if change else {}, bool(r.agent))
-            result = {"status": "applied", "error": None, **{k: m[k] for k in ("revision", "state", "title", "content", "merged_into")}}
-            seen[key] = digest, result
-        except ValueError as e:
-            result = {"status": "refused", "error": str(e)}
-        out.append(row | result)
+            status, m, outcome = self.apply(r)
+        except Refused as e:
+            return {"status": "refused", "error": str(e), "diff": e.diff or None}
+        receipt = {
+            "status": status, "error": None, **{k: m[k] for k in ("revision", "state", "title", "content", "merged_into", "verification")},
+            "evidence": sorted(m["evidence"]), "validation": outcome, "rechecked": sorted(self.rechecked),
+        }
+        self.seen[key] = digest, receipt, r["operation"], r["memory_id"]
+        return receipt
+
+
+def _fold(group: pd.DataFrame) -> pd.DataFrame:
+    store, out = Store(), []
+    for x in group.sort_values("seq").itertuples():
+        r = {
+            "seq": int(x.seq), "principal_id": x.principal_id, "request_id": x.request_id, "operation": x.operation, "memory_id": int(x.memory_id),
+            "expected": None if pd.isna(x.expected_revision) else int(x.expected_revision), "change": json.loads(x.change) if isinstance(x.change, str) else {},
+            "agent": bool(x.agent), "project": x.project if isinstance(x.project, str) else None, "evidence": [str(e) for e in x.evidence] if hasattr(x.evidence, "__len__") else None,
+        }
+        out.append({"family": x.family, **{k: r[k] for k in ("seq", "principal_id", "request_id", "memory_id", "operation")}} | store.take(r))
     names = [c.split()[0] for c in RECEIPT.split(", ")]
-    df = pd.DataFrame(out, columns=names)
+    df = pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in names})
     return df.astype({c: "Int64" for c in ("revision", "merged_into")})
 
 
 def fold(requests: DataFrame) -> DataFrame:
-    """Receipts of requests(family, seq, principal_id, request_id, operation, memory_id, expected_revision, change, agent)."""
-    return requests.groupBy("family").applyInPandas(_fold, RECEIPT)
+    """Receipts of requests(REQUEST): change is JSON, evidence an array of references, project the one that an agent works
+    in; the last two may be missing."""
+    for c, t in (("project", "string"), ("evidence", "array<string>")):
+        if c not in requests.columns:
+            requests = requests.withColumn(c, F.lit(None).cast(t))
+    return requests.select(*REQUEST.split(", ")).groupBy("family").applyInPandas(_fold, RECEIPT)
 
 
 def current(receipts: DataFrame) -> DataFrame:
-    """The state that the log leaves: the last applied receipt of each memory."""
-    done = receipts.filter("status = 'applied'")
+    """The state that the log leaves by its own requests: the last receipt of each memory that changed it."""
+    done = receipts.filter(F.col("status").isin("created", "updated", "forgotten"))
     return done.groupBy("memory_id").agg(*[F.max_by(c, "seq").alias(c) for c in ("revision", "state", "title", "content", "merged_into")])
 
 
+def replays(requests: DataFrame) -> DataFrame:
+    """requests with `sent`: first, again (the same body) or conflict (another body) of its principal and request id. Only
+    requests that were not refused when first sent count as sent in the fold; this looks at the log alone."""
+    from pyspark.sql import Window
+
+    body = F.sha2(F.to_json(F.struct("operation", "memory_id", "expected_revision", "change"), {"ignoreNullFields": "false"}), 256)
+    w = Window.partitionBy("principal_id", "request_id").orderBy("seq")
+    r = requests.withColumns({"_body": body, "_n": F.row_number().over(w)}).withColumn("_first", F.first("_body").over(w))
+    return r.withColumn("sent", F.when(F.col("_n") == 1, "first").when(F.col("_body") == F.col("_first"), "again").otherwise("conflict")).drop("_body", "_n", "_first")
+
+
 def upsert_topics(requests: DataFrame) -> DataFrame:
     """Saves under a topic key, folded: one row per namespace and topic with the last text, pinned once set, and the
     number of changes of text. requests(seq, scope, project_key, topic_key, title, content, pinned)."""

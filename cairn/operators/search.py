@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import SESSION_WEIGHT, boost, dot, fused, sigmoid, usage_factor
-from ..functions.text import index_words
+from ..functions.text import index_words, search_terms
+from .access import Access, out_of_date, without_invalid_sources
 
 #: Column weights of the memory index; BM25 constants (fixed values).
 MEMORY_WEIGHTS = {"title": 5.0, "content": 1.0, "topic_key": 3.0}
 K1, B = 1.2, 0.75
-EXACT_LIMIT = 5
+EXACT_LIMIT, MOST_CANDIDATES = 5, 200
 
 
 def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stem: Callable[[Column], Column] | None = None, wanted: DataFrame | None = None) -> DataFrame:
@@ -92,19 +95,49 @@ def like_fallback(memories: DataFrame, query: str, lexical: DataFrame, k: int) -
     return rows.crossJoin(F.broadcast(none)).filter("_none").drop("_none")
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int, minimum: float = -1.0, relative: float = 0.0, within: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, id, similarity and rank: the k nearest of each of queries(query_id, embedding, *within) among
-    vectors(id, embedding, *within), above minimum and above relative times the best. Restrict vectors to what may be
-    read before calling: the floor follows from the best of those. queries is a stated set and must be small."""
-    q = queries.withColumnRenamed("embedding", "_q")
-    pairs = vectors.join(F.broadcast(q), list(within)) if within else vectors.crossJoin(F.broadcast(q))
-    pairs = pairs.select("query_id", "id", F.round(dot(F.col("_q"), F.col("embedding")), 6).alias("similarity"))
+#: Queries that are broadcast at most, and rows of a block beyond that.
+FEW_QUERIES, BLOCK = 2048, 1024
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int, minimum: float = -1.0, relative: float = 0.0) -> DataFrame:
+    """query_id, id, similarity and rank: the k nearest of each of queries(query_id, embedding) among vectors(id,
+    embedding), above minimum and above relative times the best. Restrict vectors to what may be read before calling: the
+    floor follows from the best of those. A few queries are broadcast, after a look at how many there are; more are cut
+    into blocks like the vectors, each pair of blocks one task, which passes the best of each query on."""
+    if queries.select("query_id").limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        pairs = vectors.crossJoin(F.broadcast(queries.withColumnRenamed("embedding", "_q")))
+        pairs = pairs.select("query_id", "id", F.round(dot(F.col("_q"), F.col("embedding")), 6).alias("similarity"))
+    else:
+        pairs = _block_pairs(queries, vectors, k)
     best = top(pairs, k, "similarity")
     first = F.max("similarity").over(Window.partitionBy("query_id"))
     best = best.withColumn("_first", first)
     return best.filter(F.col("similarity") >= F.greatest(F.lit(minimum), F.col("_first") * relative)).drop("_first")
 
 
+def _block_pairs(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id and similarity of the k best of each query in each block of vectors."""
+    sizes = queries.agg(F.ceil(F.count("*") / BLOCK)).first()[0], vectors.agg(F.ceil(F.count("*") / BLOCK)).first()[0]
+    n_q, n_v = (max(int(n), 1) for n in sizes)
+
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        return df.select(F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own), spread, F.lit(own).alias("side"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+
+    rows = dealt(queries, "query_id", "q", n_q, "v", n_v).unionByName(dealt(vectors, "id", "v", n_v, "q", n_q))
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group["side"] == "q"], group[group["side"] == "v"].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        product = np.stack(x["e"]) @ np.stack(y["e"]).T
+        similarity = np.sign(product) * np.floor(np.abs(product) * 1e6 + 0.5) / 1e6
+        first = np.argsort(-similarity, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller one
+        return pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), first.shape[1]), "id": y["id"].to_numpy()[first].ravel(), "similarity": np.take_along_axis(similarity, first, 1).ravel()})
+
+    return rows.groupBy("q", "v").applyInPandas(best, "query_id long, id long, similarity double")
+
+
 def rrf(*lists: DataFrame) -> DataFrame:
     """query_id, id and the fused score of ranked lists(query_id, id, rank)."""
     rows = lists[0].select("query_id", "id", "rank")
@@ -113,6 +146,74 @@ def rrf(*lists: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(F.sum(fused(F.col("rank"))).alias("score"))
 
 
+@dataclass(frozen=True)
+class Request:
+    """A search as it is run: the query in lower case with single spaces, and its bounds."""
+
+    query: str
+    limit: int
+    candidates: int
+    kinds: tuple[str, ...] | None = None
+    scope: str = "all"
+
+
+def resolved(query: str, limit: int | None = None, candidates: int | None = None, kinds: list[str] | None = None, scope: str = "all") -> Request | None:
+    """A request within bounds (60 candidates by default, MOST_CANDIDATES at most, 8 results by default, never more than
+    candidates); None for one that asks for nothing."""
+
+    def bounded(n: int | None, default: int, most: int) -> int:
+        return min(default if n is None else max(int(n), 0), most)
+
+    candidates = bounded(candidates, 60, MOST_CANDIDATES)
+    limit = bounded(limit, 8, candidates)
+    if not limit or kinds == []:
+        return None
+    return Request(" ".join(query.split()).lower(), limit, candidates, tuple(kinds) if kinds is not None else None, scope)
+
+
+def memory_search(memories: DataFrame, relations: DataFrame | None, access: Access, request: Request | None, now: Column, embed: Callable[[Column], Column] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """id, rank, title and final of one request: an empty query lists; a query that names an id or a whole title gives
+    that and no more; any other is searched by keywords and by vector, by a piece of text where it is short or keywords
+    find nothing, fused, boosted and cut. What may not be read or is out of date is left out before any limit."""
+    spark = memories.sparkSession
+    if request is None:
+        return spark.createDataFrame([], "id long, rank int, title string, final double")
+    live = memories.filter("deleted_at is null")
+    seen = live.filter(access.memory_filter(now, request.scope, kinds=list(request.kinds) if request.kinds is not None else None))
+    if relations is not None:
+        seen = without_invalid_sources(seen, out_of_date(memories, relations, now))
+    one = F.lit(0).alias("query_id")
+    if not request.query:
+        rows = seen.orderBy(F.desc("pinned"), F.desc("updated_at"), "id").limit(request.limit)
+        rank = F.row_number().over(Window.orderBy(F.desc("pinned"), F.desc("updated_at"), "id"))
+        return rows.select("id", rank.alias("rank"), "title", F.lit(0.0).alias("final"))
+    exact = exact_candidates(seen, request.query, min(EXACT_LIMIT, request.candidates))
+    names_id = request.query.removeprefix("#").isascii() and request.query.removeprefix("#").isdigit()
+    if names_id or not exact.isEmpty():
+        refs = exact.select(one, "id", "score")
+    else:
+        ids = seen.select("id")
+        terms = spark.range(1).select(one, F.explode(search_terms(F.lit(request.query))).alias("term"))
+        words = top(bm25(live, terms).join(ids, "id", "left_semi"), request.candidates)
+        lists = [words, like_fallback(seen, request.query, words, request.candidates).select(one, "id", "rank")]
+        if embed is not None and vectors is not None:
+            asked = spark.range(1).select(one, embed(F.lit(request.query)).alias("embedding"))
+            lists.append(neighbours(asked, vectors.join(ids, "id", "left_semi"), request.candidates, 0.2, 0.5))
+        refs = top(rrf(*lists), request.candidates).drop("rank")
+    out = top(materialise(refs, memories, now, access.project), request.limit, "final")
+    return out.select("id", "rank", "title", "final")
+
+
+def attachments(hits: DataFrame, memories: DataFrame, projects: DataFrame) -> DataFrame:
+    """Hits(id, rank) as attachments: identifier, title, subtitle and text, with the project's name or `global`."""
+    own = memories.select("id", "type", "title", "content", "project_key")
+    p = projects.select(F.col("key").alias("project_key"), "name")
+    df = hits.select("id", "rank").join(own, "id").join(p, "project_key", "left")
+    where, number = F.coalesce("name", F.lit("global")), F.col("id").cast("string")
+    text = F.concat(F.lit("Memory #"), number, F.lit(" ("), "type", F.lit(", "), where, F.lit("): "), "title", F.lit("\n\n"), "content")
+    return df.select("rank", F.concat(F.lit("#"), number).alias("identifier"), "title", F.concat("type", F.lit(" · "), where).alias("subtitle"), text.alias("text"))
+
+
 def memory_boost(now: Column, project: str | None, usage_ranking: bool = True) -> Column:
     touched = F.greatest("updated_at", F.coalesce("verified_at", "updated_at"))
     activity = F.col("application_count") + F.col("helpful_count") - F.col("harmful_count")

@@ -746,24 +746,40 @@ def workspace_roots(spark, d):
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """A log of changes: each user's events touch the three memories of the user's own family."""
-    e, i = table(spark, d, "events"), F.col("event_id")
-    op = F.get(F.array(*map(F.lit, ["create", "update", "archive", "restore", "promote", "update", "merge", "undo_merge", "propose", "forget", "supersede", "reject"])), (i * 7 % 12).cast("int"))
-    mid = F.col("user_id") * 3 + i % 3
-    text = F.to_json(F.struct(F.concat(F.lit("t"), (i % 11).cast("string")).alias("title"), F.concat(F.lit("c"), (i % 13).cast("string")).alias("content")))
-    target = F.to_json(F.struct((F.col("user_id") * 3 + (i + 1) % 3).alias("target")))
+    """A log of changes: each user's events touch the three memories of the user's own family. Every thirteenth event sends
+    the request of two events before again, every 26th of those with another body; expected revisions run ahead or behind;
+    agents work in two projects; some changes cite other memories."""
+    e, i, u = table(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = e.select("event_id", "user_id", (F.row_number().over(w) - 1).cast("long").alias("n"))
+    n = F.col("n")
+    src = F.when(n % 13 == 12, n - 2).otherwise(n)
+    op = F.get(F.array(*map(F.lit, ["create", "update", "archive", "restore", "promote", "update", "merge", "undo_merge", "propose", "supersede", "reject", "forget"])), F.when(src < 3, 0).when(src % 97 == 96, 11).otherwise(src * 7 % 11).cast("int"))
+    mid, other = u * 3 + src % 3, u * 3 + (src + 1) % 3
+    body = F.struct(
+        F.concat(F.lit("t"), (src % 11 + F.when(n % 26 == 25, 1).otherwise(0)).cast("string")).alias("title"),
+        F.concat(F.lit("c"), (src % 5).cast("string")).alias("content"),
+        F.when(src % 6 == 0, "project").when(src % 6 == 1, "global").alias("scope"),
+        F.when(src % 6 == 0, F.concat(F.lit("p"), (u % 2).cast("string"))).alias("project"),
+        F.when(src % 9 == 4, "2024-02-01").alias("validFrom"),
+        F.when(src % 9 == 4, F.when(src % 2 == 0, "2024-03-01").otherwise("2024-01-01")).alias("validUntil"),
+    )
+    target = F.struct(F.struct(other.alias("id"), (1 + src % 4).alias("revision")).alias("target"), F.when(op == "undo_merge", src).alias("mergeId"))
+    change = F.when(op.isin("create", "propose", "update"), F.to_json(body)).when(op.isin("merge", "supersede", "undo_merge"), F.to_json(target)).when(op == "restore", F.to_json(F.struct((1 + src % 3).alias("sourceRevision"))))
+    cites = F.concat(F.lit("memory:"), other.cast("string"), F.lit("@"), (1 + src % 3).cast("string"))
     return e.select(
-        F.col("user_id").alias("family"),
-        i.alias("seq"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("principal_id"),
-        (F.floor(i / 1000)).cast("string").alias("_group"),
-        i.cast("string").alias("request_id"),
+        u.alias("family"),
+        n.alias("seq"),
+        F.concat(F.lit("u"), (src % 2).cast("string")).alias("principal_id"),
+        F.concat(F.lit("r"), src.cast("string")).alias("request_id"),
         op.alias("operation"),
         mid.alias("memory_id"),
-        F.lit(None).cast("long").alias("expected_revision"),
-        F.when(op.isin("create", "propose", "update"), text).when(op.isin("merge", "supersede"), target).alias("change"),
-        (i % 4 == 0).alias("agent"),
-    ).drop("_group")
+        F.when(~op.isin("create", "propose") & (src % 17 != 3), 1 + src % 5).alias("expected_revision"),
+        change.alias("change"),
+        (src % 4 == 0).alias("agent"),
+        F.when(src % 4 == 0, F.concat(F.lit("p"), (src % 3).cast("string"))).alias("project"),
+        F.when(src % 8 == 5, F.array(cites)).when(src % 8 == 7, F.array(F.lit("artifact:x"))).alias("evidence"),
+    )
 
 
 @query()
@@ -776,10 +792,12 @@ def mutation_state(spark, d):
     return mutations.current(mutations.fold(requests(spark, d)))
 
 
-@query(sql("memories", """SELECT scope, project_key, 'topic-' || (id % 7) AS topic_key, arg_max(title, id) AS title, bool_or(pinned) AS pinned, count(*) AS saves FROM memories GROUP BY ALL"""))
+@query(sql("memories", """+ o AS (SELECT *, 'topic-' || (id % 7) AS t, sha256('' || chr(10) || title || chr(10) || content) AS h FROM memories),
+l AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY scope, project_key, t ORDER BY id) <> h, true) AS changed FROM o)
+SELECT scope, project_key, t AS topic_key, arg_max(title, id) AS title, sha256(arg_max(content, id)) AS content_sha256, bool_or(pinned) AS pinned, count(*) FILTER (changed) AS revision_count, count(*) AS saves FROM l GROUP BY scope, project_key, t"""))
 def topic_upsert(spark, d):
     m = ad.memories(spark, d, False).select(F.col("id").alias("seq"), "scope", "project_key", F.concat(F.lit("topic-"), (F.col("id") % 7).cast("string")).alias("topic_key"), "title", "content", "pinned")
-    return mutations.upsert_topics(m).select("scope", "project_key", "topic_key", "title", "pinned", "saves")
+    return mutations.upsert_topics(m).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
 @query()
@@ -808,22 +826,28 @@ def context_stages(spark, d):
 def context_pack(spark, d):
     m = visible(spark, d)
     hits = search.hybrid(ad.memories(spark, d).filter("deleted_at is null"), AGENT.memory_filter(NOW()), query_terms(spark, d), None, m, NOW(), PROJECT, limit=40)
-    e = hits.select(F.col("query_id").alias("request_id"), "id", "final").join(m.select("id", "revision", "title", "content", "pinned", "type", "topic_key"), "id")
+    e = hits.select(F.col("query_id").alias("request_id"), "id", "final").join(m.select(*context.ENTRY_COLUMNS, "pinned", "type", "topic_key"), "id")
+    cited = context.citations_of(lineage.visible_evidence(ad.evidence(spark, d), m, F.lit(True), spark.createDataFrame([], "source_ref string")).withColumn("evidence_id", F.concat(F.lit("v"), F.col("memory_id").cast("string"))), False)
+    e = e.join(cited.select(F.col("memory_id").alias("_m"), "cited"), F.col("id") == F.col("_m"), "left")
     section = F.when(F.col("pinned"), "Pinned").when(F.col("type") == "preference", "Preferences").otherwise("Task memories")
     e = e.select(
         "request_id",
         F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("key"),
-        context.entry_text(F.col("id"), F.col("revision"), F.col("title"), F.col("content"), "compact").alias("text"),
+        context.entry_text({c: F.col(c) for c in context.ENTRY_COLUMNS}, F.col("cited"), "compact").alias("text"),
         section.alias("section"),
         context.priority(F.col("pinned"), F.col("type"), F.lit(True)).alias("priority"),
         F.col("final").alias("score"),
         F.coalesce("topic_key", F.lower(tx.nfc(F.col("title")))).alias("diversity_key"),
         "pinned",
     )
-    return context.pack(e, context.Limits(10_000, 4000, 12_000, 10))
+    return context.pack(e, context.Limits(10_000, 4000, 12_000, 10), frame=context.Frame(f"Project {PROJECT}"))
 
 
 @query(sql("memories audit", "SELECT a.id AS retrieval_id, bool_and(coalesce(m.revision = 1 + a.k % 2 AND m.state = 'active', false)) AS admitted FROM audit a LEFT JOIN memories m ON m.id = a.k WHERE a.kind = 'inject' GROUP BY a.id"))
 def context_admission(spark, d):
     i = ad.audit(spark, d).filter("kind = 'inject'").select(F.col("id").alias("retrieval_id"), F.col("k").alias("memory_id"), (1 + F.col("k") % 2).alias("revision"))
     return context.admitted(i, ad.memories(spark, d, False)).select("retrieval_id", "admitted")
+
+
+# More queries, which register themselves.
+from . import governance  # noqa: E402, F401

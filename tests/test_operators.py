@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -67,24 +68,72 @@ def test_as_of(spark):
     assert at(2) == [(1, "a")] and at(3) == [(1, "a"), (2, "c")] and at(5) == [(2, "c")]
 
 
+def receipts(spark, log):
+    """Receipts by seq of (principal, request, operation, memory, expected, change[, agent[, project[, evidence]]])."""
+    rows = [(1, k, p, q, op, i, e, None if c is None else json.dumps(c), *rest, *(False, None, None)[len(rest) :]) for k, (p, q, op, i, e, c, *rest) in enumerate(log, 1)]
+    names = "family long, seq long, principal_id string, request_id string, operation string, memory_id long, expected_revision long, change string, agent boolean, project string, evidence array<string>"
+    return {r.seq: r for r in mutations.fold(spark.createDataFrame(rows, names)).collect()}
+
+
 def test_mutations(spark):
-    log = [
-        (1, "u", "a", "create", 1, None, '{"title":"t","content":"c"}', False),
-        (2, "u", "a", "create", 1, None, '{"content":"c","title":"t"}', False),
-        (3, "u", "a", "create", 1, None, '{"title":"other"}', False),
-        (4, "u", "b", "update", 1, 9, '{"title":"n"}', False),
-        (5, "u", "c", "update", 1, 1, '{"title":"n"}', True),
-        (6, "u", "d", "promote", 1, 2, None, False),
-        (7, "u", "e", "create", 2, None, '{"title":"x","content":"y"}', False),
-        (8, "u", "f", "merge", 2, None, '{"target":1}', False),
-        (9, "u", "g", "undo_merge", 2, None, None, False),
-        (10, "u", "h", "update", 1, None, '{"state":"active"}', False),
-    ]
-    df = spark.createDataFrame([(1, *x) for x in log], "family long, seq long, principal_id string, request_id string, operation string, memory_id long, expected_revision long, change string, agent boolean")
-    got = {r.seq: (r.status, r.error, r.state, r.revision) for r in mutations.fold(df).collect()}
-    assert got[1] == ("applied", None, "active", 1) and got[2][0] == "replayed" and got[3][1] == "request_conflict"
-    assert got[4][1] == "revision_conflict" and got[5] == ("applied", None, "candidate", 2) and got[6] == ("applied", None, "active", 3)
-    assert got[8][2] == "superseded" and got[9][2] == "active" and got[10][1] == "invalid_input"
+    got = receipts(spark, [
+        ("u", "a", "create", 1, None, {"title": "t", "content": "c"}),
+        ("u", "a", "create", 1, None, {"content": "c", "title": "t"}),
+        ("u", "a", "create", 1, None, {"title": "other"}),
+        ("u", "b", "update", 1, 9, {"title": "n"}),
+        ("u", "c", "update", 1, 1, {"title": "n"}, True),
+        ("u", "d", "promote", 1, 2, None),
+        ("u", "e", "create", 2, None, {"title": "x", "content": "y"}),
+        ("u", "f", "merge", 2, None, {"target": {"id": 1, "revision": 3}}),
+        ("u", "g", "merge", 2, 1, {"target": {"id": 1, "revision": 2}}),
+        ("u", "h", "merge", 2, 1, {"target": {"id": 1, "revision": 3}}),
+        ("u", "i", "undo_merge", 2, 2, {"target": {"id": 1, "revision": 3}, "mergeId": 10}),
+        ("u", "j", "undo_merge", 2, 3, {"target": {"id": 1, "revision": 3}, "mergeId": 10}),
+        ("u", "k", "update", 1, 3, {"state": "active"}),
+        ("u", "l", "promote", 1, 3, None, True),
+        ("u", "m", "update", 1, 3, {"validFrom": "2024-02-01", "validUntil": "2024-01-01"}),
+        ("u", "n", "create", 3, None, {"title": " n ", "content": "c"}),
+        ("u", "o", "update", 1, 3, {"title": "n"}),
+    ])
+    brief = {k: (r.status, r.error, r.state, r.revision) for k, r in got.items()}
+    assert brief[1] == ("created", None, "active", 1) and brief[2][0] == "replayed" and brief[3][1] == "request_conflict"
+    assert brief[4][1] == "revision_conflict" and brief[5] == ("updated", None, "candidate", 2) and brief[6] == ("updated", None, "active", 3)
+    assert [brief[k][1] for k in (8, 9)] == ["revision_conflict"] * 2 and brief[10][2] == "superseded" and got[10].merged_into == 1
+    assert brief[11] == ("updated", None, "active", 3) and brief[12][1] == "revision_conflict"
+    assert brief[13][1] == "invalid_input" and brief[14][1] == "scope_denied" and brief[15][1] == "invalid_input"
+    assert brief[16][0] == "duplicate" and brief[17][0] == "unchanged" and set(got[4].diff) >= {"title", "state"}
+
+
+def test_mutations_with_evidence_and_namespaces(spark):
+    got = receipts(spark, [
+        ("o", "1", "create", 1, None, {"title": "source", "content": "token = abcdefgh12"}),
+        ("o", "2", "create", 2, None, {"title": "a", "content": "b", "recordKind": "derived_summary"}, False, None, ["memory:1@1"]),
+        ("o", "3", "create", 3, None, {"title": "c", "content": "d"}, False, None, ["memory:2@1", "artifact:x"]),
+        ("o", "4", "create", 4, None, {"title": "e", "content": "f"}, False, None, ["artifact:y?"]),
+        ("o", "5", "update", 1, 1, {"content": "new"}),
+        ("o", "6", "promote", 2, 2, None),
+        ("o", "7", "promote", 2, 2, None, False, None, ["memory:1@2"]),
+        ("o", "8", "update", 3, 2, {"pinned": True}),
+        ("o", "9", "update", 3, 3, {"title": "changed"}),
+        ("o", "10", "restore", 3, 4, {"sourceRevision": 3}),
+        ("a", "11", "create", 5, None, {"title": "p", "content": "q", "scope": "project", "project": "p1"}, True, "p1"),
+        ("a", "12", "update", 5, 1, {"project": "p2"}, True, "p1"),
+        ("a", "13", "create", 6, None, {"title": "p", "content": "q", "scope": "project", "project": "p2"}, True, "p1"),
+        ("a", "14", "restore", 5, 1, {"sourceRevision": 1}, True, "p1"),
+        ("o", "15", "update", 4, 1, {"title": "z"}, False, None, ["artifact:w!"]),
+        ("o", "16", "forget", 1, 2, None),
+        ("o", "1", "create", 1, None, {"title": "source", "content": "token = abcdefgh12"}),
+        ("o", "17", "create", 7, None, {"title": "h", "content": "i"}, False, None, ["artifact:x"]),
+        ("o", "18", "create", 1, None, {"title": "h", "content": "i"}),
+        ("o", "19", "update", 2, 3, {"title": "h"}),
+    ])
+    assert got[1].content == "token = [REDACTED]" and (got[2].state, got[2].verification, got[2].validation) == ("active", "verified", "resolved")
+    assert (got[4].state, got[4].validation) == ("candidate", "unresolved")
+    assert got[5].rechecked == [2, 3] and got[6].error == "invalid_input" and (got[7].state, got[7].evidence) == ("active", ["memory:1@2"])
+    assert got[8].evidence == ["artifact:x", "memory:2@1"] and got[9].evidence == [] and got[10].evidence == got[8].evidence and got[10].state == "candidate"
+    assert (got[11].state, got[12].error, got[13].error, got[14].error, got[15].error) == ("candidate", "scope_denied", "scope_denied", "scope_denied", "scope_denied")
+    assert got[16].status == "forgotten" and got[16].rechecked == [2, 3] and got[17].error == "context_invalidated"
+    assert got[18].error == "context_invalidated" and got[19].error == "invalid_state" and got[20].error == "scope_denied"
 
 
 def test_packing_skips_and_goes_on():
