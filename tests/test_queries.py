@@ -8,8 +8,6 @@ import pytest
 from cairn.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = "list_visible list_stale access_owner_focus knn_topk exact_duplicates session_fold usage_tokens usage_costs feedback_hints workspace_agents asof_revision derived_closure redact_text value_tokens topic_upsert".split()
-
 
 def plain(x):
     if x is None or x != x:
@@ -17,13 +15,20 @@ def plain(x):
     return f"{x:.8g}" if isinstance(x, float) else str(x)
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", SOME)
-def test_query(spark, name):
+@pytest.fixture(scope="module")
+def tables():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
     for f in glob.glob(f"{FOLDER}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_query(spark, tables, name):
+    con = tables
     want, got = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, FOLDER)
     assert sorted(want.columns) == sorted(got.columns)
     names = want.columns
