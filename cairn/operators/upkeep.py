@@ -109,6 +109,15 @@ def pair_conflicts(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     return df.withColumn("conflict", conflict(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
+def in_project(pairs: DataFrame, memories: DataFrame, project: str) -> DataFrame:
+    """Pairs with their conflict whose rows both belong to a project's view (its own and the global ones), as part
+    duplicates, without a conflict, or conflicts."""
+    own = memories.filter((F.col("scope") == "global") | F.coalesce(F.col("project_key") == project, F.lit(False))).select("id")
+    for side in ("low", "high"):
+        pairs = pairs.join(own.withColumnRenamed("id", side), side, "left_semi")
+    return pairs.withColumn("part", F.when(F.col("conflict.reason").isNull(), "duplicates").otherwise("conflicts"))
+
+
 def mergeable(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     """Pairs that automatic merging may touch, with target and source. The same text after canonical composition, type,
     namespace and authority; nothing archived, no conflict."""

@@ -234,21 +234,23 @@ def knn_floor(spark, d):
     return search.neighbours(query_vectors(v), seen, 60, 0.2, 0.5)
 
 
-NEAR = f"""{QUERY_VECTORS},
-near AS (SELECT a, b, similarity FROM (
+NEAR = """near AS (SELECT a, b, similarity FROM (
   SELECT x.id AS a, y.id AS b, round(list_dot_product(x.embedding, y.embedding), 6) AS similarity,
     row_number() OVER (PARTITION BY x.id ORDER BY round(list_dot_product(x.embedding, y.embedding), 6) DESC, y.id) AS r
-  FROM vecs x JOIN vecs y USING (scope_key) WHERE (x.id - 1) % 100 = 0) WHERE r <= 6 AND a <> b AND similarity >= 0.3)"""
+  FROM vecs x JOIN vecs y USING (scope_key)) WHERE r <= 6 AND a <> b AND similarity >= 0.3)"""
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    v = ad.vectors(spark, d)
-    return upkeep.near_in_partition(v.filter((F.col("id") - 1) % 100 == 0), v, 6, 0.3)
+    return upkeep.near_everywhere(ad.vectors(spark, d), 6, 0.3)
+
+
+def live(spark: SparkSession, d: str) -> DataFrame:
+    return ad.memories(spark, d, False).filter(OWNER.memory_filter(NOW()))
 
 
-@query(sql("memories vecs", f"+ {NEAR} SELECT a, b, similarity, CASE WHEN ma.type = mb.type THEN 'near_duplicate' ELSE 'possible_duplicate' END AS outcome FROM near JOIN memories ma ON ma.id = a JOIN memories mb ON mb.id = b"))
+@query(sql("memories vecs", f"+ {NEAR} SELECT a, b, similarity, CASE WHEN ma.type = mb.type THEN 'near_duplicate' ELSE 'possible_duplicate' END AS outcome FROM near JOIN memories ma ON ma.id = a JOIN memories mb ON mb.id = b WHERE {LIVE.replace('deleted_at', 'ma.deleted_at').replace('state', 'ma.state').replace('valid_', 'ma.valid_')} AND {LIVE.replace('deleted_at', 'mb.deleted_at').replace('state', 'mb.state').replace('valid_', 'mb.valid_')}"))
 def near_duplicates(spark, d):
-    return upkeep.save_gate(near(spark, d), ad.memories(spark, d, False)).select("a", "b", "similarity", "outcome")
+    return upkeep.save_gate(near(spark, d), live(spark, d)).select("a", "b", "similarity", "outcome")
 
 
 def _queries_by_item(spark: SparkSession, d: str) -> DataFrame:
@@ -335,25 +337,27 @@ def exact_duplicates(spark, d):
     return upkeep.exact_duplicates(ad.memories(spark, d, False)).withColumn("last_seen_s", seconds("last_seen_at")).drop("last_seen_at")
 
 
-TOPICS = """topics AS (SELECT a.id AS a, b.id AS b, a.topic_key FROM memories a JOIN memories b ON a.topic_key = b.topic_key AND a.id < b.id
+def sql_topics(m: str) -> str:
+    return f"""topics AS (SELECT a.id AS a, b.id AS b, a.topic_key FROM {m} a JOIN {m} b ON a.topic_key = b.topic_key AND a.id < b.id
   AND (a.project_key IS NOT DISTINCT FROM b.project_key OR a.scope = 'global' OR b.scope = 'global') WHERE a.deleted_at IS NULL AND b.deleted_at IS NULL)"""
 
 
-@query(sql("memories", f"+ {TOPICS} SELECT * FROM topics"))
+@query(sql("memories", f"+ {sql_topics('memories')} SELECT * FROM topics"))
 def same_topic_pairs(spark, d):
     return upkeep.same_topic_pairs(ad.memories(spark, d, False))
 
 
-PAIRS = f"""{NEAR}, {TOPICS},
+PAIRS = f"""{NEAR}, alive AS (SELECT * FROM memories WHERE {LIVE}), {sql_topics('alive')},
 pairs AS (SELECT low, high, max(similarity) AS similarity FROM (
-  SELECT least(a, b) AS low, greatest(a, b) AS high, round(similarity, 3) AS similarity FROM near JOIN memories x ON x.id = a JOIN memories y ON y.id = b WHERE x.type = y.type
+  SELECT least(a, b) AS low, greatest(a, b) AS high, round(similarity, 3) AS similarity FROM near JOIN alive x ON x.id = a JOIN alive y ON y.id = b WHERE x.type = y.type
   UNION ALL SELECT a, b, NULL FROM topics) GROUP BY low, high)"""
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    m = ad.memories(spark, d)
+def pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs among the live rows, all of which ask; and those rows."""
+    m = live(spark, d)
     none = spark.createDataFrame([(1, 2)], "a long, b long")
-    return upkeep.candidate_pairs(near(spark, d), upkeep.same_topic_pairs(m), m, none)
+    return upkeep.candidate_pairs(near(spark, d), upkeep.same_topic_pairs(m), m, none), m
 
 
 NOT_DISMISSED = "NOT (low = 1 AND high = 2)"
@@ -361,11 +365,11 @@ NOT_DISMISSED = "NOT (low = 1 AND high = 2)"
 
 @query(sql("memories vecs", f"+ {PAIRS} SELECT low, high, similarity, (low, high) IN (SELECT (a, b) FROM topics) AS same_topic FROM pairs WHERE {NOT_DISMISSED}"))
 def candidate_pairs(spark, d):
-    return pairs(spark, d)
+    return pairs(spark, d)[0]
 
 
 CONFLICTS = f"""{PAIRS},
-texts AS (SELECT low, high, x.title || chr(10) || x.content AS ta, y.title || chr(10) || y.content AS tb FROM pairs JOIN memories x ON x.id = low JOIN memories y ON y.id = high WHERE {NOT_DISMISSED}),
+texts AS (SELECT low, high, x.title || chr(10) || x.content AS ta, y.title || chr(10) || y.content AS tb FROM pairs JOIN alive x ON x.id = low JOIN alive y ON y.id = high WHERE {NOT_DISMISSED}),
 vals AS (SELECT *, {VALUES.format("ta")} AS va, {VALUES.format("tb")} AS vb, {NEGATED.format("ta")} AS na, {NEGATED.format("tb")} AS nb FROM texts),
 lone AS (SELECT *, list_filter(va, lambda x: NOT list_contains(vb, x)) AS oa, list_filter(vb, lambda x: NOT list_contains(va, x)) AS ob FROM vals),
 conf AS (SELECT low, high, CASE WHEN len(oa) > 0 AND len(ob) > 0 THEN 'values' WHEN na <> nb THEN 'negation' END AS reason, len(oa) AS la, len(ob) AS lb FROM lone)"""
@@ -373,47 +377,20 @@ conf AS (SELECT low, high, CASE WHEN len(oa) > 0 AND len(ob) > 0 THEN 'values' W
 
 @query(sql("memories vecs", f"+ {CONFLICTS} SELECT low, high, reason, CASE WHEN reason = 'values' THEN la ELSE 0 END AS only_a, CASE WHEN reason = 'values' THEN lb ELSE 0 END AS only_b FROM conf"))
 def conflicts(spark, d):
-    c = upkeep.pair_conflicts(pairs(spark, d), ad.memories(spark, d))
+    c = upkeep.pair_conflicts(*pairs(spark, d))
     return c.select("low", "high", "conflict.reason", F.size("conflict.only_a").cast("long").alias("only_a"), F.size("conflict.only_b").cast("long").alias("only_b"))
 
 
-@query(sql("memories vecs", f"+ {CONFLICTS} SELECT count(*) FILTER (reason IS NULL) AS duplicates, count(*) FILTER (reason = 'values') AS value_conflicts, count(*) FILTER (reason = 'negation') AS negation_conflicts, (SELECT count(*) FROM memories WHERE NOT pinned AND greatest(updated_at, coalesce(verified_at, updated_at), coalesce(kept_at, updated_at)) < {NOW_S - 340 * DAY}) AS stale FROM conf"))
+@query(sql("memories vecs", f"+ {CONFLICTS} SELECT count(*) FILTER (reason IS NULL) AS duplicates, count(*) FILTER (reason = 'values') AS value_conflicts, count(*) FILTER (reason = 'negation') AS negation_conflicts, (SELECT count(*) FROM alive WHERE NOT pinned AND greatest(updated_at, coalesce(verified_at, updated_at), coalesce(kept_at, updated_at)) < {NOW_S - 340 * DAY}) AS stale FROM conf"))
 def upkeep_counts(spark, d):
-    return upkeep.upkeep_counts(pairs(spark, d), ad.memories(spark, d), stale(NOW(), 340))
-
-
-# The four queries above ask for the stated rows of their SQL. Those below let every live row ask.
+    return upkeep.upkeep_counts(*pairs(spark, d), stale(NOW(), 340))
 
 
-def near_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return upkeep.near_everywhere(ad.vectors(spark, d), 6, 0.3), ad.memories(spark, d).filter(OWNER.memory_filter(NOW()))
-
-
-def pairs_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    near_, live = near_all(spark, d)
-    none = spark.createDataFrame([(1, 2)], "a long, b long")
-    return upkeep.candidate_pairs(near_, upkeep.same_topic_pairs(live), live, none), live
-
-
-@query()
-def near_duplicates_all(spark, d):
-    return upkeep.save_gate(*near_all(spark, d)).select("a", "b", "similarity", "outcome")
-
-
-@query()
-def candidate_pairs_all(spark, d):
-    return pairs_all(spark, d)[0]
-
-
-@query()
-def conflicts_all(spark, d):
-    c = upkeep.pair_conflicts(*pairs_all(spark, d))
-    return c.select("low", "high", "conflict.reason", F.size("conflict.only_a").cast("long").alias("only_a"), F.size("conflict.only_b").cast("long").alias("only_b"))
-
-
-@query()
-def upkeep_counts_all(spark, d):
-    return upkeep.upkeep_counts(*pairs_all(spark, d), stale(NOW(), 340))
+@query(sql("memories vecs", f"""+ {CONFLICTS}, own AS (SELECT id FROM alive WHERE scope = 'global' OR project_key = '{PROJECT}')
+SELECT CASE WHEN reason IS NULL THEN 'duplicates' ELSE 'conflicts' END AS part, low, high, reason FROM conf WHERE low IN (SELECT id FROM own) AND high IN (SELECT id FROM own)"""))
+def project_pairs(spark, d):
+    c, m = pairs(spark, d)
+    return upkeep.in_project(upkeep.pair_conflicts(c, m), m, PROJECT).select("part", "low", "high", F.col("conflict.reason").alias("reason"))
 
 
 def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -815,10 +792,16 @@ def review_cap_fold(spark, d):
     return review.fold(a)
 
 
-@query()
+@query(sql("memories vecs turns", rf"""+ qv AS (SELECT embedding AS q FROM vecs ORDER BY id LIMIT 1), hits AS (SELECT v.id FROM vecs v CROSS JOIN qv ORDER BY round(list_dot_product(q, v.embedding), 6) DESC, v.id LIMIT 10),
+m AS (SELECT * FROM memories WHERE {VISIBLE}),
+st AS (SELECT id, min(stage) AS stage, any_value(t) AS t FROM (SELECT id, 0 AS stage, updated_at AS t FROM m WHERE pinned UNION ALL SELECT id, 1, updated_at FROM m WHERE type = 'preference' UNION ALL SELECT id, 2, updated_at FROM m WHERE id IN (SELECT id FROM hits)
+  UNION ALL SELECT id, CASE WHEN coalesce(project_key = '{PROJECT}', false) THEN 3 ELSE 4 END, updated_at FROM m) GROUP BY id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY t DESC, id) AS rank FROM st QUALIFY rank <= [6, 4, 5, 6, 5][stage + 1]),
+se AS (SELECT agent_id AS id, first(project_key ORDER BY seq) AS project_key, max(ts) AS u FROM turns WHERE trim(assistant_text) <> '' AND NOT regexp_matches(assistant_text, '(?i)^\s*\[(system )?error\]') GROUP BY agent_id)
+SELECT 'memory' AS kind, id::VARCHAR AS id, stage, rank FROM rk UNION ALL SELECT 'session', id::VARCHAR, 5, row_number() OVER (ORDER BY u DESC, id::VARCHAR) AS r FROM se WHERE project_key = '{PROJECT}' QUALIFY r <= 4"""))
 def context_stages(spark, d):
     v = ad.vectors(spark, d)
-    hits = search.neighbours(query_vectors(v).orderBy("query_id").limit(1), v, 10).select("id")
+    hits = search.neighbours(v.select(F.col("id").alias("query_id"), "embedding").orderBy("query_id").limit(1), v, 10).select("id")
     return context.stages(visible(spark, d), sessions.fold_turns(ad.turns(spark, d)), hits, PROJECT, {"pins": 6, "preferences": 4, "task": 5, "project": 6, "global": 5, "sessions": 4})
 
 
