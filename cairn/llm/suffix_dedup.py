@@ -280,34 +280,46 @@ def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
 
 
-def _stretches(batch: pa.RecordBatch, rare, hot, length: int) -> Iterator[tuple[int, int, bool, int, int, bytes]]:
-    """Text number, gram, whether it is hot, first window, windows and bytes of all stretches whose gram may repeat."""
-    for key, number, start, windows, at, buf, _ in _joined(_texts(batch), length):
-        found = has_bit(rare.value, key)
-        many = has_bit(hot.value, key[found])
-        raw = buf.tobytes()
-        columns = (number[found], key[found].view(np.int64), many, start[found], windows[found], at[found])
-        for i, k, m, s, w, a in zip(*(c.tolist() for c in columns)):
-            yield i, k, m, s, w, raw[a : a + w - 1 + length]
-
+class Stretches:
+    """The stretches of a portion of texts whose gram may repeat, as columns: number of the text, gram, whether it is hot,
+    first window, windows, place in buf, and a name of 128 bits. A stretch lies within its first and last window (it has
+    fewer windows than a window has bytes), so their fingerprints, with its gram and size, name it."""
 
-def _name(shard: int, stretch: bytes) -> tuple[int, int]:
-    h = hashlib.blake2b(shard.to_bytes(8, "little", signed=True) + stretch, digest_size=16).digest()
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+    def __init__(self, rare, hot, length: int, key, number, start, windows, at, buf, h):
+        found = has_bit(rare.value, key)
+        self.key, self.number, self.start, self.windows, self.at = (x[found] for x in (key, number, start, windows, at))
+        self.hot, self.buf = has_bit(hot.value, self.key), buf
+        first, last = (fingerprints(h, x, length) for x in (self.at, self.at + self.windows - 1))
+        size, c1, c2 = self.windows.astype(np.uint64), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+        names = []
+        for x, y in ((first, last), (last ^ self.key, first + size)):
+            z = (x ^ (x >> np.uint64(30))) * c1 + (y ^ (y >> np.uint64(27))) * c2 + self.key * np.uint64(3) + size
+            z = (z ^ (z >> np.uint64(31))) * c2
+            names.append((z ^ (z >> np.uint64(29))).view(np.int64))
+        self.d1, self.d2 = names
 
 
 def _send(rare, hot, params: SuffixParams):
     """Rows of SENT: the stretches of a task, equal ones once with their number."""
 
     def out(held: dict) -> pa.RecordBatch:
-        rows = [(k, m, *_name(k, x), n, w, x) for (k, m, w, x), n in held.items()]
-        return _batch(SENT, list(zip(*rows)))
+        return _batch(SENT, list(zip(*((k, m, d1, d2, n, w, x) for (d1, d2), (k, m, w, x, n) in held.items()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            for _, k, m, _, w, x in _stretches(batch, rare, hot, params.length):
-                held[k, m, w, x] = held.get((k, m, w, x), 0) + 1
+            for key, number, start, windows, at, buf, h in _joined(_texts(batch), params.length):
+                s = Stretches(rare, hot, params.length, key, number, start, windows, at, buf, h)
+                order = np.lexsort((s.d2, s.d1))
+                new = np.flatnonzero(np.r_[True, (s.d1[order][1:] != s.d1[order][:-1]) | (s.d2[order][1:] != s.d2[order][:-1])][: len(order)])
+                count = np.diff(np.r_[new, len(order)])
+                one = order[new]
+                raw = buf.tobytes()
+                for d1, d2, k, m, w, a, n in zip(*(x.tolist() for x in (s.d1[one], s.d2[one], s.key[one].view(np.int64), s.hot[one], s.windows[one], s.at[one], count))):
+                    if (who := held.get((d1, d2))) is not None:
+                        held[d1, d2] = (*who[:4], who[4] + n)
+                    else:
+                        held[d1, d2] = (k, m, w, raw[a : a + w - 1 + params.length], n)
                 if len(held) >= params.held:
                     yield out(held)
                     held = {}
@@ -322,11 +334,14 @@ def _find(rare, hot, params: SuffixParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [-1 if i is None else i for i in batch.column("doc_id").to_pylist()]
-            digests = [_digest(t) for t in _texts(batch)]
-            rows = [(*_name(k, x), ids[i], digests[i], s) for i, k, _, s, _, x in _stretches(batch, rare, hot, params.length)]
-            if rows:
-                yield _batch(FOUND, list(zip(*rows)))
+            ids = np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
+            texts = _texts(batch)
+            digests = np.array([_digest(t) for t in texts], np.int64)
+            for key, number, start, windows, at, buf, h in _joined(texts, params.length):
+                s = Stretches(rare, hot, params.length, key, number, start, windows, at, buf, h)
+                if len(s.d1):
+                    columns = (s.d1, s.d2, ids[s.number], digests[s.number], s.start.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["d1", "d2", "id", "digest", "start"])
 
     return run
 
@@ -354,11 +369,15 @@ def _match(params: SuffixParams):
     """Rows of MARKS from rows of SENT that are sorted by shard."""
     length = params.length
 
-    def told(family: IndexFamily, kept: list[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def told(family: IndexFamily | None, kept: list[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The marked runs of stretches; without a family, all of each."""
         at = 0
         for part, windows in kept:
             n = int(windows.sum())
-            row, lo, hi = _runs(family.marked[at : at + n], windows)
+            if family is None:
+                row, lo, hi = np.arange(len(windows)), np.zeros(len(windows), np.int64), windows
+            else:
+                row, lo, hi = _runs(family.marked[at : at + n], windows)
             at += n
             some, count = np.unique(row, return_counts=True)
             if len(some):
@@ -367,9 +386,30 @@ def _match(params: SuffixParams):
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (lo, hi)]
                 yield pa.RecordBatch.from_arrays([*own, *lists], names=["d1", "d2", "lo", "hi"])
 
+    def distinct(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """Equal stretches of several tasks as one, with their number, and whether a shard has no other stretch."""
+        shard, d1, d2 = (table.column(c).to_numpy() for c in ("shard", "d1", "d2"))
+        order = np.lexsort((d2, d1, shard))
+        same = np.r_[False, (shard[order][1:] == shard[order][:-1]) & (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])]
+        first = np.flatnonzero(~same)
+        n = np.add.reduceat(table.column("n").to_numpy()[order], first)
+        own = shard[order][first]
+        opens = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        alone = np.repeat(np.diff(np.r_[opens, len(own)]) == 1, np.diff(np.r_[opens, len(own)]))
+        return table.take(pa.array(order[first])), n, alone
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, kept = IndexFamily(length), []
         for table in whole_groups(batches, ["shard"]):
+            table, n, alone = distinct(table)
+            # The only stretch of its gram that stands in several places repeats as a whole, and has nobody to meet.
+            done = alone & (n > 1)
+            if done.any():
+                part = table.filter(pa.array(done))
+                yield from told(None, [(part.select(["d1", "d2"]), part.column("windows").to_numpy().astype(np.int64))])
+                table, n = table.filter(pa.array(~done)), n[~done]
+            if not table.num_rows:
+                continue
             shard, total = table.column("shard").to_numpy(), np.cumsum(table.column("windows").to_numpy().astype(np.int64))
             cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(total // params.batch_windows)) + 1, len(shard)])
             for a, b in zip(cuts[:-1], cuts[1:]):
@@ -379,8 +419,8 @@ def _match(params: SuffixParams):
                 part = table.slice(a, b - a)
                 buf, at, windows = _buffer(part, length)
                 base = family.add(_words(buf), at)
-                # A stretch that stands in several places repeats as a whole.
-                family.marked[base:] |= np.repeat(part.column("n").to_numpy() > 1, windows)
+                # So does any stretch that stands in several places.
+                family.marked[base:] |= np.repeat(n[a:b] > 1, windows)
                 kept.append((part.select(["d1", "d2"]), windows))
         yield from told(family, kept)
 
@@ -439,8 +479,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     marks = sent.filter("not hot").repartition("shard").sortWithinPartitions("shard").mapInArrow(_match(params), MARKS)
     if not many.isEmpty():
         marks = marks.unionByName(_hot_marks(sent.filter("hot"), params))
-    # A stretch that many tasks sent has as many rows of equal marks.
-    marks = staged(marks.groupBy("d1", "d2").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "suffix-marks")
+    marks = staged(marks, "suffix-marks")
     found = docs.select("doc_id", "text").mapInArrow(_find(rare, hot, params), FOUND)
     where = found.join(marks.withColumnsRenamed({"d1": "_1", "d2": "_2"}), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")))
     end = F.transform("hi", lambda x: F.col("start") + x - 1 + params.length)
