@@ -1,10 +1,15 @@
+import dataclasses
 import datetime as dt
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
-from cairn.operators import context, lineage, mutations, review, search, usage
+from cairn.functions import text as tx
+from cairn.operators import access, context, indexes, lineage, links, mutations, policy, review, search, upkeep, usage
 from cairn.operators.access import Access, current
+from cairn.sources import tables
 from cairn.sources.tables import first_wins, longest_prefix, read_snapshot, upsert, write_snapshot
 
 
@@ -166,3 +171,159 @@ def test_tables(spark, tmp_path):
     paths = spark.createDataFrame([("/a/b/c",), ("/x",)], "path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",)], "root string")
     assert [tuple(r) for r in longest_prefix(paths, roots).collect()] == [("/a/b/c", "/a/b")]
+
+
+def test_nonces_are_taken_once(spark):
+    t = dt.datetime(2024, 1, 1)
+    rng = random.Random(3)
+    at = lambda: t + dt.timedelta(seconds=rng.randint(0, 3000))
+    waiting = [(f"n{i}", f"/w{i % 3}", f"m{i % 2}", at()) for i in range(200)]
+    agents = [(f"g{i % 150}", f"/w{rng.randint(0, 3)}", f"m{i % 2}", at()) for i in range(200)]
+    want, free, linked = set(), sorted(waiting, key=lambda x: (x[3], x[0])), set()
+    for who, cwd, provider, when in sorted(agents, key=lambda x: (x[3], x[0])):
+        found = next((x for x in free if x[1:3] == (cwd, provider) and when - dt.timedelta(seconds=120) <= x[3] <= when), None)
+        if found and (who, cwd, provider) not in linked:
+            free.remove(found)
+            linked.add((who, cwd, provider))
+            want.add((who, found[0]))
+    w = spark.createDataFrame(waiting, "nonce string, cwd string, provider string, at timestamp")
+    a = spark.createDataFrame(agents, "agent_id string, cwd string, provider string, at timestamp")
+    got = [(r.agent_id, r.nonce) for r in links.take_once(w, a).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_first_prompts_by_the_strongest_rule(spark):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    waiting = [
+        ("by project", "h", "worktree", None, "P", None, t(0)), ("by slug", "h", "worktree", None, None, "tree", t(1)), ("by folder", "h", "directory", "/src", None, None, t(2)),
+        ("other host", "x", "directory", "/src", "P", None, t(2)), ("by root", "h", "worktree", "/root", None, None, t(200)), ("too old", "h", "directory", "/late", None, None, t(0)),
+    ]
+    agents = [("a", "h", "/src/tree/x", "P", None, t(10)), ("b", "h", "/src/tree/x", "P", None, t(11)), ("c", "h", "/src/tree/x", "P", None, t(12)), ("d", "h", "/src/tree", "P", None, t(13)), ("e", "h", "/q", None, "/root", t(210)), ("f", "h", "/late/x", None, None, t(130)), ("g", "h", "/srcx", None, None, t(3))]
+    w = spark.createDataFrame(waiting, "prompt string, host string, kind string, source_dir string, project_id string, slug string, at timestamp")
+    a = spark.createDataFrame(agents, "agent_id string, host string, cwd string, project_id string, project_root string, at timestamp")
+    got = {r.agent_id: (r.prompt, r.rule) for r in links.first_prompts(w, a).collect()}
+    assert got == {"a": ("by folder", 1), "b": ("by slug", 2), "c": ("by project", 3), "e": ("by root", 3)}
+
+
+def test_policies():
+    p = policy.Policy()
+    meta = policy.configure({}, p)
+    assert meta["policy_revision"] == "1" and policy.configure(meta, p) is meta
+    same = policy.Policy(allowed=("standard", "compact"), profiles=p.profiles | {"compact": dataclasses.replace(p.profiles["compact"], kinds=policy.STABLE_KINDS[::-1])})
+    assert policy.configure(meta, same) is meta and policy.configure(meta, policy.Policy(max_pinned=3))["policy_revision"] == "2"
+    r = policy.resolve(p, budget={"max_items": 7, "max_tokens": 10**9}, kinds=["fact", "episode", "artifact"], detail="full")
+    assert r.limits == {"max_tokens": 8192, "max_chars": 6000, "max_bytes": 18000, "max_latency_ms": 750, "max_candidates": 60, "max_items": 7}
+    assert r.kinds == ("fact", "episode") and r.detail == "compact" and policy.resolve(p, "compact").limits["max_chars"] == 3000
+    for wrong in (lambda: policy.resolve(p, "evidence"), lambda: policy.Policy(default="evidence")):
+        try:
+            wrong()
+            raise AssertionError("no error")
+        except (PermissionError, ValueError):
+            pass
+
+
+def test_resolved_requests():
+    assert search.resolved("  A  b ") == search.Request("a b", 8, 60) and search.resolved("x", 500, 1000).candidates == 200
+    assert search.resolved("x", 500, 1000).limit == 200 and search.resolved("x", limit=0) is None and search.resolved("x", kinds=[]) is None and search.resolved("x", candidates=0) is None
+
+
+def test_many_queries_are_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    few = {(r.query_id, r.id, r.rank, round(r.similarity, 6)) for r in search.neighbours(q, v, 5, 0.1, 0.5).collect()}
+    monkeypatch.setattr(search, "FEW_QUERIES", 10)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    assert {(r.query_id, r.id, r.rank, round(r.similarity, 6)) for r in search.neighbours(q, v, 5, 0.1, 0.5).collect()} == few
+
+
+def test_rerank_drops_what_is_beyond(spark):
+    hits = spark.createDataFrame([(i, "session" if i == 2 else "memory", f"t{i}", 1.0 / i) for i in range(1, 6)], "id long, kind string, text string, score double")
+    got = {r.id: r.relevance for r in search.rerank(hits, "q", lambda q, t: t.str[1:].astype(float) - 3, keep=4).collect()}
+    assert set(got) == {1, 2, 3, 4} and abs(got[3] - 0.5) < 1e-9 and abs(got[2] - 0.9 / (1 + math.e)) < 1e-9
+
+
+def test_materialise_drops_moved_revisions(spark):
+    t = dt.datetime(2024, 1, 1)
+    m = spark.createDataFrame([(1, 3, "a", "c", False, None, t, t, 0, 0, 0, 0, 0), (2, 1, "b", "c", True, "p", t, t, 3, 0, 0, 20, 0)], "id long, revision long, title string, content string, pinned boolean, project_key string, updated_at timestamp, verified_at timestamp, application_count long, helpful_count long, harmful_count long, shown_count long, opened_count long")
+    refs = spark.createDataFrame([(0, 1, 2, 0.5, None), (0, 2, 1, 0.5, 0.8)], "query_id long, id long, revision long, score double, relevance double")
+    got = {r.id: r.final for r in search.materialise(refs, m, F.lit(t), "p").collect()}
+    assert set(got) == {2} and abs(got[2] - 0.8 * (1 + 0.1 + 0.06 + 0.05 + 0.04 * 2 / 5) * 0.95) < 1e-9
+
+
+def test_sources_too_many_to_check(spark):
+    e = spark.createDataFrame([(f"s{i}", "wide") for i in range(5)] + [("wide", "below"), ("a", "b"), ("b", "a")], "src string, dst string")
+    assert {r.id for r in access.too_wide(e, 4).collect()} == {"wide", "below"}
+    assert access.too_wide(e, 100).count() == 0
+
+
+def test_out_of_date_follows_exact_revisions(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, 2, "active", None, None), (2, 1, "active", None, None), (3, 1, "active", None, None), (4, 1, "archived", None, None), (5, 1, "active", None, None), (6, 1, "active", None, t), (7, 1, "active", None, None)]
+    m = spark.createDataFrame([(*r, None) for r in rows], "id long, revision long, state string, valid_from timestamp, valid_until timestamp, deleted_at timestamp")
+    edges = [(2, 1, 1, 1), (3, 1, 2, 1), (5, 1, 4, 1), (7, 1, 1, 2), (7, 2, 6, 1)]
+    r = spark.createDataFrame([(*x, "derived_from") for x in edges], "from_id long, from_revision long, to_id long, to_revision long, kind string")
+    got = {(x.id, x.revision) for x in access.out_of_date(m, r, F.lit(t)).collect()}
+    assert got == {(2, 1), (3, 1), (5, 1), (7, 2)}
+    assert {x.id for x in access.without_invalid_sources(m, access.out_of_date(m, r, F.lit(t))).collect()} == {1, 4, 6, 7}
+
+
+def test_usage_conflicts_and_settlement(spark):
+    rows = [("p", "e1", "a", "s", 1, "USD", 1), ("p", "e1", "a", "s", 2, "USD", 2), ("p", "e2", "b", "s", 1, "USD", 1), ("p", "e3", "b", "s", 1, None, 1), ("p", "e4", "c", "s", 1, "USD", 1), ("p", "e5", "c", "s", 2, "EUR", 1), ("p", "e6", "d", "s", 1, "USD", 1)]
+    u = spark.createDataFrame(rows, "producer_id string, event_id string, attempt_id string, stage string, source_sequence long, currency string, n long")
+    got = {(r.event_id, r.source_sequence): (r.id_conflict, r.sequence_conflict, r.currency_conflict) for r in usage.conflicts(u).collect()}
+    assert got == {("e1", 1): (True, False, False), ("e1", 2): (True, False, False), ("e2", 1): (False, True, False), ("e3", 1): (False, True, False), ("e4", 1): (False, False, True), ("e5", 2): (False, False, True)}
+    p = spark.createDataFrame([("r1",), ("r2",)], "retrieval_id string")
+    assert {r.retrieval_id: r.status for r in usage.settled(p, p.limit(1)).collect()} == {"r1": "attached", "r2": "discarded"}
+    ledger = spark.createDataFrame([("n", "save", "committed"), ("n", "save", "committed"), ("n", "delete", "committed"), ("m", "update", "released")], "nonce string, kind string, status string")
+    assert {(r.nonce, r.status): r.n for r in usage.outcome_counts(ledger).collect()} == {("n", "committed"): 2, ("m", "released"): 1}
+
+
+def test_texts_of_receipts_and_reviews(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(upkeep.save_receipt(F.lit("created"), F.lit(3))) == "Saved memory #3" and one(upkeep.save_receipt(F.lit("other"), F.lit(3))) == "Unchanged #3"
+    ids = lambda *x: F.array(*map(F.lit, x)).cast("array<long>")
+    assert one(tx.review_headline(ids(1, 2), ids(3))) == "Memory review: saved #1, #2, updated #3" and one(tx.review_headline(ids(), ids())) == "Memory review: nothing new"
+    assert one(tx.task_query(F.lit("A b"), F.lit(" a  B "), F.lit("main"))) == "A b main" and one(tx.task_query(F.lit(" "), F.lit(None).cast("string"), F.lit(""))) is None
+    t = lambda d, h=0: F.lit(dt.datetime(2024, 1, d, h))
+    assert [one(tx.age(t(1), x)) for x in (t(3), t(1, 5), t(1))] == ["2d ago", "5h ago", "just now"]
+    assert one(tx.assistant_view(F.lit("[memory:rev"), F.lit("streaming"))) == "hidden" and one(tx.assistant_view(F.lit("[memory:rev"), F.lit("complete"))) == "shown"
+    assert one(tx.user_view(F.lit("[memory:review-prompt v1] x"))) == "hidden" and one(tx.user_view(F.lit("[memory:review-prompt v1 full] x"))) == "shown"
+
+
+def test_registered_artifacts_history_backups_and_indexes(spark, tmp_path):
+    a = spark.createDataFrame([("artifact:a", "x"), ("artifact:a", "x"), ("artifact:b", "y"), ("artifact:b", "z")], "source_ref string, content string")
+    assert {r.source_ref: r.conflict for r in tables.register_artifacts(a).collect()} == {"artifact:a": False, "artifact:b": True}
+    p = spark.createDataFrame([(2, 1), (1, 2), (3, 4)], "a long, b long")
+    assert sorted(tuple(r) for r in tables.dismiss(p.limit(1), p).collect()) == [(1, 2), (3, 4)]
+    h = spark.range(1, 151).select(F.lit(1).alias("memory_id"), F.col("id").alias("revision"))
+    assert {r.revision for r in lineage.history(h).collect()} == set(range(51, 151))
+    gone = spark.createDataFrame([(1, 1), (1, 2)], "root long, id long")
+    assert {(r.kind, r.identifier) for r in lineage.tombstones(gone, F.lit(dt.datetime(2024, 1, 1))).collect()} == {("memory", "1"), ("memory", "2")}
+    report = json.loads(tables.backup(h, f"file://{tmp_path}/b", 1))
+    assert report["verified"] and report["rows"] == 150
+    cat = spark.createDataFrame([("f1", "m", 3, "ready", None)], "fingerprint string, model string, dims int, state string, retired_at timestamp")
+    new = spark.createDataFrame([("f2", "m", 4, "", None)], cat.schema)
+    two = indexes.finish(indexes.register(cat, new), "f2", F.lit(dt.datetime(2024, 1, 2)))
+    assert {(r.fingerprint, r.state) for r in two.collect()} == {("f1", "retired"), ("f2", "ready")}
+    try:
+        indexes.register(cat, spark.createDataFrame([("f1", "other", 3, "", None)], cat.schema)).collect()
+        raise AssertionError("no error")
+    except Exception as e:
+        assert "identity" in str(e)
+
+
+def test_contexts(spark):
+    e = lambda k, n, pin=False: {"key": k, "text": "x" * n, "section": "Pinned" if pin else "Other memories", "priority": 0 if pin else 3, "score": 1.0, "diversity_key": k, "pinned": pin}
+    frame = context.Frame("P <1>", extra=" more ")
+    text = context.pack_entries([e("a", 5)], context.Limits(9000, 9000, 9000, 3), frame=frame)[1]
+    assert text.startswith("<memories>\n") and "P \\u003c1\\u003e" in text and "\nmore\n" in text and text.endswith("</memories>")
+    chosen, text, pins = context.pack_entries([e("a", 30, True), e("b", 10, True)], context.Limits(999, 60, 999, 1), total_pins=4)
+    assert len(chosen) == 1 and pins == 4 and "left out" in text or not chosen
+    assert context.why_less(0, 3, True) == "insufficient_allowance" and context.why_less(1, 3, True, canceled=True) == "canceled"
+    assert context.why_less(1, 1, True, search="lexical_only") == "lexical_only" and context.why_less(1, 1, True, tokenizer_missing=True) == "tokenizer_unavailable" and context.why_less(1, 1, True) is None
+    # A tokenizer that counts more for the whole than for its parts: the last entries go until it fits.
+    count = lambda t: len(t) if t.count("##") < 2 or len(t) < 50 else 10**6
+    assert [x["key"] for x in context.pack_entries([e("a", 30, True), e("b", 30)], context.Limits(500, 500, 500, 5), tokenizer=count)[0]] == ["a"]
+    assert context.Limits.of(policy.resolve(policy.Policy())).max_items == 40
