@@ -52,3 +52,16 @@ def fold(actions: DataFrame) -> DataFrame:
 def release_stale(slots: DataFrame) -> DataFrame:
     """After a restart what was reserved is free again."""
     return slots.withColumn("status", F.when(F.col("status") == "reserved", "released").otherwise(F.col("status")))
+
+
+def outcome(replies: DataFrame, touched: DataFrame) -> DataFrame:
+    """nonce, saved, updated and line of reviews' replies(nonce, text): the ids that the audit saw (touched: nonce, saved,
+    updated) where it saw any, else those that the reply names."""
+    from ..functions.text import review_headline, review_reply
+
+    r = replies.select("nonce", review_reply(F.col("text")).alias("r"))
+    t = touched.select(F.col("nonce").alias("_n"), F.col("saved").alias("_s"), F.col("updated").alias("_u"))
+    r = r.join(t, F.col("nonce") == F.col("_n"), "left")
+    seen = (F.size(F.coalesce("_s", F.array().cast("array<bigint>"))) + F.size(F.coalesce("_u", F.array().cast("array<bigint>")))) > 0
+    r = r.select("nonce", F.when(seen, F.col("_s")).otherwise(F.col("r.saved")).alias("saved"), F.when(seen, F.col("_u")).otherwise(F.col("r.updated")).alias("updated"), F.col("r.summary").alias("summary"))
+    return r.withColumn("line", review_headline(F.col("saved"), F.col("updated")))

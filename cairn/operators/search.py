@@ -20,13 +20,21 @@ K1, B = 1.2, 0.75
 EXACT_LIMIT, MOST_CANDIDATES = 5, 200
 
 
-def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stem: Callable[[Column], Column] | None = None, wanted: DataFrame | None = None) -> DataFrame:
-    """id, term, tf (weighted over columns) and size (words of the document); of the wanted terms only, if given."""
+def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stem: Callable[[Column], Column] | None = None, wanted: DataFrame | None = None, phrase: int = 1) -> DataFrame:
+    """id, term, tf (weighted over columns) and size (words of the document); of the wanted terms only, if given. With
+    phrase above 1, of runs of so many words, with a space between them."""
     words = {c: index_words(F.col(c)) for c in weights}
     size = sum((F.size(w) for w in words.values()), F.lit(0))
 
+    def runs(column: str) -> Column:
+        w = words[column]
+        if phrase == 1:
+            return w
+        starts = F.when(F.size(w) >= phrase, F.sequence(F.lit(1), F.size(w) - phrase + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(phrase)), " "))
+
     def weighed(column: str) -> Column:
-        return F.transform(words[column], lambda t: F.struct(t.alias("term"), F.lit(weights[column]).alias("w")))
+        return F.transform(runs(column), lambda t: F.struct(t.alias("term"), F.lit(weights[column]).alias("w")))
 
     parts = F.concat(*map(weighed, words))
     # The size is worked out before the words are exploded; in one select it would be again for every word.
@@ -41,16 +49,25 @@ def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", ste
 
 
 def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_WEIGHTS, id_col: str = "id", stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """query_id, id and score of every document with a term of terms(query_id, term). Statistics cover all of docs; filter
-    the result by authorisation before taking the best."""
+    """query_id, id and score of every document with a term of terms(query_id, term). A term that the index would split, as
+    `a.b`, is looked for as a phrase. Statistics cover all of docs; filter the result by authorisation before taking the
+    best."""
     words = {c: index_words(F.col(c)) for c in weights}
     size = sum((F.size(w) for w in words.values()), F.lit(0))
     about = docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("mean_size"))
-    # The terms of a query set are few; the size check is Spark's own threshold.
-    wanted = terms.select("term").distinct()
-    found = postings(docs, weights, id_col, stem, wanted)
+    split = index_words(F.col("term"))
+    terms = terms.select("query_id", F.array_join(split, " ").alias("term"), F.size(split).alias("_n")).filter("_n > 0").distinct()
+    lengths = sorted(r[0] for r in terms.select("_n").distinct().collect())  # one, and seldom two or three
+    found = None
+    for n in lengths:
+        # The terms of a query set are few; the size check is Spark's own threshold.
+        wanted = terms.filter(F.col("_n") == n).select("term").distinct()
+        own = postings(docs, weights, id_col, stem if n == 1 else None, wanted, n)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "query_id long, id long, score double")
     df_of = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(df_of, "term").join(terms, "term").crossJoin(F.broadcast(about))
+    rows = found.join(df_of, "term").join(terms.drop("_n"), "term").crossJoin(F.broadcast(about))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -106,3 +106,22 @@ def prune(sessions: DataFrame, events: DataFrame, links: DataFrame, cutoff) -> t
     alive = kept.select(F.col("nonce").alias("_n")).distinct()
     old = links.filter(F.col("created_at") < cutoff).join(alive, F.col("nonce") == F.col("_n"), "left_semi")
     return sessions.filter(F.col("updated_at") >= cutoff), kept, links.filter(F.col("created_at") >= cutoff).unionByName(old)
+
+
+def list_sessions(sessions: DataFrame, limit: int, project: str | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """id and rank of sessions, of one project or of all: the newest ones, or with terms(query_id, term) the best by
+    keywords. Statistics of words cover all sessions, the project's alone are ranked."""
+    from .search import bm25, top
+
+    own = sessions if project is None else sessions.filter(F.col("project_key") == project)
+    if terms is None:
+        rows = own.orderBy(F.desc("updated_at"), "id").limit(limit)
+        return rows.select("id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).alias("rank"))
+    return top(bm25(sessions, terms, SESSION_WEIGHTS).join(own.select("id"), "id", "left_semi"), limit).select("id", "rank")
+
+
+def visible_sessions(sessions: DataFrame, ids: DataFrame, access, tombstones: DataFrame, links: DataFrame | None = None, scope: str = "all") -> DataFrame:
+    """The sessions of a list of ids that may be read."""
+    from .access import session_filter
+
+    return session_filter(sessions, access, tombstones, scope, links).join(ids.select("id").distinct(), "id", "left_semi")

@@ -97,3 +97,29 @@ def generation(receipts: DataFrame) -> DataFrame:
 def valid_interval(start: Column, end: Column) -> Column:
     """Whether an interval of validity is one: open ends are fine, and it must not end before it has begun."""
     return F.coalesce(start < end, F.lit(True))
+
+
+def inserted(memories: DataFrame, drafts: DataFrame, next_id: DataFrame, now: Column) -> DataFrame:
+    """memories with drafts(seq, ...) as new rows, numbered in their order from next_id(next_id) on, at revision 1 and with
+    counters of zero. A batch of drafts is what one caller sends, so one task numbers it."""
+    from pyspark.sql import Window
+
+    d = drafts.crossJoin(F.broadcast(next_id)).withColumn("id", F.col("next_id") + F.row_number().over(Window.orderBy("seq")) - 1)
+    given = {"updated_at": now, "revision": F.lit(1), "index_generation": F.lit(1), **{c: F.lit(0) for c in memories.columns if c.endswith("_count")}}
+    out = [(F.col(c) if c in d.columns else given.get(c, F.lit(None))).cast(memories.schema[c].dataType).alias(c) for c in memories.columns]
+    return memories.unionByName(d.select(*out))
+
+
+def snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of after whose revision is new or has moved on, as revisions to keep (memory_id, revision and all fields in
+    JSON); a change of counters alone makes none."""
+    old = before.select(F.col("id").alias("_i"), F.col("revision").alias("_r"))
+    a = after.join(old, F.col("id") == F.col("_i"), "left").filter(F.col("_r").isNull() | (F.col("revision") > F.col("_r")))
+    return a.select(F.col("id").alias("memory_id"), "revision", F.to_json(F.struct(*after.columns)).alias("snapshot"))
+
+
+def reset_counters(before: DataFrame, after: DataFrame, counters: tuple[str, ...] = ("application_count", "helpful_count", "harmful_count")) -> DataFrame:
+    """after with the counters of assessed use back at zero where the revision has moved on: they belong to a revision."""
+    old = before.select(F.col("id").alias("_i"), F.col("revision").alias("_r"))
+    a = after.join(old, F.col("id") == F.col("_i"), "left")
+    return a.withColumns({c: F.when(F.col("revision") > F.col("_r"), F.lit(0)).otherwise(F.col(c)) for c in counters}).drop("_i", "_r")

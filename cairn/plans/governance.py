@@ -632,3 +632,42 @@ def timeline_views(spark, d):
     reply = F.concat(F.lit(tx.REVIEW_MARKER + " "), how, F.lit("]\nSaved: #1\n"))
     view = F.when(F.col("role") == "user", tx.user_view(prompt)).otherwise(tx.assistant_view(reply, F.lit("complete")))
     return c.select("conv_id", "turn", view.alias("view"))
+
+
+# ---- sessions, writes and migrations
+
+
+@query(sql("turns", f"""+ se AS (SELECT agent_id AS id, first(project_key ORDER BY seq) AS project_key, max(ts) AS u FROM turns WHERE trim(assistant_text) <> '' AND NOT regexp_matches(assistant_text, '(?i)^\\s*\\[(system )?error\\]') GROUP BY agent_id)
+SELECT id, row_number() OVER (ORDER BY u DESC, id) AS rank FROM se WHERE project_key = '{PROJECT}' QUALIFY rank <= 4"""))
+def sessions_of_project(spark, d):
+    return sessions.list_sessions(sessions.fold_turns(ad.turns(spark, d)), 4, PROJECT)
+
+
+@query(sql("memories tombstones", """+ n AS (SELECT greatest(max(id), (SELECT max(identifier::BIGINT) FROM tombstones WHERE kind = 'memory')) + 1 AS next_id FROM memories)
+SELECT next_id + row_number() OVER (ORDER BY item_id) - 1 AS id, substr(text, 1, 20) AS title, 1 AS revision, 0 AS shown_count FROM benchmark CROSS JOIN n"""))
+def inserted_drafts(spark, d):
+    m = ad.memories(spark, d, False)
+    b = table(spark, d, "benchmark")
+    drafts = b.select(F.col("item_id").alias("seq"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("content"), F.lit("global").alias("scope"))
+    out = state.inserted(m, drafts, lineage.next_id(m, ad.tombstones(spark, d)), NOW())
+    return out.join(m.select("id"), "id", "left_anti").select("id", "title", "revision", "shown_count")
+
+
+@query(sql("memories", "SELECT id AS memory_id, revision + 1 AS revision, 0 AS application_count, true AS kept FROM memories WHERE id % 4 = 0 AND title <> 'New' OR id % 4 = 1 AND type <> 'note'"))
+def kept_snapshots(spark, d):
+    m = ad.memories(spark, d, False)
+    none = F.lit(None).cast("string")
+    p = m.filter("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "New").alias("title"), none.alias("content"), F.when(F.col("id") % 4 == 1, "note").alias("type"), F.lit(None).cast("boolean").alias("pinned"))
+    after = state.patched(m, p).drop("change")
+    kept = state.snapshots(m, after)
+    count = state.reset_counters(m, after).select(F.col("id").alias("memory_id"), "application_count")
+    return kept.join(count, "memory_id").select("memory_id", "revision", "application_count", F.contains("snapshot", F.lit('"title"')).alias("kept"))
+
+
+@query(sql("memories", "SELECT scope, count(*) AS n, count(*) FILTER (state = 'active') AS active, 1 AS revision FROM (SELECT id, scope, project_key, 'active' AS state FROM memories) GROUP BY scope"))
+def migrated_table(spark, d):
+    from ..sources.tables import migrate
+
+    old = ad.memories(spark, d, False).select("id", "scope", "project_key", "title", "content")
+    new = migrate(old, 1)
+    return new.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "active").alias("active"), F.max("revision").cast("int").alias("revision"))

@@ -8,7 +8,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 1
+#: What each version of the memories' table added: columns with what old rows get (fixed values).
+ADDED = {
+    2: {"pinned": "false", "shown_count": "cast(0 as bigint)", "opened_count": "cast(0 as bigint)"},
+    3: {"record_kind": "'fact'", "state": "'active'", "verification_status": "'unverified'"},
+    4: {"valid_from": "cast(null as timestamp)", "valid_until": "cast(null as timestamp)", "revision": "cast(1 as bigint)"},
+    5: {"index_generation": "cast(1 as bigint)", "application_count": "cast(0 as bigint)", "helpful_count": "cast(0 as bigint)", "harmful_count": "cast(0 as bigint)"},
+}
+SCHEMA_VERSION = max(ADDED)
+
+
+def migrate(df: DataFrame, version: int) -> DataFrame:
+    """A memories table of an older version as the present one is: every step adds its columns and leaves the rest. A
+    newer version than this one is an error, and so is a namespace that is none."""
+    if version > SCHEMA_VERSION:
+        raise ValueError(f"version {version} is newer than {SCHEMA_VERSION}")
+    for step in range(version + 1, SCHEMA_VERSION + 1):
+        for name, value in ADDED.get(step, {}).items():
+            if name not in df.columns:
+                df = df.withColumn(name, F.expr(value))
+    fine = (F.col("scope") == "global") & F.col("project_key").isNull() | (F.col("scope") == "project") & F.col("project_key").isNotNull()
+    scope = F.when(fine, F.col("scope")).otherwise(F.raise_error(F.lit("a row's namespace is neither global nor a project")).cast("string"))
+    return df.withColumn("scope", scope)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as tx
 from cairn.operators import access, context, indexes, lineage, links, mutations, policy, review, search, upkeep, usage
 from cairn.operators.access import Access, current
-from cairn.sources import tables
+from cairn.sources import embedder, tables
 from cairn.sources.tables import first_wins, longest_prefix, read_snapshot, upsert, write_snapshot
 
 
@@ -327,3 +327,39 @@ def test_contexts(spark):
     count = lambda t: len(t) if t.count("##") < 2 or len(t) < 50 else 10**6
     assert [x["key"] for x in context.pack_entries([e("a", 30, True), e("b", 30)], context.Limits(500, 500, 500, 5), tokenizer=count)[0]] == ["a"]
     assert context.Limits.of(policy.resolve(policy.Policy())).max_items == 40
+
+
+def test_dotted_terms_are_phrases(spark):
+    m = spark.createDataFrame([(1, "a.b c", "x", None), (2, "b a", "x y", None), (3, "a", "b", None), (4, "q", "w a.b a b", None)], "id long, title string, content string, topic_key string")
+    terms = spark.createDataFrame([(1, "a.b")], "query_id long, term string")
+    assert {r.id for r in search.bm25(m, terms).collect()} == {1, 4}
+
+
+def test_review_outcomes_prefer_the_audit(spark):
+    r = spark.createDataFrame([("n", "Saved: #1"), ("m", "Saved: #2\nUpdated: #3")], "nonce string, text string")
+    t = spark.createDataFrame([("n", [7], [])], "nonce string, saved array<long>, updated array<long>")
+    got = {x.nonce: (x.saved, x.updated, x.line) for x in review.outcome(r, t).collect()}
+    assert got == {"n": ([7], [], "Memory review: saved #7"), "m": ([2], [3], "Memory review: saved #2, updated #3")}
+
+
+def test_static_embeddings(spark):
+    t = spark.createDataFrame([(1, "Up up, down"), (2, "nothing"), (3, None)], "id long, text string")
+    v = spark.createDataFrame([("up", [1.0, 0.0]), ("down", [0.0, 2.0])], "token string, vector array<double>")
+    got = {r.id: r.embedding for r in embedder.static_embedding(t, v).collect()}
+    assert set(got) == {1} and all(abs(x - math.sqrt(0.5)) < 1e-9 for x in got[1])
+    assert spark.range(1).select(F.length(embedder.prepared(F.repeat(F.lit("x"), 9000), "query"))).first()[0] == 8007
+
+
+def test_migrations(spark):
+    old = spark.createDataFrame([(1, "global", None), (2, "project", "p")], "id long, scope string, project_key string")
+    new = tables.migrate(old, 1)
+    assert {"pinned", "state", "revision", "harmful_count"} <= set(new.columns) and new.filter("state = 'active' and revision = 1").count() == 2
+    assert tables.migrate(new, tables.SCHEMA_VERSION).columns == new.columns
+    for df, version in ((old, 99), (old.withColumn("project_key", F.lit("p")), 1)):
+        try:
+            tables.migrate(df, version).collect()
+            raise AssertionError("no error")
+        except AssertionError:
+            raise
+        except Exception as e:
+            assert "newer" in str(e) or "namespace" in str(e)
