@@ -231,3 +231,19 @@ def near_duplicates(vectors: DataFrame, params: IndexParams = IndexParams()) ->
     own = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     df = df.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
     return df.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: All pairs, for unique ids. The index equals it where a label's vectors fit in one cell, as in small tables; in larger
+#: ones it may miss a few links, and its recall is measured instead.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+u AS (SELECT vec_id, label, list_transform(e, lambda c: c / sqrt(list_dot_product(e, e))) AS e FROM v),
+k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.vec_id)
+SELECT x.vec_id, (SELECT count(*) FROM k WHERE k.a = x.vec_id) AS n_links, (SELECT min(root) FROM r WHERE r.vec_id = x.vec_id) AS component_id,
+  (SELECT min(root) FROM r WHERE r.vec_id = x.vec_id) = x.vec_id AS kept
+FROM embeddings x
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup
+from . import chat_format, embedding_dedup, line_dedup, ngram_join
 from .chat_format import adjacent_pairs, format_preferences
 from .common import documents
 from .embedding_dedup import near_duplicates
@@ -80,4 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_chat_format": chat_format.ORACLE,
+    "op8_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
+}
