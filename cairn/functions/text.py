@@ -129,11 +129,16 @@ def is_usable_reply(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; the JVM has no built-in expression for it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition. The JVM has no expression for it, so what isn't ASCII goes through Python, and only that."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfc(F.when(other, text))).otherwise(text)
+
+
 def task_query(title: Column, prompt: Column, branch: Column) -> Column:
     """Distinct names of a task, ignoring case, joined; null if there is none."""
     names = F.filter(F.array(title, prompt, branch), lambda x: x.isNotNull() & (F.trim(x) != ""))

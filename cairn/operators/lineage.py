@@ -48,10 +48,10 @@ def propagate(pending: DataFrame, relations: DataFrame) -> DataFrame:
     return reach(pending, edges).filter("depth > 0").select("id", F.col("depth").alias("distance"))
 
 
-def disclosed(start: DataFrame, shows: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Callers, agents and sessions that a memory may have reached: shows(src, dst) joins typed nodes both ways."""
-    both = shows.select("src", "dst").union(shows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return closure(start, both, limit)
+def disclosed(start: DataFrame, exposures: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Callers, agents and sessions that a memory may have reached, over typed and directed exposures(src, dst) as
+    erasure.exposure_edges() gives them."""
+    return closure(start, exposures, limit)
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:

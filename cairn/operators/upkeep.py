@@ -19,23 +19,10 @@ def exact_duplicates(memories: DataFrame) -> DataFrame:
     return df.filter("copies > 1").withColumn("duplicate_count", F.col("copies") - 1)
 
 
-def near_in_partition(rows: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
-    """a, b, similarity: of the k nearest in its own scope of each of rows(id) (itself among them, then removed) those at
-    or above threshold. rows is the stated set that asks; only its vectors are compared with those of their scopes."""
-    from ..functions.scoring import dot
-
-    v = vectors.select("id", "scope_key", "embedding")
-    left = v.join(rows.select("id"), "id", "left_semi").withColumnRenamed("id", "a")
-    right = v.select(F.col("id").alias("b"), "scope_key", F.col("embedding").alias("_e"))
-    pairs = right.join(left, "scope_key").withColumn("similarity", F.round(dot(F.col("embedding"), F.col("_e")), 6))
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    near = pairs.select("a", "b", "similarity").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    return near.filter((F.col("a") != F.col("b")) & (F.col("similarity") >= threshold)).select("a", "b", "similarity")
-
-
 def near_everywhere(vectors: DataFrame, k: int, threshold: float, block: int = 1024) -> DataFrame:
-    """near_in_partition with every row asking. Scopes are cut into blocks of about block rows and each pair of blocks is
-    one task's matrix product, of which each row's k best go on; a row's k best of all blocks are its nearest."""
+    """a, b, similarity: of the k nearest in its own scope of every row (itself among them, then removed) those at or above
+    threshold. Scopes are cut into blocks of about block rows and each pair of blocks is one task's matrix product, of
+    which each row's k best go on; a row's k best of all blocks are its nearest."""
     v = vectors.select("id", "scope_key", "embedding")
     parts = v.groupBy("scope_key").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
     v = v.join(parts, "scope_key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))

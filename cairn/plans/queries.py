@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.stemming import stem_column
 from ..functions.scoring import context_relevance, is_task_match, usage_factor
-from ..operators import context, indexes, lineage, mutations, review, search, sessions, upkeep, usage
+from ..operators import context, erasure, indexes, lineage, mutations, review, search, sessions, upkeep, usage
 from ..operators.access import Access, current, denied_ids, quarantined, stale
 from ..sources.embedder import hash_embedding
 from ..sources.tables import longest_prefix, table
@@ -626,15 +626,49 @@ def invalidation_propagation(spark, d):
     return lineage.propagate(ad.pending(spark, d), ad.relations(spark, d)).select("id")
 
 
-SHOWS = "shows AS (SELECT DISTINCT 'memory:' || k AS src, 'nonce:' || nonce AS dst FROM audit WHERE kind = 'get' UNION SELECT 'nonce:' || nonce, 'agent:' || agent_id FROM links)"
+EXPOSED = """shown AS (SELECT DISTINCT k AS memory_id, nonce FROM audit WHERE kind = 'get'), seen_s AS (SELECT DISTINCT 'g' || (k % 40) AS session_id, nonce FROM audit WHERE kind = 'search' AND k % 9 = 0),
+ex AS (SELECT 'memory:' || memory_id AS src, 'caller:' || nonce AS dst FROM shown UNION SELECT 'caller:' || nonce, 'agent:' || agent_id FROM links UNION SELECT 'agent:' || agent_id, 'caller:' || nonce FROM links
+  UNION SELECT 'agent:' || agent_id, 'session:' || agent_id FROM links UNION SELECT 'session:' || session_id, 'caller:' || nonce FROM seen_s)"""
 
 
-@query(sql("audit links", f"+ {SHOWS}, ed AS (SELECT src, dst FROM shows UNION SELECT dst, src FROM shows), c AS (SELECT 'memory:40' AS id UNION SELECT ed.dst FROM c JOIN ed ON ed.src = c.id) SELECT id FROM c", True))
+def exposures(spark: SparkSession, d: str) -> DataFrame:
+    a, k = ad.audit(spark, d), F.col("k")
+    shown = a.filter("kind = 'get'").select(k.alias("memory_id"), "nonce")
+    seen = a.filter((F.col("kind") == "search") & (k % 9 == 0)).select(F.concat(F.lit("g"), (k % 40).cast("string")).alias("session_id"), "nonce")
+    return erasure.exposure_edges(shown, ad.links(spark, d), sessions_shown=seen)
+
+
+@query(sql("audit links", f"+ {EXPOSED}, c AS (SELECT 'memory:40' AS id UNION SELECT ex.dst FROM c JOIN ex ON ex.src = c.id) SELECT id FROM c", True))
 def disclosure_closure(spark, d):
-    a = ad.audit(spark, d).filter("kind = 'get'")
-    shows = a.select(F.concat(F.lit("memory:"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("nonce:"), "nonce").alias("dst"))
-    shows = shows.union(ad.links(spark, d).select(F.concat(F.lit("nonce:"), "nonce"), F.concat(F.lit("agent:"), "agent_id"))).distinct()
-    return lineage.disclosed(spark.createDataFrame([("memory:40",)], "id string"), shows).select("id")
+    return lineage.disclosed(spark.createDataFrame([("memory:40",)], "id string"), exposures(spark, d)).select("id")
+
+
+CITED_BY = r"""edges AS (SELECT to_id AS src, from_id AS dst FROM relations
+  UNION SELECT a.memory_id, b.memory_id FROM citations a JOIN citations b USING (source_ref) WHERE source_ref LIKE 'artifact:%' AND a.memory_id <> b.memory_id
+  UNION SELECT try_cast(regexp_extract(source_ref, '^memory:(\d+)@', 1) AS BIGINT), memory_id FROM citations WHERE source_ref LIKE 'memory:%'),
+gone AS (SELECT 41 AS id UNION SELECT e.dst FROM gone JOIN edges e ON e.src = gone.id),
+cx AS (SELECT 'memory:' || id AS id FROM gone UNION SELECT ex.dst FROM cx JOIN ex ON ex.src = cx.id),
+refs AS (SELECT source_ref FROM citations WHERE memory_id IN (SELECT id FROM gone) OR try_cast(regexp_extract(source_ref, '^memory:(\d+)@', 1) AS BIGINT) IN (SELECT id FROM gone))"""
+
+
+@query(sql("memories revisions relations citations artifacts audit links marks feedback", f"""+ {EXPOSED}, {CITED_BY}
+SELECT 'memories' AS part, count(*) AS n FROM memories WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'revisions', count(*) FROM revisions WHERE memory_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'citations', count(*) FROM citations WHERE memory_id NOT IN (SELECT id FROM gone) AND source_ref NOT IN (SELECT source_ref FROM refs)
+UNION ALL SELECT 'relations', count(*) FROM relations WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'artifacts', count(*) FROM artifacts WHERE source_ref NOT IN (SELECT source_ref FROM refs) UNION ALL SELECT 'marks', count(*) FROM marks WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'feedback', count(*) FROM feedback WHERE memory_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'audit', count(*) FROM audit WHERE 'caller:' || nonce NOT IN (SELECT id FROM cx)
+UNION ALL SELECT 'tombstones', (SELECT count(*) FROM gone) + (SELECT count(DISTINCT source_ref) FROM refs) + (SELECT count(*) FROM cx WHERE id LIKE 'session:%' OR id LIKE 'caller:%')""", True))
+def forgotten_store(spark, d):
+    """Every table after one memory is forgotten with all that goes with it."""
+    names = ("memories", "revisions", "relations", "citations", "artifacts", "audit", "marks", "feedback")
+    tables = {n: getattr(ad, n)(spark, d) for n in names}
+    what = erasure.plan(spark.createDataFrame([(41,)], "id long"), tables["relations"], tables["citations"], exposures(spark, d), 10**6)
+    left = erasure.erased(tables, what) | {"tombstones": erasure.tombstones(what, NOW(), "owner")}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n, df in left.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 @query(sql("memories evidence", f"""SELECT memory_id, source_ref, CASE WHEN m.id IS NULL OR source_ref LIKE 'artifact:%' THEN 'resolved' WHEN source_hash = m.content_hash THEN 'resolved' ELSE 'unresolved' END AS status

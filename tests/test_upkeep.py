@@ -18,8 +18,6 @@ def test_every_row_asks_for_near_duplicates(spark):
     for block in (16, 1024):
         got = {(r.a, r.b, round(r.similarity, 6)) for r in upkeep.near_everywhere(v, 6, 0.3, block).collect()}
         assert got == want
-    stated = upkeep.near_in_partition(v.filter((F.col("id") - 1) % 100 == 0), v, 6, 0.3).collect()
-    assert {(r.a, r.b, r.similarity) for r in stated} < want
     assert any((a - 1) % 100 and (b - 1) % 100 for a, b, _ in want)
 
 
