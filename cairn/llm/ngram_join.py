@@ -10,10 +10,11 @@ are verified. Equal sets are one class throughout, so copies are never paired.
 
 Document frequencies are counted exactly: a task sends the distinct hashes (48 bits) of a few million shingles with their
 counts, as differences of sorted numbers, to the bucket of each. The `ranked` most frequent shingles go to every worker
-(16 MB at most) and are ordered by their counts, the others, which are rarer, by hash. Shingles that a bit table of fixed
-size shows to be in one document only come before all: a document with a fifth of such shingles has no other in its
-prefix, and goes no further. The table lets some through as the data grow, and exact joins stand behind it. The order
-affects the work only: the join is exact under any. Hot shingles and large bundles are cut into blocks, each pair
+(16 MB at most) and are ordered by their counts, the others, which are rarer, by hash. Before all come the rare ones, which
+a bit table of fixed size doesn't show: it holds the shingles of as few documents as it has room for. Where that is two,
+the rare ones are in one document only: a text with a fifth of such shingles has no other in its prefix, and goes no
+further. In larger corpora the rare ones are those of a few documents, and stay. The order affects the work only: the
+join is exact under any, and exact joins decide which shingles prefixes share. Hot shingles and large bundles are cut into blocks, each pair
 of blocks one task, and tasks report spanning forests and sums, never pairs.
 
 Cases: a text that is null or has no word has an empty set and links with nothing; with fewer words than a shingle the
@@ -186,19 +187,24 @@ def _frequencies(docs: DataFrame, params: JoinParams) -> DataFrame:
 
 
 class Order:
-    """Keys that sort shingles by a rank before the hash: 0 for those of one document, 1 for the others, more for the most
-    frequent ones."""
+    """Keys that sort shingles by a rank before the hash: 0 for rare ones, 1 for the others, more for the most frequent
+    ones; `alone` tells whether rare means in one document only."""
 
     def __init__(self, counts: DataFrame, params: JoinParams):
-        # The bit of a shingle that two documents hold is set; by chance others', too.
-        self.shared = bit_table(counts.select(F.call_function("shiftleft", "h", F.lit(16)).alias("h")), params.table_bits)
-        level = F.floor(F.log2("n") * 8).cast("int")
-        steps = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # fewer than 500 levels
-        total, least = np.cumsum([r["count"] for r in steps]), None
-        for r, n in zip(steps, total):
-            if n <= params.ranked:
-                least = r.level
-        top = counts.filter(level >= (least if least is not None else 1 << 20)).toArrow()
+        # Levels of counts: each up to 64 its own, eight to an octave above; fewer than 600.
+        level = F.when(F.col("n") <= 64, F.col("n")).otherwise(64 + F.floor(F.log2(F.col("n") / 64.0) * 8)).cast("int")
+        steps = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+        total = np.cumsum([r["count"] for r in steps])
+
+        def least(room: int) -> int:
+            """The lowest level down to which all shingles find room."""
+            return min((r.level for r, n in zip(steps, total) if n <= room), default=1 << 20)
+
+        # A quarter of the bits at most are set, so few rare shingles are taken for others by chance.
+        common = least(1 << (params.table_bits - 2))
+        self.alone = all(r.level >= common for r in steps)
+        self.shared = bit_table(counts.filter(level >= common).select(F.call_function("shiftleft", "h", F.lit(16)).alias("h")), params.table_bits)
+        top = counts.filter(level >= max(least(params.ranked), common)).toArrow()
         h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
         order = np.argsort(h)
         self.top, self.rank = h[order], np.minimum(np.log2(n[order]) * 1024, 65535).astype(np.uint64) << np.uint64(48)
@@ -233,7 +239,7 @@ def _prefixes(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
                 ids, groups, places, tokens, maps = [], [], [], [], []
                 for s in sets:
                     p = order.keys(s)[: prefix_length(len(s), params.percent)] if len(s) else s
-                    at = np.arange(np.searchsorted(p, np.uint64(1 << 48)), len(p))
+                    at = np.arange(np.searchsorted(p, np.uint64(1 << 48)) if order.alone else 0, len(p))
                     ids.append(_digest(s.tobytes()))
                     groups.append(_digest(len(s).to_bytes(8, "little") + p.tobytes()))
                     places.append(at.astype(np.int32))

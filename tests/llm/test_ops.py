@@ -463,7 +463,7 @@ def test_jaccard(docs, rows, block):
     for k, (i, *_) in enumerate(rows):
         least[comp[k]] = min((x for x in (least.get(comp[k]), i) if x is not None), default=None)
     want = collections.Counter((i, len(sets[k]), links[k], least[comp[k]]) for k, (i, *_) in enumerate(rows))
-    params = ngram_join.JoinParams(ranked=300 if block == 3 else 1 << 20, table_bits=16, token_block=block, bundle_block=block, sorted_shingles=2000, bucket_shingles=500)
+    params = ngram_join.JoinParams(ranked=300 if block == 3 else 1 << 20, table_bits=10 if block == 3 else 16, token_block=block, bundle_block=block, sorted_shingles=2000, bucket_shingles=500)
     got = ngram_join.jaccard_classes(docs, params).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got) == want
 
