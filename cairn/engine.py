@@ -65,7 +65,7 @@ class Engine:
         seen = self.current(access, kinds=list(r.kinds))
         hits = self.memory_search(access, query, limit=self.policy.task_matches, kinds=list(r.kinds)).select("id") if query else self.memories.limit(0).select("id")
         caps = {"pins": self.policy.max_pinned, "preferences": self.policy.project_memories, "task": self.policy.task_matches, "project": self.policy.project_memories, "global": self.policy.global_memories, "sessions": 0}
-        staged = context.stages(seen, self.sessions, hits, access.project or "", caps).filter("kind = 'memory'")
+        staged = context.stages(seen, self.sessions, hits, access.project or "", caps, limits.max_candidates).filter("kind = 'memory'")
         cited = context.citations_of(self.evidence(access), r.detail == "full").select(F.col("memory_id").alias("_m"), "cited")
         m = staged.select(F.col("id").cast("long").alias("id"), "stage", "rank").join(seen, "id").join(cited, F.col("id") == F.col("_m"), "left")
         section = F.when(F.col("pinned"), "Pinned").when(F.col("type") == "preference", "Preferences").when(F.col("stage") == 2, "Task memories").otherwise("Other memories")
@@ -122,6 +122,13 @@ class Engine:
         what = erasure.plan(ids, self.relations, self.citations, exposures)
         return erasure.erased(self.tables, what), erasure.tombstones(what, self.now, principal)
 
+    def forget_source(self, source_ref: str, shown: DataFrame, principal: str = "owner") -> tuple[dict[str, DataFrame], DataFrame]:
+        """forget() for all memories that cite a source, and the source with them. Doing it again changes nothing."""
+        refs = self.spark.createDataFrame([(source_ref,)], "source_ref string")
+        exposures = erasure.exposure_edges(shown, self.links)
+        what = erasure.with_sources(erasure.plan(erasure.citing(refs, self.citations), self.relations, self.citations, exposures), refs)
+        return erasure.erased(self.tables, what), erasure.tombstones(what, self.now, principal)
+
     def record_feedback(self, access: Access, events: DataFrame, shown: DataFrame) -> DataFrame:
         return feedback.judged(events, shown, self.memories, self.evidence(access).select("evidence_id", "status"), access)
 

@@ -46,9 +46,10 @@ def resolve(profiles: dict[str, Limits], allowed: set[str], profile: str, reques
     return profiles[profile].within(request)
 
 
-def stages(memories: DataFrame, sessions: DataFrame, task_hits: DataFrame, project: str, caps: dict[str, int]) -> DataFrame:
-    """kind, id, section, priority, score and stage of what a new agent may get: pins, preferences, task hits, general
-    memories, recent sessions. Each stage has its cap; what an earlier stage has taken is not taken again."""
+def stages(memories: DataFrame, sessions: DataFrame, task_hits: DataFrame, project: str, caps: dict[str, int], most: int | None = None) -> DataFrame:
+    """kind, id, stage and rank of what a new agent may get: pins, preferences, task hits, general memories, recent
+    sessions. Each stage has its cap, and all stages together, in this order, `most` rows; what an earlier stage has taken
+    is not taken again."""
     m = memories.withColumn("_own", F.coalesce(F.col("project_key") == project, F.lit(False)))
     pins = m.filter("pinned").select("id", F.col("updated_at").alias("_t"), F.lit(0).alias("stage"))
     prefs = m.filter("type = 'preference'").select("id", F.col("updated_at").alias("_t"), F.lit(1).alias("stage"))
@@ -61,7 +62,9 @@ def stages(memories: DataFrame, sessions: DataFrame, task_hits: DataFrame, proje
     out = rows.select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), "stage", "rank")
     recent = sessions.filter(F.col("project_key") == project).select(F.col("id").cast("string").alias("id"), "updated_at")
     recent = recent.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id"))).filter(F.col("rank") <= caps["sessions"])
-    return out.unionByName(recent.select(F.lit("session").alias("kind"), "id", F.lit(5).alias("stage"), "rank"))
+    out = out.unionByName(recent.select(F.lit("session").alias("kind"), "id", F.lit(5).alias("stage"), "rank"))
+    # The caps bound what is left, so one task may order it.
+    return out if most is None else out.orderBy("stage", "rank").limit(most)
 
 
 def priority(pinned: Column, kind: Column, task: Column) -> Column:

@@ -86,6 +86,16 @@ def plan(ids: DataFrame, relations: DataFrame, citations: DataFrame, exposures:
     return Plan(gone, cited.union(of_gone).distinct(), seen.select(F.get(parts, F.lit(0)).alias("kind"), F.get(parts, F.lit(1)).alias("identifier")))
 
 
+def citing(refs: DataFrame, citations: DataFrame) -> DataFrame:
+    """id of the memories that cite refs(source_ref): what forgetting a source starts from."""
+    return citations.join(refs.select("source_ref").distinct(), "source_ref", "left_semi").select(F.col("memory_id").alias("id")).distinct()
+
+
+def with_sources(what: Plan, refs: DataFrame) -> Plan:
+    """The plan with sources that go even if nobody cites them."""
+    return Plan(what.memories, what.sources.union(refs.select("source_ref")).distinct(), what.contexts)
+
+
 def erased(tables: dict[str, DataFrame], what: Plan) -> dict[str, DataFrame]:
     """Every table of NAMES without the rows that name something that goes; others stay as they are."""
     out = dict(tables)

@@ -609,7 +609,8 @@ def agent_records(spark, d):
 # ---- policies and texts
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('compact', 'large', 4096, 3000, 9000, 500, 30, 20), ('standard', 'large', 8192, 6000, 18000, 750, 60, 40), ('evidence', 'large', 32768, 6000, 60000, 2000, 120, 80))
+  t(profile, request, max_tokens, max_chars, max_bytes, max_latency_ms, max_candidates, max_items) UNION ALL SELECT p, 'small', 17, 17, 17, 17, 17, 17 FROM (VALUES ('compact'), ('standard'), ('evidence')) t(p)""")
 def policy_limits(spark, d):
     """What each profile leaves of a large and of a small request."""
     p = policy.Policy(allowed=("compact", "standard", "evidence"))

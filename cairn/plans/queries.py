@@ -433,7 +433,18 @@ def session_fold(spark, d):
     return s.withColumns({"started_s": seconds("started_at"), "updated_s": seconds("updated_at")}).drop("files", "started_at", "updated_at")
 
 
-@query()
+def sql_field(name: str, value: str) -> str:
+    return f"',\"{name}\":' || coalesce(to_json({value})::VARCHAR, 'null')"
+
+
+MOMENT = "strftime(to_timestamp({0}), '%Y-%m-%dT%H:%M:%S.000Z')"
+VERSION = " || ".join(
+    ["'{\"id\":' || id", *[sql_field(c, c) for c in ("project_key", "provider", "title", "first_prompt", "last_prompt", "last_reply", "files", "turns")], *[sql_field(c, MOMENT.format(c)) for c in ("started_at", "updated_at")], "'}'"]
+)
+
+
+@query(sql("turns", f"""+ {FOLD}, f AS (SELECT agent_id AS id, list(x ORDER BY k) AS files FROM (SELECT agent_id, x, min(seq * 10 + p) AS k FROM (SELECT agent_id, seq, unnest(files) AS x, unnest([1, 2]) AS p FROM t) GROUP BY agent_id, x) GROUP BY agent_id)
+SELECT id, array_to_string(files, ',') AS files, sha256({VERSION}) AS version FROM sess JOIN f USING (id)"""))
 def session_versions(spark, d):
     s = sessions.version(sessions.fold_turns(ad.turns(spark, d)))
     return s.select("id", F.array_join("files", ",").alias("files"), "version")

@@ -42,6 +42,9 @@ def test_forget(engine, spark):
     assert 41 in gone and len(gone) > 1
     assert not gone & {r.id for r in left["memories"].collect()} and not gone & {r.memory_id for r in left["citations"].collect()}
     assert left["catalog"].count() == engine.catalog.count()
+    left, stones = engine.forget_source("artifact:a30", shown)
+    assert left["artifacts"].filter("source_ref = 'artifact:a30'").count() == 0 and stones.filter("identifier = 'artifact:a30'").count() == 1
+    assert left["citations"].filter("source_ref = 'artifact:a30'").count() == 0
     with pytest.raises(ValueError):
         erasure.plan(spark.createDataFrame([(41,)], "id long"), engine.relations, engine.citations, erasure.exposure_edges(shown, engine.links), most=1)
 
