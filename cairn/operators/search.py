@@ -128,8 +128,8 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, minimum: float =
         pairs = _block_pairs(queries, vectors, k)
     best = top(pairs, k, "similarity")
     first = F.max("similarity").over(Window.partitionBy("query_id"))
-    best = best.withColumn("_first", first)
-    return best.filter(F.col("similarity") >= F.greatest(F.lit(minimum), F.col("_first") * relative)).drop("_first")
+    floor = F.greatest(F.lit(minimum), F.col("_first") * relative) if relative else F.lit(minimum)
+    return best.withColumn("_first", first).filter(F.col("similarity") >= floor).drop("_first")
 
 
 def _block_pairs(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

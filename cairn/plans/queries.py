@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stemming import stem_column
-from ..functions.scoring import context_relevance, is_task_match, usage_factor
+from ..functions.scoring import context_relevance, is_task_match, sigmoid
 from ..operators import context, erasure, indexes, lineage, mutations, review, search, sessions, upkeep, usage
 from ..operators.access import Access, current, denied_ids, quarantined, stale
 from ..sources.embedder import hash_embedding
@@ -321,12 +321,28 @@ def context_scores(spark, d):
     return ad.memories(spark, d).select("id", F.round(c, 9).alias("relevance"))
 
 
-@query(sql("memories", "SELECT count(*) AS n, count(*) FILTER (id % 3 = 0) AS lexical_low, count(*) FILTER (id % 10 / 10.0 >= 0.4 AND id % 7 / 7.0 >= 0.5) AS medium FROM memories"))
+FLOORS = {"low": (0.2, 0.1), "medium": (0.4, 0.2), "high": (0.65, 0.3)}
+
+
+@query(sql("memories vecs", f"""+ {BM25}, one AS (SELECT id, round(1 / (1 + exp(1 - score / 10)), 9) AS relevance FROM bm WHERE query_id = (SELECT min(item_id) FROM benchmark)),
+q AS (SELECT embedding AS q FROM vecs ORDER BY id LIMIT 1), sim AS (SELECT id, round(list_dot_product(q, embedding), 6) AS similarity FROM vecs CROSS JOIN q),
+h AS (SELECT coalesce(one.id, sim.id) AS id, relevance, similarity FROM one FULL JOIN sim ON sim.id = one.id)
+""" + " UNION ALL ".join(f"SELECT '{k}' AS strictness, count(*) FILTER (coalesce(relevance >= {r}, true) AND coalesce(similarity >= {v}, false)) AS with_vectors, count(*) FILTER (coalesce(relevance >= {r}, true) AND (relevance IS NOT NULL OR {str(k == 'low').lower()})) AS words_alone FROM h" for k, (r, v) in FLOORS.items())))
 def task_matches(spark, d):
-    m = ad.memories(spark, d)
-    rel, sim = (F.col("id") % 10) / 10.0, (F.col("id") % 7) / 7.0
-    low = is_task_match(F.when(F.col("id") < 0, rel), F.lit(None).cast("double"), "low", None) & (F.col("id") % 3 == 0)
-    return m.agg(F.count("*").alias("n"), F.count_if(low).alias("lexical_low"), F.count_if(is_task_match(rel, sim, "medium", 0.5)).alias("medium"))
+    """Hits of one task, with relevances from their keyword scores and similarities to one vector, at every strictness."""
+    terms = query_terms(spark, d)
+    one = terms.join(terms.agg(F.min("query_id").alias("query_id")), "query_id", "left_semi")
+    words = search.bm25(ad.memories(spark, d, False).filter("deleted_at is null"), one)
+    words = words.select("id", F.round(sigmoid(F.col("score") / 10 - 1), 9).alias("relevance"))
+    v = ad.vectors(spark, d)
+    first = v.orderBy("id").limit(1).select(F.lit(0).alias("query_id"), "embedding")
+    near_ = search.neighbours(first, v, 10**9).select("id", "similarity")
+    h = words.join(near_, "id", "full")
+    counts = []
+    for k, (_, floor) in FLOORS.items():
+        with_, without = (F.count_if(is_task_match(F.col("relevance"), F.col("similarity"), k, f)) for f in (floor, None))
+        counts.append(h.agg(with_.alias("with_vectors"), without.alias("words_alone")).select(F.lit(k).alias("strictness"), "with_vectors", "words_alone"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 # ---- upkeep
