@@ -201,3 +201,59 @@ def rejected_go(docs: DataFrame, params: QualityParams = QualityParams()) -> Dat
     figures = signals(df, params, *[c for c in df.columns if c != "doc_id"]).withColumn("v", F.array(*[v.cast("int") for v in votes().values()]))
     figures = staged(figures, "quality-docs")
     return judge(figures, params).filter("kept").select(*df.columns).toDF(*docs.columns)
+
+
+def _sql(p: QualityParams = QualityParams()) -> str:
+    """The same in SQL, documents being told apart by doc_id: figures, votes, and the rounds over the patterns of votes as a
+    recursion over one row."""
+    stop = sorted({f(w) for w in p.stop_words for f in (str.lower, str.capitalize, str.upper)})
+    some = "regexp_matches({}, '[^\\x20\\x09-\\x0D]')"
+
+    def rule(x: str, keep_to: float, reject_from: float) -> str:
+        return f"CASE WHEN {x} >= {reject_from} THEN -1 WHEN {x} <= {keep_to} THEN 1 ELSE 0 END"
+
+    n, chars = "greatest(n_words, 1)", "greatest(word_chars, 1)"
+    votes = [
+        rule(f"n_symbols / {n}", 0.05, 0.3), rule(f"n_upper / {chars}", 0.15, 0.4), rule(f"n_shouts / {n}", 0.1, 0.5), rule(f"n_repeat_words / {n}", 0.1, 0.3), rule("n_dup_lines / greatest(n_lines, 1)", 0.05, 0.4),
+        f"CASE WHEN {chars} / {n} < 2 OR {chars} / {n} > 16 THEN -1 WHEN {chars} / {n} BETWEEN 3 AND 10 THEN 1 ELSE 0 END", "CASE WHEN n_stop >= 3 THEN 1 ELSE 0 END",
+    ]
+    silent = "greatest(1 - r[j].gk - r[j].gr, 0.001) / greatest(1 - r[j].bk - r[j].br, 0.001)"
+    each = f"list_transform(range(1, {len(votes) + 1}), lambda j: ln(CASE WHEN {{v}}[j] > 0 THEN r[j].gk / r[j].bk WHEN {{v}}[j] < 0 THEN r[j].gr / r[j].br ELSE {silent} END))"
+    posterior = f"1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum({each}))))"
+
+    def rate(vote: int, side: str) -> str:
+        hits = f"list_sum(list_transform(g, lambda x: CASE WHEN x.v[j] = {vote} THEN x.n * {side} ELSE 0.0 END))"
+        return f"least(0.98, greatest(0.001, ({hits} + 0.5) / (list_sum(list_transform(g, lambda x: x.n * {side})) + 1.5)))"
+
+    start = ", ".join(f"{k}: {p.start[name]}::DOUBLE" for k, name in (("gk", "good_keep"), ("gr", "good_reject"), ("bk", "bad_keep"), ("br", "bad_reject")))
+    good, bad = "x.g", "(1 - x.g)"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {some.format("x")}) AS l FROM documents
+),
+win AS (SELECT doc_id, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1)) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(array_to_string(w, ''), '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(array_to_string(w, ''), '[^!?]+', '', 'g')) AS n_shouts,
+    len(list_filter({stop!r}, lambda x: list_contains(w, x))) AS n_stop
+  FROM d LEFT JOIN rep USING (doc_id)
+),
+v AS (SELECT *, [{", ".join(votes)}] AS v FROM f),
+pat AS (SELECT list({{v: v, n: n::DOUBLE}} ORDER BY v) AS p FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
+em AS (
+  SELECT 0 AS i, p, list_transform(range(1, {len(votes) + 1}), lambda j: {{{start}}}) AS r, {p.prior_good}::DOUBLE AS prior FROM pat
+  UNION ALL
+  SELECT i + 1, p, list_transform(range(1, {len(votes) + 1}), lambda j: {{
+      gk: {rate(1, good)}, gr: least({p.most_good_rejects}, {rate(-1, good)}), bk: least({rate(1, bad)}, {rate(1, good)}), br: greatest({p.least_bad_rejects}, {rate(-1, bad)})}}),
+    least(0.99, greatest(0.5, list_sum(list_transform(g, lambda x: x.n * x.g)) / greatest(list_sum(list_transform(g, lambda x: x.n)), 1.0)))
+  FROM (SELECT i, p, r, prior, list_transform(p, lambda x: {{v: x.v, n: x.n, g: {posterior.format(v="x.v")}}}) AS g FROM em WHERE i < {p.rounds})
+),
+fit AS (SELECT r, prior FROM em WHERE i = {p.rounds}),
+judged AS (SELECT v.*, {posterior.format(v="v.v")} AS p_good, n_words < {p.min_words} OR 100 * n_repeat_words > {p.max_repeat_percent} * n_words AS base_failed FROM v CROSS JOIN fit)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= {p.threshold} AS kept, round(p_good, 6) AS p_good FROM judged
+"""
+
+
+ORACLE = _sql()

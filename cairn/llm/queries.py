@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, line_dedup, ngram_join
+from . import chat_format, embedding_dedup, line_dedup, ngram_join, quality_rules
 from .chat_format import adjacent_pairs, format_preferences
 from .common import documents
 from .embedding_dedup import near_duplicates
@@ -44,7 +44,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good")
     )
 
 
@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
