@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, line_dedup, ngram_join, quality_rules
+from . import chat_format, embedding_dedup, line_dedup, ngram_join, quality_rules, suffix_dedup
 from .chat_format import adjacent_pairs, format_preferences
 from .common import documents
 from .embedding_dedup import near_duplicates
@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_chat_format": chat_format.ORACLE,

@@ -525,3 +525,19 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     spans = repeated_spans(docs, params)
     df = texts.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("_digest") == F.col("digest")), "left")
     return df.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
+
+
+#: Every window of 200 bytes, for unique doc_ids.
+ORACLE = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + 199]) AS k FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM b WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS opens FROM r)),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY doc_id, g),
+e AS (SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS onward, row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS k FROM s),
+p AS (SELECT b.doc_id, CASE WHEN k = 1 THEN hex(b[1:lo - 1]) ELSE '' END || hex(b[hi + 1:coalesce(onward - 1, n)]) AS x, lo FROM e JOIN b USING (doc_id)),
+c AS (SELECT doc_id, string_agg(x, '' ORDER BY lo) AS kept FROM p GROUP BY doc_id),
+t AS (SELECT doc_id, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN c.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM b LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
