@@ -39,7 +39,7 @@ from .common import bit_table, has_bit, local_roots, release, sealed, staged, wh
 from .components import components
 
 #: Words whose hashes a Python worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 SLICE_WORDS = 300_000
 
 
@@ -51,8 +51,8 @@ class JoinParams:
     ranked: int = 1 << 20
     table_bits: int = 26
     #: Shingles that a task sorts at once, and distinct ones wanted in a bucket of the count.
-    sorted_shingles: int = 1 << 21
-    bucket_shingles: int = 1 << 21
+    sorted_shingles: int = 1 << 20
+    bucket_shingles: int = 1 << 18
     #: Groups of a block of a hot shingle; documents of a block of a large bundle.
     token_block: int = 1024
     bundle_block: int = 512
