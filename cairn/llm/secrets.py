@@ -3,8 +3,8 @@
 The patterns of PATTERNS give the base spans. Their values are labelled credentials: of each kind a bounded sample of
 distinct values (lowest hashes first) is halved: one half is laid out as a prefix tree over character classes, whose
 states are merged where the Hoeffding test finds their futures compatible (state merging after Carrasco and Oncina); the
-other half sets the likelihood that is asked for. Every token of the corpus that no base span touches, from the shortest
-labelled length on, is a candidate: it becomes a span of kind "grammar" where some automaton finds it about as likely per
+other half sets the likelihood that is asked for. Every token of the corpus that no base span touches, of as many
+characters as the patterns ask for at least, is a candidate: it becomes a span of kind "grammar" where some automaton finds it about as likely per
 character as all but the least likely labelled credentials.
 
 The table is read twice, for the sample and for the spans; between the two only the sample travels, and no
@@ -34,7 +34,8 @@ PATTERNS = (
     ("access", re.compile(r"AKIA[A-Z0-9]{16,}"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-TOKEN = "[A-Za-z0-9+/_.=-]{%d,}"
+#: What may be a credential: as long as the shortest that a pattern takes.
+TOKEN = re.compile("[A-Za-z0-9+/_.=-]{%d,}" % min(least for *_, least in PATTERNS))
 #: Tokens whose verdict a worker keeps, and tasks that thin out the samples of all others.
 KEPT_TOKENS, THINNERS = 500_000, 64
 
@@ -142,7 +143,6 @@ class Grammar:
 
     def __init__(self, labelled: dict[str, list[str]], params: SecretParams = SecretParams()):
         self.models: list[tuple[Automaton, float]] = []
-        self.shortest = min((len(v) for values in labelled.values() for v in values), default=0)
         self.known: dict[str, bool] = {}
         for kind in KINDS:
             values = labelled.get(kind, [])
@@ -154,7 +154,6 @@ class Grammar:
             # labelled ones may stand as far below the tail as the tail does below the median.
             tail, median = scores[min(math.ceil(params.tail * len(scores)), len(scores) - 1)], scores[len(scores) // 2]
             self.models.append((model, tail - (median - tail)))
-        self.token = re.compile(TOKEN % max(self.shortest, 1))
 
     def accepts(self, token: str) -> bool:
         if token not in self.known:
@@ -167,10 +166,10 @@ class Grammar:
         """Accepted tokens that touch no base span."""
         if not self.models:
             return []
-        likely = {t for t in set(self.token.findall(text)) if self.accepts(t)}
+        likely = {t for t in set(TOKEN.findall(text)) if self.accepts(t)}
         if not likely:
             return []
-        found = (m.span() for m in self.token.finditer(text) if m[0] in likely)
+        found = (m.span() for m in TOKEN.finditer(text) if m[0] in likely)
         return [(a, b) for a, b in found if not any(x[1] < b and a < x[2] for x in base)]
 
 
