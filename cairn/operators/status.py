@@ -77,8 +77,9 @@ def agent_record(events: DataFrame, links: DataFrame, memories: DataFrame, proje
     is about as that is now; the agent's first link names its project."""
     own = links.select(F.col("nonce").alias("_n"), "agent_id")
     e = events.join(own, F.col("nonce") == F.col("_n")).drop("_n")
-    first = F.min(F.when(F.col("kind") == "inject", F.col("id"))).over(Window.partitionBy("agent_id"))
-    e = e.withColumn("_first", first).filter(F.col("_first").isNull() | (F.col("id") != F.col("_first")))
+    # An aggregate and an anti join: the events of a busy agent need not meet in one task.
+    first = e.filter("kind = 'inject'").groupBy("agent_id").agg(F.min("id").alias("id"))
+    e = e.join(first, ["agent_id", "id"], "left_anti")
     titles = memories.filter("deleted_at is null").select(F.col("id").alias("k"), "title")
     about = (F.col("k") == F.col("_k")) & F.col("kind").isin("get", "save", "update")
     e = e.join(titles.withColumnRenamed("k", "_k"), about, "left")

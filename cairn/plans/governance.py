@@ -7,13 +7,13 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators import access as ac
-from ..operators import context, feedback, indexes, lineage, links, mutations, policy, provenance, search, sessions, state, status, usage
+from ..operators import context, feedback, indexes, lineage, links, mutations, policy, provenance, review, search, sessions, state, status, usage
 from ..operators.access import historical_allowed, rows_by_id, visible_ids, without_invalid_sources
 from ..sources.embedder import hash_embedding
 from ..sources.tables import table
 from . import adapter as ad
 from .adapter import DAY, NOW, NOW_S, START, sql
-from .queries import AGENT, CURRENT, LIVE, OWNER, PROJECT, VISIBLE, query, query_vectors, requests, seconds, sql_clip, sql_redact, visible
+from .queries import AGENT, CURRENT, LIVE, OWNER, PROJECT, VISIBLE, query, query_terms, query_vectors, requests, seconds, sql_clip, sql_redact, visible
 
 READABLE = f"(scope = 'global' OR coalesce(project_key = '{PROJECT}', false))"
 
@@ -672,3 +672,53 @@ def migrated_table(spark, d):
     old = ad.memories(spark, d, False).select("id", "scope", "project_key", "title", "content")
     new = migrate(old, 1)
     return new.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "active").alias("active"), F.max("revision").cast("int").alias("revision"))
+
+
+SESSIONS = rf"""se AS (SELECT agent_id AS id, first(project_key ORDER BY seq) AS project_key, max(ts) AS u FROM turns WHERE trim(assistant_text) <> '' AND NOT regexp_matches(assistant_text, '(?i)^\s*\[(system )?error\]') GROUP BY agent_id)"""
+
+
+@query(sql("turns links tombstones", f"""+ {SESSIONS}, asked AS (SELECT item_id * 3 AS id FROM benchmark) SELECT id FROM se WHERE project_key = '{PROJECT}' AND id IN (SELECT id FROM asked) AND id::VARCHAR NOT IN (SELECT identifier FROM tombstones WHERE kind = 'session')"""))
+def sessions_visible(spark, d):
+    asked = table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("id"))
+    s = sessions.fold_turns(ad.turns(spark, d))
+    return sessions.visible_sessions(s, asked, AGENT, ad.tombstones(spark, d), ad.links(spark, d)).select("id")
+
+
+@query(sql("memories turns projects", f"+ {SESSIONS} SELECT se.id, p.name AS project_name, row_number() OVER (PARTITION BY se.project_key ORDER BY u DESC, se.id) AS rank FROM se LEFT JOIN projects p ON p.key = se.project_key QUALIFY rank <= 3"))
+def sessions_with_projects(spark, d):
+    s = sessions.recent(sessions.fold_turns(ad.turns(spark, d)), 3)
+    return links.with_project(s, ad.projects(spark, d)).select("id", "project_name", "rank")
+
+
+@query()
+def sessions_by_words(spark, d):
+    """Sessions of a project by keywords: the first benchmark item's."""
+    terms = query_terms(spark, d)
+    one = terms.join(terms.agg(F.min("query_id").alias("query_id")), "query_id", "left_semi")
+    return sessions.list_sessions(sessions.fold_turns(ad.turns(spark, d)), 5, PROJECT, one)
+
+
+@query(sql("audit", f"SELECT id, kind FROM audit WHERE nonce = 'n7' AND created_at >= {START + 100000} ORDER BY id"))
+def events_since(spark, d):
+    return usage.events_since(ad.audit(spark, d), "n7", ad.at(START + 100000)).select("id", "kind").orderBy("id")
+
+
+@query(sql("revisions", "SELECT memory_id, revision FROM revisions QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) <= 2"))
+def revision_history(spark, d):
+    return lineage.history(ad.revisions(spark, d), 2).select("memory_id", "revision")
+
+
+@query(sql("usage", """+ w AS (SELECT producer_id, attempt_id, stage, source_sequence % 50 AS source_sequence, source_sequence AS n, 'e' || (source_sequence % 4000) AS event_id, currency FROM usage),
+j AS (SELECT n, min(n) OVER (PARTITION BY producer_id, event_id) <> max(n) OVER (PARTITION BY producer_id, event_id) AS same_id, min(event_id) OVER s <> max(event_id) OVER s AS same_sequence FROM w WINDOW s AS (PARTITION BY producer_id, attempt_id, stage, source_sequence))
+SELECT count(*) FILTER (same_id) AS id_conflicts, count(*) FILTER (same_sequence) AS sequence_conflicts FROM j"""))
+def usage_identity_conflicts(spark, d):
+    i = F.col("source_sequence")
+    u = ad.usage(spark, d).select("producer_id", "attempt_id", "stage", (i % 50).alias("source_sequence"), i.alias("n"), F.concat(F.lit("e"), (i % 4000).cast("string")).alias("event_id"), "currency")
+    c = usage.conflicts(u)
+    return c.agg(F.count_if("id_conflict").alias("id_conflicts"), F.count_if("sequence_conflict").alias("sequence_conflicts"))
+
+
+@query(sql("turns", "+ r AS (SELECT agent_id AS nonce, seq, CASE seq % 5 WHEN 0 THEN 'reserved' WHEN 1 THEN 'committed' ELSE 'released' END AS status FROM turns) SELECT CASE status WHEN 'reserved' THEN 'released' ELSE status END AS status, count(*) AS n FROM r GROUP BY 1"))
+def released_slots(spark, d):
+    t = ad.turns(spark, d).select("seq", F.when(F.col("seq") % 5 == 0, "reserved").when(F.col("seq") % 5 == 1, "committed").otherwise("released").alias("status"))
+    return review.release_stale(t).groupBy("status").agg(F.count("*").alias("n"))
