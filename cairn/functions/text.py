@@ -55,10 +55,6 @@ def index_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\-/]+"), "")
 
 
-def strip_private(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)<private>[\s\S]*?</private>", "[private]")
-
-
 #: A piece of text without which the shape at the same place in SECRET_SHAPES can't be there.
 TELLTALE = (("-----BEGIN",), ("AKIA", "ASIA"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("glpat-",), ("xox",), ("sk-",), ("eyJ",), ("Bearer", "Basic"), ("=", ":"))
 
@@ -77,6 +73,7 @@ def _replaced(text: Column, telltale: tuple[str, ...], pattern: str, put: str) -
 
 
 def redact(text: Column) -> Column:
+    """A text without private parts and secret shapes."""
     out = _replaced(text, ("<",), r"(?i)<private>[\s\S]*?</private>", "[private]")
     for (pattern, put), telltale in zip(SECRET_SHAPES, TELLTALE):
         out = _replaced(out, telltale, pattern, put)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators import access as ac
@@ -13,7 +12,7 @@ from ..sources.embedder import hash_embedding
 from ..sources.tables import table
 from . import adapter as ad
 from .adapter import DAY, NOW, NOW_S, START, sql
-from .queries import AGENT, CURRENT, LIVE, OWNER, PROJECT, VISIBLE, query, query_terms, query_vectors, requests, seconds, sql_clip, sql_redact, visible
+from .queries import AGENT, LIVE, OWNER, PROJECT, VISIBLE, query, query_terms, query_vectors, requests, seconds, sql_clip, sql_redact, visible
 
 READABLE = f"(scope = 'global' OR coalesce(project_key = '{PROJECT}', false))"
 

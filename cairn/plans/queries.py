@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.stemming import stem_column
 from ..functions.scoring import context_relevance, is_task_match, sigmoid
 from ..operators import context, erasure, indexes, lineage, mutations, review, search, sessions, upkeep, usage
-from ..operators.access import Access, current, denied_ids, quarantined, stale
+from ..operators.access import Access, denied_ids, quarantined, stale
 from ..sources.embedder import hash_embedding
 from ..sources.tables import longest_prefix, table
 from . import adapter as ad
