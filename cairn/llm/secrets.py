@@ -25,7 +25,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
 #: kind, pattern, group whose length counts, its least length (fixed values).
