@@ -168,38 +168,68 @@ def _steps(length: int) -> list[int]:
     return steps if steps[-1] + 8 == length else [*steps, length - 8]
 
 
-def suffix_order(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the windows at the given places by their first `length` bytes, and which of them equal the one
-    before. Only runs that agree so far and hold different windows are sorted by their next word."""
-    steps = _steps(length)
+def _differ(words: np.ndarray, left: np.ndarray, right: np.ndarray, steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of pairs of places the first step from start on at which they differ, or the number of steps."""
+    at, on = start.copy(), np.flatnonzero(start < len(steps))
+    while len(on):
+        step = steps[at[on]]
+        on = on[words[left[on] + step] == words[right[on] + step]]
+        at[on] += 1
+        on = on[at[on] < len(steps)]
+    return at
+
+
+def _order_of_different(words: np.ndarray, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The order of windows no two of which are equal. Windows that agree so far make a run; it is sorted by the first word
+    in which two neighbours of it differ, which parts it."""
     order = np.argsort(words[at], kind="stable")
+    placed = at[order]
+    edge = np.r_[True, words[placed[1:]] != words[placed[:-1]]][: len(at)]
+    common = np.zeros(len(at), np.int64)
+    pairs = np.flatnonzero(~edge)
+    common[pairs] = _differ(words, placed[pairs - 1], placed[pairs], steps, np.ones(len(pairs), np.int64))
+    while len(pairs):
+        heads = np.flatnonzero(edge)
+        run = np.cumsum(edge) - 1
+        depth = np.minimum.reduceat(np.where(edge, len(steps), common), heads)
+        some = np.flatnonzero((np.diff(np.r_[heads, len(at)]) > 1)[run])
+        own = depth[run[some]]
+        key = words[placed[some] + steps[own]]
+        by = np.lexsort((key, run[some]))
+        order[some], placed[some], key = order[some][by], placed[some][by], key[by]
+        inner = np.flatnonzero(~edge[some])
+        apart = key[inner] != key[inner - 1]
+        edge[some[inner[apart]]] = True
+        pairs, own = some[inner[~apart]], own[inner[~apart]]
+        common[pairs] = _differ(words, placed[pairs - 1], placed[pairs], steps, own + 1)
+    return order
 
-    def agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        out = np.ones(len(left), bool)
-        for step in steps:
-            on = np.flatnonzero(out)
-            out[on] = words[left[on] + step] == words[right[on] + step]
-        return out
 
-    placed = at[order]
-    run = np.r_[False, words[placed[1:]] == words[placed[:-1]]][: len(at)]
-    same = run.copy()
-    on = np.flatnonzero(run)
-    same[on] = agree(placed[on - 1], placed[on])
-    for step in steps[1:]:
-        open_ = run & ~same
-        if not open_.any():
-            break
-        group = np.cumsum(~run) - 1
-        some = np.flatnonzero((np.bincount(group, open_) > 0)[group])
-        by = np.lexsort((words[placed[some] + step], group[some]))
-        order[some], placed[some] = order[some][by], placed[some][by]
-        inner = some[run[some]]
-        run[inner] = words[placed[inner] + step] == words[placed[inner - 1] + step]
-        same[inner] = False
-        on = inner[run[inner]]
-        same[on] = agree(placed[on - 1], placed[on])
-    return order, same
+def suffix_order(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the windows at the given places by their first `length` bytes, and which of them equal the one
+    before. Equal windows are found by a hash first and compared with the first of them, word by word; the first ones are
+    then sorted."""
+    steps = np.array(_steps(length))
+    finger = np.zeros(len(at), np.uint64)
+    for step in steps:
+        finger = (finger ^ words[at + step]) * np.uint64(0x9E3779B97F4A7C15)
+        finger ^= finger >> np.uint64(29)
+    by = np.argsort(finger, kind="stable")
+    new = np.r_[True, finger[by][1:] != finger[by][:-1]][: len(at)]
+    kind = np.empty(len(at), np.int64)
+    kind[by] = np.cumsum(new) - 1
+    first = by[new]
+    others = by[~new]
+    if len(others) and (_differ(words, at[others], at[first[kind[others]]], steps, np.zeros(len(others), np.int64)) < len(steps)).any():
+        # Two windows share a hash by chance: tell them apart by all their words.
+        by = np.lexsort([words[at + step] for step in steps[::-1]])
+        new = np.r_[True, _differ(words, at[by][1:], at[by][:-1], steps, np.zeros(len(by) - 1, np.int64)) < len(steps)]
+        return by, ~new
+    rank = np.empty(len(first), np.int64)
+    rank[_order_of_different(words, at[first], steps)] = np.arange(len(first))
+    rank = rank[kind]
+    order = np.argsort(rank, kind="stable")
+    return order, np.r_[False, rank[order][1:] == rank[order][:-1]][: len(at)]
 
 
 class Level:
