@@ -28,23 +28,31 @@ def fold_turns(turns: DataFrame) -> DataFrame:
     def last(c: str):
         return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
 
-    lists = F.transform(F.array_sort(F.collect_list(F.struct("seq", "files"))), lambda x: x["files"])
-    return t.groupBy(F.col("agent_id").alias("id")).agg(
+    s = t.groupBy(F.col("agent_id").alias("id")).agg(
         F.min_by("project_key", F.when(F.col("project_key").isNotNull(), F.col("seq"))).alias("project_key"),
         F.min(at("provider"))["v"].alias("provider"),
         last("title").alias("title"),
         F.min(at("user_text"))["v"].alias("first_prompt"),
         last("user_text").alias("last_prompt"),
         last("assistant_text").alias("last_reply"),
-        F.when(F.count("*") == 1, F.slice(F.flatten(lists), 1, FILES_KEPT)).otherwise(_last(F.array_distinct(F.concat(F.slice(F.get(lists, F.lit(0)), 1, FILES_KEPT), F.flatten(F.slice(lists, F.lit(2), F.size(lists))))))).alias("files"),
+        F.slice(F.min(at("files"))["v"], 1, FILES_KEPT).alias("_first"),
         F.count("*").alias("turns"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("updated_at"),
     )
-
-
-def _last(files):
-    return F.slice(files, F.greatest(F.size(files) - FILES_KEPT + 1, F.lit(1)), F.lit(FILES_KEPT))
+    files = F.when(F.col("turns") == 1, F.col("_first")).otherwise(F.coalesce("_files", F.array().cast("array<string>")))
+    return s.join(_files(t), "id", "left").withColumn("files", files).select(*SESSION_FIELDS)
+
+
+def _files(turns: DataFrame) -> DataFrame:
+    """id and _files: the last FILES_KEPT distinct files of each agent in order of first sighting. Files meet by name and a
+    rank limit cuts them in each task, so no more of an agent's come together."""
+    start = turns.groupBy("agent_id").agg(F.min("seq").alias("_s"))
+    f = turns.select("agent_id", "seq", F.posexplode("files").alias("pos", "file")).join(start, "agent_id")
+    f = f.filter((F.col("seq") > F.col("_s")) | (F.col("pos") < FILES_KEPT)).groupBy("agent_id", "file").agg(F.min(F.struct("seq", "pos")).alias("k"))
+    newest = Window.partitionBy("agent_id").orderBy(F.desc("k"))
+    f = f.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= FILES_KEPT)
+    return f.groupBy(F.col("agent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "file"))), lambda x: x["file"]).alias("_files"))
 
 
 def version(sessions: DataFrame) -> DataFrame:

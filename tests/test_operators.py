@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
-from cairn.operators import access, context, indexes, lineage, links, mutations, policy, review, search, upkeep, usage
+from cairn.operators import access, context, indexes, lineage, links, mutations, policy, review, search, sessions, upkeep, usage
 from cairn.operators.access import Access, current
 from cairn.sources import embedder, tables
 from cairn.sources.tables import first_wins, longest_prefix, read_snapshot, upsert, write_snapshot
@@ -363,3 +363,13 @@ def test_migrations(spark):
             raise
         except Exception as e:
             assert "newer" in str(e) or "namespace" in str(e)
+
+
+def test_files_of_sessions(spark):
+    t = dt.datetime(2024, 1, 1)
+    many = [[f"a{i}" for i in range(60)], [f"b{i}" for i in range(30)], ["a3", "b1", "c"]]
+    turns = [(1, k, t, "p", "m", None, None, "reply", f) for k, f in enumerate(many)] + [(2, 0, t, "p", "m", None, None, "reply", ["x", "x", "y"]), (3, 0, t, None, "m", None, None, "r", []), (3, 1, t, None, "m", None, None, "r", None)]
+    df = spark.createDataFrame(turns, "agent_id long, seq long, ts timestamp, project_key string, provider string, title string, user_text string, assistant_text string, files array<string>")
+    got = {r.id: (r.turns, r.files) for r in sessions.fold_turns(df.repartition(3)).collect()}
+    assert got[1] == (3, ([f"a{i}" for i in range(50)] + [f"b{i}" for i in range(30)] + ["c"])[-50:])
+    assert got[2] == (1, ["x", "x", "y"]) and got[3] == (2, [])
