@@ -224,8 +224,9 @@ class Sampler:
             self.forget()
         parts = [CHUNK.findall(t) for t in texts]
         new = set().union(*parts) - self.known.keys() if parts else set()
-        long = [(t, k) for t, p in enumerate(parts) for k, c in enumerate(p) if len(c) > LONG] if any(len(c) > LONG for c in new) else []
-        new = {c for c in new if len(c) <= LONG}
+        big = {c for c in new if len(c) > LONG}
+        long = [(t, k) for t, p in enumerate(parts) for k, c in enumerate(p) if len(c) > LONG] if big else []
+        new -= big
         # An empty chunk holds a long one's place; its pieces are put in afterwards.
         own = {(t, k): self._walk(parts[t][k], _mix(keys)[t] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for t, k in long}
         for t, k in long:
