@@ -479,7 +479,7 @@ def sql_json(x: str) -> str:
 
 
 CITED = """cited AS (SELECT memory_id, string_agg('{"evidenceId":"' || evidence_id || '","sourceRef":"' || source_ref || '","status":"resolved"}', ',' ORDER BY evidence_id) AS cited FROM citations GROUP BY memory_id)"""
-DAYS = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+DAYS = "strftime(make_timestamp({0}::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 ENTRY = f"""'- #' || m.id || '@' || revision || ' [' || record_kind || '/' || state || '/' || verification_status || '/' || scope || '] ' || {sql_json("title")}
   || CASE WHEN {sql_clip("content", 240)} <> '' THEN chr(10) || '  Text: ' || {sql_json(sql_clip("content", 240))} ELSE '' END || chr(10) || '  Evidence: [' || coalesce(cited, '') || ']'
   || CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN chr(10) || '  Valid: ' || coalesce({DAYS.format("valid_from")}, 'unknown') || ' .. ' || coalesce({DAYS.format("valid_until")}, 'unbounded') ELSE '' END"""

@@ -453,7 +453,7 @@ def sql_field(name: str, value: str) -> str:
     return f"',\"{name}\":' || coalesce(to_json({value})::VARCHAR, 'null')"
 
 
-MOMENT = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
+MOMENT = "strftime(make_timestamp({0}::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
 VERSION = " || ".join(
     ["'{\"id\":' || id", *[sql_field(c, c) for c in ("project_key", "provider", "title", "first_prompt", "last_prompt", "last_reply", "files", "turns")], *[sql_field(c, MOMENT.format(c)) for c in ("started_at", "updated_at")], "'}'"]
 )
