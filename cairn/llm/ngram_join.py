@@ -31,16 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_table, has_bit, local_roots, release, sealed, staged, whole_groups
 from .components import components
 
-#: Words whose hashes a Python worker keeps.
-KEPT_WORDS = 500_000
-SLICE_WORDS = 300_000
+#: Bytes of texts that are worked on at once, and of a piece of them that is hashed at once.
+SLICE_BYTES, PIECE = 1 << 21, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -59,47 +57,95 @@ class JoinParams:
 
 
 class Shingler:
+    """Sets of shingle hashes. Words are hashed where they stand: a byte's random number times a power of its place, summed
+    up, so that a word's hash is a difference of two sums, shifted to one place for all words."""
+
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width = width
+        codes = np.arange(256)
+        self.blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        numbers = np.random.default_rng(17).integers(1, 2**64, 256, np.uint64, endpoint=False)
+        self.number = numbers[np.where((codes >= 65) & (codes <= 90), codes + 32, codes)]  # A-Z as a-z
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.r_[np.uint64(1), np.full(PIECE, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
 
     def sets(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         """(from, to, sorted distinct shingle hashes of each text) for slices of the texts."""
-        start, words, sizes = 0, [], []
+        start, held, size = 0, [], 0
         for i, t in enumerate(texts):
-            w = (t or "").encode().lower().split()  # of bytes: lowers A-Z and splits at ASCII white space only
-            words += w
-            sizes.append(len(w))
-            if len(words) >= SLICE_WORDS or i + 1 == len(texts):
-                yield start, i + 1, self._sets(words, sizes)
-                start, words, sizes = i + 1, [], []
-
-    def _sets(self, words: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        for w in set(words) - known.keys():
-            known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            held.append((t or "").encode())
+            size += len(held[-1]) + 1
+            if size >= SLICE_BYTES or i + 1 == len(texts):
+                yield start, i + 1, self._sets(held)
+                start, held, size = i + 1, [], 0
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of each word."""
+        code, hashes, places, at = np.frombuffer(data, np.uint8), [], [], 0
+        while at < len(code):
+            part = code[at : at + PIECE]
+            blank = self.blank[part]
+            if at + len(part) < len(code) and not blank[-1]:
+                ends = np.flatnonzero(blank)
+                if not len(ends):  # one word fills the piece
+                    end = at + len(part)
+                    while end < len(code) and not self.blank[code[end]]:
+                        more = np.flatnonzero(self.blank[code[end : end + PIECE]])
+                        end += int(more[0]) if len(more) else len(code[end : end + PIECE])
+                    hashes.append(np.array([self._long(code[at:end])]))
+                    places.append(np.array([at]))
+                    at = end
+                    continue
+                part, blank = part[: ends[-1] + 1], blank[: ends[-1] + 1]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(self.number[part] * self.power[: len(part)], out=sums[1:])
+            first = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+            last = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+            hashes.append((sums[last] - sums[first]) * self.power[PIECE - first])
+            places.append(first + at)
+            at += len(part)
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h = np.concatenate(hashes)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32)), np.concatenate(places)
+
+    def _long(self, code: np.ndarray) -> np.uint64:
+        """The sum of a word of any length, shifted like those of all words."""
+        total, shift = 0, int(self.power[PIECE])
+        for i in range(0, len(code), PIECE):
+            part = code[i : i + PIECE]
+            total += int((self.number[part] * self.power[: len(part)]).sum(dtype=np.uint64)) * pow(0x9E3779B97F4A7C15, i, 2**64)
+        return np.uint64(total * shift % 2**64)
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
+            h, place = self.words(b"\n".join(texts))
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            sizes = np.bincount(np.searchsorted(ends, place, side="right"), minlength=len(texts)).tolist()
             rolled = h.copy()
             for j in range(1, self.width):
                 rolled[: max(len(h) - j, 0)] = rolled[: max(len(h) - j, 0)] * np.uint64(0x9E3779B97F4A7C15) + h[j:]
+            mixed = self._mixed(rolled)
             out, at = [], 0
             for n in sizes:
                 if 0 < n < self.width:
                     k = h[at : at + 1].copy()
                     for x in h[at + 1 : at + n]:
                         k = k * np.uint64(0x9E3779B97F4A7C15) + x
-                    k += np.uint64(n)
+                    k = self._mixed(k + np.uint64(n))
                 else:
-                    k = rolled[at : at + max(n - self.width + 1, 0)]
-                k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                k ^= k >> np.uint64(29)
+                    k = mixed[at : at + max(n - self.width + 1, 0)].copy()
                 k.sort()
                 out.append(k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k)
                 at += n
         return out
 
+    @staticmethod
+    def _mixed(k: np.ndarray) -> np.ndarray:
+        k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return k ^ (k >> np.uint64(29))
+
 
 def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)

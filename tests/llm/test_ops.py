@@ -472,6 +472,26 @@ def test_jaccard(docs, rows, block):
     assert collections.Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got) == want
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(4)
+    pool = ["a", "ab", "ba", "Ab", "é", "x" * 70, "y" * 200, "日本", "\x00", "a\x00"]
+    texts = [rng.choice(SPACE).join(rng.choices(pool, k=rng.randint(0, 60))) + rng.choice(["", " ", "\n\n"]) for _ in range(30)]
+    for piece in (64, 1 << 20):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        shingler, seen = ngram_join.Shingler(5), {}
+        for t in texts:
+            data = t.encode()
+            h, at = shingler.words(data)
+            want = data.lower().split()
+            assert [data[p : p + len(w)].lower() for p, w in zip(at, want)] == want and len(h) == len(want)
+            for x, w in zip(h.tolist(), want):
+                assert seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
+        one = [s for *_, sets in shingler.sets(texts) for s in sets]
+        alone = [s for t in texts for *_, sets in shingler.sets([t]) for s in sets]
+        assert all((a == b).all() for a, b in zip(one, alone, strict=True))
+
+
 def test_pieces(docs, rows):
     df = pieces.encode(docs)
     back = pieces.decode(df).collect()
