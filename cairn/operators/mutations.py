@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,8 +54,9 @@ _SHAPES = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", put)) for p, put in SECRET
 _PRIVATE = re.compile(r"<private>[\s\S]*?</private>", re.I)
 
 
+@lru_cache(maxsize=1 << 16)
 def redacted(text: str) -> str:
-    """text.redact() for one string, trimmed."""
+    """text.redact() for one string, trimmed. A log repeats its texts: every later look at one is free."""
     out = _PRIVATE.sub("[private]", text)
     for pattern, put in _SHAPES:
         out = pattern.sub(put, out)
