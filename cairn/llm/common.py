@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Unsigned CRC-32 of an ASCII column `s` in DuckDB's SQL.
+CRC32_SQL = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (a test) gets a
     folder of its own; on a cluster that is an error, as executors would write where nobody else can read."""

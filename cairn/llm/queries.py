@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, embedding_dedup, line_dedup, ngram_join, quality_rules, suffix_dedup
+from . import manifest as merkle
 from .chat_format import adjacent_pairs, format_preferences
 from .common import documents
 from .embedding_dedup import near_duplicates
 from .language_id import held_out, identify, train
 from .line_dedup import dedup_lines
+from .manifest import folded, leaf, manifest, proof
 from .mixing import mix
 from .ngram_join import jaccard_classes
 from .pieces import encode
@@ -76,8 +78,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_pieces", "lossless", digest.alias("pieces_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    claim = leaf(docs, n_chars=F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    df = manifest(docs.withColumn("claim", claim), keep=["doc_id", "claim"])
+    df = df.select("doc_id", "leaf", "subroot", "root", proof("path").alias("proof_sha256"), folded("claim", "path").alias("folded_root"))
+    return df.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece, op11_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": chat_format.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
