@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, embedding_dedup, line_dedup, ngram_join, quality_rules, suffix_dedup
 from . import manifest as merkle
+from . import prefix_trie as tries
 from .chat_format import adjacent_pairs, format_preferences
 from .common import documents
 from .embedding_dedup import near_duplicates
@@ -18,6 +19,7 @@ from .manifest import folded, leaf, manifest, proof
 from .mixing import mix
 from .ngram_join import jaccard_classes
 from .pieces import encode
+from .prefix_trie import prefix_trie
 from .quality_rules import quality
 from .secrets import scan
 from .suffix_dedup import remove_repeats
@@ -87,8 +89,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece, op11_merkle_manifest)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece, op11_merkle_manifest, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +105,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_prefix_trie": tries.ORACLE,
 }
