@@ -66,6 +66,7 @@ class Family:
             self.nodes[name] = [up, self.depth, size, 1, self.conv, []]
         else:
             node[3] += 1
+            node[4] = min(node[4], self.conv)
 
     def step(self, digest: bytes, size: int) -> None:
         up, self.depth = self.name, self.depth + 1

@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin digests over the operators of this folder."""
+"""The queries op1 to op13: thin digests over the operators of this folder."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ from .prefix_trie import prefix_trie
 from .quality_rules import quality
 from .secrets import scan
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity
+from .toxicity import train as train_toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +91,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train_toxicity(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece, op11_merkle_manifest, op13_prefix_trie)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_chat_format, op7_mixing, op8_embedding_dedup, op9_ngram_join, op10_sentencepiece, op11_merkle_manifest, op12_toxicity, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
