@@ -102,19 +102,21 @@ class Engine:
     # ---- changing
 
     @staticmethod
-    def memory_mutate(requests: DataFrame) -> DataFrame:
-        """Receipts of a log of requests."""
-        return mutations.fold(requests)
+    def memory_mutate(requests: DataFrame, state: DataFrame | None = None, allowed: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Receipts of a log of requests, one for each, and the state that they leave on top of what earlier calls left."""
+        return mutations.fold_onto(requests, state, allowed)
 
-    def memory_save(self, requests: DataFrame) -> DataFrame:
-        """Receipts of requests that create, whatever operation they name."""
-        return mutations.fold(requests.withColumn("operation", F.lit("create")))
+    def memory_save(self, requests: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """memory_mutate() for requests that create; others are refused."""
+        return self.memory_mutate(requests, state, ("create", "propose"))
 
-    def memory_update(self, requests: DataFrame) -> DataFrame:
-        return mutations.fold(requests.filter("operation in ('create', 'propose', 'update', 'promote', 'restore')"))
+    def memory_update(self, requests: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """memory_mutate() for requests that change a memory and leave it there; others are refused."""
+        return self.memory_mutate(requests, state, ("update", "promote", "reject", "restore", "merge", "supersede", "undo_merge"))
 
-    def memory_delete(self, requests: DataFrame) -> DataFrame:
-        return mutations.fold(requests.filter("operation in ('create', 'propose', 'archive', 'forget')"))
+    def memory_delete(self, requests: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """memory_mutate() for requests that take a memory out; others are refused."""
+        return self.memory_mutate(requests, state, ("archive", "forget"))
 
     def forget(self, ids: DataFrame, shown: DataFrame, principal: str = "owner") -> tuple[dict[str, DataFrame], DataFrame]:
         """All tables without ids and what goes with them, and the tombstones that remain. shown: memory_id, nonce."""

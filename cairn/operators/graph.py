@@ -51,3 +51,29 @@ def closure(start: DataFrame, edges: DataFrame, limit: int | None = None) -> Dat
         if limit is not None and not seen.groupBy("root").count().filter(F.col("count") > limit).isEmpty():
             raise ValueError(f"a closure has more than {limit} rows")
     return seen
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id and component (smallest id reachable) of every node of edges(a, b), by stars: each round hangs the larger
+    neighbours of a node on its smallest one, then the smaller ones, until nothing moves. Minima are summed up before they
+    are shuffled, and only edges are joined, so a hub is split like any hot key of a join."""
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+    def star(pairs: DataFrame) -> DataFrame:
+        least = pairs.groupBy(F.col("u").alias("of")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        return pairs.join(least, F.col("u") == F.col("of"))
+
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        large = star(both(e)).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        e = cut(small.filter("a <> b").distinct())
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
+            break
+        before = now
+    return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(e.select("b", "b").distinct())

@@ -1,11 +1,15 @@
 """Folding an ordered log of change requests into revisions and receipts.
 
-Requests of one family of memories (those that merges, supersessions and citations tie together) are folded in log order
-by one grouped fold; families run side by side. A request is replayed if its principal has sent it before, refused if its
+The log is the store's: a request is replayed if its principal has sent it before under any memory, and a text may exist
+once in a namespace. What may touch each other is found first: requests that share a memory (their own, a target, one they
+cite), a source, a principal's request id or a text are tied, and the connected components of those ties are folded in log
+order, each by one grouped fold, side by side. A request is replayed if its principal has sent it before, refused if its
 body differs, then authorised, checked against the revision that it expects, checked for its fields and its evidence, and
 applied. What it changes makes the memories that derive from the old revision wait for a check.
 
-Order is what the log means, so a family can't be split: it is as large as its memories' history.
+A log may come in waves: fold_onto() takes what the waves before have left (a row for each component), joins it with the
+new requests by the same ties, folds only what they touch, and carries the rest over. Order is what the log means, so a
+component isn't split: a fold holds its live state and the wave's requests, not the log before.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import SECRET_SHAPES
+from .graph import components, cut
 
 #: Fields that each operation may change (fixed values).
 COMMON = {"title", "content", "type", "scope", "project", "topicKey", "pinned", "recordKind", "validFrom", "validUntil"}
@@ -49,6 +55,9 @@ RECEIPT = (
     "error string, revision long, state string, title string, content string, merged_into long, verification string, "
     "evidence array<string>, validation string, diff array<string>, rechecked array<long>"
 )
+#: What earlier waves leave: a row for each component, with what ties it to later requests.
+STATE = "family long, ties array<string>, store string"
+FOLDED = RECEIPT + ", ties array<string>, store string"
 
 _SHAPES = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", put)) for p, put in SECRET_SHAPES]
 _PRIVATE = re.compile(r"<private>[\s\S]*?</private>", re.I)
@@ -100,7 +109,7 @@ class Memory(dict):
 
 
 class Store:
-    """The memories of a family, and what is needed to judge the next request."""
+    """The memories of a component, and what is needed to judge the next request."""
 
     def __init__(self) -> None:
         self.memories: dict[int, Memory] = {}
@@ -209,9 +218,9 @@ class Store:
             merged_into=None, deleted=False, revision=1, evidence=given, snapshots={},
         )
         same = ("title", "content", "type", "scope", "project_key", "record_kind", "valid_from", "valid_until")
-        twin = next((m for m in self.memories.values() if not m["deleted"] and all(m[k] == new[k] for k in same)), None)
+        twin = min((i for i, m in self.memories.items() if not m["deleted"] and all(m[k] == new[k] for k in same)), default=None)
         if twin is not None:
-            return "duplicate", twin, outcome
+            return "duplicate", self.memories[twin], outcome
         self.memories[r["memory_id"]] = new
         self.snapshot(new)
         return "created", new, outcome
@@ -349,7 +358,7 @@ class Store:
         todo = [(memory_id, old)]
         while todo:
             ref = "memory:{}@{}".format(*todo.pop())
-            for i, o in self.memories.items():
+            for i, o in sorted(self.memories.items()):
                 if ref in o["evidence"] and o["state"] in ("active", "candidate") and o is not m:
                     o.update(state="needs_recheck", verification="unresolved", revision=o["revision"] + 1)
                     o["evidence"][ref] = False
@@ -382,8 +391,38 @@ class Store:
         return receipt
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
+def _kept(store: Store) -> tuple[list[str], str]:
+    """What ties a component's state to later requests, and the state itself."""
+    live = [m for m in store.memories.values()]
+    refs = {ref for m in live for snap in (m, *m["snapshots"].values()) for ref in snap["evidence"]} | store.sources_gone
+    texts = {snap["content"] for m in live for snap in (m, *m["snapshots"].values()) if snap["content"] is not None}
+    ties = {f"m:{i}" for i in (*store.memories, *store.forgotten)} | {f"e:{ref}" for ref in refs} | {f"m:{int(m[1])}" for ref in refs if (m := _MEMORY_REF.fullmatch(ref))}
+    ties |= {f"r:{p}\n{q}" for p, q in store.seen} | {f"c:{content_key(x)}" for x in texts} | {f"t:{m['topic_key']}" for m in live if m["topic_key"]}
+    state = {
+        "memories": [[i, {k: v for k, v in m.items() if k != "snapshots"}, list(m["snapshots"].items())] for i, m in store.memories.items()],
+        "forgotten": sorted(store.forgotten), "gone": sorted(store.sources_gone), "merges": list(store.merges.items()), "seen": [[*k, *v] for k, v in store.seen.items()],
+    }
+    return sorted(ties), json.dumps(state)
+
+
+def _load(store: Store, state: str) -> None:
+    kept = json.loads(state)
+    for i, m, snapshots in kept["memories"]:
+        store.memories[i] = Memory(m, snapshots={k: v for k, v in snapshots})
+    store.forgotten |= set(kept["forgotten"])
+    store.sources_gone |= set(kept["gone"])
+    store.merges |= {k: v for k, v in kept["merges"]}
+    store.seen |= {(p, q): (digest, receipt, operation, i) for p, q, digest, receipt, operation, i in kept["seen"]}
+
+
+_MEMORY_REF = re.compile(r"memory:(\d+)@(\d+)")
+
+
+def _fold(group: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Receipts of a component's requests in log order, then one row (without seq) with the state that they leave."""
     store, out = Store(), []
+    for state in () if before is None else before["state"]:
+        _load(store, state)
     for x in group.sort_values("seq").itertuples():
         r = {
             "seq": int(x.seq), "principal_id": x.principal_id, "request_id": x.request_id, "operation": x.operation, "memory_id": int(x.memory_id),
@@ -391,18 +430,102 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
             "agent": bool(x.agent), "project": x.project if isinstance(x.project, str) else None, "evidence": [str(e) for e in x.evidence] if hasattr(x.evidence, "__len__") else None,
         }
         out.append({"family": x.family, **{k: r[k] for k in ("seq", "principal_id", "request_id", "memory_id", "operation")}} | store.take(r))
-    names = [c.split()[0] for c in RECEIPT.split(", ")]
+    ties, state = _kept(store)
+    family = int((group if len(group) else before)["family"].iloc[0])
+    out.append({"family": family, "ties": ties, "store": state})
+    names = [c.split()[0] for c in FOLDED.split(", ")]
     df = pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in names})
-    return df.astype({c: "Int64" for c in ("revision", "merged_into")})
-
-
-def fold(requests: DataFrame) -> DataFrame:
-    """Receipts of requests(REQUEST): change is JSON, evidence an array of references, project the one that an agent works
-    in; the last two may be missing."""
-    for c, t in (("project", "string"), ("evidence", "array<string>")):
+    return df.astype({c: "Int64" for c in ("seq", "memory_id", "revision", "merged_into")})
+
+
+def _cogrouped(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    return _fold(group, before)
+
+
+def content_key(stored: str) -> str:
+    return hashlib.sha256(stored.encode()).hexdigest()
+
+
+@F.pandas_udf(StringType())
+def _content_keys(content: pd.Series) -> pd.Series:
+    """Keys of contents as the fold would store them."""
+    return content.map(lambda x: content_key(redacted(x)) if isinstance(x, str) else None)
+
+
+def ties(requests: DataFrame) -> DataFrame:
+    """node (the request's seq) and tie: what a request shares with those that it must be folded with."""
+    change = F.from_json("change", "content string, topicKey string, target struct<id: bigint>")
+    own = [
+        F.concat(F.lit("m:"), F.col("memory_id").cast("string")),
+        F.concat(F.lit("r:"), F.col("principal_id"), F.lit("\n"), F.col("request_id")),
+        F.concat(F.lit("m:"), change["target"]["id"].cast("string")),
+        F.concat(F.lit("c:"), _content_keys(change["content"])),
+        F.concat(F.lit("t:"), change["topicKey"]),
+    ]
+    bare = F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda x: F.rtrim(x, F.lit("!?")))
+    cited = F.transform(F.filter(bare, lambda x: x.rlike(r"^memory:\d+@\d+$")), lambda x: F.concat(F.lit("m:"), F.regexp_extract(x, r"^memory:0*(\d+)@", 1)))
+    whole = F.array_compact(F.concat(F.array(*own), F.transform(bare, lambda x: F.concat(F.lit("e:"), x)), cited))
+    return requests.select(F.col("seq").alias("node"), (F.col("operation") == "undo_merge").alias("undoes"), F.explode(F.array_distinct(whole)).alias("tie"))
+
+
+def families(requests: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """id and component of the requests (by seq) and of the families of state, of those that have a tie with another. A
+    topic ties only where the merge of a memory that has it is undone: nothing else looks at other memories' topics."""
+    t = ties(requests)
+    if state is not None:
+        t = t.unionByName(state.select(F.col("family").alias("node"), F.lit(False).alias("undoes"), F.explode("ties").alias("tie")))
+    t = cut(t)
+    undone = t.filter("undoes and tie like 'm:%'").select("tie").distinct()
+    holders = t.join(undone, "tie", "left_semi").select("node").distinct()
+    topics = t.filter("tie like 't:%'").join(holders, "node", "left_semi").select("tie").distinct()
+    t = t.filter("tie not like 't:%'").select("node", "tie").union(t.join(topics, "tie", "left_semi").select("node", "tie"))
+    hubs = t.groupBy("tie").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
+    return components(t.join(hubs, "tie").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
+def fold_onto(requests: DataFrame, state: DataFrame | None = None, allowed: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Receipts of requests(REQUEST), and the state(STATE) that they leave on top of state. seq is unique in the store and
+    above that of earlier waves; change is JSON, evidence an array of references, project the one that an agent works in;
+    family, project and evidence may be missing. Every request gets a receipt: those of operations other than the allowed
+    ones are refused and change nothing."""
+    for c, kind in (("project", "string"), ("evidence", "array<string>")):
         if c not in requests.columns:
-            requests = requests.withColumn(c, F.lit(None).cast(t))
-    return requests.select(*REQUEST.split(", ")).groupBy("family").applyInPandas(_fold, RECEIPT)
+            requests = requests.withColumn(c, F.lit(None).cast(kind))
+    requests = requests.withColumn("seq", F.col("seq").cast("long"))
+    taken = requests if allowed is None else requests.filter(F.col("operation").isin(*allowed))
+    found = cut(families(taken, state))
+    label = found.select(F.col("id").alias("_id"), "component")
+    taken = taken.join(label, F.col("seq") == F.col("_id"), "left").withColumn("family", F.coalesce("component", "seq")).select(*REQUEST.split(", "))
+    empty = requests.sparkSession.createDataFrame([], STATE)
+    rows = (empty if state is None else state).join(label, F.col("family") == F.col("_id"), "left").select(F.coalesce("component", "family").alias("family"), "ties", F.col("store").alias("state"))
+    touched = taken.select("family").distinct()
+    met = rows.join(touched, "family", "left_semi")
+    done = cut(taken.groupBy("family").cogroup(met.groupBy("family")).applyInPandas(_cogrouped, FOLDED))
+    receipts = done.filter("seq is not null").drop("ties", "store")
+    if allowed is not None:
+        names = [c.split()[0] for c in RECEIPT.split(", ")]
+        refused = requests.filter(~F.col("operation").isin(*allowed) | F.col("operation").isNull())
+        given = {"family": F.col("seq"), "status": F.lit("refused"), "error": F.lit("invalid_input")}
+        types = {f.name: f.dataType for f in receipts.schema}
+        refused = refused.select(*[(given.get(n) if n in given else F.col(n) if n in ("seq", "principal_id", "request_id", "memory_id", "operation") else F.lit(None)).cast(types[n]).alias(n) for n in names])
+        receipts = receipts.unionByName(refused)
+    carried = rows.join(touched, "family", "left_anti").select("family", "ties", F.col("state").alias("store"))
+    return receipts, carried.union(done.filter("seq is null").select("family", "ties", "store"))
+
+
+def fold(requests: DataFrame, state: DataFrame | None = None, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """The receipts alone."""
+    return fold_onto(requests, state, allowed)[0]
+
+
+def in_waves(requests: DataFrame, bounds: list[int]) -> tuple[DataFrame, DataFrame]:
+    """fold_onto() of a log wave by wave: up to each of the bounds (of seq), then the rest."""
+    state, receipts, low = None, None, None
+    for high in [*bounds, None]:
+        wave = requests.filter((F.col("seq") > low if low is not None else F.lit(True)) & (F.col("seq") <= high if high is not None else F.lit(True)))
+        got, state = fold_onto(wave, state)
+        state, receipts, low = cut(state), got if receipts is None else receipts.union(got), high
+    return receipts, state
 
 
 def current(receipts: DataFrame) -> DataFrame:

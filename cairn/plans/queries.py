@@ -785,38 +785,39 @@ def workspace_roots(spark, d):
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """A log of changes: each user's events touch the three memories of the user's own family. Every thirteenth event sends
-    the request of two events before again, every 26th of those with another body; expected revisions run ahead or behind;
-    agents work in two projects; some changes cite other memories."""
+    the request of two events before again, every 26th of those with another body; every 31st uses the request id of the
+    user before, and texts recur among five users, so that families meet; expected revisions run ahead or behind; agents
+    work in two projects; some changes cite other memories."""
     e, i, u = table(spark, d, "events"), F.col("event_id"), F.col("user_id")
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = e.select("event_id", "user_id", (F.row_number().over(w) - 1).cast("long").alias("n"))
+    e = e.select("event_id", "user_id", (F.row_number().over(w) - 1).cast("long").alias("n"), F.lag("event_id", 8).over(w).alias("merged_at"))
     n = F.col("n")
     src = F.when(n % 13 == 12, n - 2).otherwise(n)
     op = F.get(F.array(*map(F.lit, ["create", "update", "archive", "restore", "promote", "update", "merge", "undo_merge", "propose", "supersede", "reject", "forget"])), F.when(src < 3, 0).when(src % 97 == 96, 11).otherwise(src * 7 % 11).cast("int"))
     mid, other = u * 3 + src % 3, u * 3 + (src + 1) % 3
     body = F.struct(
-        F.concat(F.lit("t"), (src % 11 + F.when(n % 26 == 25, 1).otherwise(0)).cast("string")).alias("title"),
-        F.concat(F.lit("c"), (src % 5).cast("string")).alias("content"),
+        F.concat(F.lit("t"), (src % 3 + F.when(n % 26 == 25, 1).otherwise(0)).cast("string")).alias("title"),
+        F.concat(F.lit("c"), (src % 5).cast("string"), F.lit(" of "), F.floor(u / 5).cast("string")).alias("content"),
         F.when(src % 6 == 0, "project").when(src % 6 == 1, "global").alias("scope"),
         F.when(src % 6 == 0, F.concat(F.lit("p"), (u % 2).cast("string"))).alias("project"),
+        F.when(src % 7 == 2, F.concat(F.lit("topic of "), F.floor(u / 2).cast("string"))).alias("topicKey"),
         F.when(src % 9 == 4, "2024-02-01").alias("validFrom"),
         F.when(src % 9 == 4, F.when(src % 2 == 0, "2024-03-01").otherwise("2024-01-01")).alias("validUntil"),
     )
-    target = F.struct(F.struct(other.alias("id"), (1 + src % 4).alias("revision")).alias("target"), F.when(op == "undo_merge", src).alias("mergeId"))
+    target = F.struct(F.struct(other.alias("id"), (1 + src % 4).alias("revision")).alias("target"), F.when(op == "undo_merge", F.col("merged_at")).alias("mergeId"))
     change = F.when(op.isin("create", "propose", "update"), F.to_json(body)).when(op.isin("merge", "supersede", "undo_merge"), F.to_json(target)).when(op == "restore", F.to_json(F.struct((1 + src % 3).alias("sourceRevision"))))
     cites = F.concat(F.lit("memory:"), other.cast("string"), F.lit("@"), (1 + src % 3).cast("string"))
     return e.select(
-        u.alias("family"),
-        n.alias("seq"),
+        i.cast("long").alias("seq"),
         F.concat(F.lit("u"), (src % 2).cast("string")).alias("principal_id"),
-        F.concat(F.lit("r"), src.cast("string")).alias("request_id"),
+        F.concat(F.lit("r"), src.cast("string"), F.lit("-"), (u - F.when(n % 31 == 30, 1).otherwise(0)).cast("string")).alias("request_id"),
         op.alias("operation"),
         mid.alias("memory_id"),
         F.when(~op.isin("create", "propose") & (src % 17 != 3), 1 + src % 5).alias("expected_revision"),
         change.alias("change"),
         (src % 4 == 0).alias("agent"),
         F.when(src % 4 == 0, F.concat(F.lit("p"), (src % 3).cast("string"))).alias("project"),
-        F.when(src % 8 == 5, F.array(cites)).when(src % 8 == 7, F.array(F.lit("artifact:x"))).alias("evidence"),
+        F.when(src % 8 == 5, F.array(cites)).when(src % 8 == 7, F.array(F.concat(F.lit("artifact:"), u.cast("string")))).alias("evidence"),
     )
 
 

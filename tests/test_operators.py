@@ -1,11 +1,15 @@
+import collections
 import dataclasses
 import datetime as dt
 import json
 import math
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from cairn.engine import Engine
 from cairn.functions import text as tx
 from cairn.operators import access, context, indexes, lineage, links, mutations, policy, review, search, sessions, upkeep, usage
 from cairn.operators.access import Access, current
@@ -80,6 +84,83 @@ def receipts(spark, log):
     return {r.seq: r for r in mutations.fold(spark.createDataFrame(rows, names)).collect()}
 
 
+def random_log(rng, n):
+    """Requests over many families that share request ids, texts, topics, sources and targets."""
+    log = []
+    for k in range(1, n + 1):
+        i, other = rng.randint(1, 24), rng.randint(1, 24)
+        op = rng.choice("create create create propose update update archive restore promote merge undo_merge supersede reject forget".split() if k > 30 else ["create"])
+        change = None
+        if op in ("create", "propose", "update"):
+            change = {"title": rng.choice("ab"), "content": f" text {rng.randint(0, 25)}\n"}
+            change |= rng.choice([{}, {"topicKey": f"topic{rng.randint(0, 5)}"}, {"scope": "project", "project": "p1"}])
+        elif op in ("merge", "supersede", "undo_merge"):
+            merges = [m for m in log if m["operation"] == "merge"]
+            change = {"target": {"id": other, "revision": rng.randint(1, 3)}}
+            if op == "undo_merge" and merges:
+                m = rng.choice(merges)
+                i, change = m["memory_id"], {**json.loads(m["change"]), "mergeId": m["seq"]}
+        elif op == "restore":
+            change = {"sourceRevision": rng.randint(1, 2)}
+        evidence = rng.choice([None, None, [f"memory:{other}@{rng.randint(1, 2)}"], [f"file:{rng.randint(0, 9)}"]])
+        row = {"principal_id": rng.choice("uv"), "request_id": f"q{k if rng.random() < 0.8 else rng.randint(1, k)}", "operation": op, "memory_id": i, "expected_revision": None if op in ("create", "propose") else rng.randint(1, 3)}
+        row |= {"change": None if change is None else json.dumps(change), "agent": rng.random() < 0.1, "project": "p1", "evidence": evidence}
+        if log and rng.random() < 0.1:
+            row = {c: v for c, v in rng.choice(log).items() if c != "seq"} | ({} if rng.random() < 0.6 else {"memory_id": i})
+        log.append(row | {"seq": k})
+    return log
+
+
+LOG = "seq long, principal_id string, request_id string, operation string, memory_id long, expected_revision long, change string, agent boolean, project string, evidence array<string>"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_store_wide_log_equals_one_fold(spark, seed):
+    """Components, in one wave and in several, give what a fold of the whole log gives."""
+    log = random_log(random.Random(seed), 160)
+    names = [c.split()[0] for c in LOG.split(", ")]
+    df = spark.createDataFrame([tuple(r[c] for c in names) for r in log], LOG).repartition(3)
+    alone = mutations._fold(pd.DataFrame([r | {"family": 1} for r in log]))
+
+    def rows(receipts):
+        own = lambda x: None if x is None or x is pd.NA or x != x else tuple(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") and not isinstance(x, str) else x
+        return {int(r["seq"]): tuple(own(r[c]) for c in ("status", "error", "revision", "state", "title", "content", "merged_into", "verification", "evidence", "validation", "rechecked")) for r in receipts}
+
+    want = rows(alone[alone["seq"].notna()].to_dict("records"))
+    got = rows(mutations.fold(df).collect())
+    assert got == want
+    kinds = collections.Counter(w[0] if w[1] is None else w[1] for w in want.values())
+    assert {"created", "duplicate", "replayed", "request_conflict", "updated", "forgotten", "revision_conflict"} <= set(kinds), kinds
+    receipts, state = mutations.in_waves(df, [40, 41, 110])
+    assert rows(receipts.collect()) == want
+    assert sum(len(json.loads(r.store)["seen"]) for r in state.collect()) == sum(s in ("created", "updated", "unchanged", "duplicate", "forgotten") for s, *_ in want.values())
+
+
+def test_families_are_as_small_as_what_they_share(spark):
+    rows = [(1, "u", "a", "create", 1, None, '{"title":"t","content":"x"}'), (2, "u", "b", "create", 2, None, '{"title":"t","content":"y","topicKey":"k"}'), (3, "u", "c", "create", 3, None, '{"title":"o","content":" x "}'),
+            (4, "v", "a", "create", 4, None, '{"title":"t","content":"z","topicKey":"k"}'), (5, "u", "a", "create", 9, None, '{"title":"t","content":"x"}'), (6, "v", "d", "update", 4, 1, '{"title":"u"}')]
+    log = spark.createDataFrame([(*r, False) for r in rows], "seq long, principal_id string, request_id string, operation string, memory_id long, expected_revision long, change string, agent boolean")
+    got = {r.seq: (r.family, r.status, r.error) for r in mutations.fold(log).collect()}
+    assert got == {1: (1, "created", None), 2: (2, "created", None), 3: (1, "created", None), 4: (4, "created", None), 5: (1, "refused", "request_conflict"), 6: (4, "updated", None)}
+    undo = spark.createDataFrame([(*rows[0][:3], "undo_merge", 4, 1, '{"mergeId":1,"target":{"id":2,"revision":1}}', False)], log.schema).withColumn("seq", F.lit(7).cast("long"))
+    joined = {r.seq: r.family for r in mutations.fold(log.union(undo)).collect()}
+    assert joined[2] == joined[4] == joined[7]
+
+
+def test_engine_gives_every_request_a_receipt(spark):
+    rows = [(1, "a", "create", 1, None, '{"title":"t","content":"x"}'), (2, "b", "archive", 1, 1, None), (3, "c", "update", 1, 1, '{"title":"n"}'), (4, "d", None, 1, 1, None)]
+    log = spark.createDataFrame([(k, "u", *r, False) for k, *r in rows], "seq long, principal_id string, request_id string, operation string, memory_id long, expected_revision long, change string, agent boolean")
+    engine = Engine(spark, {}, F.current_timestamp())
+    brief = lambda df: {r.seq: (r.status, r.error) for r in df.collect()}
+    receipts, state = engine.memory_save(log)
+    assert brief(receipts) == {1: ("created", None), **{k: ("refused", "invalid_input") for k in (2, 3, 4)}}
+    receipts, state = engine.memory_update(log.filter("seq > 1").withColumn("seq", F.col("seq") + 10), state)
+    assert brief(receipts) == {12: ("refused", "invalid_input"), 13: ("updated", None), 14: ("refused", "invalid_input")}
+    late = log.filter("seq = 2").withColumns({"seq": F.lit(30).cast("long"), "expected_revision": F.lit(2).cast("long")})
+    receipts, state = engine.memory_delete(late, state)
+    assert brief(receipts) == {30: ("updated", None)} and engine.memory_mutate(late.withColumn("seq", F.lit(31).cast("long")), state)[0].first().status == "replayed"
+
+
 def test_mutations(spark):
     got = receipts(spark, [
         ("u", "a", "create", 1, None, {"title": "t", "content": "c"}),
