@@ -70,6 +70,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tidy(run):
+    """run(batches) for mapInArrow, after which the worker gives back the memory that it holds and no longer uses: workers
+    wait for their next task with it, while the stages between need it for the JVM."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def bit_table(hashes: DataFrame, bits: int):
     """A table of 2 ** bits bits, set where the column h (64-bit hashes) points by its high bits; its size is fixed, and a
     bit set by chance only lets something through. Returns it as 64-bit words."""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, has_bit, local_roots, release, sealed, staged, whole_groups
+from .common import bit_table, has_bit, local_roots, release, sealed, staged, tidy, whole_groups
 from .components import components
 
 #: Bytes of texts that are worked on at once, and of a piece of them that is hashed at once.
@@ -227,8 +227,8 @@ def _frequencies(docs: DataFrame, params: JoinParams) -> DataFrame:
                 keep = total > 1
                 yield pa.RecordBatch.from_arrays([pa.array(h[first][keep].view(np.int64)), pa.array(total[keep])], names=["h", "n"])
 
-    rows = docs.select("text").mapInArrow(send, "bucket long, h binary, at binary, n binary")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, n long")
+    rows = docs.select("text").mapInArrow(tidy(send), "bucket long, h binary, at binary, n binary")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(count), "h long, n long")
     return staged(rows, "join-frequencies")
 
 
@@ -306,7 +306,7 @@ def _prefixes(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
                     names=["doc_id", "digest", "n", "set_id", "group_id", "places", "tokens", "bitmap"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id {id_type}, digest long, n long, set_id long, group_id long, places array<int>, tokens array<long>, bitmap binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(tidy(run), f"doc_id {id_type}, digest long, n long, set_id long, group_id long, places array<int>, tokens array<long>, bitmap binary")
 
 
 def _pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -459,7 +459,7 @@ def _components(docs: DataFrame, params: JoinParams) -> DataFrame:
     # Only shingles that two groups have in their prefixes go on, and only then with their bitmaps.
     rows = narrow.join(tokens, F.col("token") == F.col("_t")).join(groups.select("group_id", "n", "bitmap"), "group_id")
     rows = rows.select("token", "place", "group_id", "n", "bitmap", "parts")
-    bundles = components(_blocks(rows, "parts", "group_id", "token").mapInArrow(_filter(params), "a long, b long"))
+    bundles = components(_blocks(rows, "parts", "group_id", "token").mapInArrow(tidy(_filter(params)), "a long, b long"))
 
     classes = held.groupBy("set_id").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("group_id").alias("group_id"), F.min("digest").alias("digest"))
     classes = classes.join(bundles, F.col("group_id") == F.col("id"), "left").select("set_id", "cid", "copies", "group_id", "digest", F.coalesce("component", "group_id").alias("bundle"))
@@ -482,7 +482,7 @@ def _components(docs: DataFrame, params: JoinParams) -> DataFrame:
         wanted = wanted.select("set_id", "copies", "digest", "bundle", F.coalesce("_block", F.lit(0)).alias("block"), F.col("_block").isNotNull().alias("cut"))
         # The filter once more over the groups of large bundles: which blocks of theirs hold a pair that passes.
         again = rows.join(placed.select("_g", F.col("_bundle").alias("bundle"), F.col("_block").alias("block")).distinct(), F.col("group_id") == F.col("_g")).drop("_g")
-        pairs = _blocks(again, "parts", "group_id", "token").mapInArrow(_filter(params, True), "bundle long, lo long, hi long")
+        pairs = _blocks(again, "parts", "group_id", "token").mapInArrow(tidy(_filter(params, True)), "bundle long, lo long, hi long")
         own = placed.select(F.col("_bundle").alias("bundle"), F.col("_block").alias("lo"), F.col("_block").alias("hi"))
         # Sets of one group may stand in several blocks, and pass without being filtered.
         same = placed.select("_g", F.col("_bundle").alias("bundle"), F.col("_block").alias("lo")).distinct()
@@ -504,9 +504,9 @@ def _components(docs: DataFrame, params: JoinParams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in sets], pa.binary())], names=["bundle", "block", "cut", "set_id", "copies", "shingles"])
 
     # One text of each wanted set: the table lets some more through, the join does not.
-    texts = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(candidates, "text string, h long")
+    texts = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(tidy(candidates), "text string, h long")
     texts = texts.dropDuplicates(["h"]).join(wanted, F.col("h") == F.col("digest")).select("text", "bundle", "block", "cut", "set_id", "copies")
-    dealt = texts.mapInArrow(shingles, "bundle long, block long, cut boolean, set_id long, copies long, shingles binary")
+    dealt = texts.mapInArrow(tidy(shingles), "bundle long, block long, cut boolean, set_id long, copies long, shingles binary")
     if pairs is None:
         checks = dealt.withColumns({"lo": F.col("block"), "hi": F.col("block")})
     else:
@@ -517,7 +517,7 @@ def _components(docs: DataFrame, params: JoinParams) -> DataFrame:
         many = dealt.filter("cut").join(ends, (F.col("bundle") == F.col("_b")) & (F.col("block") == F.col("_e")))
         checks = one.unionByName(many.select(*one.columns))
     checks = _dealt(checks.withColumnRenamed("block", "part"), "bundle")
-    checked = staged(checks.mapInArrow(_verify(params), "set_id long, links long, root long"), "join-links")
+    checked = staged(checks.mapInArrow(tidy(_verify(params)), "set_id long, links long, root long"), "join-links")
     roots = components(checked.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links")).withColumnRenamed("set_id", "_l")
     about = classes.join(links, F.col("set_id") == F.col("_l"), "left").join(roots, F.col("set_id") == F.col("id"), "left")

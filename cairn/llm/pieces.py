@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(r" *[^\W\d_]+| *[^\w\s]+| +|_+|\d|\s")
 #: Characters of a chunk from which on its lattice is not kept, and those of a block of it.
@@ -342,7 +344,7 @@ def encode(docs: DataFrame, params: PieceParams = PieceParams(), key: str = "doc
                     names=[*names, *new],
                 )
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, params: PieceParams = PieceParams(), column: str = "pieces", to: str = "decoded") -> DataFrame:

@@ -89,28 +89,37 @@ def repeated_window_words(words: Column, n: Column) -> dict[str, Column]:
 
 
 def signals(docs: DataFrame, params: QualityParams = QualityParams(), *keep: str) -> DataFrame:
-    """Figures of each document that the rules look at, with doc_id and the columns named in keep."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select("doc_id", *keep, text.alias("_text"))
-    df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", lines)
-    df = df.withColumns({"_n": F.size("_words"), "_joined": F.array_join("_words", "")})
-    for name, c in repeated_window_words(F.col("_words"), F.col("_n")).items():
-        df = df.withColumn(name, c)
+    """Figures of each document that the rules look at, with doc_id and the columns named in keep. What is worked out of a
+    text goes as soon as its figures are had, so that a long text's words, lines and windows don't stand side by side."""
+    kept = ["doc_id", "_raw", *[c for c in keep if c != "text"]]
+    text = F.coalesce("_raw", F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stop = [f(w) for w in params.stop_words for f in (str.lower, str.capitalize, str.upper)]
-    return df.select(
-        "doc_id",
-        *keep,
-        F.col("_n").cast("long").alias("n_words"),
-        F.length("_joined").cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.regexp_count("_joined", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_joined", "[^!?]+", "")).cast("long").alias("n_shouts"),
-        F.size(F.array_intersect("_words", F.array(*map(F.lit, dict.fromkeys(stop))))).cast("long").alias("n_stop_words"),
-    )
+    df = docs.select("doc_id", F.col("text").alias("_raw"), *kept[2:]).withColumn("_lines", lines)
+    figures = {
+        "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")),
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+    }
+    df = df.select(*kept, *[c.cast("long").alias(k) for k, c in figures.items()], words_of(F.col("_raw")).alias("_words"))
+    kept += figures
+    df = df.withColumn("_joined", F.array_join("_words", ""))
+    figures = {
+        "n_words": F.size("_words"),
+        "word_chars": F.length("_joined"),
+        "n_upper": F.regexp_count("_joined", F.lit(r"\p{Lu}")),
+        "n_shouts": F.length(F.regexp_replace("_joined", "[^!?]+", "")),
+        "n_stop_words": F.size(F.array_intersect("_words", F.array(*map(F.lit, dict.fromkeys(stop))))),
+    }
+    df = df.select(*kept, *[c.cast("long").alias(k) for k, c in figures.items()], "_words")
+    kept += figures
+    steps = repeated_window_words(F.col("_words"), F.col("n_words").cast("int"))
+    df = df.withColumn("_bits", steps["_bits"])
+    df = df.select(*kept, "_bits", *[steps[c].alias(c) for c in ("_packed", "_pairs")])
+    df = df.select(*kept, steps["_starts"].alias("_starts"))
+    df = df.select(*kept, steps["n_repeat_words"].alias("n_repeat_words"))
+    out = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_shouts n_stop_words".split()
+    return df.select("doc_id", *[F.col("_raw").alias("text") if c == "text" else c for c in keep], *out)
 
 
 def votes() -> dict[str, Column]:

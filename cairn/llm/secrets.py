@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -168,8 +170,10 @@ class Grammar:
         likely = {t for t in set(TOKEN.findall(text)) if self.accepts(t)}
         if not likely:
             return []
+        # Base spans come by start; how far those up to each one reach is enough to tell whether a token touches one.
+        starts, reach = [x[1] for x in base], list(accumulate((x[2] for x in base), max))
         found = (m.span() for m in TOKEN.finditer(text) if m[0] in likely)
-        return [(a, b) for a, b in found if not any(x[1] < b and a < x[2] for x in base)]
+        return [(a, b) for a, b in found if not (k := bisect_left(starts, b)) or reach[k - 1] <= a]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:

@@ -364,7 +364,7 @@ def _find(rare, hot, params: SuffixParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
+            ids = batch.column("id").to_numpy()
             texts = _texts(batch)
             digests = np.array([_digest(t) for t in texts], np.int64)
             for key, number, start, windows, at, buf, h in _joined(texts, params.length):
@@ -489,7 +489,7 @@ def _hot_marks(sent: DataFrame, params: SuffixParams) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
-    """id (doc_id, -1 for null), digest (of the text) and spans (byte intervals that go; they may touch or overlap)."""
+    """id (hash of doc_id, which may be of any type), digest (of the text) and spans (byte intervals that go; they may touch or overlap)."""
     if not 2 * GRAM <= params.length <= 4 * GRAM:
         raise ValueError(f"length must be from {2 * GRAM} to {4 * GRAM}")
     sc = docs.sparkSession.sparkContext
@@ -510,7 +510,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     if not many.isEmpty():
         marks = marks.unionByName(_hot_marks(sent.filter("hot"), params))
     marks = staged(marks, "suffix-marks")
-    found = docs.select("doc_id", "text").mapInArrow(_find(rare, hot, params), FOUND)
+    found = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(_find(rare, hot, params), FOUND)
     where = found.join(marks.withColumnsRenamed({"d1": "_1", "d2": "_2"}), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")))
     end = F.transform("hi", lambda x: F.col("start") + x - 1 + params.length)
     spans = where.select("id", "digest", F.explode(F.arrays_zip(F.transform("lo", lambda x: F.col("start") + x).alias("lo"), end.alias("hi"))).alias("s"))
@@ -553,7 +553,7 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
     texts = docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {id_type}, text string, _digest long")
     spans = repeated_spans(docs, params)
-    df = texts.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("_digest") == F.col("digest")), "left")
+    df = texts.join(spans, (F.xxhash64("doc_id") == F.col("id")) & (F.col("_digest") == F.col("digest")), "left")
     return df.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed array<array<long>>, kept binary")
 
 

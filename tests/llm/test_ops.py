@@ -126,6 +126,33 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[999].lang_pred == got[998].lang_pred == "und"
 
 
+def test_repeats_with_ids_of_any_type(spark):
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    rows = [("a", f"one {passage} end"), ("b", f"two {passage}"), (None, f"three {passage} x"), ("a", "short"), (None, None)]
+    whole = {r.text: r for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").transform(lambda d: suffix_dedup.remove_repeats(d).join(d, "doc_id")).collect()}
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == collections.Counter((i, whole[t].n_bytes, whole[t].n_removed, bytes(whole[t].kept)) for i, t in rows)
+    assert sum(r.n_removed > 200 for r in got) == 3
+
+
+def test_grammar_spans_touch_no_base_span():
+    class Any(secrets.Grammar):
+        def __init__(self):
+            self.models = [None]
+
+        def accepts(self, token):
+            return True
+
+    rng = random.Random(4)
+    for _ in range(50):
+        text = " ".join(rng.choice(["abcdef", "token_x", "xyzxyz12", "AKIA"]) for _ in range(30))
+        base = sorted((k, a, a + rng.randint(1, 40), "") for k in range(3) for a in rng.sample(range(len(text)), 4))
+        base.sort(key=lambda x: (x[1], x[0]))
+        want = [m.span() for m in secrets.TOKEN.finditer(text) if not any(x[1] < m.end() and m.start() < x[2] for x in base)]
+        assert Any().spans(text, base) == want and Any().spans(text, [])
+
+
 def test_language_with_null_ids_many_languages_and_long_texts(spark):
     """All rows without an id are no reason to collect them all, every language is learned, a long text is read whole."""
     rng = random.Random(2)

@@ -87,6 +87,23 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert all(b"".join(vocabulary.raw[i] for i in r.pieces) == r.text.encode() and r.lossless and r.n_pieces == len(r.pieces) and r.rows == "extra" for r in done)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like an operator's own come through every stage as they are."""
+    import corpus_pipeline
+
+    given = [r for r in corpus() if r[1]][:12]
+    names = "n_lines n_removed n_bytes n_words v kept p_good _text _raw _words total take rows doc in0 in5 component_id place n digest".split()
+    docs = spark.createDataFrame([(*r, *range(100, 100 + len(names))) for r in given], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        new = ["pieces", "n_pieces", "lossless"] if name == "sentencepiece" else []
+        assert out.columns == [*docs.columns, *new]
+        rows = out.collect()
+        assert rows and all(r[c] == 100 + i for r in rows for i, c in enumerate(names)), name
+    over = corpus_pipeline.encoding_stage(spark, docs.withColumns({"pieces": F.lit(1), "lossless": F.lit("x")}), "")
+    assert over.columns == [*docs.columns, "pieces", "n_pieces", "lossless"] and over.first().lossless is True
+
+
 def test_quality_against_plain_em(spark):
     given = corpus() * 2
     docs = spark.createDataFrame([(i, r[1]) for i, r in enumerate(given)], "doc_id long, text string")
