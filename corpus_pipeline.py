@@ -18,6 +18,15 @@ from cairn.llm.pieces import encode
 from cairn.llm.quality_rules import rejected_go
 
 
+#: Columns of documents, which stages read and may change.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def set_apart(docs: DataFrame) -> DataFrame:
+    """docs whose other columns have numbered names, which no operator's can clash with."""
+    return docs.toDF(*[c if c in OWN else f"extra {i}" for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go. A null or empty text has no words and goes; repeated rows get one verdict; a
     null in another column changes nothing."""
@@ -28,8 +37,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go from the texts; a text that loses all its words goes with them. A null
     or empty text stays as it is; first is the smallest doc_id (null before all), then the text's digest, then the place;
     rows equal in doc_id and text are one document and get one result. n_chars follows the text."""
-    df = dedup_lines(docs)
-    return df.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    apart = set_apart(docs)
+    df = dedup_lines(apart)
+    df = df.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return df.select(*apart.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +59,9 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with their sampled pieces; copies of a document share them. A null text has null pieces, an empty one
     none; a null doc_id draws as 0 does; columns named like the new ones are replaced."""
     new = ("pieces", "n_pieces", "lossless")
-    return encode(docs).select(*[c for c in docs.columns if c not in (*new, "n_bytes")], *new)
+    apart = set_apart(docs)
+    kept = [(a, c) for a, c in zip(apart.columns, docs.columns) if c not in new]
+    return encode(apart).select(*[a for a, _ in kept], *new).toDF(*[c for _, c in kept], *new)
 
 
 STAGES = [
