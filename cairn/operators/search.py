@@ -48,6 +48,18 @@ def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", ste
     return df.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("size").alias("size"))
 
 
+def split_terms(terms: DataFrame) -> DataFrame:
+    """Distinct query_id and term of terms(query_id, term) as the index has them, and _n, of how many words each is."""
+    split = index_words(F.col("term"))
+    return terms.select("query_id", F.array_join(split, " ").alias("term"), F.size(split).alias("_n")).filter("_n > 0").distinct()
+
+
+def bm25_part(n_docs: Column, df: Column, tf: Column, size: Column, mean_size: Column) -> Column:
+    """What a term adds to a document's score; it grows with tf and falls with size."""
+    idf = F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_size))
+
+
 def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_WEIGHTS, id_col: str = "id", stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """query_id, id and score of every document with a term of terms(query_id, term). A term that the index would split, as
     `a.b`, is looked for as a phrase. Statistics cover all of docs; filter the result by authorisation before taking the
@@ -55,8 +67,7 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_W
     words = {c: index_words(F.col(c)) for c in weights}
     size = sum((F.size(w) for w in words.values()), F.lit(0))
     about = docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("mean_size"))
-    split = index_words(F.col("term"))
-    terms = terms.select("query_id", F.array_join(split, " ").alias("term"), F.size(split).alias("_n")).filter("_n > 0").distinct()
+    terms = split_terms(terms)
     lengths = sorted(r[0] for r in terms.select("_n").distinct().collect())  # one, and seldom two or three
     found = None
     for n in lengths:
@@ -68,8 +79,7 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_W
         return docs.sparkSession.createDataFrame([], "query_id long, id long, score double")
     df_of = found.groupBy("term").agg(F.count("*").alias("df"))
     rows = found.join(df_of, "term").join(terms.drop("_n"), "term").crossJoin(F.broadcast(about))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    part = bm25_part(*map(F.col, ("n_docs", "df", "tf", "size", "mean_size")))
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 

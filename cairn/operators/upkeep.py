@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_negated, nfc, value_tokens
+from .cells import nearest
 
 SAME_FIELDS = ("type", "source", "agent_id", "provider", "pinned", "record_kind", "verification_status", "valid_from", "valid_until")
 
@@ -19,37 +19,10 @@ def exact_duplicates(memories: DataFrame) -> DataFrame:
     return df.filter("copies > 1").withColumn("duplicate_count", F.col("copies") - 1)
 
 
-def near_everywhere(vectors: DataFrame, k: int, threshold: float, block: int = 1024) -> DataFrame:
+def near_everywhere(vectors: DataFrame, k: int, threshold: float, rows: int = 1024) -> DataFrame:
     """a, b, similarity: of the k nearest in its own scope of every row (itself among them, then removed) those at or above
-    threshold. Scopes are cut into blocks of about block rows and each pair of blocks is one task's matrix product, of
-    which each row's k best go on; a row's k best of all blocks are its nearest."""
-    v = vectors.select("id", "scope_key", "embedding")
-    parts = v.groupBy("scope_key").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
-    v = v.join(parts, "scope_key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    v = v.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    v = v.select("scope_key", F.least("own", "_q").alias("lo"), F.greatest("own", "_q").alias("hi"), "own", "id", "embedding")
-
-    def best(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> pd.DataFrame:
-        first = np.argsort(-similarity, axis=1, kind="stable")[:, :k]  # b ascends, so ties go to the smaller id
-        s = np.take_along_axis(similarity, first, 1).ravel()
-        out = pd.DataFrame({"a": np.repeat(a, first.shape[1]), "b": b[first].ravel(), "similarity": s})
-        return out[s >= threshold]
-
-    def block_pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-        x, y = group[group["own"] == lo], group[group["own"] == hi]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        product = np.stack(x["embedding"]).astype(np.float64) @ np.stack(y["embedding"]).astype(np.float64).T
-        similarity = np.sign(product) * np.floor(np.abs(product) * 1e6 + 0.5) / 1e6
-        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-        out = best(ids, others, similarity)
-        return out if lo == hi else pd.concat([out, best(others, ids, similarity.T)])
-
-    pairs = v.groupBy("scope_key", "lo", "hi").applyInPandas(block_pair, "a long, b long, similarity double")
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return pairs.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= k) & (F.col("a") != F.col("b"))).drop("_r")
+    threshold, by cells of about so many rows, of which only pairs are looked at that may hold one."""
+    return nearest(vectors, k, threshold, rows)[0]
 
 
 def save_gate(near: DataFrame, memories: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,9 @@ from ..functions.stemming import stem_column
 from ..functions.scoring import context_relevance, is_task_match, sigmoid
 from ..operators import context, erasure, indexes, lineage, mutations, review, search, sessions, upkeep, usage
 from ..operators.access import Access, denied_ids, quarantined, stale
+from ..operators.cells import VectorStore
+from ..operators.graph import shared_folder
+from ..operators.inverted import InvertedIndex
 from ..sources.embedder import hash_embedding
 from ..sources.tables import longest_prefix, table
 from . import adapter as ad
@@ -200,6 +204,20 @@ def bm25_search(spark, d):
     return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
 
 
+def stored_index(spark: SparkSession, d: str) -> InvertedIndex:
+    """An index of the live memories in the shared folder: first of the even ids, then of all, so that it has segments."""
+    m = ad.memories(spark, d, False).filter("deleted_at is null")
+    index = InvertedIndex(spark, f"{shared_folder(spark)}/inverted-{uuid.uuid4().hex}")
+    index.update(m.filter("id % 2 = 0").withColumn("content", F.when(F.col("id") % 6 == 0, F.concat(F.lit("old "), "content")).otherwise(F.col("content"))).withColumn("revision", F.when(F.col("id") % 6 == 0, -1).otherwise(F.col("revision"))))
+    index.update(m)
+    return index
+
+
+@query(ORACLE_SQL["bm25_search"])
+def indexed_search(spark, d):
+    return stored_index(spark, d).search(query_terms(spark, d), 60, visible(spark, d)).select("query_id", "id", "score", "rank")
+
+
 @query()
 def stemmed_search(spark, d):
     m = ad.memories(spark, d, False).filter("deleted_at is null")
@@ -227,6 +245,14 @@ def knn_topk(spark, d):
     return search.neighbours(query_vectors(v), seen, 10)
 
 
+@query(ORACLE_SQL["knn_topk"])
+def stored_vector_search(spark, d):
+    v = ad.vectors(spark, d)
+    store = VectorStore(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    store.write(v)
+    return store.search(query_vectors(v), 10, allowed=visible(spark, d).select("id")).select("query_id", "id", "similarity", "rank")
+
+
 @query(sql("memories vecs", f"+ {KNN.format(k=60)} SELECT query_id, id, similarity, rank FROM knn QUALIFY similarity >= greatest(0.2, max(similarity) OVER (PARTITION BY query_id) * 0.5)"))
 def knn_floor(spark, d):
     v = ad.vectors(spark, d)
