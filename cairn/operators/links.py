@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, redact
+from .graph import cut
 
 #: Seconds that a nonce, or a first prompt, waits to be taken.
 WAIT_SECONDS = 120
@@ -55,61 +58,121 @@ def recorded(events: DataFrame) -> DataFrame:
     return events.filter("nonce is not null").withColumn("query", clip(redact(F.col("query")), 200))
 
 
+#: Length of the stretches of time that are folded side by side; WAIT_SECONDS of what waits are carried into the next one.
+STRETCH_SECONDS = 600
+_EVENT = "place string, stretch long, kind int, token string, who string, at long"
+
+
+def _stretched(waiting: DataFrame, asking: DataFrame) -> DataFrame:
+    """Both, cut into stretches of time; what waits longer than its stretch lasts is in the next one too."""
+    stretch = F.floor(F.col("at") / (STRETCH_SECONDS * 1_000_000))
+    late = F.floor((F.col("at") + WAIT_SECONDS * 1_000_000) / (STRETCH_SECONDS * 1_000_000))
+    w = waiting.withColumns({"kind": F.lit(0), "stretch": F.explode(F.sequence(stretch, late))})
+    return w.unionByName(asking.withColumns({"kind": F.lit(1), "stretch": stretch}))
+
+
+def _in_rounds(rows: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], out: str) -> DataFrame:
+    """Rounds of folds of rows(place, stretch, kind, token, who, at, ...), until they agree on what is taken when.
+
+    A fold proposes takes (taker, token and the order of the take) for its stretch of a place. What other stretches have
+    proposed in the round before is told to it: `b_at`, `b_who` and `b_place` of the first take of what waits, or by who
+    asks, outside its own stretch. A take depends on earlier ones only, so each round settles at least what hangs on the
+    takes that the last one settled, and takes that don't change any more are those of one fold over all places in order
+    of time."""
+    keys = ["place", "stretch"]
+    told = rows.withColumns({"b_at": F.lit(None).cast("long"), "b_who": F.lit(None).cast("string"), "b_place": F.lit(None).cast("string")})
+    before = None
+    while True:
+        takes = cut(told.groupBy(*keys).applyInPandas(fold, out))
+        now = takes.agg(F.count("*"), F.bit_xor(F.xxhash64(*takes.columns))).first()
+        if now == before:
+            return takes
+        before = now
+        key = F.struct("at", "who", "place", "stretch").alias("take")
+        facts = takes.select(F.lit(0).alias("kind"), "token", key).union(takes.select(F.lit(1).alias("kind"), "who", key))
+        # A stretch takes each thing once, so the first take and the first of another stretch are all that can be asked for.
+        first = facts.groupBy("kind", "token").agg(F.min("take").alias("first"))
+        other = facts.join(first, ["kind", "token"]).filter("take.place <> first.place or take.stretch <> first.stretch").groupBy("kind", "token").agg(F.min("take").alias("other"))
+        known = first.join(other, ["kind", "token"], "left").withColumnsRenamed({"kind": "_kind", "token": "_token"})
+        own = (F.col("first.place") == F.col("place")) & (F.col("first.stretch") == F.col("stretch"))
+        told = rows.join(known, (F.col("kind") == F.col("_kind")) & (F.col("token") == F.col("_token")), "left").withColumn("_take", F.when(own, F.col("other")).otherwise(F.col("first")))
+        told = told.select(*rows.columns, F.col("_take.at").alias("b_at"), F.col("_take.who").alias("b_who"), F.col("_take.place").alias("b_place"))
+
+
+def _earlier(x: object, order: tuple) -> bool:
+    """Whether a take that a row was told of comes before another."""
+    return not pd.isna(x.b_at) and (int(x.b_at), x.b_who, x.b_place) < order
+
+
 def take_once(waiting: DataFrame, agents: DataFrame) -> DataFrame:
     """agent_id and nonce: each of agents(agent_id, cwd, provider, at) takes the oldest nonce that waits(nonce, cwd,
-    provider, at) in its folder for its provider since WAIT_SECONDS at most; a nonce is taken once, an agent takes one.
-    Folders and providers run side by side; inside one the order of arrival decides, so that is a fold."""
-    cols = ["cwd", "provider", "at"]
-    rows = waiting.select(*cols, F.lit(0).alias("kind"), F.col("nonce").alias("who")).unionByName(agents.select(*cols, F.lit(1).alias("kind"), F.col("agent_id").alias("who")))
-    rows = rows.withColumn("at", F.unix_micros("at"))
+    provider, at) in its folder for its provider since WAIT_SECONDS at most. A nonce is taken once and an agent takes one,
+    over all folders, in order of time (then of agent, folder and provider). Null folders and providers are values.
+    Stretches of a folder's time are folded side by side, in rounds that end when they agree."""
+    place = F.to_json(F.struct("cwd", "provider"), {"ignoreNullFields": "false"}).alias("place")
+    at = F.unix_micros("at").alias("at")
+    w = waiting.filter("nonce is not null and at is not null").select(place, F.col("nonce").alias("token"), F.col("nonce").alias("who"), at)
+    a = agents.filter("agent_id is not null and at is not null").select(place, F.col("agent_id").alias("token"), F.col("agent_id").alias("who"), at)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        queue, done, out = [], set(), []
-        for at, kind, who in sorted(zip(group["at"], group["kind"], group["who"])):
-            if kind == 0:
-                queue.append((at, who))
+        queue, taken, linked, out = [], set(), set(), []
+        for x in sorted(group.itertuples(index=False), key=lambda x: (x.at, x.kind, x.who)):
+            if x.kind == 0:
+                queue.append(x)
+                continue
+            order = (x.at, x.who, x.place)
+            if x.who in linked or _earlier(x, order):
                 continue
-            while queue and queue[0][0] < at - WAIT_SECONDS * 1_000_000:
-                queue.pop(0)
-            if queue and who not in done:
-                out.append((who, queue.pop(0)[1]))
-                done.add(who)
-        return pd.DataFrame(out, columns=["agent_id", "nonce"])
+            queue = [p for p in queue if p.at >= x.at - WAIT_SECONDS * 1_000_000 and p.token not in taken]
+            hit = next((p for p in queue if not _earlier(p, order)), None)
+            if hit is not None:
+                taken.add(hit.token)
+                linked.add(x.who)
+                out.append((x.place, x.stretch, x.who, hit.token, x.at))
+        return pd.DataFrame(out, columns=["place", "stretch", "who", "token", "at"])
 
-    return rows.groupBy("cwd", "provider").applyInPandas(fold, "agent_id string, nonce string")
+    takes = _in_rounds(cut(_stretched(w, a)), fold, "place string, stretch long, who string, token string, at long")
+    return takes.select(F.col("who").alias("agent_id"), F.col("token").alias("nonce"))
 
 
 def first_prompts(waiting: DataFrame, agents: DataFrame) -> DataFrame:
     """agent_id, prompt and rule: each of agents(agent_id, host, cwd, project_id, project_root, at) takes a prompt that was
     asked on its host(prompt, host, kind, source_dir, project_id, slug, at) in the WAIT_SECONDS before, by the strongest
     rule that fits one and of those the oldest: 1 its folder lies in the source folder, 2 the worktree's name is a part of
-    its folder, 3 the same project or root. A prompt is taken once. A host is small, hosts run side by side."""
-    names = ["who", "host", "kind", "source_dir", "project_id", "slug", "cwd", "project_root", "at"]
+    its folder, 3 the same project or root. A prompt is taken once. Stretches of a host's time are folded side by side, in
+    rounds that end when they agree."""
+    names = ["source", "source_dir", "project_id", "slug", "cwd", "project_root"]
     nothing = F.lit(None).cast("string")
-    w = waiting.select(F.col("prompt").alias("who"), "host", "kind", "source_dir", "project_id", "slug", nothing.alias("cwd"), nothing.alias("project_root"), F.unix_micros("at").alias("at"))
-    a = agents.select(F.col("agent_id").alias("who"), "host", F.lit("agent").alias("kind"), nothing.alias("source_dir"), "project_id", nothing.alias("slug"), "cwd", "project_root", F.unix_micros("at").alias("at"))
+    number = F.monotonically_increasing_id().cast("string")
+    at = F.unix_micros("at").alias("at")
+    w = waiting.filter("host is not null and at is not null").select(F.col("host").alias("place"), number.alias("token"), F.col("prompt").alias("who"), at, F.col("kind").alias("source"), "source_dir", "project_id", "slug", nothing.alias("cwd"), nothing.alias("project_root"))
+    a = agents.filter("host is not null and at is not null").select(F.col("host").alias("place"), number.alias("token"), F.col("agent_id").alias("who"), at, nothing.alias("source"), nothing.alias("source_dir"), "project_id", nothing.alias("slug"), "cwd", "project_root")
 
     def inside(path: str | None, folder: str | None) -> bool:
         return bool(path and folder) and (path == folder or path.startswith(folder + "/"))
 
     rules = (
-        lambda p, x: p.kind == "directory" and inside(x.cwd, p.source_dir),
+        lambda p, x: p.source == "directory" and inside(x.cwd, p.source_dir),
         lambda p, x: bool(p.slug) and p.slug in (x.cwd or "").split("/"),
         lambda p, x: bool(p.project_id and p.project_id == x.project_id) or bool(p.source_dir and p.source_dir == x.project_root),
     )
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.astype(object).where(group.notna(), None)
+        group = group.astype({c: object for c in names}).where(group.notna(), None)
         queue, out = [], []
-        for x in sorted(group[names].itertuples(index=False), key=lambda x: (x.at, x.kind == "agent", x.who)):
-            if x.kind != "agent":
+        for x in sorted(group.itertuples(index=False), key=lambda x: (x.at, x.kind, x.who or "", int(x.token))):
+            if x.kind == 0:
                 queue.append(x)
                 continue
+            order = (x.at, x.who, x.place)
             queue = [p for p in queue if p.at >= x.at - WAIT_SECONDS * 1_000_000]
-            hit = next(((p, n) for n, rule in enumerate(rules, 1) for p in queue if rule(p, x)), None)
+            free = [p for p in queue if not _earlier(p, order)]
+            hit = next(((p, n) for n, rule in enumerate(rules, 1) for p in free if rule(p, x)), None)
             if hit:
                 queue = [p for p in queue if p is not hit[0]]
-                out.append((x.who, hit[0].who, hit[1]))
-        return pd.DataFrame(out, columns=["agent_id", "prompt", "rule"])
+                out.append((x.place, x.stretch, x.who, hit[0].token, x.at, hit[0].who, hit[1]))
+        return pd.DataFrame(out, columns=["place", "stretch", "who", "token", "at", "prompt", "rule"])
 
-    return w.unionByName(a).groupBy("host").applyInPandas(fold, "agent_id string, prompt string, rule int")
+    w, a = cut(w), cut(a)  # the numbers of prompts must not change between rounds
+    takes = _in_rounds(_stretched(w, a), fold, "place string, stretch long, who string, token string, at long, prompt string, rule int")
+    return takes.select(F.col("who").alias("agent_id"), "prompt", "rule")

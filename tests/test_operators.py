@@ -263,9 +263,9 @@ def test_nonces_are_taken_once(spark):
     want, free, linked = set(), sorted(waiting, key=lambda x: (x[3], x[0])), set()
     for who, cwd, provider, when in sorted(agents, key=lambda x: (x[3], x[0])):
         found = next((x for x in free if x[1:3] == (cwd, provider) and when - dt.timedelta(seconds=120) <= x[3] <= when), None)
-        if found and (who, cwd, provider) not in linked:
+        if found and who not in linked:
             free.remove(found)
-            linked.add((who, cwd, provider))
+            linked.add(who)
             want.add((who, found[0]))
     w = spark.createDataFrame(waiting, "nonce string, cwd string, provider string, at timestamp")
     a = spark.createDataFrame(agents, "agent_id string, cwd string, provider string, at timestamp")
@@ -273,6 +273,56 @@ def test_nonces_are_taken_once(spark):
     assert set(got) == want and len(got) == len(want) > 20
 
 
+def one_by_one(waiting, agents):
+    """The takes in order of time, over all folders."""
+    events = sorted([(at, 0, who, cwd, provider) for who, cwd, provider, at in waiting] + [(at, 1, who, cwd, provider) for who, cwd, provider, at in agents], key=lambda e: (e[0], e[1], e[2], json.dumps({"cwd": e[3], "provider": e[4]}, separators=(",", ":"))))
+    pending, linked, taken, out = [], set(), set(), []
+    for at, kind, who, *place in events:
+        if kind == 0:
+            pending.append((at, who, place))
+        elif who not in linked:
+            hit = next((p for p in pending if p[2] == place and p[0] >= at - dt.timedelta(seconds=120) and p[1] not in taken), None)
+            if hit:
+                linked.add(who)
+                taken.add(hit[1])
+                out.append((who, hit[1]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_nonces_and_agents_are_taken_once_over_all_folders(spark, seed):
+    rng = random.Random(seed)
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    folder = lambda: rng.choice(["/hot", "/hot", "/hot", "/b", "/c", None])
+    waiting = [(f"n{rng.randint(0, 120):03}", folder(), rng.choice(["p", "q"]), t(rng.randint(0, 2400))) for _ in range(260)]
+    agents = [(f"g{rng.randint(0, 60):03}", folder(), rng.choice(["p", "q"]), t(rng.randint(0, 2400))) for _ in range(260)]
+    w = spark.createDataFrame(waiting, "nonce string, cwd string, provider string, at timestamp").repartition(3)
+    a = spark.createDataFrame(agents, "agent_id string, cwd string, provider string, at timestamp").repartition(3)
+    got = [(r.agent_id, r.nonce) for r in links.take_once(w, a).collect()]
+    want = one_by_one(waiting, agents)
+    assert sorted(got) == sorted(want) and len({x for x, _ in got}) == len(got) == len({y for _, y in got}) > 25
+
+
+def test_first_prompts_over_stretches_of_time(spark):
+    """As one fold of a host in order of time."""
+    rng = random.Random(9)
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    waiting = [(f"p{i:03}", "h", rng.choice(["directory", "worktree"]), rng.choice(["/s", "/s/t", None]), rng.choice(["P", None]), rng.choice(["t", "u", None]), t(rng.randint(0, 3000))) for i in range(150)]
+    agents = [(f"g{i:03}", "h", rng.choice(["/s/t/u", "/s", "/q"]), rng.choice(["P", None]), rng.choice(["/s", None]), t(rng.randint(0, 3000))) for i in range(150)]
+    pending, want = sorted(waiting, key=lambda p: (p[6], p[0])), set()
+    inside = lambda path, folder: bool(folder) and (path == folder or path.startswith(folder + "/"))
+    rules = (lambda p, g: p[2] == "directory" and inside(g[2], p[3]), lambda p, g: bool(p[5]) and p[5] in g[2].split("/"), lambda p, g: bool(p[4]) and p[4] == g[3] or bool(p[3]) and p[3] == g[4])
+    for g in sorted(agents, key=lambda g: (g[5], g[0])):
+        hit = next(((p, n) for n, rule in enumerate(rules, 1) for p in pending if g[5] - dt.timedelta(seconds=120) <= p[6] <= g[5] and rule(p, g)), None)
+        if hit:
+            pending.remove(hit[0])
+            want.add((g[0], hit[0][0], hit[1]))
+    w = spark.createDataFrame(waiting, "prompt string, host string, kind string, source_dir string, project_id string, slug string, at timestamp").repartition(3)
+    a = spark.createDataFrame(agents, "agent_id string, host string, cwd string, project_id string, project_root string, at timestamp").repartition(3)
+    got = [(r.agent_id, r.prompt, r.rule) for r in links.first_prompts(w, a).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
 def test_first_prompts_by_the_strongest_rule(spark):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     waiting = [
