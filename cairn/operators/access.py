@@ -91,22 +91,83 @@ def out_of_date(memories: DataFrame, relations: DataFrame, now: Column) -> DataF
 
 
 def too_wide(edges: DataFrame, most: int) -> DataFrame:
-    """id of the nodes with more than `most` ancestors. Ancestors are gathered level by level; a node that has passed the
-    limit is decided and not followed further."""
-    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    start = edges.select(F.col("dst").alias("id")).distinct()
-    if edges.count() <= most:  # so few edges can't make it
-        return start.filter(F.lit(False))
+    """id of the nodes with more than `most` ancestors over edges(src, dst).
+
+    Each node gets two bounds from its sources, once all of those have theirs: at most the sum of theirs and themselves, at
+    least the largest of theirs and one more, or the number of its own sources. What is left in cycles is walked, and gets
+    exact numbers. Where the lower bound passes, so does everything below; only nodes between the bounds are walked."""
+    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    nothing = e.select(F.col("dst").alias("id")).filter(F.lit(False))
+    if e.count() <= most:  # so few edges can't make it
+        return nothing
+    cap = most + 1
+    need = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("got", "high", "low")]
+    start = e.select(F.col("src").alias("id")).join(need, "id", "left_anti").distinct().select("id", F.lit(0).cast("long").alias("need"), *zero)
+    # One table for what has its bounds (step: in which round) and what waits for them.
+    state = cut(start.withColumn("step", F.lit(0)).union(need.select("id", "need", *zero, F.lit(None).cast("int").alias("step"))))
+    step = 0
+    while True:
+        moved = state.filter(F.col("step") == step)
+        if moved.isEmpty():
+            waiting = state.filter("step is null").select("id")
+            if waiting.isEmpty():
+                break
+            state = cut(_cycles_settled(state, _core(waiting, e), e, cap, step + 1))
+        else:
+            push = moved.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("_id")).agg(F.count("*").alias("_got"), F.sum(F.col("high") + 1).alias("_high"), (F.max("low") + 1).alias("_low"))
+            next_ = state.join(push, F.col("id") == F.col("_id"), "left")
+            open_, got = F.col("step").isNull(), F.col("got") + F.coalesce("_got", F.lit(0))
+            ready = open_ & (got == F.col("need"))
+            state = cut(
+                next_.select(
+                    "id", "need", F.when(open_, got).otherwise(F.col("got")).alias("got"),
+                    F.when(open_, F.least(F.lit(cap), F.col("high") + F.coalesce("_high", F.lit(0)))).otherwise(F.col("high")).alias("high"),
+                    F.when(open_, F.least(F.lit(cap), F.greatest("low", F.coalesce("_low", F.lit(0)), "need"))).otherwise(F.col("low")).alias("low"),
+                    F.when(ready, step + 1).otherwise(F.col("step")).alias("step"),
+                )
+            )
+        step += 1
+    sure = state.filter(F.col("low") > most).select("id")
+    if state.filter(F.col("high") > most).isEmpty():
+        return nothing
+    wide = reach(sure, e).select("id")
+    between = state.filter((F.col("high") > most) & (F.col("low") <= most)).select("id").join(wide, "id", "left_anti")
+    return wide.union(ancestors(between, e, cap).filter(F.col("n") > most).select("id"))
+
+
+def _core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of nodes that lie in cycles or between them: what has neither sources nor dependants left goes."""
+    core, n = cut(nodes), nodes.count()
+    while True:
+        inner = edges.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
+        core = cut(inner.select(F.col("src").alias("id")).distinct().intersect(inner.select(F.col("dst").alias("id")).distinct()))
+        before, n = n, core.count()
+        if n == before:
+            return core
+
+
+def _cycles_settled(state: DataFrame, core: DataFrame, edges: DataFrame, cap: int, step: int) -> DataFrame:
+    """state in which the nodes of the core have the exact numbers of their ancestors."""
+    exact = ancestors(core, edges, cap).select(F.col("id").alias("_id"), F.col("n").alias("_n"))
+    df = state.join(exact, F.col("id") == F.col("_id"), "left")
+    hit = F.col("_n").isNotNull()
+    return df.select("id", "need", F.when(hit, F.col("need")).otherwise(F.col("got")).alias("got"), F.coalesce("_n", "high").alias("high"), F.coalesce("_n", "low").alias("low"), F.when(hit, step).otherwise(F.col("step")).alias("step"))
+
+
+def ancestors(start: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """id and n, the number of its ancestors (itself not among them), of each of start(id); cap stands for more. Walks up
+    level by level, and no further from what has reached the cap."""
+    up = edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to"))
     seen = cut(start.select(F.col("id").alias("root"), "id"))
-    fresh, wide = seen, start.filter(F.lit(False))
+    fresh = seen
     while not fresh.isEmpty():
-        step = fresh.join(up, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
+        step = fresh.join(up, F.col("id") == F.col("_from")).select("root", F.col("_to").alias("id")).distinct()
         fresh = cut(step.join(seen, ["root", "id"], "left_anti"))
         seen = seen.unionByName(fresh)
-        over = cut(seen.groupBy("root").count().filter(F.col("count") > most + 1).select(F.col("root").alias("id")))
-        wide = wide.union(over)
-        fresh = fresh.join(over, F.col("root") == over["id"], "left_anti")
-    return wide.distinct()
+        over = seen.groupBy("root").count().filter(F.col("count") > cap).select("root")
+        fresh = cut(fresh.join(over, "root", "left_anti"))
+    return seen.groupBy(F.col("root").alias("id")).agg(F.least(F.lit(cap), F.count("*") - 1).alias("n"))
 
 
 def without_invalid_sources(memories: DataFrame, invalid: DataFrame) -> DataFrame:
@@ -117,13 +178,13 @@ def without_invalid_sources(memories: DataFrame, invalid: DataFrame) -> DataFram
     return memories.join(invalid.select(F.col("id").alias("_i")), on, "left_anti")
 
 
-def quarantined(memories: DataFrame, relations: DataFrame, pending: DataFrame, mode: str = "global", ancestry: DataFrame | None = None) -> DataFrame:
+def quarantined(memories: DataFrame, relations: DataFrame, pending: DataFrame, mode: str = "global") -> DataFrame:
     """memories without those that must wait for pending invalidations. global: while any is pending, every derived
     summary and everything with a derived_from parent waits; ancestry: only what has a pending id among itself and its
-    ancestors (ancestry: id, ancestor)."""
+    sources, or more sources than can be checked. The walk goes down from what is pending, so it is as large as what waits."""
     if mode == "ancestry":
-        hit = ancestry.join(pending.select(F.col("id").alias("_p")), F.col("ancestor") == F.col("_p")).select("id")
-        waits = hit.union(pending.select("id")).distinct()
+        edges = relations.filter("kind = 'derived_from'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
+        waits = reach(pending, edges).select("id").union(too_wide(edges, MOST_SOURCES)).distinct()
         return memories.join(waits.withColumnRenamed("id", "_w"), F.col("id") == F.col("_w"), "left_anti")
     any_pending = pending.agg((F.count("*") > 0).alias("_any"))
     derived = relations.filter("kind = 'derived_from'").select(F.col("from_id").alias("_d")).distinct()

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .access import node, source_edges
-from .graph import closure, reach
-
-
-def sources_of(ids: DataFrame, relations: DataFrame, limit: int = 1024) -> DataFrame:
-    """Ancestors by derived_from; roots with more than limit are reported as too wide by `complete` false."""
-    edges = relations.filter("kind = 'derived_from'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    seen = closure(ids, edges)
-    return seen.withColumn("complete", F.count("*").over(Window.partitionBy("root")) <= limit)
+from .access import MOST_SOURCES, node, source_edges, too_wide
+from .graph import closure, cut, reach
+
+
+def sources_of(ids: DataFrame, relations: DataFrame, limit: int = MOST_SOURCES, revisions: bool = False) -> DataFrame:
+    """root, id, depth and complete: each of ids(id) and what it derives from. A root with more than limit sources has its
+    own row alone, with complete false: nobody could check a part of them and be sure. With revisions, roots are ids(id,
+    revision), sources are found at the revisions that the relations name, and `revision` and `root_revision` follow."""
+    r = relations.filter("kind = 'derived_from'")
+    if revisions:
+        edges = r.select(node("from_id", "from_revision").alias("src"), node("to_id", "to_revision").alias("dst"))
+        start = ids.select(node("id", "revision").alias("id"))
+    else:
+        edges, start = r.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), ids.select("id")
+    wide = cut(too_wide(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), limit).distinct())
+    fine = closure(start.join(wide, "id", "left_anti"), edges).withColumn("complete", F.lit(True))
+    own = start.distinct().join(wide, "id", "left_semi").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(False).alias("complete"))
+    seen = fine.unionByName(own)
+    if not revisions:
+        return seen
+    part = lambda c, n: F.split_part(c, F.lit("@"), F.lit(n)).cast("long")
+    return seen.select(part("root", 1).alias("root"), part("root", 2).alias("root_revision"), part("id", 1).alias("id"), part("id", 2).alias("revision"), "depth", "complete")
 
 
 def dependants_edges(relations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -94,9 +107,10 @@ def history(revisions: DataFrame, most: int = 100) -> DataFrame:
 
 
 def support_until(ids: DataFrame, relations: DataFrame, memories: DataFrame) -> DataFrame:
-    """Earliest end of validity among a memory and its sources."""
-    seen = sources_of(ids, relations)
-    return seen.join(memories.select("id", "valid_until"), "id").groupBy("root").agg(F.min("valid_until").alias("valid_until"))
+    """Earliest end of validity among a memory and its sources; complete is false, and the end null, where it has more
+    sources than can be checked."""
+    seen = sources_of(ids, relations).join(memories.select("id", "valid_until"), "id").groupBy("root")
+    return seen.agg(F.when(F.bool_and("complete"), F.min("valid_until")).alias("valid_until"), F.bool_and("complete").alias("complete"))
 
 
 def visible_evidence(evidence: DataFrame, memories: DataFrame, readable: Column, gone: DataFrame) -> DataFrame:

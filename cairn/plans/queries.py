@@ -162,10 +162,8 @@ ANCESTORS = "anc AS (SELECT DISTINCT from_id AS id, from_id AS ancestor FROM rel
 @query(sql("memories relations pending", f"""+ {ANCESTORS} SELECT record_kind, count(*) AS n FROM memories WHERE {LIVE} AND id NOT IN (SELECT id FROM pending)
   AND id NOT IN (SELECT id FROM anc WHERE ancestor IN (SELECT id FROM pending)) GROUP BY record_kind""", True))
 def quarantine_ancestry(spark, d):
-    r = ad.relations(spark, d)
-    up = lineage.sources_of(r.select(F.col("from_id").alias("id")).distinct(), r).select(F.col("root").alias("id"), F.col("id").alias("ancestor"))
     m = ad.memories(spark, d, False).filter(OWNER.memory_filter(NOW()))
-    return quarantined(m, r, ad.pending(spark, d), "ancestry", up).groupBy("record_kind").agg(F.count("*").alias("n"))
+    return quarantined(m, ad.relations(spark, d), ad.pending(spark, d), "ancestry").groupBy("record_kind").agg(F.count("*").alias("n"))
 
 
 # ---- search

@@ -303,6 +303,53 @@ def test_nonces_and_agents_are_taken_once_over_all_folders(spark, seed):
     assert sorted(got) == sorted(want) and len({x for x, _ in got}) == len(got) == len({y for _, y in got}) > 25
 
 
+def plain_widths(edges):
+    up = collections.defaultdict(set)
+    for src, dst in edges:
+        up[dst].add(src)
+    out = {}
+    for v in up:
+        seen, todo = {v}, [v]
+        while todo:
+            for p in up.get(todo.pop(), ()):
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        out[v] = len(seen) - 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_widths_of_random_graphs(spark, seed):
+    """With cycles, wide nodes, nodes between the bounds (many paths from few sources) and repeated edges."""
+    rng = random.Random(seed)
+    n = 60
+    edges = [(rng.randint(1, i - 1), i) for i in range(2, n) for _ in range(rng.randint(0, 3))]
+    edges += [(k, 100 + k) for k in range(1, 4)] + [(101 + k, 100 + k) for k in range(1, 12)] + [(100 + k, 101 + k) for k in range(1, 12)]
+    edges += [(200 + a, 210 + b) for a in range(3) for b in range(4)] + [(210 + b, 220 + c) for b in range(4) for c in range(4)] + [(220 + c, 230) for c in range(4)]
+    edges += [(rng.randint(1, n), rng.randint(1, n)) for _ in range(seed * 2)] + edges[:5]
+    e = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    for most in (6, 25):
+        got = [r.id for r in access.too_wide(e, most).distinct().collect()]
+        assert set(got) == {v for v, w in plain_widths(edges).items() if w > most}
+
+
+def test_a_root_of_too_many_sources_is_incomplete_and_waits(spark):
+    kind = "derived_from"
+    rows = [(5000, 1, i, 1, kind) for i in range(1, 1026)] + [(5001, 1, i, 1, kind) for i in range(1, 1025)] + [(5002, 2, 5000, 1, kind), (5003, 1, 5003, 2, kind), (5003, 2, 7, 1, kind)]
+    r = spark.createDataFrame(rows, "from_id long, from_revision long, to_id long, to_revision long, kind string")
+    ids = spark.createDataFrame([(5000,), (5001,), (5002,), (1,)], "id long")
+    got = {x.root: (x.n, x.complete) for x in lineage.sources_of(ids, r).groupBy("root").agg(F.count("*").alias("n"), F.bool_and("complete").alias("complete")).collect()}
+    assert got == {5000: (1, False), 5001: (1025, True), 5002: (1, False), 1: (1, True)}
+    exact = lineage.sources_of(spark.createDataFrame([(5003, 1), (5002, 1)], "id long, revision long"), r, revisions=True)
+    assert {(x.root, x.root_revision, x.id, x.revision) for x in exact.collect()} == {(5003, 1, 5003, 1), (5003, 1, 5003, 2), (5003, 1, 7, 1), (5002, 1, 5002, 1)}
+    m = spark.createDataFrame([(i, None if i == 3 else dt.datetime(2024, 1, 1)) for i in (1, 2, 3, 5000, 5001, 5002)], "id long, valid_until timestamp")
+    until = {x.root: (x.valid_until, x.complete) for x in lineage.support_until(ids, r, m).collect()}
+    assert until[5000] == (None, False) == until[5002] and until[5001][1] and until[5001][0] is not None
+    left = access.quarantined(m, r, spark.createDataFrame([(2,)], "id long"), "ancestry")
+    assert {x.id for x in left.collect()} == {1, 3}
+
+
 def test_first_prompts_over_stretches_of_time(spark):
     """As one fold of a host in order of time."""
     rng = random.Random(9)
