@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .operators import access as ac
 from .operators import context, erasure, feedback, lineage, mutations, policy, provenance, search, sessions, status, upkeep, usage
 from .operators.access import Access
+from .operators.graph import cut
 from .sources.embedder import hash_embedding
+from .sources.rewrite import erase_everywhere
 
 
 @dataclass
@@ -58,27 +60,34 @@ class Engine:
         return self.current(access).join(wanted, "id", "left_semi").join(cited, F.col("id") == F.col("_m"), "left").drop("_m")
 
     def memory_context(self, access: Access, query: str | None = None, profile: str | None = None, **request) -> DataFrame:
-        """One row: the text of a context for a caller, and its counts. Pins, preferences, what the query finds, then the
-        newest of the project and of all, packed under the policy's limits."""
+        """One row: the text of a context for a caller, and its counts. Pins, preferences, what the query finds, the newest
+        of the project and of all, then the project's sessions, under one limit for all of them, packed under the policy's."""
         r = policy.resolve(self.policy, profile, **request)
         limits = context.Limits.of(r)
         seen = self.current(access, kinds=list(r.kinds))
-        hits = self.memory_search(access, query, limit=self.policy.task_matches, kinds=list(r.kinds)).select("id") if query else self.memories.limit(0).select("id")
-        caps = {"pins": self.policy.max_pinned, "preferences": self.policy.project_memories, "task": self.policy.task_matches, "project": self.policy.project_memories, "global": self.policy.global_memories, "sessions": 0}
-        staged = context.stages(seen, self.sessions, hits, access.project or "", caps, limits.max_candidates).filter("kind = 'memory'")
+        if query:
+            found = self.memory_search(access, query, limit=3 * self.policy.task_matches, kinds=list(r.kinds)).select("id", "rank", F.lit(True).alias("matches"))
+        else:
+            found = self.memories.limit(0).select("id", F.lit(1).alias("rank"), F.lit(True).alias("matches"))
+        episodes = "episode" in r.kinds and access.project is not None
+        caps = {"pins": self.policy.max_pinned, "task": self.policy.task_matches, "project": self.policy.project_memories, "global": self.policy.global_memories, "sessions": self.policy.recent_sessions if episodes else 0}
+        may = ac.session_filter(self.sessions, access, self.tombstones) if "tombstones" in self.tables else self.sessions
+        chosen = context.collected(seen, may, found, access.project, caps, limits.max_candidates)
         cited = context.citations_of(self.evidence(access), r.detail == "full").select(F.col("memory_id").alias("_m"), "cited")
-        m = staged.select(F.col("id").cast("long").alias("id"), "stage", "rank").join(seen, "id").join(cited, F.col("id") == F.col("_m"), "left")
-        section = F.when(F.col("pinned"), "Pinned").when(F.col("type") == "preference", "Preferences").when(F.col("stage") == 2, "Task memories").otherwise("Other memories")
+        m = chosen.filter("kind = 'memory'").select(F.col("id").cast("long").alias("id"), "stage", "rank").join(seen, "id").join(cited, F.col("id") == F.col("_m"), "left")
+        task = F.col("stage") == 3
+        section = F.when(F.col("pinned"), "Pinned").when(F.col("record_kind") == "preference", "Preferences").when(task, "Task memories").otherwise("Other memories")
         entries = m.select(
-            F.lit(0).cast("long").alias("request_id"),
             F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("key"),
             context.entry_text({c: F.col(c) for c in context.ENTRY_COLUMNS}, F.col("cited"), r.detail).alias("text"),
             section.alias("section"),
-            context.priority(F.col("pinned"), F.col("type"), F.col("stage") == 2).alias("priority"),
+            context.priority(F.col("pinned"), F.col("record_kind"), task).alias("priority"),
             (1.0 / F.col("rank")).alias("score"),
             F.coalesce("topic_key", F.lower("title")).alias("diversity_key"),
             "pinned",
         )
+        recent = may.join(chosen.filter("kind = 'session'").select(F.col("id").alias("_s")), F.col("id").cast("string") == F.col("_s"), "left_semi")
+        entries = entries.unionByName(context.session_entries(recent, r.detail)).withColumn("request_id", F.lit(0).cast("long"))
         reserved = (r.reserved["chars"], r.reserved["bytes"], r.reserved["tokens"])
         return context.pack(entries, limits, reserved, frame=context.Frame(access.project))
 
@@ -124,6 +133,15 @@ class Engine:
         what = erasure.plan(ids, self.relations, self.citations, exposures)
         return erasure.erased(self.tables, what), erasure.tombstones(what, self.now, principal)
 
+    def forget_on_disk(self, ids: DataFrame, shown: DataFrame, folders: dict[str, list[str]], principal: str = "owner") -> tuple[list[dict], DataFrame]:
+        """What forget() leaves out of the tables goes from their files too: from every version and backup in the folders
+        that are named for a table. Returns what was done by file folder, and the tombstones to keep."""
+        exposures = erasure.exposure_edges(shown, self.links)
+        what = erasure.plan(ids, self.relations, self.citations, exposures)
+        stones = cut(erasure.tombstones(what, self.now, principal))
+        gone = {k: cut(what.of(k)) for k in {k for c in erasure.NAMES.values() for k in c.values()}}
+        return erase_everywhere(self.spark, folders, gone, erasure.NAMES), stones
+
     def forget_source(self, source_ref: str, shown: DataFrame, principal: str = "owner") -> tuple[dict[str, DataFrame], DataFrame]:
         """forget() for all memories that cite a source, and the source with them. Doing it again changes nothing."""
         refs = self.spark.createDataFrame([(source_ref,)], "source_ref string")

@@ -67,6 +67,51 @@ def stages(memories: DataFrame, sessions: DataFrame, task_hits: DataFrame, proje
     return out if most is None else out.orderBy("stage", "rank").limit(most)
 
 
+def collected(memories: DataFrame, sessions: DataFrame, hits: DataFrame, project: str | None, caps: dict[str, int], most: int) -> DataFrame:
+    """kind, id, stage and rank of what an agent's context is made of, from what it may read. Stages list their newest rows
+    (0 pins, 1 and 2 preferences of the project and of all, 4 and 5 other memories of the project and of all, 6 sessions of
+    the project) or best hits(id, rank, matches) (3: up to three times caps["task"] are looked at, of which the first
+    caps["task"] that match are taken). One counter of `most` rows runs through all stages: what a stage lists counts, even
+    if an earlier stage has it already, in which case the earlier one keeps it."""
+    m = memories.select("id", "pinned", "record_kind", "scope", F.coalesce(F.col("project_key") == F.lit(project), F.lit(False)).alias("_own"), "updated_at")
+    free, preference = ~F.col("pinned"), F.col("record_kind") == "preference"
+    wants = [
+        (0, F.col("pinned"), "pins"),
+        (1, free & preference & F.col("_own"), "project"),
+        (2, free & preference & (F.col("scope") == "global"), "global"),
+        (4, free & F.col("_own"), "project"),
+        (5, free & (F.col("scope") == "global"), "global"),
+    ]
+    listed = m.select("id", "updated_at", F.explode(F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(stage).alias("stage"), F.lit(caps[cap]).alias("cap"))) for stage, cond, cap in wants]))).alias("s"))
+    # A rank limit cuts each stage in every task before its rows meet.
+    newest = Window.partitionBy("stage").orderBy(F.desc("updated_at"), "id")
+    listed = listed.select("id", "updated_at", "s.stage", "s.cap").withColumn("rank", F.row_number().over(newest)).filter((F.col("rank") <= max(caps.values())) & (F.col("rank") <= F.col("cap")))
+    listed = listed.select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), "stage", "rank", F.lit(True).alias("taken"))
+    looked = hits.filter(F.col("rank") <= 3 * caps["task"]).join(m.select("id"), "id", "left_semi")
+    matching = F.sum(F.col("matches").cast("int")).over(Window.orderBy("rank"))
+    looked = looked.withColumn("_n", matching).select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), F.lit(3).alias("stage"), F.row_number().over(Window.orderBy("rank")).alias("rank"), (F.col("matches") & (F.col("_n") <= caps["task"])).alias("taken"))
+    recent = sessions.filter(F.col("project_key") == F.lit(project)).orderBy(F.desc("updated_at"), F.col("id").cast("string")).limit(caps["sessions"])
+    recent = recent.select(F.lit("session").alias("kind"), F.col("id").cast("string").alias("id"), F.lit(6).alias("stage"), F.row_number().over(Window.orderBy(F.desc("updated_at"), F.col("id").cast("string"))).alias("rank"), F.lit(True).alias("taken"))
+    # The caps bound what is left, so one task may order it.
+    rows = listed.unionByName(looked).unionByName(recent).orderBy("stage", "rank").limit(most).filter("taken")
+    return rows.groupBy("kind", "id").agg(F.min(F.struct("stage", "rank")).alias("s")).select("kind", "id", "s.stage", "s.rank")
+
+
+def session_entries(sessions: DataFrame, detail: str) -> DataFrame:
+    """key, text, section, priority, score, diversity_key and pinned of the entries that sessions make: title or prompt, and
+    the summary or last reply as far as the detail goes."""
+    said = F.coalesce(*[F.col(c) for c in ("summary", "last_reply") if c in sessions.columns], F.lit(""))
+    title = F.coalesce("title", "last_prompt", "first_prompt", F.lit("Untitled session"))
+    key = F.concat(F.lit("session:"), F.col("id").cast("string"))
+    head = F.concat(F.lit("- session:"), json_text(F.col("id").cast("string")), F.lit(" [episode/unverified] "), json_text(clip(title, 160)))
+    text = clip(said, 1000 if detail == "full" else 240)
+    body = F.when((text != "") & F.lit(detail != "references"), F.concat(F.lit("  Text: "), json_text(text)))
+    return sessions.select(
+        key.alias("key"), F.concat_ws("\n", head, body).alias("text"), F.lit("Recent sessions").alias("section"), F.lit(4).alias("priority"),
+        F.unix_millis("updated_at").cast("double").alias("score"), key.alias("diversity_key"), F.lit(False).alias("pinned"),
+    )
+
+
 def priority(pinned: Column, kind: Column, task: Column) -> Column:
     return F.when(pinned, 0).when(kind == "preference", 1).when(task, 2).otherwise(3)
 

@@ -489,10 +489,9 @@ def cited(spark, d):
     return context.citations_of(ad.citations(spark, d).select("memory_id", "evidence_id", "source_ref", F.lit("resolved").alias("status")), False)
 
 
-@query(sql("memories citations", f"""+ {CITED.replace("citations GROUP", "(SELECT * FROM citations) GROUP")} SELECT m.id, sha256({ENTRY}) AS text_sha256 FROM memories m LEFT JOIN cited c ON c.memory_id = m.id WHERE {VISIBLE} AND NOT regexp_matches(title || content, '[^\\x20-\\x7E\\s]')"""))
+@query(sql("memories citations", f"""+ {CITED.replace("citations GROUP", "(SELECT * FROM citations) GROUP")} SELECT m.id, sha256({ENTRY}) AS text_sha256 FROM memories m LEFT JOIN cited c ON c.memory_id = m.id WHERE {VISIBLE}"""))
 def context_entries(spark, d):
-    plain = ~F.concat("title", "content").rlike(r"[^\x20-\x7E\s]")
-    m = visible(spark, d).filter(plain).join(cited(spark, d).select(F.col("memory_id").alias("_m"), "cited"), F.col("id") == F.col("_m"), "left")
+    m = visible(spark, d).join(cited(spark, d).select(F.col("memory_id").alias("_m"), "cited"), F.col("id") == F.col("_m"), "left")
     text = context.entry_text({c: F.col(c) for c in context.ENTRY_COLUMNS}, F.col("cited"), "compact")
     return m.select("id", F.sha2(text, 256).alias("text_sha256"))
 

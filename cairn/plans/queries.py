@@ -891,6 +891,24 @@ def context_stages(spark, d):
     return context.stages(visible(spark, d), sessions.fold_turns(ad.turns(spark, d)), hits, PROJECT, {"pins": 6, "preferences": 4, "task": 5, "project": 6, "global": 5, "sessions": 4})
 
 
+@query(sql("memories vecs turns", rf"""+ qv AS (SELECT embedding AS q FROM vecs ORDER BY id LIMIT 1),
+hits AS (SELECT v.id, row_number() OVER (ORDER BY round(list_dot_product(q, v.embedding), 6) DESC, v.id) AS rank FROM vecs v CROSS JOIN qv QUALIFY rank <= 40),
+m AS (SELECT * FROM memories WHERE {VISIBLE}),
+st AS (SELECT id, 0 AS stage, 6 AS cap, updated_at AS t FROM m WHERE pinned UNION ALL SELECT id, 1, 6, updated_at FROM m WHERE NOT pinned AND record_kind = 'preference' AND project_key = '{PROJECT}'
+  UNION ALL SELECT id, 2, 5, updated_at FROM m WHERE NOT pinned AND record_kind = 'preference' AND scope = 'global' UNION ALL SELECT id, 4, 6, updated_at FROM m WHERE NOT pinned AND project_key = '{PROJECT}' UNION ALL SELECT id, 5, 5, updated_at FROM m WHERE NOT pinned AND scope = 'global'),
+rk AS (SELECT 'memory' AS kind, id::VARCHAR AS id, stage, row_number() OVER (PARTITION BY stage ORDER BY t DESC, id) AS rank, true AS taken, cap FROM st QUALIFY rank <= cap),
+hk AS (SELECT id, rank, id % 4 <> 0 AS matches FROM hits WHERE rank <= 12 AND id IN (SELECT id FROM m)),
+se AS (SELECT agent_id AS id, first(project_key ORDER BY seq) AS project_key, max(ts) AS u FROM turns WHERE trim(assistant_text) <> '' AND NOT regexp_matches(assistant_text, '(?i)^\s*\[(system )?error\]') GROUP BY agent_id),
+listed AS (SELECT kind, id, stage, rank, taken FROM rk UNION ALL SELECT 'memory', id::VARCHAR, 3, row_number() OVER (ORDER BY rank), matches AND sum(matches::INT) OVER (ORDER BY rank) <= 4 FROM hk
+  UNION ALL SELECT 'session', id::VARCHAR, 6, row_number() OVER (ORDER BY u DESC, id::VARCHAR) AS r, true FROM se WHERE project_key = '{PROJECT}' QUALIFY r <= 4),
+first AS (SELECT * FROM listed ORDER BY stage, rank LIMIT 24)
+SELECT kind, id, min(stage) AS stage, arg_min(rank, stage) AS rank FROM first WHERE taken GROUP BY kind, id"""))
+def context_collected(spark, d):
+    v = ad.vectors(spark, d)
+    hits = search.neighbours(v.select(F.col("id").alias("query_id"), "embedding").orderBy("query_id").limit(1), v, 40).select("id", "rank", (F.col("id") % 4 != 0).alias("matches"))
+    return context.collected(visible(spark, d), sessions.fold_turns(ad.turns(spark, d)), hits, PROJECT, {"pins": 6, "task": 4, "project": 6, "global": 5, "sessions": 4}, 24)
+
+
 @query()
 def context_pack(spark, d):
     m = visible(spark, d)
