@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +56,24 @@ def index_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\-/]+"), "")
 
 
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Characters that are one letter with marks, and those letters."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x110000)):
+        bare = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(bare) == 1 and bare[0] != c:
+            pairs.append((c, bare[0]))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+def folded(text: Column) -> Column:
+    """A text without accents: letters with marks as those letters, marks by themselves gone. In the JVM, and only for what
+    isn't ASCII."""
+    bare = F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+
+
 #: A piece of text without which the shape at the same place in SECRET_SHAPES can't be there.
 TELLTALE = (("-----BEGIN",), ("AKIA", "ASIA"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("glpat-",), ("xox",), ("sk-",), ("eyJ",), ("Bearer", "Basic"), ("=", ":"))
 

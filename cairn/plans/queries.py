@@ -216,10 +216,26 @@ def indexed_search(spark, d):
     return stored_index(spark, d).search(query_terms(spark, d), 60, visible(spark, d)).select("query_id", "id", "score", "rank")
 
 
+def folded_memories(spark: SparkSession, d: str) -> DataFrame:
+    m = ad.memories(spark, d, False).filter("deleted_at is null")
+    return m.withColumns({c: tx.folded(F.col(c)) for c in search.MEMORY_WEIGHTS})
+
+
+FOLDED_BM25 = sql_bm25(f"(SELECT id, {', '.join(f'strip_accents({c}) AS {c}' for c in search.MEMORY_WEIGHTS)} FROM memories WHERE deleted_at IS NULL)", search.MEMORY_WEIGHTS).replace("FROM benchmark", "FROM (SELECT item_id, strip_accents(text) AS text FROM benchmark)")
+
+
+@query(sql("memories", f"+ {FOLDED_BM25} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE id IN (SELECT id FROM memories WHERE {VISIBLE}) QUALIFY rank <= 60"))
+def folded_search(spark, d):
+    b = table(spark, d, "benchmark")
+    terms = b.select(F.col("item_id").alias("query_id"), F.explode(tx.search_terms(tx.folded(F.col("text")))).alias("term"))
+    found = search.bm25(folded_memories(spark, d), terms)
+    return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
+
+
 @query()
 def stemmed_search(spark, d):
-    m = ad.memories(spark, d, False).filter("deleted_at is null")
-    terms = query_terms(spark, d).select("query_id", stem_column(F.col("term")).alias("term")).distinct()
+    m = folded_memories(spark, d)
+    terms = query_terms(spark, d).select("query_id", stem_column(tx.folded(F.col("term"))).alias("term")).distinct()
     found = search.bm25(m, terms, stem=stem_column)
     return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
 

@@ -19,7 +19,12 @@ def static_embedding(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """id and embedding of texts(id, text) from a table of token vectors(token, vector): the sum over a text's words that
     the table has, scaled to length 1; texts without such a word get none. The table is joined, so it may be of any size."""
     words = F.regexp_extract_all(F.lower(prepared(F.col("text"))), F.lit("([a-z0-9]+)"), 1)
-    w = texts.select("id", F.explode(words).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n")).join(tokens, "token")
+    return pooled(texts.select("id", F.explode(words).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n")), tokens)
+
+
+def pooled(counted: DataFrame, tokens: DataFrame) -> DataFrame:
+    """id and embedding of counted(id, token, n): the sum of tokens(token, vector), scaled to length 1."""
+    w = counted.join(tokens, "token")
     slots = w.select("id", "n", F.posexplode("vector").alias("slot", "x")).groupBy("id", "slot").agg(F.sum(F.col("n") * F.col("x").cast("double")).alias("x"))
     e = slots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "x"))), lambda s: s["x"]).alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return e.select("id", F.transform("e", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(x)).alias("embedding"))
