@@ -107,10 +107,36 @@ def merge_target(a: Column, b: Column) -> Column:
     )
 
 
-def auto_merge(memories: DataFrame) -> DataFrame:
+def _alike_merged(rows: DataFrame, bits: int) -> DataFrame:
+    """Merges of families whose rows never conflict: each row meets the best of the rows before it, and stays if that isn't
+    better. The best so far is a running maximum, which is put together from those of blocks of ids, of blocks of blocks,
+    and so on, so no task sees more than 2 ** bits rows of a family."""
+    own = rows.select("_family", "_least", "id", F.struct("_active", "_opened", "_updated", "id").alias("k"))
+    levels = [own.select("_family", F.col("id").alias("b"), "k")]
+    for _ in range(max(-(-63 // bits) - 1, 0)):
+        levels.append(levels[-1].groupBy("_family", F.shiftright("b", bits).alias("b")).agg(F.max("k").alias("k")))
+    before = None
+    for level in reversed(levels):
+        block = F.shiftright("b", bits)
+        # The highest level is one block, negative ids among it.
+        w = Window.partitionBy("_family", *([] if before is None else [block])).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumns({"_up": block, "p": F.max("k").over(w)})
+        if before is not None:
+            first = before.select(F.col("_family").alias("_f"), F.col("b").alias("_b"), F.col("p").alias("_p"))
+            level = level.join(first, (F.col("_family") == F.col("_f")) & (F.col("_up") == F.col("_b"))).withColumn("p", F.greatest("p", "_p"))
+        before = level.select("_family", "b", "k", "p")
+    met = before.filter("p is not null").join(own.select("_family", F.col("id").alias("b"), "_least"), ["_family", "b"])
+    rank = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("_active", "_opened", "_updated")])
+    first = rank("p") > rank("k")
+    low, high = F.col("p.id"), F.col("b")
+    return met.select(F.col("_least").cast("string").alias("family"), low.alias("low"), high.alias("high"), F.when(first, low).otherwise(high).alias("target"), F.when(first, high).otherwise(low).alias("source"))
+
+
+def auto_merge(memories: DataFrame, bits: int = 16) -> DataFrame:
     """family, low, high, target, source of the merges among memories, pairs of mergeable rows taken in order of low and
     high but for rows that an earlier merge took away. A family holds the rows that agree in all that mergeable() compares
-    and is named by its smallest id; only conflicts between forms of one text are left to the fold."""
+    and is named by its smallest id. Families of one form, however large, are merged by a tree of running maxima; only those
+    that hold several forms of their text, which may conflict, are folded one by one."""
     text = F.concat_ws("\n", "title", "content")
     same = [F.trim(nfc(F.col(c))).alias(f"_{c}") for c in ("title", "content")]
     fields = [F.unix_micros(c).alias(c) if c.startswith("valid_") else F.col(c) for c in ("scope", "project_key", *SAME_FIELDS)]
@@ -122,11 +148,12 @@ def auto_merge(memories: DataFrame) -> DataFrame:
         F.col("opened_count").alias("_opened"),
         F.unix_micros("updated_at").alias("_updated"),
     )
-    w = Window.partitionBy("_family")
-    rows = rows.withColumns({"_n": F.count("*").over(w), "_mixed": F.min("_form").over(w) != F.max("_form").over(w)}).filter("_n > 1").drop("_n", "_form")
     # Only where a family holds several forms of its text can two of its rows conflict.
+    about = rows.groupBy(F.col("_family").alias("_f")).agg(F.count("*").alias("_n"), (F.min("_form") != F.max("_form")).alias("_mixed"), F.min("id").alias("_least")).filter("_n > 1")
+    rows = rows.drop("_form").join(about.drop("_n"), F.col("_family") == F.col("_f")).drop("_f")
+    alike = _alike_merged(rows.filter("not _mixed"), bits)
     mixed = memories.join(rows.filter("_mixed").select("id"), "id", "left_semi").select("id", value_tokens(text).alias("_values"), is_negated(text).alias("_negated"))
-    rows = rows.drop("_mixed").join(mixed, "id", "left").withColumns({"_values": F.coalesce("_values", F.array().cast("array<string>")), "_negated": F.coalesce("_negated", F.lit(False))})
+    rows = rows.filter("_mixed").drop("_mixed", "_least").join(mixed, "id")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -150,7 +177,7 @@ def auto_merge(memories: DataFrame) -> DataFrame:
                 left = waiting
         return pd.DataFrame(out, columns=["family", "low", "high", "target", "source"])
 
-    return rows.groupBy("_family").applyInPandas(fold, "family string, low long, high long, target long, source long")
+    return alike.unionByName(rows.groupBy("_family").applyInPandas(fold, "family string, low long, high long, target long, source long"))
 
 
 def upkeep_counts(pairs: DataFrame, memories: DataFrame, stale: Column) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import upkeep
@@ -21,14 +22,17 @@ def test_every_row_asks_for_near_duplicates(spark):
     assert any((a - 1) % 100 and (b - 1) % 100 for a, b, _ in want)
 
 
-def test_auto_merge_folds_whole_families(spark):
-    rng, t = random.Random(5), dt.datetime(2024, 1, 1)
+@pytest.mark.parametrize("bits,seed", [(16, 5), (8, 6)])
+def test_auto_merge_folds_whole_families(spark, bits, seed):
+    rng, t = random.Random(seed), dt.datetime(2024, 1, 1)
     texts = ['port "\u00e9" is open', 'port "e\u0301" is open', "plain", " plain "]
     rows = []
-    for i in range(1, 61):
+    for i in [*range(1, 61), *rng.sample(range(-300, 2000), 25), 2**40, 2**40 + 300]:
+        if i in {r[0] for r in rows}:
+            continue
         text = texts[rng.randrange(4)]
         archived = t if i in (3, 20) else None
-        rows.append((i, "project" if i % 2 else "global", "p1" if i % 2 else None, "note", "s", "a", "m", i % 17 == 1 or i == 2, "fact", "unverified", None, None, "title", text, archived, i % 9, i % 4, i % 5, t + dt.timedelta(hours=i)))
+        rows.append((i, "project" if i % 2 else "global", "p1" if i % 2 else None, "note", "s", "a", "m", i % 17 == 1 or i == 2, "fact", "unverified", None, None, "title", text, archived, i % 9, i % 4, i % 5, t + dt.timedelta(hours=i % 5000)))
     m = spark.createDataFrame(
         rows,
         "id long, scope string, project_key string, type string, source string, agent_id string, provider string, pinned boolean, record_kind string, verification_status string, "
@@ -40,5 +44,5 @@ def test_auto_merge_folds_whole_families(spark):
         if not {r.low, r.high} & gone:
             gone.add(r.source)
             want.add((r.low, r.high, r.target, r.source))
-    got = [(r.low, r.high, r.target, r.source) for r in upkeep.auto_merge(m).collect()]
+    got = [(r.low, r.high, r.target, r.source) for r in upkeep.auto_merge(m, bits).collect()]
     assert set(got) == want and len(got) == len(want) > 40
