@@ -6,6 +6,9 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 KINDS = ("fact", "preference", "derived_summary", "lesson", "episode", "procedure_ref")
 PROFILES = ("compact", "standard", "evidence")
 DETAIL = ("references", "compact", "full")
@@ -99,3 +102,16 @@ def resolve(policy: Policy, profile: str | None = None, budget: dict[str, int] |
     limits["max_chars"] = min(limits["max_chars"], policy.context_chars)
     asked = min(DETAIL.index(detail or "compact"), DETAIL.index(p.detail))
     return Resolved(name, limits, tuple(k for k in p.kinds if kinds is None or k in kinds), DETAIL[asked], p.detail, dict(policy.reserved))
+
+
+def resolved_limits(requests: DataFrame, policy: Policy) -> DataFrame:
+    """requests(id, profile and any of the limits, null where not asked for) with denied and all limits: of every limit the
+    least of the profile's, the request's and the ceiling. A null profile is the policy's; one that isn't allowed is denied
+    and has no limits. The profiles are a table of a few rows, joined to requests of any number."""
+    names = [n for n in policy.allowed if n in policy.profiles]
+    rows = [(n, *(min(getattr(policy.profiles[n], k), most, *([policy.context_chars] if k == "max_chars" else [])) for k, most in CEILINGS.items())) for n in names]
+    own = requests.sparkSession.createDataFrame(rows, ", ".join(["_name string", *(f"_{k} long" for k in CEILINGS)]))
+    r = requests.withColumn("profile", F.coalesce("profile", F.lit(policy.default)))
+    df = r.join(F.broadcast(own), F.col("profile") == F.col("_name"), "left")
+    limits = [F.when(F.col("_name").isNotNull(), F.least(f"_{k}", k) if k in requests.columns else F.col(f"_{k}")).alias(k) for k in CEILINGS]
+    return df.select("id", "profile", F.col("_name").isNull().alias("denied"), *limits)

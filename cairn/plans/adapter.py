@@ -29,6 +29,11 @@ def _pick(values: list[str], i: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), i.cast("int"))
 
 
+def count(spark: SparkSession, folder: str) -> Column:
+    """How many memories there are, from the footers of the files."""
+    return F.lit(table(spark, folder, "documents").count()).cast("long")
+
+
 #: Rows of a namespace that have a topic key.
 TOPICS = 5
 

@@ -49,11 +49,13 @@ def asof_with_sources(spark, d):
 
 # ---- lookups
 
-IDS = "ids AS (SELECT item_id * 7 % 300 + 1 AS id FROM benchmark)"
+#: How many memories there are: ids are dealt over all of them.
+N = "(SELECT count(*) FROM documents)"
+IDS = f"ids AS (SELECT item_id * 7 % {N} + 1 AS id FROM benchmark)"
 
 
 def some_ids(spark, d):
-    return table(spark, d, "benchmark").select((F.col("item_id") * 7 % 300 + 1).alias("id"))
+    return table(spark, d, "benchmark").select((F.col("item_id") * 7 % ad.count(spark, d) + 1).alias("id"))
 
 
 @query(sql("memories", f"+ {IDS} SELECT id, title FROM memories WHERE {VISIBLE} AND id IN (SELECT id FROM ids)"))
@@ -244,12 +246,13 @@ EVIDENCE_STATUS = "CASE WHEN e % 10 = 9 THEN 'unresolved' ELSE 'resolved' END"
 def disclosing_events(spark, d):
     """Injections with the JSON of what they showed."""
     k, i = F.col("k"), F.col("id")
-    refs = F.array(*[F.struct((k * m % 300 + 1).alias("id"), (1 + k * m % 300 % 3).alias("revision")) for m in (1, 3)])
+    many = ad.count(spark, d)
+    refs = F.array(*[F.struct((i * m % many + 1).alias("id"), (1 + i * m % many % 3).alias("revision")) for m in (1, 3)])
     detail = F.when(i % 20 == 0, "{broken").otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("r"), i.cast("string")).alias("retrievalId"), refs.alias("memoryRefs")).alias("retrieval"), F.lit(1).alias("chars"))))
     return ad.audit(spark, d).filter("kind = 'inject'").select("id", "nonce", "k", detail.alias("detail"))
 
 
-SHOWN = """shown AS (SELECT DISTINCT 'r' || id AS retrieval_id, nonce, memory_id, 1 + (memory_id - 1) % 3 AS revision FROM (SELECT id, nonce, unnest([k % 300 + 1, k * 3 % 300 + 1]) AS memory_id FROM audit WHERE kind = 'inject' AND id % 20 <> 0))"""
+SHOWN = f"""shown AS (SELECT DISTINCT 'r' || id AS retrieval_id, nonce, memory_id, 1 + (memory_id - 1) % 3 AS revision FROM (SELECT id, nonce, unnest([id % {N} + 1, id * 3 % {N} + 1]) AS memory_id FROM audit WHERE kind = 'inject' AND id % 20 <> 0))"""
 
 
 @query(sql("audit links", f"+ {SHOWN} SELECT retrieval_id, nonce, agent_id, memory_id, revision FROM shown LEFT JOIN links USING (nonce)"))
@@ -261,15 +264,15 @@ def feedback_log(spark, d):
     """Feedback on what injections showed: every fifth event again, every tenth again with another signal, some from a
     nonce that saw something else, some with evidence that doesn't resolve or isn't there."""
     e = disclosing_events(spark, d).select("id", "nonce", "k").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    i, n, k = F.col("id"), F.col("n"), F.col("k")
+    i, n, many = F.col("id"), F.col("n"), ad.count(spark, d)
     e = e.filter((n == 0) | ((n == 1) & (i % 5 == 0)) | ((n == 2) & (i % 10 == 0)))
     return e.select(
         (i * 3 + n).alias("seq"),
         F.concat(F.lit("p"), (i % 4).cast("string")).alias("producer_id"),
         F.concat(F.lit("f"), i.cast("string")).alias("event_id"),
         F.concat(F.lit("r"), i.cast("string")).alias("retrieval_id"),
-        (k % 300 + 1).alias("memory_id"),
-        (1 + k % 300 % 3).alias("revision"),
+        (i % many + 1).alias("memory_id"),
+        (1 + i % many % 3).alias("revision"),
         ad._pick(["applied", "helpful", "harmful", "irrelevant"], (i + F.when(n == 2, 1).otherwise(0)) % 4).alias("signal"),
         ad._pick(["validator", "human", "agent_report"], i % 3).alias("basis"),
         F.when(i % 7 == 0, "n0x").otherwise(F.col("nonce")).alias("nonce"),
@@ -281,7 +284,7 @@ def evidence_status(spark, d):
     return spark.range(60).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("evidence_id"), F.when(F.col("id") % 10 == 9, "unresolved").otherwise("resolved").alias("status"))
 
 
-FEEDBACK_LOG = f"""{SHOWN}, fl AS (SELECT id, n, k, id * 3 + n AS seq, 'p' || (id % 4) AS producer_id, 'f' || id AS event_id, 'r' || id AS retrieval_id, k % 300 + 1 AS memory_id, 1 + k % 300 % 3 AS revision,
+FEEDBACK_LOG = f"""{SHOWN}, fl AS (SELECT id, n, k, id * 3 + n AS seq, 'p' || (id % 4) AS producer_id, 'f' || id AS event_id, 'r' || id AS retrieval_id, id % {N} + 1 AS memory_id, 1 + id % {N} % 3 AS revision,
   ['applied', 'helpful', 'harmful', 'irrelevant'][(id + CASE WHEN n = 2 THEN 1 ELSE 0 END) % 4 + 1] AS signal, ['validator', 'human', 'agent_report'][id % 3 + 1] AS basis,
   CASE WHEN id % 7 = 0 THEN 'n0x' ELSE nonce END AS nonce, id % 60 AS e, id % 11 <> 0 AS there FROM (SELECT *, unnest([0, 1, 2]) AS n FROM audit WHERE kind = 'inject')
   WHERE n = 0 OR (n = 1 AND id % 5 = 0) OR (n = 2 AND id % 10 = 0)),
@@ -399,12 +402,13 @@ def evidence_inherited(spark, d):
     return provenance.inherited(ch, c.select("memory_id", "revision", "evidence_id"))
 
 
-@query(sql("memories citations", f"""+ {AFFECTED}, jobs AS (SELECT event_id AS id, ['queued', 'running', 'done', 'reserved'][event_id % 4 + 1] AS state, event_id % 900 + 1 AS memory_id FROM events)
+@query(sql("memories citations", f"""+ {AFFECTED}, jobs AS (SELECT event_id AS id, ['queued', 'running', 'done', 'reserved'][event_id % 4 + 1] AS state, event_id % {N} + 1 AS memory_id FROM events)
 SELECT CASE WHEN state <> 'done' AND (memory_id, 1 + (memory_id - 1) % 3) IN (SELECT (id, revision) FROM hit) THEN 'cancelled' ELSE state END AS state, count(*) AS n FROM jobs GROUP BY 1"""))
 def cancelled_reviews(spark, d):
     e, i = table(spark, d, "events"), F.col("event_id")
     jobs = e.select(i.alias("id"), ad._pick(["queued", "running", "done", "reserved"], i % 4).alias("state"))
-    src = e.select(i.alias("job_id"), (i % 900 + 1).alias("memory_id"), (1 + i % 900 % 3).alias("revision"))
+    many = ad.count(spark, d)
+    src = e.select(i.alias("job_id"), (i % many + 1).alias("memory_id"), (1 + i % many % 3).alias("revision"))
     hit = provenance.affected_by(gone_refs(spark, d), ad.citations(spark, d), ad.memories(spark, d, False))
     return provenance.cancelled_jobs(jobs, src, hit).groupBy("state").agg(F.count("*").alias("n"))
 
@@ -607,13 +611,14 @@ def agent_records(spark, d):
 # ---- policies and texts
 
 
-@query("""SELECT * FROM (VALUES ('compact', 'large', 4096, 3000, 9000, 500, 30, 20), ('standard', 'large', 8192, 6000, 18000, 750, 60, 40), ('evidence', 'large', 32768, 6000, 60000, 2000, 120, 80))
-  t(profile, request, max_tokens, max_chars, max_bytes, max_latency_ms, max_candidates, max_items) UNION ALL SELECT p, 'small', 17, 17, 17, 17, 17, 17 FROM (VALUES ('compact'), ('standard'), ('evidence')) t(p)""")
+@query("""WITH p(profile, t, c, b, l, n, i) AS (VALUES ('compact', 4096, 3000, 9000, 500, 30, 20), ('standard', 8192, 6000, 18000, 750, 60, 40)),
+r AS (SELECT event_id AS id, ['compact', 'standard', 'evidence'][event_id % 3 + 1] AS profile, CASE WHEN event_id % 4 > 0 THEN event_id * 37 % 12000 END AS t, CASE WHEN event_id % 5 > 0 THEN event_id * 11 % 9000 END AS c, CASE WHEN event_id % 2 > 0 THEN event_id * 13 % 90 END AS i FROM events)
+SELECT id, p.profile IS NULL AS denied, CASE WHEN p.profile IS NOT NULL THEN least(p.t, r.t) END AS max_tokens, CASE WHEN p.profile IS NOT NULL THEN least(p.c, r.c) END AS max_chars, p.b AS max_bytes, p.l AS max_latency_ms, p.n AS max_candidates, CASE WHEN p.profile IS NOT NULL THEN least(p.i, r.i) END AS max_items FROM r LEFT JOIN p USING (profile)""")
 def policy_limits(spark, d):
-    """What each profile leaves of a large and of a small request."""
-    p = policy.Policy(allowed=("compact", "standard", "evidence"))
-    rows = [(n, kind, *policy.resolve(p, n, {k: v for k in policy.CEILINGS}).limits.values()) for n in policy.PROFILES for kind, v in (("large", 10**9), ("small", 17))]
-    return spark.createDataFrame(rows, ", ".join(["profile string", "request string", *(f"{k} long" for k in policy.CEILINGS)]))
+    """What the policy leaves of the budgets that the events' requests name."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    r = e.select(i.alias("id"), ad._pick(["compact", "standard", "evidence"], i % 3).alias("profile"), F.when(i % 4 > 0, i * 37 % 12000).alias("max_tokens"), F.when(i % 5 > 0, i * 11 % 9000).alias("max_chars"), F.when(i % 2 > 0, i * 13 % 90).alias("max_items"))
+    return policy.resolved_limits(r, policy.Policy()).drop("profile")
 
 
 @query("SELECT count(*) AS n, 'BIGINT' AS id_type, 'DOUBLE' AS value_type FROM events")
