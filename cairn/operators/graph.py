@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """id and depth of all that start(id) reaches over edges(src, dst), start included; one row for each id, however many
     starts reach it."""
+    edges = cut(edges.select("src", "dst"))  # else every round would derive them again
     seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
     fresh, depth = seen, 0
     while not fresh.isEmpty():
@@ -45,6 +46,7 @@ def closure(start: DataFrame, edges: DataFrame, limit: int | None = None) -> Dat
     """root, id and depth of everything reachable from start(id) over edges(src, dst), start included. Rounds drop what is
     known, so cycles end. More than limit rows of one root is an error, raised in the round that brings them, as a closure
     that is cut short would leak."""
+    edges = cut(edges.select("src", "dst"))
     seen = cut(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
     fresh, depth = seen, 0
     while not fresh.isEmpty():
@@ -59,6 +61,37 @@ def closure(start: DataFrame, edges: DataFrame, limit: int | None = None) -> Dat
     return seen
 
 
+#: Roots that are numbered by one task.
+NUMBERED = 1 << 16
+
+
+def closure_of_many(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """closure() for many roots that reach much the same: up to 64 roots travel as the bits of one long, so rounds join and
+    shuffle a row for each node and pack of roots, not for each node and root. Only the last step has a row for each pair,
+    and shuffles none of them."""
+    edges = cut(edges.select("src", "dst"))
+    roots = start.select(F.col("id").alias("root")).distinct()
+    parts = max(-(-roots.count() // NUMBERED), 1)
+    n = F.row_number().over(Window.partitionBy("_part").orderBy("root")) - 1
+    roots = roots.withColumn("_part", F.pmod(F.xxhash64("root"), F.lit(parts))).withColumn("_n", n)
+    roots = cut(roots.select("root", (F.col("_part") + F.floor(F.col("_n") / 64) * parts).alias("pack"), (F.col("_n") % 64).alias("bit")))
+    one = F.expr("shiftleft(1L, bit)").alias("bits")
+    fresh = seen = cut(roots.select(F.col("root").alias("id"), "pack", one, F.lit(0).alias("depth")))
+    depth = 0
+    while not fresh.isEmpty():
+        depth += 1
+        step = fresh.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id"), "pack").agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("id", "pack").agg(F.bit_or("bits").alias("_known"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
+        fresh = cut(step.join(known, ["id", "pack"], "left").select("id", "pack", new.alias("bits"), F.lit(depth).alias("depth")).filter("bits <> 0"))
+        seen = seen.unionByName(fresh)
+        if depth % 10 == 0:
+            seen = cut(seen)
+    packs = roots.groupBy("pack").agg(F.collect_list(F.struct("bit", "root")).alias("_roots"))
+    own = F.filter("_roots", lambda r: F.getbit("bits", r["bit"]) == 1)
+    return seen.join(packs, "pack").select(F.explode(F.transform(own, lambda r: r["root"])).alias("root"), "id", "depth")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every node of edges(a, b), by stars: each round hangs the larger
     neighbours of a node on its smallest one, then the smaller ones, until nothing moves. Minima are summed up before they

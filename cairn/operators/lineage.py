@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .access import MOST_SOURCES, node, source_edges, too_wide
-from .graph import closure, cut, reach
+from .graph import closure, closure_of_many, cut, reach
 
 
 def sources_of(ids: DataFrame, relations: DataFrame, limit: int = MOST_SOURCES, revisions: bool = False) -> DataFrame:
@@ -42,9 +42,16 @@ def dependants_edges(relations: DataFrame, evidence: DataFrame) -> DataFrame:
     return derived.union(shared).union(cites).distinct()
 
 
-def forget(ids: DataFrame, relations: DataFrame, evidence: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Everything that goes when ids are forgotten."""
-    return closure(ids, dependants_edges(relations, evidence), limit)
+def forget(ids: DataFrame, relations: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """root, id and depth of everything that goes with each of ids. More than limit rows of one of them is an error, if a
+    limit is given."""
+    edges = dependants_edges(relations, evidence)
+    return closure_of_many(ids, edges) if limit is None else closure(ids, edges, limit)
+
+
+def forgotten(ids: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """id and depth of all that goes when ids are forgotten together, one row each, whichever of them takes it along."""
+    return reach(ids, dependants_edges(relations, evidence))
 
 
 def erase(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.engine import Engine
 from cairn.functions import text as tx
-from cairn.operators import access, context, indexes, lineage, links, mutations, policy, review, search, sessions, upkeep, usage
+from cairn.operators import access, context, graph, indexes, lineage, links, mutations, policy, review, search, sessions, upkeep, usage
 from cairn.operators.access import Access, current
 from cairn.sources import embedder, tables
 from cairn.sources.tables import first_wins, longest_prefix, read_snapshot, upsert, write_snapshot
@@ -551,3 +551,22 @@ def test_files_of_sessions(spark):
     got = {r.id: (r.turns, r.files) for r in sessions.fold_turns(df.repartition(3)).collect()}
     assert got[1] == (3, ([f"a{i}" for i in range(50)] + [f"b{i}" for i in range(30)] + ["c"])[-50:])
     assert got[2] == (1, ["x", "x", "y"]) and got[3] == (2, [])
+
+
+def test_forgetting_more_than_ten_thousand(spark):
+    r = spark.range(2, 12_003).select(F.col("id").alias("from_id"), F.lit(1).cast("long").alias("to_id"), F.lit("derived_from").alias("kind"))
+    evidence = spark.createDataFrame([], "memory_id long, source_ref string")
+    ids = spark.createDataFrame([(1,), (7,)], "id long")
+    gone = lineage.forget(ids, r, evidence)
+    assert {x.root: x.n for x in gone.groupBy("root").agg(F.count("*").alias("n")).collect()} == {1: 12_002, 7: 1}
+    assert lineage.forgotten(ids, r, evidence).count() == 12_002
+
+
+def test_closure_of_many_roots(spark):
+    rng = random.Random(12)
+    pairs = {(rng.randrange(150), rng.randrange(150)) for _ in range(170)}
+    edges = spark.createDataFrame(list(pairs), "src long, dst long")
+    start = spark.createDataFrame([(i % 140,) for i in range(150)], "id long")
+    rows = lambda df: sorted((x.root, x.id, x.depth) for x in df.collect())
+    assert rows(graph.closure_of_many(start, edges)) == rows(graph.closure(start, edges))
+    assert rows(graph.closure_of_many(start.limit(0), edges)) == []
