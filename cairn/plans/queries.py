@@ -684,7 +684,7 @@ def forget_closure(spark, d):
 
 @query(sql("memories relations evidence pending", f"+ {DEPENDS} SELECT count(*) AS left_over FROM memories WHERE id NOT IN (SELECT id FROM c)", True))
 def erased_table(spark, d):
-    gone = lineage.forget(ad.pending(spark, d), ad.relations(spark, d), ad.evidence(spark, d))
+    gone = lineage.forgotten(ad.pending(spark, d), ad.relations(spark, d), ad.evidence(spark, d))
     return lineage.erase(ad.memories(spark, d, False), gone).agg(F.count("*").alias("left_over"))
 
 
