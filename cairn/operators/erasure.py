@@ -70,14 +70,15 @@ class Plan:
         return self.contexts.filter(F.col("kind") == kind).select(F.col("identifier").alias("name"))
 
 
-def plan(ids: DataFrame, relations: DataFrame, citations: DataFrame, exposures: DataFrame, most: int = MOST) -> Plan:
+def plan(ids: DataFrame, relations: DataFrame, citations: DataFrame, exposures: DataFrame, most: int | None = MOST) -> Plan:
     """What forgetting ids takes with it: what derives from them, shares a source with them or cites them, and on; the
-    sources that these cite; and the contexts that may hold any of it. More than `most` memories or contexts is an error."""
+    sources that these cite; and the contexts that may hold any of it. More than `most` memories or contexts is an error,
+    unless `most` is None."""
     gone = cut(reach(ids, dependants_edges(relations, citations)).select("id"))
     start = gone.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"))
     seen = cut(reach(start, exposures).filter(~F.startswith("id", F.lit("memory:"))))
     for what, df in (("memories", gone), ("contexts", seen)):
-        if df.count() > most:
+        if most is not None and df.count() > most:
             raise ValueError(f"forgetting takes more than {most} {what}")
     own = F.concat(F.lit("memory:"), F.col("id").cast("string"))
     cited = citations.join(gone.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("source_ref")

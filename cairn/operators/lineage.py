@@ -68,10 +68,10 @@ def propagate(pending: DataFrame, relations: DataFrame) -> DataFrame:
     return reach(pending, edges).filter("depth > 0").select("id", F.col("depth").alias("distance"))
 
 
-def disclosed(start: DataFrame, exposures: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Callers, agents and sessions that a memory may have reached, over typed and directed exposures(src, dst) as
-    erasure.exposure_edges() gives them."""
-    return closure(start, exposures, limit)
+def disclosed(start: DataFrame, exposures: DataFrame, limit: int | None = None) -> DataFrame:
+    """root, id and depth of the callers, agents and sessions that each memory may have reached, over typed and directed
+    exposures(src, dst) as erasure.exposure_edges() gives them. More than limit rows of one is an error, if a limit is given."""
+    return closure_of_many(start, exposures) if limit is None else closure(start, exposures, limit)
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:

@@ -729,7 +729,7 @@ def forgotten_store(spark, d):
     """Every table after one memory is forgotten with all that goes with it."""
     names = ("memories", "revisions", "relations", "citations", "artifacts", "audit", "marks", "feedback")
     tables = {n: getattr(ad, n)(spark, d) for n in names}
-    what = erasure.plan(spark.createDataFrame([(41,)], "id long"), tables["relations"], tables["citations"], exposures(spark, d), 10**6)
+    what = erasure.plan(spark.createDataFrame([(41,)], "id long"), tables["relations"], tables["citations"], exposures(spark, d), None)
     left = erasure.erased(tables, what) | {"tombstones": erasure.tombstones(what, NOW(), "owner")}
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n, df in left.items()]
     out = rows[0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.engine import Engine
 from cairn.functions import text as tx
-from cairn.operators import access, context, graph, indexes, lineage, links, mutations, policy, review, search, sessions, upkeep, usage
+from cairn.operators import access, context, erasure, graph, indexes, lineage, links, mutations, policy, review, search, sessions, upkeep, usage
 from cairn.operators.access import Access, current
 from cairn.sources import embedder, tables
 from cairn.sources.tables import first_wins, longest_prefix, read_snapshot, upsert, write_snapshot
@@ -570,3 +570,12 @@ def test_closure_of_many_roots(spark):
     rows = lambda df: sorted((x.root, x.id, x.depth) for x in df.collect())
     assert rows(graph.closure_of_many(start, edges)) == rows(graph.closure(start, edges))
     assert rows(graph.closure_of_many(start.limit(0), edges)) == []
+
+
+def test_disclosure_to_more_than_ten_thousand(spark):
+    e = spark.range(11_000).select(F.lit("memory:1").alias("src"), F.concat(F.lit("caller:n"), F.col("id").cast("string")).alias("dst"))
+    start = spark.createDataFrame([("memory:1",)], "id string")
+    assert lineage.disclosed(start, e).count() == 11_001
+    nothing = spark.createDataFrame([], "memory_id long, source_ref string"), spark.createDataFrame([], "from_id long, to_id long, kind string")
+    what = erasure.plan(spark.createDataFrame([(1,)], "id long"), nothing[1], nothing[0], e, None)
+    assert what.contexts.count() == 11_000
