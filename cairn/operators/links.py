@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,7 +61,6 @@ def recorded(events: DataFrame) -> DataFrame:
 
 #: Length of the stretches of time that are folded side by side; WAIT_SECONDS of what waits are carried into the next one.
 STRETCH_SECONDS = 600
-_EVENT = "place string, stretch long, kind int, token string, who string, at long"
 
 
 def _stretched(waiting: DataFrame, asking: DataFrame) -> DataFrame:
@@ -71,37 +71,71 @@ def _stretched(waiting: DataFrame, asking: DataFrame) -> DataFrame:
     return w.unionByName(asking.withColumns({"kind": F.lit(1), "stretch": stretch}))
 
 
-def _in_rounds(rows: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], out: str) -> DataFrame:
+#: Rows that are folded by one call, of many stretches; and how many changed facts or stretches are broadcast at most.
+BATCH_ROWS, FEW = 20_000, 100_000
+#: When a take comes that nobody was told of.
+NEVER = (1 << 63) - 1
+_FOLDED = "place string, stretch long, who string, token string, at long"
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW else df
+
+
+def _in_rounds(rows: DataFrame, fold: Callable[[list], list], out: str) -> DataFrame:
     """Rounds of folds of rows(place, stretch, kind, token, who, at, ...), until they agree on what is taken when.
 
     A fold proposes takes (taker, token and the order of the take) for its stretch of a place. What other stretches have
     proposed in the round before is told to it: `b_at`, `b_who` and `b_place` of the first take of what waits, or by who
     asks, outside its own stretch. A take depends on earlier ones only, so each round settles at least what hangs on the
     takes that the last one settled, and takes that don't change any more are those of one fold over all places in order
-    of time."""
-    keys = ["place", "stretch"]
-    told = rows.withColumns({"b_at": F.lit(None).cast("long"), "b_who": F.lit(None).cast("string"), "b_place": F.lit(None).cast("string")})
-    before = None
+    of time. From the second round on only stretches that are told something else than before are folded again; one call
+    folds many stretches, as one often holds a few rows."""
+    keys, fact = ["place", "stretch"], ["kind", "token"]
+    names = [c.split()[0] for c in out.split(", ")]
+    batches = max(-(-rows.count() // BATCH_ROWS), 1)
+
+    def batch(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["place", "stretch"], kind="stable")
+        found = []
+        for _, stretch in groupby(group.itertuples(index=False), key=lambda x: (x.place, x.stretch)):
+            found += fold(list(stretch))
+        return pd.DataFrame(found, columns=names)
+
+    def folded(told: DataFrame, of: int) -> DataFrame:
+        return told.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(of))).groupBy("_batch").applyInPandas(batch, out)
+
+    def told_by(first: str, other: str) -> Column:
+        own = (F.col(f"{first}.place") == F.col("place")) & (F.col(f"{first}.stretch") == F.col("stretch"))
+        return F.when(own, F.col(other)).otherwise(F.col(first))
+
+    nothing = {"b_at": F.lit(NEVER), "b_who": F.lit(None).cast("string"), "b_place": F.lit(None).cast("string")}
+    takes, before = cut(folded(rows.withColumns(nothing), batches)), None
     while True:
-        takes = cut(told.groupBy(*keys).applyInPandas(fold, out))
-        now = takes.agg(F.count("*"), F.bit_xor(F.xxhash64(*takes.columns))).first()
-        if now == before:
-            return takes
-        before = now
         key = F.struct("at", "who", "place", "stretch").alias("take")
-        facts = takes.select(F.lit(0).alias("kind"), "token", key).union(takes.select(F.lit(1).alias("kind"), "who", key))
+        facts = takes.select(F.lit(0).alias("kind"), "token", key).union(takes.select(F.lit(1).alias("kind"), F.col("who"), key))
         # A stretch takes each thing once, so the first take and the first of another stretch are all that can be asked for.
-        first = facts.groupBy("kind", "token").agg(F.min("take").alias("first"))
-        other = facts.join(first, ["kind", "token"]).filter("take.place <> first.place or take.stretch <> first.stretch").groupBy("kind", "token").agg(F.min("take").alias("other"))
-        known = first.join(other, ["kind", "token"], "left").withColumnsRenamed({"kind": "_kind", "token": "_token"})
-        own = (F.col("first.place") == F.col("place")) & (F.col("first.stretch") == F.col("stretch"))
-        told = rows.join(known, (F.col("kind") == F.col("_kind")) & (F.col("token") == F.col("_token")), "left").withColumn("_take", F.when(own, F.col("other")).otherwise(F.col("first")))
-        told = told.select(*rows.columns, F.col("_take.at").alias("b_at"), F.col("_take.who").alias("b_who"), F.col("_take.place").alias("b_place"))
+        first = facts.groupBy(*fact).agg(F.min("take").alias("first"))
+        other = facts.join(first, fact).filter("take.place <> first.place or take.stretch <> first.stretch").groupBy(*fact).agg(F.min("take").alias("other"))
+        known = cut(first.join(other, fact, "left"))
+        old = (known.limit(0) if before is None else before).withColumnsRenamed({"first": "_first", "other": "_other"})
+        changed = known.join(old, fact, "full").filter(~(F.col("first").eqNullSafe(F.col("_first")) & F.col("other").eqNullSafe(F.col("_other"))))
+        changed = cut(changed)
+        here = rows.select(*keys, *fact).join(_few(changed, changed.count()), fact)
+        touched = cut(here.filter(~told_by("first", "other").eqNullSafe(told_by("_first", "_other"))).select(*keys).distinct())
+        n = touched.count()
+        if not n:
+            return takes
+        before = known
+        again = rows.join(_few(touched, n), keys, "left_semi")
+        told = again.join(known, fact, "left").withColumn("_take", told_by("first", "other"))
+        told = told.select(*rows.columns, F.coalesce("_take.at", F.lit(NEVER)).alias("b_at"), F.col("_take.who").alias("b_who"), F.col("_take.place").alias("b_place"))
+        takes = cut(takes.join(_few(touched, n), keys, "left_anti").unionByName(folded(told, batches)))
 
 
 def _earlier(x: object, order: tuple) -> bool:
     """Whether a take that a row was told of comes before another."""
-    return not pd.isna(x.b_at) and (int(x.b_at), x.b_who, x.b_place) < order
+    return x.b_at != NEVER and (x.b_at, x.b_who or "", x.b_place) < order
 
 
 def take_once(waiting: DataFrame, agents: DataFrame) -> DataFrame:
@@ -114,9 +148,9 @@ def take_once(waiting: DataFrame, agents: DataFrame) -> DataFrame:
     w = waiting.filter("nonce is not null and at is not null").select(place, F.col("nonce").alias("token"), F.col("nonce").alias("who"), at)
     a = agents.filter("agent_id is not null and at is not null").select(place, F.col("agent_id").alias("token"), F.col("agent_id").alias("who"), at)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list) -> list:
         queue, taken, linked, out = [], set(), set(), []
-        for x in sorted(group.itertuples(index=False), key=lambda x: (x.at, x.kind, x.who)):
+        for x in sorted(rows, key=lambda x: (x.at, x.kind, x.who)):
             if x.kind == 0:
                 queue.append(x)
                 continue
@@ -129,9 +163,9 @@ def take_once(waiting: DataFrame, agents: DataFrame) -> DataFrame:
                 taken.add(hit.token)
                 linked.add(x.who)
                 out.append((x.place, x.stretch, x.who, hit.token, x.at))
-        return pd.DataFrame(out, columns=["place", "stretch", "who", "token", "at"])
+        return out
 
-    takes = _in_rounds(cut(_stretched(w, a)), fold, "place string, stretch long, who string, token string, at long")
+    takes = _in_rounds(cut(_stretched(w, a)), fold, _FOLDED)
     return takes.select(F.col("who").alias("agent_id"), F.col("token").alias("nonce"))
 
 
@@ -141,7 +175,6 @@ def first_prompts(waiting: DataFrame, agents: DataFrame) -> DataFrame:
     rule that fits one and of those the oldest: 1 its folder lies in the source folder, 2 the worktree's name is a part of
     its folder, 3 the same project or root. A prompt is taken once. Stretches of a host's time are folded side by side, in
     rounds that end when they agree."""
-    names = ["source", "source_dir", "project_id", "slug", "cwd", "project_root"]
     nothing = F.lit(None).cast("string")
     number = F.monotonically_increasing_id().cast("string")
     at = F.unix_micros("at").alias("at")
@@ -157,22 +190,21 @@ def first_prompts(waiting: DataFrame, agents: DataFrame) -> DataFrame:
         lambda p, x: bool(p.project_id and p.project_id == x.project_id) or bool(p.source_dir and p.source_dir == x.project_root),
     )
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.astype({c: object for c in names}).where(group.notna(), None)
+    def fold(rows: list) -> list:
         queue, out = [], []
-        for x in sorted(group.itertuples(index=False), key=lambda x: (x.at, x.kind, x.who or "", int(x.token))):
+        for x in sorted(rows, key=lambda x: (x.at, x.kind, x.who or "", int(x.token))):
             if x.kind == 0:
                 queue.append(x)
                 continue
-            order = (x.at, x.who, x.place)
+            order = (x.at, x.who or "", x.place)
             queue = [p for p in queue if p.at >= x.at - WAIT_SECONDS * 1_000_000]
             free = [p for p in queue if not _earlier(p, order)]
             hit = next(((p, n) for n, rule in enumerate(rules, 1) for p in free if rule(p, x)), None)
             if hit:
                 queue = [p for p in queue if p is not hit[0]]
                 out.append((x.place, x.stretch, x.who, hit[0].token, x.at, hit[0].who, hit[1]))
-        return pd.DataFrame(out, columns=["place", "stretch", "who", "token", "at", "prompt", "rule"])
+        return out
 
     w, a = cut(w), cut(a)  # the numbers of prompts must not change between rounds
-    takes = _in_rounds(_stretched(w, a), fold, "place string, stretch long, who string, token string, at long, prompt string, rule int")
+    takes = _in_rounds(cut(_stretched(w, a)), fold, f"{_FOLDED}, prompt string, rule int")
     return takes.select(F.col("who").alias("agent_id"), "prompt", "rule")

@@ -579,3 +579,22 @@ def test_disclosure_to_more_than_ten_thousand(spark):
     nothing = spark.createDataFrame([], "memory_id long, source_ref string"), spark.createDataFrame([], "from_id long, to_id long, kind string")
     what = erasure.plan(spark.createDataFrame([(1,)], "id long"), nothing[1], nothing[0], e, None)
     assert what.contexts.count() == 11_000
+
+
+def test_only_stretches_that_are_told_something_new_are_folded_again(spark):
+    folds = spark.sparkContext.accumulator(0)
+
+    def fold(rows):
+        folds.add(1)
+        asks = [x for x in rows if x.kind == 1 and not links._earlier(x, (x.at, x.who, x.place))]
+        free = [x for x in rows if x.kind == 0]
+        return [(x.place, x.stretch, x.who, p.token, x.at) for x, p in zip(asks, free)]
+
+    rows = [(f"p{i % 50}", i, kind, f"{'t' if kind == 0 else 'g'}{i}", f"{'t' if kind == 0 else 'g'}{i}", 10 * i + kind) for i in range(300) for kind in (0, 1)]
+    # One agent asks in two stretches, so that the later one must be folded again.
+    rows.append(("p7", 200, 1, "g3", "g3", 5000))
+    df = spark.createDataFrame(rows, "place string, stretch long, kind int, token string, who string, at long").repartition(4)
+    got = links._in_rounds(df, fold, links._FOLDED).collect()
+    assert len(got) == 300 and len({x.token for x in got}) == 300
+    # Before, each round folded all stretches again, one call of pandas each.
+    assert folds.value < 2 * 301
