@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_negated, nfc, value_tokens
 from .cells import nearest
+from .graph import cut
 
 SAME_FIELDS = ("type", "source", "agent_id", "provider", "pinned", "record_kind", "verification_status", "valid_from", "valid_until")
 
 
+#: Rows of families of several forms that are broadcast at most.
+FEW_MIXED = 100_000
+
+
 def exact_duplicates(memories: DataFrame) -> DataFrame:
     """Groups of live rows with one content hash in one namespace: keeper, copies and duplicate_count."""
     df = memories.filter("deleted_at is null").groupBy("content_hash", "scope", "project_key")
@@ -148,11 +153,16 @@ def auto_merge(memories: DataFrame, bits: int = 16) -> DataFrame:
         F.col("opened_count").alias("_opened"),
         F.unix_micros("updated_at").alias("_updated"),
     )
+    # Texts are read once; what follows, which looks at the rows many times over, sees a few narrow columns.
+    rows = cut(rows)
     # Only where a family holds several forms of its text can two of its rows conflict.
     about = rows.groupBy(F.col("_family").alias("_f")).agg(F.count("*").alias("_n"), (F.min("_form") != F.max("_form")).alias("_mixed"), F.min("id").alias("_least")).filter("_n > 1")
     rows = rows.drop("_form").join(about.drop("_n"), F.col("_family") == F.col("_f")).drop("_f")
+    rows = cut(rows)
     alike = _alike_merged(rows.filter("not _mixed"), bits)
-    mixed = memories.join(rows.filter("_mixed").select("id"), "id", "left_semi").select("id", value_tokens(text).alias("_values"), is_negated(text).alias("_negated"))
+    several = rows.filter("_mixed").select("id")
+    several = F.broadcast(several) if several.count() <= FEW_MIXED else several
+    mixed = memories.join(several, "id", "left_semi").select("id", value_tokens(text).alias("_values"), is_negated(text).alias("_negated"))
     rows = rows.filter("_mixed").drop("_mixed", "_least").join(mixed, "id")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
