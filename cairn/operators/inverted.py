@@ -40,6 +40,18 @@ def _in_column(at: Column, column: int) -> Column:
     return F.filter(at, lambda x: F.floor(x / APART) == column)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Tables that are partitioned by bucket: a segment without rows has no file that a schema could be read from.
+SCHEMAS = {
+    "postings": "term string, block long, docs array<struct<id: bigint, tf: double, size: int, at: array<int>>>, most double, least int, seg int, bucket int",
+    "df": "term string, n long, seg int, bucket int",
+}
+
+
 @dataclass(frozen=True)
 class InvertedIndex:
     spark: SparkSession
@@ -59,7 +71,8 @@ class InvertedIndex:
         return sorted(r.seg for r in self.spark.read.parquet(f"{self.folder}/stats").select("seg").distinct().collect())
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}").filter(F.col("seg").isin(self.segments()))
+        reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+        return reader.parquet(f"{self.folder}/{name}").filter(F.col("seg").isin(self.segments()))
 
     def live(self) -> DataFrame:
         """id, revision, size and terms of the documents that the index holds, with their segments."""
@@ -82,7 +95,6 @@ class InvertedIndex:
         held = self.segments()
         seg = (held[-1] if held else -1) + 1
         words = {c: index_words(F.col(c)) for c in self.weights}
-        parts = [_placed(w, i * APART) for i, w in enumerate(words.values())]
         size = reduce(lambda a, b: a + b, [F.size(w) for w in words.values()])
         new = docs.select("id", "revision", *self.weights)
         if held:
@@ -90,13 +102,16 @@ class InvertedIndex:
             new = new.join(live.select("id", "revision"), ["id", "revision"], "left_anti")
         if gone is not None:
             new = new.join(gone.select("id"), "id", "left_anti")
-        new = cut(new.select("id", "revision", size.alias("size"), F.concat(*parts).alias("parts")))
-        terms = new.select("id", "revision", "size", F.array_distinct(F.transform("parts", lambda p: p["term"])).alias("terms"))
+        # Words are staged in files, which are a fraction of a checkpoint of words with their places.
+        self._write(new.select("id", "revision", size.alias("size"), F.array(*words.values()).alias("words")), "staged", seg)
+        new = self.spark.read.parquet(f"{self.folder}/staged/seg={seg}")
+        parts = F.concat(*[_placed(F.get("words", F.lit(i)), i * APART) for i in range(len(words))])
+        terms = new.select("id", "revision", "size", F.array_distinct(F.flatten("words")).alias("terms"))
         out = None
         if held:
             ids = new.select("id") if gone is None else new.select("id").union(gone.select("id"))
             out = cut(live.join(ids.distinct(), "id", "left_semi"))
-        entries = new.select("id", "size", F.explode("parts").alias("p")).groupBy("id", F.col("p.term").alias("term"))
+        entries = new.select("id", "size", F.explode(parts).alias("p")).groupBy("id", F.col("p.term").alias("term"))
         entries = entries.agg(F.sort_array(F.collect_list("p.at")).alias("at"), F.first("size").alias("size"))
         entries = entries.withColumn("tf", self._weighed(F.col("at")))
         self._write(self._blocks(entries), "postings", seg, ["bucket"])
@@ -111,6 +126,7 @@ class InvertedIndex:
         df = df.groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").withColumn("bucket", self._bucket())
         self._write(df.repartition("bucket"), "df", seg, ["bucket"])
         self._write(size.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).coalesce(1), "stats", seg)
+        delete(self.spark, f"{self.folder}/staged")
         return seg
 
     def _weighed(self, at: Column) -> Column:
@@ -119,10 +135,12 @@ class InvertedIndex:
 
     def _blocks(self, entries: DataFrame) -> DataFrame:
         """Rows of postings of entries(id, term, at, size, tf); a term's blocks spread over tasks, as ranges of them are dealt."""
-        rows = entries.groupBy("term", F.floor(F.col("id") / self.block).alias("block")).agg(
+        rows = entries.withColumns({"block": F.floor(F.col("id") / self.block), "bucket": self._bucket()})
+        # Dealt by range before they are put together, so that rows are shuffled once.
+        rows = rows.repartitionByRange("bucket", "term", "block").groupBy("bucket", "term", "block").agg(
             F.sort_array(F.collect_list(F.struct("id", "tf", "size", "at"))).alias("docs"), F.max("tf").alias("most"), F.min("size").alias("least")
         )
-        return rows.withColumn("bucket", self._bucket()).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        return rows.sortWithinPartitions("bucket", "term", "block")
 
     def compacted(self, folder: str) -> InvertedIndex:
         """The same index in one segment in another folder, without what is dead; no text is read."""

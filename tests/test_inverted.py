@@ -82,3 +82,15 @@ def test_index_of_nothing(spark, tmp_path, docs):
     index.update(spark.createDataFrame(docs, DOC))
     terms = spark.createDataFrame([(1, "w0"), (2, "a.b")], "query_id long, term string")
     assert rows(index.search(terms, 3)) == []
+
+
+def test_an_update_checkpoints_no_texts(spark, tmp_path, monkeypatch):
+    from cairn.operators import inverted
+
+    cuts = []
+    monkeypatch.setattr(inverted, "cut", lambda df: cuts.append(df.columns) or df.localCheckpoint())
+    rng = random.Random(6)
+    docs = spark.createDataFrame([document(rng, i) for i in range(30)], DOC)
+    index = InvertedIndex(spark, f"{tmp_path}/index", block=8)
+    index.update(docs)
+    assert cuts == [] and not inverted.exists(spark, f"{tmp_path}/index/staged")
