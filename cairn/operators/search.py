@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import SESSION_WEIGHT, boost, dot, fused, sigmoid, usage_factor
 from ..functions.text import index_words, search_terms
 from .access import Access, out_of_date, without_invalid_sources
+from .graph import cut
 
 #: Column weights of the memory index; BM25 constants (fixed values).
 MEMORY_WEIGHTS = {"title": 5.0, "content": 1.0, "topic_key": 3.0}
@@ -20,9 +22,10 @@ K1, B = 1.2, 0.75
 EXACT_LIMIT, MOST_CANDIDATES = 5, 200
 
 
-def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stem: Callable[[Column], Column] | None = None, wanted: DataFrame | None = None, phrase: int = 1) -> DataFrame:
+def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", stems: DataFrame | None = None, wanted: DataFrame | None = None, phrase: int = 1, mark: bool = False) -> DataFrame:
     """id, term, tf (weighted over columns) and size (words of the document); of the wanted terms only, if given. With
-    phrase above 1, of runs of so many words, with a space between them."""
+    phrase above 1, of runs of so many words, with a space between them. With mark each document also has the term '',
+    which is no word. With stems(word, term) words count as their terms, others not at all. Rows are dealt by id."""
     words = {c: index_words(F.col(c)) for c in weights}
     size = sum((F.size(w) for w in words.values()), F.lit(0))
 
@@ -36,16 +39,33 @@ def postings(docs: DataFrame, weights: dict[str, float], id_col: str = "id", ste
     def weighed(column: str) -> Column:
         return F.transform(runs(column), lambda t: F.struct(t.alias("term"), F.lit(weights[column]).alias("w")))
 
-    parts = F.concat(*map(weighed, words))
+    none = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w")))
+    parts = F.concat(*map(weighed, words), *([none] if mark else []))
     # The size is worked out before the words are exploded; in one select it would be again for every word.
     df = docs.select(F.col(id_col).alias("id"), size.alias("size"), parts.alias("parts"))
     df = df.select("id", "size", F.explode("parts").alias("p")).select("id", "size", F.col("p.term").alias("term"), F.col("p.w").alias("w"))
-    if stem is not None:  # words of a document once each, before Python sees them
-        df = df.groupBy("id", "term").agg(F.sum("w").alias("w"), F.first("size").alias("size"))
-        df = df.withColumn("term", stem(F.col("term")))
-    if wanted is not None:
-        df = df.join(wanted, "term", "left_semi")
-    return df.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("size").alias("size"))
+    if mark and wanted is not None:
+        wanted = wanted.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    if stems is not None:
+        same = stems.sparkSession.createDataFrame([("", "")], "word string, term string")
+        df = df.withColumnRenamed("term", "word").join(_few(stems.union(same)), "word").drop("word")
+    elif wanted is not None:
+        df = df.join(_few(wanted), "term", "left_semi")
+    return df.repartition("id").groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("size").alias("size"))
+
+
+def stems_of(docs: DataFrame, weights: dict[str, float], stem: Callable[[Column], Column], wanted: DataFrame) -> DataFrame:
+    """word and term of the words of docs whose stem is among wanted(term); each word of the vocabulary is stemmed once."""
+    words = docs.select(F.explode(F.array_distinct(F.concat(*[index_words(F.col(c)) for c in weights]))).alias("word")).distinct()
+    return cut(words.withColumn("term", stem(F.col("word"))).join(_few(wanted), "term", "left_semi").select("word", "term"))
+
+
+#: Terms that are broadcast at most.
+FEW_TERMS = 200_000
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS else terms
 
 
 def split_terms(terms: DataFrame) -> DataFrame:
@@ -60,27 +80,33 @@ def bm25_part(n_docs: Column, df: Column, tf: Column, size: Column, mean_size: C
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_size))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_WEIGHTS, id_col: str = "id", stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """query_id, id and score of every document with a term of terms(query_id, term). A term that the index would split, as
-    `a.b`, is looked for as a phrase. Statistics cover all of docs; filter the result by authorisation before taking the
-    best."""
-    words = {c: index_words(F.col(c)) for c in weights}
-    size = sum((F.size(w) for w in words.values()), F.lit(0))
-    about = docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("mean_size"))
-    terms = split_terms(terms)
+def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] = MEMORY_WEIGHTS, id_col: str = "id", stem: Callable[[Column], Column] | None = None, visible: DataFrame | None = None) -> DataFrame:
+    """query_id, id and score of every document with a term of terms(query_id, term), of those of visible(id) if given. A
+    term that the index would split, as `a.b`, is looked for as a phrase. Statistics cover all of docs; filter the result by
+    authorisation, or give visible, before taking the best. Texts are read once for the statistics of all terms and once
+    for the scores; a document's scores are put together where its words are."""
+    terms = cut(split_terms(terms))
     lengths = sorted(r[0] for r in terms.select("_n").distinct().collect())  # one, and seldom two or three
-    found = None
-    for n in lengths:
-        # The terms of a query set are few; the size check is Spark's own threshold.
-        wanted = terms.filter(F.col("_n") == n).select("term").distinct()
-        own = postings(docs, weights, id_col, stem if n == 1 else None, wanted, n)
-        found = own if found is None else found.unionByName(own)
-    if found is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    df_of = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(df_of, "term").join(terms.drop("_n"), "term").crossJoin(F.broadcast(about))
+
+    stems = None if stem is None else stems_of(docs, weights, stem, terms.filter("_n = 1").select("term").distinct())
+
+    def found(marked: bool) -> DataFrame:
+        parts = []
+        for n in lengths:
+            wanted = terms.filter(F.col("_n") == n).select("term").distinct()
+            parts.append(postings(docs, weights, id_col, stems if n == 1 else None, wanted, n, marked and n == lengths[0]))
+        return reduce(DataFrame.unionByName, parts)
+
+    stats = cut(found(True).groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("words")))
+    about = stats.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("mean_size"))
+    asked = terms.drop("_n").join(stats.drop("words"), "term").crossJoin(F.broadcast(about))
+    rows = found(False)
+    if visible is not None:
+        rows = rows.join(visible.select("id"), "id", "left_semi")
     part = bm25_part(*map(F.col, ("n_docs", "df", "tf", "size", "mean_size")))
-    return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return rows.join(_few(cut(asked)), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top(ranked: DataFrame, k: int, score: str = "score", per: str = "query_id") -> DataFrame:
@@ -123,7 +149,7 @@ def like_fallback(memories: DataFrame, query: str, lexical: DataFrame, k: int) -
 
 
 #: Queries that are broadcast at most, and rows of a block beyond that.
-FEW_QUERIES, BLOCK = 2048, 1024
+FEW_QUERIES, BLOCK = 64, 1024
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, minimum: float = -1.0, relative: float = 0.0) -> DataFrame:
@@ -152,6 +178,8 @@ def _block_pairs(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         return df.select(F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own), spread, F.lit(own).alias("side"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
 
     rows = dealt(queries, "query_id", "q", n_q, "v", n_v).unionByName(dealt(vectors, "id", "v", n_v, "q", n_q))
+    # Vectors of another length, or with a part that is null, have no similarity.
+    rows = rows.filter(F.forall("e", lambda x: x.isNotNull())).withColumn("n", F.size("e"))
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["side"] == "q"], group[group["side"] == "v"].sort_values("id")
@@ -159,10 +187,10 @@ def _block_pairs(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         product = np.stack(x["e"]) @ np.stack(y["e"]).T
         similarity = np.sign(product) * np.floor(np.abs(product) * 1e6 + 0.5) / 1e6
-        first = np.argsort(-similarity, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller one
+        first = np.argsort(-np.where(np.isnan(similarity), np.inf, similarity), axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller one
         return pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), first.shape[1]), "id": y["id"].to_numpy()[first].ravel(), "similarity": np.take_along_axis(similarity, first, 1).ravel()})
 
-    return rows.groupBy("q", "v").applyInPandas(best, "query_id long, id long, similarity double")
+    return rows.groupBy("q", "v", "n").applyInPandas(best, "query_id long, id long, similarity double")
 
 
 def rrf(*lists: DataFrame) -> DataFrame:
@@ -221,7 +249,7 @@ def memory_search(memories: DataFrame, relations: DataFrame | None, access: Acce
     else:
         ids = seen.select("id")
         terms = spark.range(1).select(one, F.explode(search_terms(F.lit(request.query))).alias("term"))
-        words = top(bm25(live, terms).join(ids, "id", "left_semi"), request.candidates)
+        words = top(bm25(live, terms, visible=ids), request.candidates)
         lists = [words, like_fallback(seen, request.query, words, request.candidates).select(one, "id", "rank")]
         if embed is not None and vectors is not None:
             asked = spark.range(1).select(one, embed(F.lit(request.query)).alias("embedding"))
@@ -262,7 +290,7 @@ def materialise(refs: DataFrame, memories: DataFrame, now: Column, project: str
 def hybrid(memories: DataFrame, visible: Column, terms: DataFrame, queries: DataFrame | None, vectors: DataFrame, now: Column, project: str | None, candidates: int = 60, limit: int = 8, minimum: float = 0.2, relative: float = 0.5) -> DataFrame:
     """Keyword and vector ranks over the visible rows, fused, boosted and cut to the best of each query."""
     seen = memories.filter(visible)
-    words = top(bm25(memories, terms).join(seen.select("id"), "id", "left_semi"), candidates)
+    words = top(bm25(memories, terms, visible=seen), candidates)
     lists = [words]
     if queries is not None:
         lists.append(neighbours(queries, vectors.join(seen.select("id"), "id", "left_semi"), candidates, minimum, relative))

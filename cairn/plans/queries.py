@@ -198,8 +198,8 @@ BM25 = sql_bm25("(SELECT * FROM memories WHERE deleted_at IS NULL)", search.MEMO
 @query(sql("memories", f"+ {BM25} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE id IN (SELECT id FROM memories WHERE {VISIBLE}) QUALIFY rank <= 60"))
 def bm25_search(spark, d):
     m = ad.memories(spark, d, False).filter("deleted_at is null")
-    found = search.bm25(m, query_terms(spark, d))
-    return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
+    found = search.bm25(m, query_terms(spark, d), visible=visible(spark, d))
+    return search.top(found, 60).select("query_id", "id", "score", "rank")
 
 
 def stored_index(spark: SparkSession, d: str) -> InvertedIndex:
@@ -228,16 +228,16 @@ FOLDED_BM25 = sql_bm25(f"(SELECT id, {', '.join(f'strip_accents({c}) AS {c}' for
 def folded_search(spark, d):
     b = table(spark, d, "benchmark")
     terms = b.select(F.col("item_id").alias("query_id"), F.explode(tx.search_terms(tx.folded(F.col("text")))).alias("term"))
-    found = search.bm25(folded_memories(spark, d), terms)
-    return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
+    found = search.bm25(folded_memories(spark, d), terms, visible=visible(spark, d))
+    return search.top(found, 60).select("query_id", "id", "score", "rank")
 
 
 @query()
 def stemmed_search(spark, d):
     m = folded_memories(spark, d)
     terms = query_terms(spark, d).select("query_id", stem_column(tx.folded(F.col("term"))).alias("term")).distinct()
-    found = search.bm25(m, terms, stem=stem_column)
-    return search.top(found.join(visible(spark, d).select("id"), "id", "left_semi"), 60).select("query_id", "id", "score", "rank")
+    found = search.bm25(m, terms, stem=stem_column, visible=visible(spark, d))
+    return search.top(found, 60).select("query_id", "id", "score", "rank")
 
 
 QUERY_VECTORS = "qv AS (SELECT id AS query_id, embedding AS q FROM vecs WHERE (id - 1) % 100 = 0)"
@@ -310,7 +310,7 @@ refs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     seen = visible(spark, d).select("id")
     m = ad.memories(spark, d).filter("deleted_at is null")
-    words = search.top(search.bm25(m, query_terms(spark, d)).join(seen, "id", "left_semi"), 60)
+    words = search.top(search.bm25(m, query_terms(spark, d), visible=seen), 60)
     near_ = search.neighbours(_queries_by_item(spark, d), ad.vectors(spark, d).join(seen, "id", "left_semi"), 60, 0.2, 0.5)
     return words, near_
 

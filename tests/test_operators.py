@@ -598,3 +598,21 @@ def test_only_stretches_that_are_told_something_new_are_folded_again(spark):
     assert len(got) == 300 and len({x.token for x in got}) == 300
     # Before, each round folded all stretches again, one call of pandas each.
     assert folds.value < 2 * 301
+
+
+def test_blocks_leave_out_what_has_no_similarity(spark, monkeypatch):
+    rows = [(i, [1.0, float(i)]) for i in range(20)] + [(20, None), (21, [1.0]), (22, [1.0, None])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.filter("id in (3, 20, 21)").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(search, "FEW_QUERIES", 1)
+    got = {(r.query_id, r.id) for r in search.neighbours(q, v, 2).collect()}
+    assert got == {(3, 19), (3, 18), (21, 21)}
+
+
+def test_bm25_scores_what_is_visible_by_statistics_of_all(spark):
+    m = spark.createDataFrame([(1, "red", "blue"), (2, "blue", "blue green"), (3, "green", "reds"), (4, None, None)], "id long, title string, content string").withColumn("topic_key", F.lit(None).cast("string"))
+    terms = spark.createDataFrame([(1, "blue"), (2, "red"), (2, "reds")], "query_id long, term string")
+    seen = m.filter("id <> 1").select("id")
+    rows = lambda df: sorted((r.query_id, r.id, r.score) for r in df.collect())
+    every = rows(search.bm25(m, terms))
+    assert rows(search.bm25(m, terms, visible=seen)) == [x for x in every if x[1] != 1] and len(every) == 4
