@@ -39,6 +39,15 @@ NEGATION = (
     r"(?i)\b(?:not|never|no|none|cannot|can't|don't|doesn't|didn't|won't|shouldn't|isn't|aren't|without|avoid|stop|"
     r"disable[ds]?|deprecated)\b"
 )
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with each \b as a bound of ASCII words, as SQL and the reference take it. To Java 17 and Python a letter
+    such as ñ is part of a word."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", rf"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 REVIEW_MARKER = "[memory:review-reply v1"
 REVIEW_PROMPT = "[memory:review-prompt v1"
 
@@ -95,7 +104,7 @@ def redact(text: Column) -> Column:
     """A text without private parts and secret shapes."""
     out = _replaced(text, ("<",), r"(?i)<private>[\s\S]*?</private>", "[private]")
     for (pattern, put), telltale in zip(SECRET_SHAPES, TELLTALE):
-        out = _replaced(out, telltale, pattern, put)
+        out = _replaced(out, telltale, ascii_bounds(pattern), put)
     return out
 
 
@@ -133,11 +142,11 @@ def content_hash(kind: Column, title: Column, content: Column) -> Column:
 
 
 def value_tokens(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(VALUE), 0), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(VALUE)), 0), F.lower))
 
 
 def is_negated(text: Column) -> Column:
-    return text.rlike(NEGATION)
+    return text.rlike(ascii_bounds(NEGATION))
 
 
 def is_usable_reply(text: Column) -> Column:

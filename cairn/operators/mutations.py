@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import SECRET_SHAPES
+from ..functions.text import SECRET_SHAPES, ascii_bounds
 from .graph import components, cut
 
 #: Fields that each operation may change (fixed values).
@@ -59,7 +59,7 @@ RECEIPT = (
 STATE = "family long, ties array<string>, store string"
 FOLDED = RECEIPT + ", ties array<string>, store string"
 
-_SHAPES = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", put)) for p, put in SECRET_SHAPES]
+_SHAPES = [(re.compile(ascii_bounds(p)), re.sub(r"\$(\d)", r"\\\1", put)) for p, put in SECRET_SHAPES]
 _PRIVATE = re.compile(r"<private>[\s\S]*?</private>", re.I)
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import scoring, text as tx
+from cairn.operators import mutations
 
 
 def one(spark, c):
@@ -53,6 +54,13 @@ def test_values_and_negation(spark):
     assert one(spark, tx.is_negated(F.lit("do not use"))) and not one(spark, tx.is_negated(F.lit("notable")))
 
 
+def test_words_end_at_letters_that_are_not_ascii(spark):
+    assert one(spark, tx.is_negated(F.lit("no\u00f1\u00f1cota"))) and not one(spark, tx.is_negated(F.lit("no_")))
+    assert one(spark, tx.value_tokens(F.lit("\u00e97 5% 5%a 30\u00fc 4x"))) == ["7", "5", "5%", "30"]
+    token = "\u00e9ghp_" + "a" * 30 + "\u00e9"
+    assert one(spark, tx.redact(F.lit(token))) == mutations.redacted(token) == "\u00e9[REDACTED_GITHUB_TOKEN]\u00e9"
+
+
 def test_review_reply(spark):
     r = one(spark, tx.review_reply(F.lit("[memory:review-reply v1 hidden]\nSummary: did it\nmore\nSaved: #1, #22\nUpdated: none\n")))
     assert (r.summary, r.saved, r.updated, r.nothing_to_save, r.display) == ("did it more", [1, 22], [], False, "hidden")
