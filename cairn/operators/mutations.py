@@ -3,13 +3,13 @@
 The log is the store's: a request is replayed if its principal has sent it before under any memory, and a text may exist
 once in a namespace. What may touch each other is found first: requests that share a memory (their own, a target, one they
 cite), a source, a principal's request id or a text are tied, and the connected components of those ties are folded in log
-order, each by one grouped fold, side by side. A request is replayed if its principal has sent it before, refused if its
+order, side by side; a task takes one component after another, request by request. A request is replayed if its principal has sent it before, refused if its
 body differs, then authorised, checked against the revision that it expects, checked for its fields and its evidence, and
 applied. What it changes makes the memories that derive from the old revision wait for a check.
 
 A log may come in waves: fold_onto() takes what the waves before have left (a row for each component), joins it with the
 new requests by the same ties, folds only what they touch, and carries the rest over. Order is what the log means, so a
-component isn't split: a fold holds its live state and the wave's requests, not the log before.
+component isn't split: a fold holds its live state, not the log.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -63,6 +65,9 @@ _SHAPES = [(re.compile(ascii_bounds(p)), re.sub(r"\$(\d)", r"\\\1", put)) for p,
 _PRIVATE = re.compile(r"<private>[\s\S]*?</private>", re.I)
 
 
+_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
+
 @lru_cache(maxsize=1 << 16)
 def redacted(text: str) -> str:
     """text.redact() for one string, trimmed. A log repeats its texts: every later look at one is free."""
@@ -80,7 +85,7 @@ def canonical(value: object) -> str:
             return {k: bare(v) for k, v in x.items() if v is not None}
         return [bare(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(bare(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _encode(bare(value))
 
 
 def body_hash(operation: str, memory_id: int, expected: int | None, change: dict | None, evidence: list | None = None) -> str:
@@ -370,7 +375,8 @@ class Store:
 
     def take(self, r: dict) -> dict:
         """The receipt of a request."""
-        key, digest = (r["principal_id"], r["request_id"]), body_hash(r["operation"], r["memory_id"], r["expected"], r["change"], r["evidence"])
+        key = r["principal_id"], r["request_id"]
+        digest = lambda: body_hash(r["operation"], r["memory_id"], r["expected"], r["change"], r["evidence"])
         if key in self.seen:
             before, receipt, operation, memory_id = self.seen[key]
             if memory_id in self.forgotten and operation != "forget":
@@ -378,7 +384,7 @@ class Store:
             now = self.memories.get(memory_id)
             if now is not None and not self.may(r["agent"], r["project"], "write", now.namespace):
                 return {"status": "refused", "error": "scope_denied"}
-            return receipt | {"status": "replayed"} if before == digest else {"status": "refused", "error": "request_conflict"}
+            return receipt | {"status": "replayed"} if before == digest() else {"status": "refused", "error": "request_conflict"}
         try:
             status, m, outcome = self.apply(r)
         except Refused as e:
@@ -387,7 +393,7 @@ class Store:
             "status": status, "error": None, **{k: m[k] for k in ("revision", "state", "title", "content", "merged_into", "verification")},
             "evidence": sorted(m["evidence"]), "validation": outcome, "rechecked": sorted(self.rechecked),
         }
-        self.seen[key] = digest, receipt, r["operation"], r["memory_id"]
+        self.seen[key] = digest(), receipt, r["operation"], r["memory_id"]
         return receipt
 
 
@@ -418,28 +424,64 @@ def _load(store: Store, state: str) -> None:
 _MEMORY_REF = re.compile(r"memory:(\d+)@(\d+)")
 
 
-def _fold(group: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
-    """Receipts of a component's requests in log order, then one row (without seq) with the state that they leave."""
-    store, out = Store(), []
-    for state in () if before is None else before["state"]:
-        _load(store, state)
-    for x in group.sort_values("seq").itertuples():
-        r = {
-            "seq": int(x.seq), "principal_id": x.principal_id, "request_id": x.request_id, "operation": x.operation, "memory_id": int(x.memory_id),
-            "expected": None if pd.isna(x.expected_revision) else int(x.expected_revision), "change": json.loads(x.change) if isinstance(x.change, str) else {},
-            "agent": bool(x.agent), "project": x.project if isinstance(x.project, str) else None, "evidence": [str(e) for e in x.evidence] if hasattr(x.evidence, "__len__") else None,
-        }
-        out.append({"family": x.family, **{k: r[k] for k in ("seq", "principal_id", "request_id", "memory_id", "operation")}} | store.take(r))
+def _receipt(x: dict, store: Store) -> dict:
+    """The receipt of one request, as a row of RECEIPT."""
+    expected, change, evidence = x["expected_revision"], x["change"], x["evidence"]
+    r = {
+        "seq": int(x["seq"]), "principal_id": x["principal_id"], "request_id": x["request_id"], "operation": x["operation"], "memory_id": int(x["memory_id"]),
+        "expected": None if expected is None or expected != expected else int(expected), "change": json.loads(change) if isinstance(change, str) else {},
+        "agent": bool(x["agent"]), "project": x["project"] if isinstance(x["project"], str) else None, "evidence": [str(e) for e in evidence] if hasattr(evidence, "__len__") else None,
+    }
+    return {"family": x["family"], **{k: r[k] for k in ("seq", "principal_id", "request_id", "memory_id", "operation")}} | store.take(r)
+
+
+def _left(family: int, store: Store) -> dict:
+    """The row (without seq) of the state that a component leaves."""
     ties, state = _kept(store)
-    family = int((group if len(group) else before)["family"].iloc[0])
-    out.append({"family": family, "ties": ties, "store": state})
+    return {"family": family, "ties": ties, "store": state}
+
+
+def _fold(group: pd.DataFrame) -> pd.DataFrame:
+    """Receipts of a component's requests in log order, then the state that they leave: the fold of a log that is at hand."""
+    store = Store()
+    out = [_receipt(x, store) for x in group.sort_values("seq").to_dict("records")]
+    out.append(_left(int(group["family"].iloc[0]), store))
     names = [c.split()[0] for c in FOLDED.split(", ")]
     df = pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in names})
     return df.astype({c: "Int64" for c in ("seq", "memory_id", "revision", "merged_into")})
 
 
-def _cogrouped(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-    return _fold(group, before)
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], _ARROW[kind]) for n, kind in fields], [n for n, _ in fields])
+
+
+def _folds(keep: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folds rows that come by family and seq, a family's earlier states (without seq) first: receipts and, where the state
+    is kept, a row for what each family leaves. One family's live state is held at a time, and no request."""
+    schema = FOLDED if keep else RECEIPT
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, store = None, Store()
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                if x["family"] != family:
+                    if keep and family is not None:
+                        out.append(_left(family, store))
+                    family, store = x["family"], Store()
+                if x["seq"] is None:
+                    _load(store, x["state"])
+                else:
+                    out.append(_receipt(x, store))
+            yield _batch(out, schema)
+        if keep and family is not None:
+            yield _batch([_left(family, store)], schema)
+
+    return run
 
 
 def content_key(stored: str) -> str:
@@ -452,56 +494,77 @@ def _content_keys(content: pd.Series) -> pd.Series:
     return content.map(lambda x: content_key(redacted(x)) if isinstance(x, str) else None)
 
 
+def _own(requests: DataFrame) -> Column:
+    """The tie of a request's own memory."""
+    return F.concat(F.lit("m:"), requests["memory_id"].cast("string"))
+
+
 def ties(requests: DataFrame) -> DataFrame:
-    """node (the request's seq) and tie: what a request shares with those that it must be folded with."""
+    """What the requests of a memory (node) share with those that they must be folded with: a row for each node and tie, the
+    memory itself among its ties. Ties to memories have the topic of their request, and whether it undoes a merge; first is
+    the earliest request."""
     change = F.from_json("change", "content string, topicKey string, target struct<id: bigint>")
-    own = [
-        F.concat(F.lit("m:"), F.col("memory_id").cast("string")),
+    bare = F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda x: F.rtrim(x, F.lit("!?")))
+    cited = F.transform(F.filter(bare, lambda x: x.rlike(r"^memory:\d+@\d+$")), lambda x: F.concat(F.lit("m:"), F.regexp_extract(x, r"^memory:0*(\d+)@", 1)))
+    shared = [
         F.concat(F.lit("r:"), F.col("principal_id"), F.lit("\n"), F.col("request_id")),
-        F.concat(F.lit("m:"), change["target"]["id"].cast("string")),
         F.concat(F.lit("c:"), _content_keys(change["content"])),
-        F.concat(F.lit("t:"), change["topicKey"]),
     ]
-    bare = F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda x: F.rtrim(x, F.lit("!?")))
-    cited = F.transform(F.filter(bare, lambda x: x.rlike(r"^memory:\d+@\d+$")), lambda x: F.concat(F.lit("m:"), F.regexp_extract(x, r"^memory:0*(\d+)@", 1)))
-    whole = F.array_compact(F.concat(F.array(*own), F.transform(bare, lambda x: F.concat(F.lit("e:"), x)), cited))
-    return requests.select(F.col("seq").alias("node"), (F.col("operation") == "undo_merge").alias("undoes"), F.explode(F.array_distinct(whole)).alias("tie"))
+    whole = [_own(requests), F.concat(F.lit("m:"), change["target"]["id"].cast("string")), *shared]
+    whole = F.array_compact(F.concat(F.array(*whole), F.transform(bare, lambda x: F.concat(F.lit("e:"), x)), cited))
+    t = requests.select(
+        "seq", _own(requests).alias("node"), (F.col("operation") == "undo_merge").alias("undoes"), F.concat(F.lit("t:"), change["topicKey"]).alias("topic"), F.explode(F.array_distinct(whole)).alias("tie")
+    )
+    memory = F.col("tie").startswith("m:")
+    return t.groupBy("node", "tie", (F.col("undoes") & memory).alias("undoes"), F.when(memory, F.col("topic")).alias("topic")).agg(F.min("seq").alias("first"))
 
 
 def families(requests: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """id and component of the requests (by seq) and of the families of state, of those that have a tie with another. A
-    topic ties only where the merge of a memory that has it is undone: nothing else looks at other memories' topics."""
-    t = ties(requests)
+    """node and family (the smallest seq or earlier family that it is tied with) of the requests' memories and of the
+    families of state ("s:" and the family). A log has far fewer memories than requests, so those are what is walked over.
+    A topic ties only where the merge of a memory that has it is undone: nothing else looks at other memories' topics."""
+    t = cut(ties(requests))
+    undone = t.filter("undoes").select("tie").distinct()
+    topics = t.filter("topic is not null").join(undone, "tie", "left_semi").select(F.col("topic").alias("tie"))
+    pairs, topical = t.filter("node <> tie").select("node", "tie"), t.filter("topic is not null").select("node", F.col("topic").alias("tie"))
+    names = t.filter("node = tie").groupBy("node").agg(F.min("first").alias("first"))
     if state is not None:
-        t = t.unionByName(state.select(F.col("family").alias("node"), F.lit(False).alias("undoes"), F.explode("ties").alias("tie")))
-    t = cut(t)
-    undone = t.filter("undoes and tie like 'm:%'").select("tie").distinct()
-    holders = t.join(undone, "tie", "left_semi").select("node").distinct()
-    topics = t.filter("tie like 't:%'").join(holders, "node", "left_semi").select("tie").distinct()
-    t = t.filter("tie not like 't:%'").select("node", "tie").union(t.join(topics, "tie", "left_semi").select("node", "tie"))
-    hubs = t.groupBy("tie").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    return components(t.join(hubs, "tie").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-
-
-def fold_onto(requests: DataFrame, state: DataFrame | None = None, allowed: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Receipts of requests(REQUEST), and the state(STATE) that they leave on top of state. seq is unique in the store and
-    above that of earlier waves; change is JSON, evidence an array of references, project the one that an agent works in;
-    family, project and evidence may be missing. Every request gets a receipt: those of operations other than the allowed
-    ones are refused and change nothing."""
+        node = F.concat(F.lit("s:"), F.col("family").cast("string")).alias("node")
+        s = state.select(node, F.explode("ties").alias("tie"))
+        holders = s.filter("tie like 'm:%'").join(undone, "tie", "left_semi").select("node").distinct()
+        topics = topics.union(s.filter("tie like 't:%'").join(holders, "node", "left_semi").select("tie"))
+        pairs, topical = pairs.union(s.filter("tie not like 't:%'")), topical.union(s.filter("tie like 't:%'"))
+        names = names.union(state.select(node, F.col("family").alias("first")))
+    others = pairs.filter("tie not like 'm:%'").union(topical.join(topics.distinct(), "tie", "left_semi").select("node", "tie"))
+    hubs = others.groupBy("tie").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
+    edges = pairs.filter("tie like 'm:%'").union(others.join(hubs, "tie").select("node", "hub")).toDF("a", "b")
+    found = components(edges).withColumnsRenamed({"id": "node", "component": "_c"})
+    names = names.join(found, "node", "left").withColumn("_c", F.coalesce("_c", "node"))
+    least = names.groupBy("_c").agg(F.min("first").alias("family"))
+    return names.join(least, "_c").select("node", "family")
+
+
+def _folded(requests: DataFrame, state: DataFrame | None, allowed: tuple[str, ...] | None, keep: bool) -> tuple[DataFrame, DataFrame | None]:
     for c, kind in (("project", "string"), ("evidence", "array<string>")):
         if c not in requests.columns:
             requests = requests.withColumn(c, F.lit(None).cast(kind))
     requests = requests.withColumn("seq", F.col("seq").cast("long"))
     taken = requests if allowed is None else requests.filter(F.col("operation").isin(*allowed))
-    found = cut(families(taken, state))
-    label = found.select(F.col("id").alias("_id"), "component")
-    taken = taken.join(label, F.col("seq") == F.col("_id"), "left").withColumn("family", F.coalesce("component", "seq")).select(*REQUEST.split(", "))
-    empty = requests.sparkSession.createDataFrame([], STATE)
-    rows = (empty if state is None else state).join(label, F.col("family") == F.col("_id"), "left").select(F.coalesce("component", "family").alias("family"), "ties", F.col("store").alias("state"))
-    touched = taken.select("family").distinct()
-    met = rows.join(touched, "family", "left_semi")
-    done = cut(taken.groupBy("family").cogroup(met.groupBy("family")).applyInPandas(_cogrouped, FOLDED))
-    receipts = done.filter("seq is not null").drop("ties", "store")
+    label = cut(families(taken, state)).withColumnRenamed("family", "_family")
+    taken = taken.join(label, _own(taken) == F.col("node")).withColumn("family", F.col("_family")).select(*REQUEST.split(", "))
+    work = taken.withColumn("state", F.lit(None).cast("string"))
+    carried = None
+    if state is not None:
+        rows = state.join(label, F.concat(F.lit("s:"), F.col("family").cast("string")) == F.col("node")).select(F.col("_family").alias("family"), "ties", "store")
+        touched = taken.select("family").distinct()
+        work = work.unionByName(rows.join(touched, "family", "left_semi").select("family", F.col("store").alias("state")), allowMissingColumns=True)
+        carried = rows.join(touched, "family", "left_anti")
+    receipts = work.repartition("family").sortWithinPartitions("family", "seq").mapInArrow(_folds(keep), FOLDED if keep else RECEIPT)
+    left = None
+    if keep:
+        done = cut(receipts)
+        receipts, left = done.filter("seq is not null").drop("ties", "store"), done.filter("seq is null").select("family", "ties", "store")
+        left = left if carried is None else carried.union(left)
     if allowed is not None:
         names = [c.split()[0] for c in RECEIPT.split(", ")]
         refused = requests.filter(~F.col("operation").isin(*allowed) | F.col("operation").isNull())
@@ -509,13 +572,20 @@ def fold_onto(requests: DataFrame, state: DataFrame | None = None, allowed: tupl
         types = {f.name: f.dataType for f in receipts.schema}
         refused = refused.select(*[(given.get(n) if n in given else F.col(n) if n in ("seq", "principal_id", "request_id", "memory_id", "operation") else F.lit(None)).cast(types[n]).alias(n) for n in names])
         receipts = receipts.unionByName(refused)
-    carried = rows.join(touched, "family", "left_anti").select("family", "ties", F.col("state").alias("store"))
-    return receipts, carried.union(done.filter("seq is null").select("family", "ties", "store"))
+    return receipts, left
+
+
+def fold_onto(requests: DataFrame, state: DataFrame | None = None, allowed: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Receipts of requests(REQUEST), and the state(STATE) that they leave on top of state. seq is unique in the store and
+    above that of earlier waves; change is JSON, evidence an array of references, project the one that an agent works in;
+    family, project and evidence may be missing. Every request gets a receipt: those of operations other than the allowed
+    ones are refused and change nothing."""
+    return _folded(requests, state, allowed, True)
 
 
 def fold(requests: DataFrame, state: DataFrame | None = None, allowed: tuple[str, ...] | None = None) -> DataFrame:
-    """The receipts alone."""
-    return fold_onto(requests, state, allowed)[0]
+    """The receipts alone; the state that the log leaves is not written down."""
+    return _folded(requests, state, allowed, False)[0]
 
 
 def in_waves(requests: DataFrame, bounds: list[int]) -> tuple[DataFrame, DataFrame]:

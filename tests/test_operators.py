@@ -6,6 +6,7 @@ import math
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,20 @@ def test_families_are_as_small_as_what_they_share(spark):
     assert joined[2] == joined[4] == joined[7]
 
 
+def test_memories_are_tied_and_a_task_folds_many_families(spark):
+    """What is walked over grows with the memories of a log, not its requests; a family's rows may span batches."""
+    rows = [(k, "u", f"q{k}", "update" if k > 40 else "create", k % 40, k // 40, json.dumps({"title": f"t{k}", "content": f"x{k}"}), False, None, None) for k in range(1, 401)]
+    log = spark.createDataFrame(rows, LOG)
+    assert sorted((r.node, r.family) for r in mutations.families(log).collect()) == sorted((f"m:{k % 40}", k) for k in range(1, 41))
+    names = [c.split()[0] for c in LOG.split(", ")]
+    work = pd.DataFrame(rows, columns=names).assign(family=lambda x: x["memory_id"] % 3, state=None).sort_values(["family", "seq"])
+    batches = [pa.RecordBatch.from_pylist(work[i : i + 7].to_dict("records")) for i in range(0, 400, 7)]
+    want = [r for f in range(3) for r in json.loads(mutations._fold(work[work["family"] == f]).to_json(orient="records"))]
+    got = [r for b in mutations._folds(True)(batches) for r in b.to_pylist()]
+    assert got == want and sum(r["seq"] is None for r in got) == 3
+    assert [r for b in mutations._folds(False)(batches) for r in b.to_pylist()] == [{k: v for k, v in r.items() if k not in ("ties", "store")} for r in want if r["seq"] is not None]
+
+
 def test_engine_gives_every_request_a_receipt(spark):
     rows = [(1, "a", "create", 1, None, '{"title":"t","content":"x"}'), (2, "b", "archive", 1, 1, None), (3, "c", "update", 1, 1, '{"title":"n"}'), (4, "d", None, 1, 1, None)]
     log = spark.createDataFrame([(k, "u", *r, False) for k, *r in rows], "seq long, principal_id string, request_id string, operation string, memory_id long, expected_revision long, change string, agent boolean")
