@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .access import MOST_SOURCES, node, source_edges, too_wide
-from .graph import closure, closure_of_many, cut, reach
+from .graph import closure, closure_by_pivots, closure_of_many, cut, reach
 
 
 def sources_of(ids: DataFrame, relations: DataFrame, limit: int = MOST_SOURCES, revisions: bool = False) -> DataFrame:
@@ -49,6 +49,11 @@ def forget(ids: DataFrame, relations: DataFrame, evidence: DataFrame, limit: int
     return closure_of_many(ids, edges) if limit is None else closure(ids, edges, limit)
 
 
+def forgotten_by_each(ids: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """root and id of everything that goes with each of ids, as forget() has them, for very many of both."""
+    return closure_by_pivots(ids, dependants_edges(relations, evidence))
+
+
 def forgotten(ids: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
     """id and depth of all that goes when ids are forgotten together, one row each, whichever of them takes it along."""
     return reach(ids, dependants_edges(relations, evidence))

@@ -679,7 +679,7 @@ c AS (SELECT id AS root, id FROM pending UNION SELECT c.root, e.dst FROM c JOIN
 
 @query(sql("memories relations evidence pending", f"+ {DEPENDS} SELECT root, id FROM c", True))
 def forget_closure(spark, d):
-    return lineage.forget(ad.pending(spark, d), ad.relations(spark, d), ad.evidence(spark, d)).select("root", "id")
+    return lineage.forgotten_by_each(ad.pending(spark, d), ad.relations(spark, d), ad.evidence(spark, d)).select("root", "id")
 
 
 @query(sql("memories relations evidence pending", f"+ {DEPENDS} SELECT count(*) AS left_over FROM memories WHERE id NOT IN (SELECT id FROM c)", True))

@@ -631,3 +631,29 @@ def test_bm25_scores_what_is_visible_by_statistics_of_all(spark):
     rows = lambda df: sorted((r.query_id, r.id, r.score) for r in df.collect())
     every = rows(search.bm25(m, terms))
     assert rows(search.bm25(m, terms, visible=seen)) == [x for x in every if x[1] != 1] and len(every) == 4
+
+
+@pytest.mark.parametrize("pivots", [1, 3, 16])
+def test_closure_by_pivots_equals_closure(spark, monkeypatch, pivots):
+    monkeypatch.setattr(graph, "PIVOTS", pivots)
+    monkeypatch.setattr(graph, "IN_BLOCK", 4)
+    rng = random.Random(pivots)
+    pairs = {(rng.randrange(150), rng.randrange(150)) for _ in range(190)} | {(5, 5), (None, 7), (8, None)}
+    edges = spark.createDataFrame(list(pairs), "src long, dst long")
+    start = spark.createDataFrame([(i % 160,) for i in range(170)], "id long")
+    rows = lambda df: sorted((x.root, x.id) for x in df.collect())
+    assert rows(graph.closure_by_pivots(start, edges)) == rows(graph.closure(start, edges.dropna()))
+    assert rows(graph.closure_by_pivots(start.limit(0), edges)) == []
+    assert rows(graph.closure_by_pivots(start.limit(2), edges.limit(0))) == [(0, 0), (1, 1)]
+
+
+def test_forgetting_by_each_keeps_no_row_for_pairs(spark, monkeypatch):
+    # 3,000 roots lead to a source that 3,000 memories share: packs of 64 roots are 141,000 rows.
+    evidence = spark.range(10_000, 13_000).select(F.col("id").alias("memory_id"), F.lit("artifact:a").alias("source_ref"))
+    derived = spark.range(3_000).select((F.col("id") + 10_000).alias("from_id"), F.col("id").alias("to_id"), F.lit("derived_from").alias("kind"))
+    kept = []
+    whole = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: kept.append((out := whole(df)).count()) or out)
+    gone = lineage.forgotten_by_each(spark.range(3_000), derived, evidence)
+    assert sum(kept) < 100_000
+    assert {r.n for r in gone.groupBy("root").agg(F.count_distinct("id").alias("n")).collect()} == {3_001} and gone.count() == 3_000 * 3_001
