@@ -94,3 +94,24 @@ def test_an_update_checkpoints_no_texts(spark, tmp_path, monkeypatch):
     index = InvertedIndex(spark, f"{tmp_path}/index", block=8)
     index.update(docs)
     assert cuts == [] and not inverted.exists(spark, f"{tmp_path}/index/staged")
+
+
+def test_an_update_shuffles_no_texts_that_lie_by_id(spark, tmp_path, monkeypatch):
+    plans, write = {}, InvertedIndex._write
+
+    def seen(self, df, name, seg, by=None):
+        plans[name, seg] = df._jdf.queryExecution().executedPlan().toString()
+        write(self, df, name, seg, by)
+
+    monkeypatch.setattr(InvertedIndex, "_write", seen)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([document(rng, i) for i in range(48)], DOC)
+    terms = spark.createDataFrame([(1, "w0"), (1, "w7"), (2, "w5.w6")], "query_id long, term string")
+    for name, given, dealt in (("near", docs.coalesce(1), False), ("far", docs.repartition(4, "title"), True)):
+        index = InvertedIndex(spark, f"{tmp_path}/{name}", buckets=4, block=8)
+        index.update(given.filter("id < 30"))
+        index.update(given, spark.createDataFrame([(4,)], "id long"))
+        for seg in (0, 1):
+            assert ("hashpartitioning(block" in plans["staged", seg]) == dealt
+            assert "partitioning(" not in plans["postings", seg] and (dealt or "hashpartitioning(" not in plans["staged", seg])
+        assert rows(index.search(terms, 8)) == best(docs.filter("id <> 4"), terms, 8)
