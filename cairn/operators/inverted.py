@@ -40,8 +40,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
-#: Words that a task puts in order at once; blocks whose scores are summed up in one task.
-AT_ONCE, BLOCKS_A_TASK = 1 << 22, 16
+#: Words that a task puts in order at once; documents of a staged file, as large ones would make tasks spill their postings;
+#: blocks whose scores are summed up in one task.
+AT_ONCE, STAGED, BLOCKS_A_TASK = 1 << 22, 512, 16
 
 
 def _inverted(weights: list[float], block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -55,7 +56,7 @@ def _inverted(weights: list[float], block: int) -> Callable[[Iterator[pa.RecordB
         return pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)], pa.int32()), values)
 
     def one(docs: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, texts = docs["id"].to_numpy(), docs["size"].to_numpy(), docs["words"].flatten()
+        ids, sizes, texts = docs["id"].to_numpy().astype("int64"), docs["size"].to_numpy(), docs["words"].flatten()
         n = pc.list_value_length(texts).to_numpy().astype("int64")
         words = texts.flatten().dictionary_encode()
         text = np.repeat(np.arange(len(n)), n)
@@ -131,7 +132,7 @@ class InvertedIndex:
         return self.table("forward").select("seg", "id", "revision", "size").join(dead, ["seg", "id"], "left_anti")
 
     def _write(self, df: DataFrame, name: str, seg: int, by: list[str] | None = None) -> None:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").options(compression="zstd", **({"maxRecordsPerFile": STAGED} if name == "staged" else {}))
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{name}/seg={seg}")
 
     def _bucket(self, term: str = "term") -> Column:
@@ -199,7 +200,8 @@ class InvertedIndex:
         size = new.select(F.lit(1).alias("docs"), "size")
         if out is not None:
             old = self._postings().select("seg", "term", "block", "docs").join(self._bits(out, "out"), "block")
-            df = df.union(old.select("term", -F.size(F.filter("docs", lambda x: self._among("out", x, F.col("seg")))).alias("n")))
+            lost = F.size(F.filter("docs", lambda x: self._among("out", x, F.col("seg"))))
+            df = df.union(old.select("term", (-lost).alias("n")).filter("n <> 0"))
             size = size.union(out.select(F.lit(-1).alias("docs"), (-F.col("size")).alias("size")))
         df = df.groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").withColumn("bucket", self._bucket())
         self._write(df.repartition("bucket"), "df", seg, ["bucket"])
